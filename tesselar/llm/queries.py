@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, licenses, warc
+from . import bpe, decontam, langid, licenses, lm, warc
 from .exact_dedup import exact_dedup
+from .jaccard import jaccard_join
 from .line_dedup import dedup_lines
 from .common import fold_of_id, table
 
@@ -115,3 +116,16 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = jaccard_join(table(spark, sf_dir, "documents"), size=4, percent=85)
+    return out.select("doc_id", "n_shingles", "component_id", "n_links")
+
+
+@query
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("train", fold_of_id(F.col("doc_id"), 5) != 1)
+    out = lm.score(docs, "train")
+    return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
