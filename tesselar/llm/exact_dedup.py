@@ -104,15 +104,15 @@ def _arrow(schema: T.StructType) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
-def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """One row a document: row_id, the id, text_sha256 of the normalised text, and (level, name), equal for equal texts only.
+def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, row_col: str | None = None) -> DataFrame:
+    """One row a document: row_id (or the given unique ``row_col``), the id, text_sha256 of the normalised text, and (level, name), equal for equal texts only.
 
     Null texts count as empty; only A-Z are lower-cased. Rows with equal ids or null ids stay apart by row_id.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "exact")
-    text = docs.select(F.col(id_col).alias("doc"), fold(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).cast("binary").alias("t"))
-    text = text.select(F.monotonically_increasing_id().alias("row_id"), "doc", "t")
+    row = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    text = docs.select(row.alias("row_id"), F.col(id_col).alias("doc"), fold(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).cast("binary").alias("t"))
     count = F.greatest(F.ceil(F.octet_length("t") / F.lit(block)), F.lit(1)).cast("int")
     blocks = text.select("row_id", "doc", "t", F.sha2("t", 256).alias("sha"), F.explode(F.sequence(F.lit(0), count - 1)).alias("pos"), count.alias("n"))
     first = F.col("pos") == 0
@@ -151,14 +151,14 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.withColumnRenamed("doc", id_col).withColumnRenamed("sha", "text_sha256")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, row_col: str | None = None) -> DataFrame:
     """One row a document: row_id, the id, keep_id, group_size, kept, text_sha256.
 
     Of equal texts the row with the largest id stays (null ids are the smallest; of equal ids the last row). An empty table
     gives an empty result. Long texts are many blocks, and no group of copies is collected anywhere.
     """
     scratch = Scratch(docs.sparkSession, "exact-groups")
-    ids = scratch.save(identities(docs, id_col, text_col, block), "ids")
+    ids = scratch.save(identities(docs, id_col, text_col, block, row_col), "ids")
     groups = ids.groupBy("level", "name").agg(F.count(F.lit(1)).alias("size"), F.max(F.struct(F.col(id_col).alias("doc"), "row_id")).alias("top"))
     groups = scratch.save(groups.where("size > 1"), "groups")
     return ids.join(groups, ["level", "name"], "left").select(
@@ -169,3 +169,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.coalesce(F.col("top.row_id") == F.col("row_id"), F.lit(True)).alias("kept"),
         "text_sha256",
     )
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows that ``exact_dedup`` keeps, all columns as they were."""
+    tagged = docs.withColumn("_row_", F.monotonically_increasing_id())
+    dropped = exact_dedup(tagged, id_col, text_col, row_col="_row_").where("not kept").select(F.col("row_id").alias("_row_"))
+    dropped = Scratch(docs.sparkSession, "dropped").save(dropped)
+    return tagged.join(dropped, "_row_", "left_anti").drop("_row_")

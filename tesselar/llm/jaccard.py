@@ -358,3 +358,16 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "class",
         F.coalesce("linked", F.lit(False)).alias("linked"),
     )
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows without those that a similar row makes needless: of each component the row with the smallest id stays (null ids
+    come last; of equal ids the first row). All columns as they were."""
+    scratch = Scratch(docs.sparkSession, "keep")
+    tagged = docs.withColumn("_row_", F.monotonically_increasing_id())
+    found = jaccard_join(tagged, "_row_", text_col, size, percent).where("linked").select("_row_", "component_id")
+    found = scratch.save(found.join(tagged.select("_row_", F.col(id_col).alias("_id_")), "_row_"))
+    best = F.min(F.struct(F.col("_id_").isNull().alias("none"), F.col("_id_").alias("id"), F.col("_row_").alias("row"))).alias("best")
+    best = scratch.save(found.groupBy("component_id").agg(best))
+    dropped = scratch.save(found.join(best, "component_id").where(F.col("best.row") != F.col("_row_")).select("_row_"))
+    return tagged.join(dropped, "_row_", "left_anti").drop("_row_")
