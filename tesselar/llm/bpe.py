@@ -50,10 +50,11 @@ class MergeAutomaton:
         self.left, self.right, self.rank = [-1] * size, [-1] * size, [-1] * size
         self.cut: dict[int, int] = {}
         self.size = size
+        self.used = [True] * size
         for time, (a, b) in enumerate(merges):
             self._gadget(vocab[a], vocab[b], vocab[a + b], time)
         self.spelt: dict[str, int] = {}
-        made = [i for i in range(size) if self.rank[i] >= 0 or self._is_base(self.label[i])]
+        made = [i for i in range(size) if self.used[i] and (self.rank[i] >= 0 or self._is_base(self.label[i]))]
         for i in made:
             self.spelt[self._symbols(self.label[i])] = i
         self.trie: dict = {}
@@ -69,7 +70,6 @@ class MergeAutomaton:
             self.shorter[i] = next((self.spelt[s[:k]] for k in range(len(s) - 1, 0, -1) if s[:k] in self.spelt), -1)
         self.reach = max(self.length, default=0)
         self.arcs: dict[int, bool] = {}
-        self.alone = {s: i for s, i in self.spelt.items() if self.rank[i] < 0 or self._alone(i)}
 
     def _is_base(self, label: str) -> bool:
         return len(label) == 1 or bool(self.suffix) and len(label) == 1 + len(self.suffix) and label.endswith(self.suffix)
@@ -86,6 +86,8 @@ class MergeAutomaton:
 
     def _gadget(self, u: int, v: int, uv: int, time: int) -> None:
         if self.rank[uv] < 0:
+            # without an arc v in the state of u there is no path to relabel: the rule never applies
+            self.used[uv] = self.used[u] and self.used[v] and self._had_arc(u, v, time)
             self.left[uv], self.right[uv], self.rank[uv] = u, v, time
         self.cut.setdefault(u * self.size + v, time)
 
@@ -128,7 +130,7 @@ class MergeAutomaton:
     def encode(self, s: str) -> list[int]:
         """The ids of a string of symbols (see ``word``)."""
         n = len(s)
-        whole = self.alone.get(s)
+        whole = self.spelt.get(s)  # its own path, and there is only one
         if whole is not None:
             return [whole]
         size, arcs, lengths = self.size, self.arcs, self.length
@@ -158,14 +160,6 @@ class MergeAutomaton:
                 t = self.shorter[t]
         return path
 
-    def _alone(self, t: int) -> bool:
-        """Whether the state reached by the first part had an arc to the second just when the rule applied."""
-        u, v = self.left[t], self.right[t]
-        return self._had_arc(u, v, self.rank[t]) and self._alone_part(u) and self._alone_part(v)
-
-    def _alone_part(self, t: int) -> bool:
-        return self.rank[t] < 0 or self._alone(t)
-
     def decode(self, ids: list[int]) -> list[str]:
         return [self.label[i] for i in ids]
 
