@@ -153,7 +153,7 @@ class ZipDirectory:
         self.source, self.size = source, source.size()
         tail_at = max(0, self.size - 65_557)
         tail = self.read(tail_at, self.size - tail_at)
-        at = tail.rfind(b"PK\x05\x06")
+        at = tail.rfind(b"PK\x05\x06", 0, max(0, len(tail) - 18))
         while at >= 0 and at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail):
             at = tail.rfind(b"PK\x05\x06", 0, at)
         if at < 0:
