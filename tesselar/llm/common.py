@@ -106,40 +106,28 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 class WordHash(dict):
-    """Word -> signed 64-bit hash, kept for words seen before, up to a bound."""
+    """Word (as UTF-8) -> signed 64-bit hash, kept for words seen before, up to a bound."""
 
     LIMIT = 400_000
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         import xxhash
 
         if len(self) >= self.LIMIT:
             self.clear()
-        h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        h = xxhash.xxh3_64_intdigest(word)
         h = self[word] = h - (1 << 64) if h >> 63 else h
         return h
 
-    def array(self, words: list[str]) -> np.ndarray:
+    def array(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words)).view(np.uint64)
 
 
-def words_of(text: str | None) -> list[str]:
-    """Maximal runs of characters other than [\\x20\\x09-\\x0D], with A-Z lower-cased."""
-    if not text:
-        return []
-    text = text.translate(FOLD) if not text.isascii() else text.lower()
-    if any(c in text for c in "\x1c\x1d\x1e\x1f\x85\xa0") or not text.isascii() and _odd_space(text):
-        import re
+def words_of(text: str | None) -> list[bytes]:
+    """Maximal runs of characters other than [\\x20\\x09-\\x0D], with A-Z lower-cased, as UTF-8.
 
-        return re.findall(r"[^\x20\x09-\x0D]+", text)
-    return text.split()
-
-
-def _odd_space(text: str) -> bool:
-    """True if str.split() would also cut at other white space."""
-    import re
-
-    return re.search("[  -     　]", text) is not None
+    Bytes know only ASCII white space and letters, and no part of a longer character is one of them."""
+    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
 #: Odd multipliers, one a position in a shingle.
@@ -156,3 +144,44 @@ def shingle_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
     for i in range(size):
         out += hashes[i : n - size + 1 + i] * _STEPS[i]
     return mix(out + np.uint64(size))
+
+
+#: Bits of a filter of 64-bit hashes, the bound of what is collected and broadcast; a denser filter only lets more rows pass to the exact
+#: join behind it.
+FILTER_BITS = 1 << 26
+_SEGMENTS = 64
+
+
+def _slots(hashes: pa.Array) -> np.ndarray:
+    return (mix(hashes.to_numpy(zero_copy_only=False).view(np.uint64)) % np.uint64(FILTER_BITS)).astype(np.int64)
+
+
+def hash_filter(df: DataFrame, col: str) -> np.ndarray:
+    """A bit for each value of a BIGINT column, merged from the tasks' own bits by segments."""
+    import pandas as pd
+
+    part = FILTER_BITS // _SEGMENTS
+
+    def mine(batches):
+        for batch in batches:
+            slots = np.unique(_slots(batch.column(0)))
+            for k in np.unique(slots // part):
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([(slots[slots // part == k] - k * part).astype(np.uint32).tobytes()], pa.binary())], names=["segment", "slots"])
+
+    def merge(key, pdf):
+        bits = np.zeros(part, np.uint8)
+        for s in pdf.slots:
+            bits[np.frombuffer(s, np.uint32)] = 1
+        return pd.DataFrame({"segment": [key[0]], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    made = df.select(col).mapInArrow(mine, "segment int, slots binary").groupBy("segment").applyInPandas(merge, "segment int, bits binary")
+    for r in made.toLocalIterator():
+        bits[r.segment * part // 8 : (r.segment + 1) * part // 8] = np.frombuffer(r.bits, np.uint8)
+    return bits
+
+
+def held_by(bits: np.ndarray, hashes: pa.Array) -> np.ndarray:
+    """Whether the filter may hold each hash (never false for one that it was made of)."""
+    slots = _slots(hashes)
+    return (bits[slots >> 3] >> (slots & 7) & 1).astype(bool)

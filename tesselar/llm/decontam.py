@@ -26,14 +26,15 @@ LEAST_WORDS, LEAST_PERCENT = 13, 80
 #: Bytes of benchmark text in a block, the bound of one broadcast; words of documents seeded at a time.
 BLOCK_BYTES = 16 << 20
 _BATCH_WORDS = 300_000
+_PUNCTUATION = string.punctuation.encode()
 _STEP = [np.uint64(pow(0xD6E8FEB86659FD93, i + 1, 1 << 64)) for i in range(64)]
 
 
 class _Hash(WordHash):
     """Words without ASCII punctuation at their ends (unless nothing else is left)."""
 
-    def __missing__(self, word: str) -> int:
-        bare = word.strip(string.punctuation) or word
+    def __missing__(self, word: bytes) -> int:
+        bare = word.strip(_PUNCTUATION) or word
         if bare == word:
             return super().__missing__(word)
         h = self[bare]

@@ -4,11 +4,13 @@
 2. A sketch of how often each shingle occurs, over all documents, orders shingles from rare to frequent. Similar sets share one of
    their first shingles in this order (the prefix filter). Each shingle's index list is sorted by set size; entries too far apart in
    size are skipped, and what remains side by side links classes into candidate groups, of which only ids were shuffled.
-3. A group is cut into blocks by size. Each pair of blocks whose sizes allow a link is a unit of work, holding the sets once.
+3. Groups are narrowed by signatures: bitmaps of the parity of each slot's shingles, which differ in at most as many bits as two sets
+   do in shingles. Pairs that differ in more bits than a link allows are skipped; the rest form smaller groups.
+4. A group is cut into blocks by size. Each pair of blocks whose sizes allow a link is a unit of work, holding the sets once.
    Within it, lists are sorted by set size, so the part of a list that is too small or large is skipped by position, and the
    overlaps of a set are derived from those of the set before it, where the two are similar: only the lists of the shingles in
    which they differ are read. So all links are found, and counted, without a row a pair.
-4. Links that join something new become edges, and connected components give the classes their component.
+5. Links that join something new become edges, and connected components give the classes their component.
 """
 
 from __future__ import annotations
@@ -22,14 +24,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, WordHash, mix, partitions, shingle_hashes, words_of
+from .common import Scratch, WordHash, hash_filter, held_by, partitions, shingle_hashes, words_of
 from .components import components
 
-#: Counters of the sketch (a fixed size, whatever the input); shingles of a block of sets.
+#: Counters of the sketch (a fixed size, whatever the input); shingles and bytes of signatures in a block of sets.
 COUNTERS = 1 << 20
 BLOCK_SHINGLES = 300_000
-#: Bits of the filter that says which sets are wanted; denser filters only let more sets pass to the exact join.
-FILTER_BITS = 1 << 26
+BLOCK_SIGNATURES = 1 << 19
+#: Bits of a signature, for sets up to so many shingles.
+SIGNATURES = ((1 << 10, 1_500), (1 << 13, 12_000), (1 << 16, 1 << 62))
 _SEGMENTS = 64
 _PART = COUNTERS // _SEGMENTS
 
@@ -56,28 +59,48 @@ def needed(size: int, percent: int) -> int:
     return -(-percent * size // 100)
 
 
+def signature(s: np.ndarray) -> bytes:
+    """Bit k is the parity of the number of shingles with slot k."""
+    bits = next(b for b, most in SIGNATURES if len(s) <= most)
+    return np.packbits((np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
 def _describe(docs: DataFrame, size: int) -> DataFrame:
-    """Two kinds of rows: documents (doc, n, class, digest) and parts of the sketch (segment, counts)."""
-    schema = T.StructType([T.StructField("doc", docs.schema["doc"].dataType), *T.StructType.fromDDL("n long, class long, digest binary, segment int, counts binary")])
+    """Two kinds of rows: documents (doc, th, n, class, digest, signature) and parts of the sketch (segment, counts)."""
+    schema = T.StructType([T.StructField("doc", docs.schema["doc"].dataType), *T.StructType.fromDDL("th long, n long, class long, digest binary, signature binary, segment int, counts binary")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hash_, sketch, kind = WordHash(), np.zeros(COUNTERS, np.uint32), None
+        hash_, sketch, kind, waiting = WordHash(), np.zeros(COUNTERS, np.int64), None, []
+
+        def count() -> None:
+            sketch.__iadd__(np.bincount(np.concatenate(waiting), minlength=COUNTERS))
+            waiting.clear()
+
         for batch in batches:
-            n, ids, digests = [], [], []
-            for t in batch.column(1).to_pylist():
-                s = shingle_set(t, size, hash_)
-                n.append(len(s))
-                i, d = class_id(s) if len(s) else (None, None)
-                ids.append(i), digests.append(d)
-                np.add.at(sketch, _counter(s), 1)
             kind = batch.column(0).type
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names=schema.names)
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                n, ids, digests, marks = [], [], [], []
+                for t in part.column(2).to_pylist():
+                    s = shingle_set(t, size, hash_)
+                    n.append(len(s))
+                    i, d = class_id(s) if len(s) else (None, None)
+                    ids.append(i), digests.append(d), marks.append(signature(s) if len(s) else None)
+                    waiting.append(_counter(s))
+                    if sum(map(len, waiting[-64:])) > 1_000_000 or len(waiting) >= 4000:
+                        count()
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[:2], pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array(marks, pa.binary()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())],
+                    names=schema.names,
+                )
+        if waiting:
+            count()
         if kind is not None and sketch.any():
-            parts = [zlib.compress(sketch[k * _PART : (k + 1) * _PART].tobytes(), 1) for k in range(_SEGMENTS)]
-            nulls = [pa.nulls(_SEGMENTS, k) for k in (kind, pa.int64(), pa.int64(), pa.binary())]
+            parts = [zlib.compress(sketch[k * _PART : (k + 1) * _PART].astype(np.uint32).tobytes(), 1) for k in range(_SEGMENTS)]
+            nulls = [pa.nulls(_SEGMENTS, k) for k in (kind, pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())]
             yield pa.RecordBatch.from_arrays([*nulls, pa.array(range(_SEGMENTS), pa.int32()), pa.array(parts, pa.binary())], names=schema.names)
 
-    return docs.select("doc", "text").mapInArrow(run, schema)
+    return docs.select("doc", F.xxhash64("text").alias("th"), "text").mapInArrow(run, schema)
 
 
 def _sketch(parts: DataFrame) -> np.ndarray:
@@ -145,11 +168,11 @@ def _neighbours(postings: DataFrame, percent: int) -> DataFrame:
     return lists.mapInArrow(run, "a long, b long").groupBy("a", "b").agg(F.lit(1).alias("one")).select("a", "b")
 
 
-def _units(groups: DataFrame, sizes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """(class, unit, side): the units of work a class belongs to. A unit is a block of a group, or a pair of its blocks."""
+def _units(groups: DataFrame, sizes: DataFrame, percent: int, scratch: Scratch, weight, limit: int) -> DataFrame:
+    """(class, root, b1, b2, side): the units of work a class belongs to. A unit is a block of a group, or a pair of its blocks."""
     rows = groups.join(sizes, groups.node == sizes["class"]).select("class", "n", "root")
-    upto = F.sum("n").over(Window.partitionBy("root").orderBy("n", "class"))
-    blocks = scratch.save(rows.withColumn("block", F.floor((upto - 1) / BLOCK_SHINGLES)), "blocks")
+    upto = F.sum(weight).over(Window.partitionBy("root").orderBy("n", "class"))
+    blocks = scratch.save(rows.withColumn("block", F.floor((upto - 1) / limit)), "blocks")
     spans = blocks.groupBy("root", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     other = spans.withColumnsRenamed({"block": "right", "low": "low2", "high": "high2"})
     pairs = spans.join(other, "root").where((F.col("right") > F.col("block")) & (F.col("high") * 100 >= F.col("low2") * percent))
@@ -161,54 +184,51 @@ def _units(groups: DataFrame, sizes: DataFrame, percent: int, scratch: Scratch)
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(class, shingles) of documents whose class may be wanted: a filter of bounded size spares most others."""
-    bits = _filter_of(wanted)
-    sent = docs.sparkSession.sparkContext.broadcast(bits)
+    """(class, shingles) of the wanted classes, from the texts with a wanted hash: a filter of bounded size spares most others the
+    work, and a join the rest."""
+    sent = docs.sparkSession.sparkContext.broadcast(hash_filter(wanted, "th"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hash_, done = WordHash(), set()
+        hash_ = WordHash()
         for batch in batches:
+            batch = batch.filter(pa.array(held_by(sent.value, batch.column(0))))
             for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
                 ids, sets = [], []
-                for t in batch.slice(at, 500).column(0).to_pylist():
+                for t in part.column(1).to_pylist():
                     s = shingle_set(t, size, hash_)
-                    if len(s):
-                        i, _ = class_id(s)
-                        slot = int(mix(np.array([i], np.int64).view(np.uint64))[0]) % FILTER_BITS
-                        if sent.value[slot >> 3] >> (slot & 7) & 1 and i not in done:
-                            if len(done) < 1_000_000:
-                                done.add(i)
-                            ids.append(i), sets.append(s.tobytes())
-                if ids:
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["class", "shingles"])
+                    ids.append(class_id(s)[0] if len(s) else None), sets.append(s.tobytes())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["th", "class", "shingles"])
 
-    return docs.select("text").mapInArrow(run, "class long, shingles binary")
+    found = docs.select(F.xxhash64("text").alias("th"), "text").mapInArrow(run, "th long, class long, shingles binary")
+    return found.join(wanted, ["class", "th"]).dropDuplicates(["class"]).select("class", "shingles", "size")
 
 
-def _filter_of(wanted: DataFrame) -> np.ndarray:
-    """A bit a wanted class, merged from the tasks' own filters by segments."""
-    import pandas as pd
-
-    part = FILTER_BITS // _SEGMENTS
-
-    def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            slots = (mix(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)) % np.uint64(FILTER_BITS)).astype(np.int64)
-            slots = np.unique(slots)
-            for k in np.unique(slots // part):
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([(slots[slots // part == k] - k * part).astype(np.uint32).tobytes()], pa.binary())], names=["segment", "slots"])
+class Rough:
+    """The signatures of a unit, and all pairs that they allow to be links."""
 
-    def merge(key, pdf):
-        bits = np.zeros(part, np.uint8)
-        for s in pdf.slots:
-            bits[np.frombuffer(s, np.uint32)] = 1
-        return pd.DataFrame({"segment": [key[0]], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+    def __init__(self, marks: list[bytes], sizes: list[int], sides: list[int], percent: int):
+        sizes, sides = np.array(sizes, np.int64), np.array(sides)
+        self.order = np.lexsort((sides, sizes))
+        self.sizes, self.sides, self.percent = sizes[self.order], sides[self.order], percent
+        marks = [np.frombuffer(marks[i], np.uint8) for i in self.order]
+        self.level = [len(m) * 8 for m in marks]
+        self.folded = {}
+        for bits in sorted(set(self.level)):  # longer signatures are folded to compare with shorter ones
+            at = next(i for i, b in enumerate(self.level) if b >= bits)
+            self.folded[bits] = at, np.stack([np.bitwise_xor.reduce(m.reshape(-1, bits // 8), axis=0) for m in marks[at:]]).view(np.uint64)
 
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    made = wanted.select("class").mapInArrow(mine, "segment int, slots binary").groupBy("segment").applyInPandas(merge, "segment int, bits binary")
-    for r in made.toLocalIterator():
-        bits[r.segment * part // 8 : (r.segment + 1) * part // 8] = np.frombuffer(r.bits, np.uint8)
-    return bits
+    def links(self) -> Iterator[tuple[int, np.ndarray]]:
+        two = bool(self.sides.any()) and not self.sides.all()
+        high = np.searchsorted(self.sizes, self.sizes * 100 // self.percent, "right")
+        for i in range(len(self.sizes)):
+            at, marks = self.folded[self.level[i]]
+            rows = marks[i + 1 - at : int(high[i]) - at]
+            bits = np.bitwise_count(rows ^ marks[i - at]).sum(1, dtype=np.int64)
+            hit = bits * (100 + self.percent) <= (100 - self.percent) * (self.sizes[i] + self.sizes[i + 1 : int(high[i])])
+            if two:
+                hit &= self.sides[i + 1 : int(high[i])] != self.sides[i]
+            yield i, np.flatnonzero(hit) + i + 1
 
 
 class Unit:
@@ -264,8 +284,9 @@ class Unit:
             yield i, np.flatnonzero(hit) + i + 1
 
 
-def _solve(rows: DataFrame, percent: int) -> DataFrame:
-    """Links of each unit: (a, b) edges that join something new, and (a, null, links) the number of linked documents."""
+def _solve(rows: DataFrame, percent: int, rough: bool = False) -> DataFrame:
+    """Links of each unit: (a, b) edges that join something new, and (a, null, links) the number of linked documents. With ``rough``
+    ``data`` holds signatures, and pairs are possible links."""
     schema = "a long, b long, links long"
 
     def flush(held: list[tuple]) -> pa.RecordBatch | None:
@@ -273,7 +294,11 @@ def _solve(rows: DataFrame, percent: int) -> DataFrame:
             return None
         two = held[0][3] != held[0][4]
         ids, weight = np.array([r[0] for r in held], np.int64), np.array([r[1] for r in held], np.int64)
-        unit = Unit([np.frombuffer(r[2], np.uint64) for r in held], [r[5] if two else 0 for r in held], percent)
+        sides = [r[5] if two else 0 for r in held]
+        if rough:
+            unit = Rough([r[2] for r in held], weight.tolist(), sides, percent)
+        else:
+            unit = Unit([np.frombuffer(r[2], np.uint64) for r in held], sides, percent)
         ids, weight = ids[unit.order], weight[unit.order]
         links, parent = np.zeros(len(ids), np.int64), list(range(len(ids)))
 
@@ -293,7 +318,7 @@ def _solve(rows: DataFrame, percent: int) -> DataFrame:
                     if x != y:
                         parent[max(x, y)] = min(x, y)
                         a.append(int(ids[i])), b.append(int(ids[j]))
-        some = np.flatnonzero(links)
+        some = np.flatnonzero(links) if not rough else np.zeros(0, np.int64)
         return pa.RecordBatch.from_arrays(
             [pa.array([*a, *ids[some].tolist()], pa.int64()), pa.array([*b, *[None] * len(some)], pa.int64()), pa.array([*[None] * len(a), *links[some].tolist()], pa.int64())],
             names=["a", "b", "links"],
@@ -302,7 +327,7 @@ def _solve(rows: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, unit = [], None
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("class", "size", "shingles", "b1", "b2", "side", "root")]
+            cols = [batch.column(c).to_pylist() for c in ("class", "size", "data", "b1", "b2", "side", "root")]
             for row in zip(*cols):
                 key = row[6], row[3], row[4]
                 if key != unit:
@@ -329,20 +354,27 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     scratch = Scratch(spark, "jaccard")
     docs = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
     described = scratch.save(_describe(docs, size), "sets")
-    sets = described.where(F.col("segment").isNull()).select("doc", "n", "class", "digest")
-    classes = sets.where("n > 0").groupBy("class").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("size"), F.first("n").alias("n"), F.min("digest").alias("d1"), F.max("digest").alias("d2"))
+    sets = described.where(F.col("segment").isNull())
+    classes = sets.where("n > 0").groupBy("class").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("size"), F.min("n").alias("n"), F.min("th").alias("th"), F.min("digest").alias("d1"), F.max("digest").alias("d2"))
     classes = scratch.save(classes, "classes")
     if not classes.where("d1 <> d2").isEmpty():
         raise RuntimeError("two sets have one 64-bit id; use another hash")
     order = spark.sparkContext.broadcast(_sketch(described.where(F.col("segment").isNotNull()).select("segment", "counts")))
+    sizes = classes.select("class", "n")
 
     near = _neighbours(_postings(docs, size, percent, order), percent)
     groups = scratch.save(components(near, scratch), "groups")
-    units = scratch.save(_units(groups, classes.select("class", "n"), percent, scratch), "units")
-    held = scratch.save(_sets(docs, groups.select(F.col("node").alias("class")), size), "shingles")
-    held = held.dropDuplicates(["class"])
-    held = scratch.save(held.join(classes.select("class", "size"), "class"), "held")
+    weight = F.when(F.col("n") <= SIGNATURES[0][1], SIGNATURES[0][0] // 8).when(F.col("n") <= SIGNATURES[1][1], SIGNATURES[1][0] // 8).otherwise(SIGNATURES[2][0] // 8)
+    units = _units(groups, sizes, percent, scratch, weight, BLOCK_SIGNATURES)
+    marks = sets.select("class", "n", "signature").join(groups.select(F.col("node").alias("class")), "class").dropDuplicates(["class"])
+    marks = scratch.save(marks.select("class", F.col("n").alias("size"), F.col("signature").alias("data")), "marks")
+    groups = scratch.save(components(_solve(units.join(marks, "class"), percent, rough=True).select("a", "b"), scratch), "groups")
+
+    units = _units(groups, sizes, percent, scratch, F.col("n"), BLOCK_SHINGLES)
+    wanted = scratch.save(groups.join(classes, groups.node == classes["class"]).select("class", "th", "size"), "wanted")
+    held = scratch.save(_sets(docs, wanted, size).withColumnRenamed("shingles", "data"), "held")
     found = scratch.save(_solve(units.join(held, "class"), percent), "links")
+    scratch.drop(marks, wanted, held)
     joined = scratch.save(components(found.where(F.col("b").isNotNull()).select("a", "b"), scratch), "joined")
     links = found.where(F.col("links").isNotNull()).groupBy("a").agg(F.sum("links").alias("links"))
 
@@ -350,7 +382,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     known = scratch.save(known.select("class", "first", "size", "root", F.coalesce("links", F.lit(0)).alias("links")).where("root is not null or size > 1"), "known")
     least = known.where("root is not null").groupBy("root").agg(F.min("first").alias("least"))
     known = scratch.save(known.join(least, "root", "left").select("class", F.coalesce("least", "first").alias("component"), F.lit(True).alias("linked"), (F.col("links") + F.col("size") - 1).alias("links")), "known")
-    return sets.join(known, "class", "left").select(
+    return sets.select("doc", "n", "class").join(known, "class", "left").select(
         F.col("doc").alias(id_col),
         F.col("n").alias("n_shingles"),
         F.when(F.col("linked"), F.col("component")).otherwise(F.col("doc")).alias("component_id"),
