@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BLANK, FOLD, Scratch, partitions
+from .common import BLANK, FOLD, Scratch, hash_filter, held_by
 
 BITS_A_LINE = 16
 MAX_BITS = 1 << 27
@@ -189,6 +189,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lost = found.join(repeated, "key").where("d > first").select("d", "th", F.explode("at").alias("i"))
     lost = scratch.save(lost.groupBy("d", "th").agg(F.collect_set("i").alias("drop")), "lost")
 
+    loses = spark.sparkContext.broadcast(hash_filter(lost, "th"))
+
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, gone, kept = [], [], []
@@ -203,5 +205,19 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=[id_col, "n_lines", "n_dropped", "kept_text"])
 
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *T.StructType.fromDDL("n_lines long, n_dropped long, kept_text string")])
-    out = rows.withColumn("th", F.xxhash64("text")).join(lost, ["d", "th"], "left").select("doc", "text", "drop")
-    return out.mapInArrow(apply, schema)
+    hashed = rows.select("doc", "text", "d", F.xxhash64("text").alias("th"))
+
+    def chosen(wanted: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(held_by(loses.value, batch.column(3)) == wanted))
+
+        return run
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chosen(False)(batches):
+            yield from apply([pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.nulls(batch.num_rows, pa.list_(pa.int32()))], names=["doc", "text", "drop"])])
+
+    # only texts that may lose a line are shuffled to meet the lines they lose
+    some = hashed.mapInArrow(chosen(True), hashed.schema).join(lost, ["d", "th"], "left").select("doc", "text", "drop")
+    return hashed.mapInArrow(whole, schema).unionByName(some.mapInArrow(apply, schema))
