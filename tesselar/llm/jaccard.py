@@ -20,10 +20,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tesselar.plans.scratch import exclusive_sum
+
 from .common import Scratch, WordHash, hash_filter, held_by, partitions, shingle_hashes, words_of
 from .components import components
 
@@ -170,9 +172,11 @@ def _neighbours(postings: DataFrame, percent: int) -> DataFrame:
 
 def _units(groups: DataFrame, sizes: DataFrame, percent: int, scratch: Scratch, weight, limit: int) -> DataFrame:
     """(class, root, b1, b2, side): the units of work a class belongs to. A unit is a block of a group, or a pair of its blocks."""
-    rows = groups.join(sizes, groups.node == sizes["class"]).select("class", "n", "root")
-    upto = F.sum(weight).over(Window.partitionBy("root").orderBy("n", "class"))
-    blocks = scratch.save(rows.withColumn("block", F.floor((upto - 1) / limit)), "blocks")
+    rows = groups.join(sizes, groups.node == sizes["class"]).select("class", "n", "root", weight.cast("long").alias("w"))
+    rows = exclusive_sum(rows, ["root", "n", "class"], "w", "before")  # over all groups, so that a large one is not in one task
+    begin = scratch.save(rows.groupBy("root").agg(F.min("before").alias("begin")), "begin")
+    blocks = rows.join(begin, "root").select("class", "n", "root", F.floor((F.col("before") - F.col("begin")) / limit).alias("block"))
+    blocks = scratch.save(blocks, "blocks")
     spans = blocks.groupBy("root", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     other = spans.withColumnsRenamed({"block": "right", "low": "low2", "high": "high2"})
     pairs = spans.join(other, "root").where((F.col("right") > F.col("block")) & (F.col("high") * 100 >= F.col("low2") * percent))
