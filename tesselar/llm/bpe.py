@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Words and pieces kept with their result, a Python worker.
-CACHE = 300_000
+CACHE = 200_000
 _END = 0xE000
 
 

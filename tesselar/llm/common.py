@@ -33,12 +33,22 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[app]
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 1000 rows or 8 MB, unless the session has settings of its own: texts are long, and a task holds a batch
+    several times over (in the JVM, on the way, in Python)."""
+    for key, default, ours in (("maxRecordsPerBatch", "10000", "1000"), ("maxBytesPerBatch", None, "8m")):
+        key = f"spark.sql.execution.arrow.{key}"
+        if spark.conf.get(key, default) == default or default is None and not spark.sparkContext.getConf().contains(key):
+            spark.conf.set(key, ours)
+
+
 class Scratch:
     """Tables written once and read again: they cut the lineage, survive lost executors and can be dropped."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self.n = 0
+        small_batches(spark)
 
     def path(self, name: str = "t") -> str:
         self.n += 1
@@ -66,6 +76,7 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -108,7 +119,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 class WordHash(dict):
     """Word (as UTF-8) -> signed 64-bit hash, kept for words seen before, up to a bound."""
 
-    LIMIT = 400_000
+    LIMIT = 200_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
