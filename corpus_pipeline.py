@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesselar.llm import bpe, decontam, exact_dedup, jaccard, langid
-from tesselar.llm.common import Scratch, table
+from tesselar.llm.common import Scratch, small_batches, table
 from tesselar.llm.queries import tokenizer_path
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a recognised language go: no letter, no text, or a margin below MIN_MARGIN."""
+    small_batches(spark)
     return langid.keep_known(docs, langid.sample(docs, "doc_id", "text", "lang"))
 
 
