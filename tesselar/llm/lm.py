@@ -36,12 +36,13 @@ _FLUSH = 400_000
 _END = CLASSES + TAILS
 
 
-def tail_class(word: str) -> int:
-    return zlib.crc32(word[-2:].encode("utf-8", "surrogatepass")) % TAILS
+def tail_class(word: bytes) -> int:
+    """A class by the last two bytes of a word."""
+    return zlib.crc32(word[-2:]) % TAILS
 
 
 class _Tails(dict):
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         if len(self) > 200_000:
             self.clear()
         k = self[word] = CLASSES + tail_class(word)
@@ -63,9 +64,9 @@ def count_words(texts: DataFrame) -> DataFrame:
             yield _pair(held)
 
     def _pair(held: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(held.keys()), pa.string()), pa.array(list(held.values()), pa.int64())], names=["word", "c"])
+        return pa.RecordBatch.from_arrays([pa.array(list(held.keys()), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "c"])
 
-    return texts.mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return texts.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def _summed(texts: DataFrame, head, keys) -> DataFrame:
@@ -125,7 +126,7 @@ def exchange(bigrams: np.ndarray, classes: int, rounds: int = ROUNDS) -> np.ndar
             gain = (_xlogx(row) - _xlogx(table)).sum(1) + (_xlogx(col) - _xlogx(table)).sum(0)
             d = np.diag(table)
             gain += _xlogx(d + right + left + own) - _xlogx(d + right) - _xlogx(d + left) + _xlogx(d)
-            out, into = table.sum(1), table.sum(0)
+            out, into = table.sum(1) + left, table.sum(0) + right  # what all classes get of the word's neighbours in any case
             gain -= _xlogx(out + right.sum() + own) - _xlogx(out) + _xlogx(into + left.sum() + own) - _xlogx(into)
             b = int(np.argmax(gain))
             table[b, :] += right
@@ -142,7 +143,7 @@ def exchange(bigrams: np.ndarray, classes: int, rounds: int = ROUNDS) -> np.ndar
 class Model:
     """What scoring needs on every executor, of bounded size."""
 
-    def __init__(self, head: dict[str, int], counts: np.ndarray, of: np.ndarray, transitions: np.ndarray, tail_words: np.ndarray, total: int, types: int, ends: int):
+    def __init__(self, head: dict[bytes, int], counts: np.ndarray, of: np.ndarray, transitions: np.ndarray, tail_words: np.ndarray, total: int, types: int, ends: int):
         self.head, self.of, self.ends = head, of, ends
         per_class = transitions.sum(0).astype(float)
         share = (per_class + 0.5) / (per_class.sum() + 0.5 * len(per_class))
@@ -175,7 +176,7 @@ def train(texts: DataFrame, scratch: Scratch) -> tuple[DataFrame, Model]:
         if room < 0 or r.c < LEAST_HEAD:
             break
         least = r.c
-    top = sorted(((r.word, r.c) for r in counts.where(F.col("c") >= least).collect()), key=lambda r: (-r[1], r[0]))
+    top = sorted(((bytes(r.word), r.c) for r in counts.where(F.col("c") >= least).collect()), key=lambda r: (-r[1], r[0]))
     head = {w: i for i, (w, _) in enumerate(top)}
     n_head = len(top)
     n_of = np.array([c for _, c in top], float)
@@ -236,14 +237,14 @@ def train(texts: DataFrame, scratch: Scratch) -> tuple[DataFrame, Model]:
     transitions = np.zeros((_END + 1, _END + 1))
     for r in texts.mapInArrow(steps, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect():
         transitions[r.key // (_END + 1), r.key % (_END + 1)] = r.n
-    tail = F.crc32(F.right("word", F.lit(2)).cast("binary")) % TAILS
+    tail = F.crc32(F.substring(F.col("word"), F.greatest(F.octet_length("word") - 1, F.lit(1)), F.lit(2))) % TAILS
     tail_words = np.zeros(TAILS)
     for r in counts.where(F.col("c") < least).groupBy(tail.alias("k")).agg(F.count(F.lit(1)).alias("n")).collect():
         tail_words[r.k] = r.n
     return counts.where(F.col("c") < least), Model(head, n_of, of, transitions, tail_words, total, types, ends)
 
 
-def sequence(words: list[str], head: dict[str, int], of: np.ndarray, tails: _Tails) -> tuple[np.ndarray, np.ndarray]:
+def sequence(words: list[bytes], head: dict[bytes, int], of: np.ndarray, tails: _Tails) -> tuple[np.ndarray, np.ndarray]:
     """Head ids (-1: tail) of the words; classes from the end before the text to the end after it."""
     ids = np.fromiter(map(head.get, words, repeat(-1)), np.int64, len(words))
     seq = np.full(len(words) + 2, _END, np.int64)
@@ -266,7 +267,7 @@ def score(docs: DataFrame, train_col: str, id_col: str = "doc_id", text_col: str
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc"), F.coalesce(F.col(train_col), F.lit(False)).alias("train"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     tail, model = train(rows.where("train").select("text"), scratch)
     sent = spark.sparkContext.broadcast(model)
-    schema = T.StructType([*T.StructType.fromDDL("row long, train boolean, n_tokens long, n_known long, base double, score double, words array<string>, times array<int>").fields, T.StructField("doc", docs.schema[id_col].dataType)])
+    schema = T.StructType([*T.StructType.fromDDL("row long, train boolean, n_tokens long, n_known long, base double, score double, words array<binary>, times array<int>").fields, T.StructField("doc", docs.schema[id_col].dataType)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, tails = sent.value, _Tails()
@@ -283,7 +284,7 @@ def score(docs: DataFrame, train_col: str, id_col: str = "doc_id", text_col: str
                 base = float(m.count_log[known].sum()) + shared + (len(words) + 1) * m.base_rest
                 s = float(m.step[seq[:-1], seq[1:]].sum()) + float(m.emit[known].sum()) + float(m.tail_rest[kinds].sum())
                 out.append((len(words) + 1, len(known) + end_known, base, s, list(rare), list(rare.values())))
-            cols = [pa.array([o[i] for o in out], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.int32())))]
+            cols = [pa.array([o[i] for o in out], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32())))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *cols, batch.column(1)], names=schema.names)
 
     scored = scratch.save(rows.mapInArrow(run, schema), "scored")
