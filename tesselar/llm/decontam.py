@@ -2,13 +2,16 @@
 
 Words of tests and documents are hashed under fixed masks that ignore some positions, so that a substituted word does not
 hide a match. Equal seeds give an alignment; along it the longest run of words of which a given share is equal is verified
-word by word. With MASKS, every aligned run of 13 words with at most two substitutions has a seed.
+word by word. The masks follow from the rule: every aligned run of 13 words or more with at least 80 % equal has a seed of MASKS
+(a run of 26 or more has a half that is as good, so 13 to 25 words are all cases), and a shorter test, which counts as a whole only,
+has its own masks: cut into two blocks more than the substitutions it may have, it keeps two blocks whole.
 
 The benchmark is broadcast in blocks of bounded size, each against all documents, in a map without a shuffle.
 """
 
 from __future__ import annotations
 
+import itertools
 import string
 from collections.abc import Iterator
 
@@ -20,12 +23,14 @@ from pyspark.sql import types as T
 
 from .common import WordHash, mix, words_of
 
-MASKS = ("11101011", "11001111")
+MASKS = ("1110111", "110100000111", "101011011")
 #: An overlap has at least so many words (or all words of a shorter test) of which this share, in percent, is equal.
 LEAST_WORDS, LEAST_PERCENT = 13, 80
 #: Bytes of benchmark text in a block, the bound of one broadcast; words of documents seeded at a time.
 BLOCK_BYTES = 16 << 20
 _BATCH_WORDS = 300_000
+#: Alignments, and words compared, at a time.
+_HITS, _COMPARED = 1 << 18, 1 << 21
 _PUNCTUATION = string.punctuation.encode()
 _STEP = [np.uint64(pow(0xD6E8FEB86659FD93, i + 1, 1 << 64)) for i in range(64)]
 
@@ -54,6 +59,16 @@ def seeds(h: np.ndarray, mask: str, salt: int) -> np.ndarray:
     return mix(out)
 
 
+def short_masks(n: int) -> list[str]:
+    """Masks of a test of ``n`` words, fewer than LEAST_WORDS: one fits whenever LEAST_PERCENT of them are equal."""
+    changed = n * (100 - LEAST_PERCENT) // 100
+    if not changed:
+        return ["1" * n]
+    cut = [n * i // (changed + 2) for i in range(changed + 3)]
+    kept = itertools.combinations(range(changed + 2), 2)
+    return ["".join("1" if any(cut[b] <= i < cut[b + 1] for b in two) else "0" for i in range(n)) for two in kept]
+
+
 def longest_run(same: np.ndarray, percent: int) -> tuple[int, int]:
     """Start and length of the longest run with at least ``percent`` of its entries true (the first of equal ones)."""
     gain = np.where(same, 100 - percent, -percent).astype(np.int64)
@@ -79,44 +94,73 @@ class Index:
         hash_ = _Hash()
         self.ids = [i for i, _ in items]
         self.words = [hash_.array(words_of(t)) for _, t in items]
-        self.masks = [*MASKS, *sorted({"1" * len(w) for w in self.words if 0 < len(w) < max(map(len, MASKS))})]
+        self.lens = np.array([len(w) for w in self.words], np.int64)
+        self.flat = np.concatenate([*self.words, np.zeros(0, np.uint64)])
+        self.begin = np.cumsum(self.lens) - self.lens
+        self.least = np.maximum(1, -(-np.minimum(self.lens, LEAST_WORDS) * LEAST_PERCENT // 100))
+        short = sorted({len(w) for w in self.words if 0 < len(w) < LEAST_WORDS})
+        masks = [(m, None) for m in MASKS] + [(m, n) for n in short for m in short_masks(n)]
         self.tables = []
-        for k, mask in enumerate(self.masks):
-            own = k >= len(MASKS)  # tests too short for the masks are sought as a whole
+        for k, (mask, size) in enumerate(masks):
             key, item, at = [], [], []
             for n, w in enumerate(self.words):
-                if own == (len(w) < max(map(len, MASKS))) and (not own or len(w) == len(mask)):
+                if len(w) >= LEAST_WORDS if size is None else len(w) == size:  # shorter tests are sought as a whole
                     s = seeds(w, mask, k)
-                    key.append(s), item.append(np.full(len(s), n)), at.append(np.arange(len(s)))
+                    key.append(s), item.append(np.full(len(s), n, np.int32)), at.append(np.arange(len(s), dtype=np.int32))
             key = np.concatenate(key) if key else np.zeros(0, np.uint64)
             order = np.argsort(key, kind="stable")
-            item = np.concatenate(item)[order] if item else np.zeros(0, np.int64)
-            at = np.concatenate(at)[order] if at else np.zeros(0, np.int64)
-            bits = max(16, int(np.ceil(np.log2(len(key) + 1))) + 5)
+            item = np.concatenate(item)[order] if item else np.zeros(0, np.int32)
+            at = np.concatenate(at)[order] if at else np.zeros(0, np.int32)
+            bits = max(16, int(np.ceil(np.log2(len(key) + 1))) + 3)
             seen = np.zeros(1 << bits, bool)
             seen[key[...] >> np.uint64(64 - bits)] = True
             self.tables.append((mask, k, key[order], item, at, seen, np.uint64(64 - bits)))
 
     def hits(self, h: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(position, test, position in the test) of equal seeds."""
+        """(position, test, position in the test) of equal seeds, some at a time."""
         for mask, salt, key, item, at, seen, shift in self.tables:
-            s = seeds(h, mask, salt)
-            p = np.flatnonzero(seen[s >> shift]) if len(key) else np.zeros(0, np.int64)
-            if not len(p):
+            s = seeds(h, mask, salt) if len(key) else key
+            spots = np.flatnonzero(seen[s >> shift])
+            if not len(spots):
                 continue
-            a, b = np.searchsorted(key, s[p], "left"), np.searchsorted(key, s[p], "right")
-            count = b - a
-            p = np.repeat(p, count)
-            within = np.arange(len(p)) - np.repeat(np.cumsum(count) - count, count)
-            k = np.repeat(a, count) + within
-            yield p, item[k], at[k]
+            a, b = np.searchsorted(key, s[spots], "left"), np.searchsorted(key, s[spots], "right")
+            ends = np.cumsum(b - a)
+            for low in range(0, int(ends[-1]), _HITS):
+                n = np.arange(low, min(low + _HITS, int(ends[-1])))
+                spot = np.searchsorted(ends, n, "right")
+                k = b[spot] - ends[spot] + n
+                yield spots[spot], item[k].astype(np.int64), at[k].astype(np.int64)
+
+    def _equal(self, h: np.ndarray, n: np.ndarray, d: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """How many words of test ``n`` at ``d`` are equal, in [low, high) of ``h``, for arrays of alignments."""
+        out = np.zeros(len(n), np.int64)
+        step = np.cumsum(high - low)
+        i = 0
+        while i < len(n):
+            j = max(i + 1, int(np.searchsorted(step, (step[i - 1] if i else 0) + _COMPARED, "right")))
+            size = high[i:j] - low[i:j]
+            before = np.cumsum(size) - size
+            within = np.arange(int(size.sum())) - np.repeat(before, size)
+            here = np.repeat(low[i:j], size) + within
+            same = h[here] == self.flat[here + np.repeat(self.begin[n[i:j]] - d[i:j], size)]
+            out[i:j] = np.add.reduceat(same, before, dtype=np.int64)
+            i = j
+        return out
 
     def overlaps(self, h: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int, int, int, int]]:
         """(document, test, start, start in the test, words, equal words) of verified overlaps, for documents one after another
         in ``h`` that begin at ``starts`` (with the end of the last)."""
         found = []
         for p, item, at in self.hits(h):
-            found.append(np.stack([item, p - at, np.searchsorted(starts, p, "right") - 1], 1))
+            x = np.unique(np.stack([item, p - at, np.searchsorted(starts, p, "right") - 1], 1), axis=0)
+            n, d, doc = x.T
+            low, high = np.maximum(d, starts[doc]), np.minimum(d + self.lens[n], starts[doc + 1])
+            # too few words for the rule even if all others were in the run
+            room = high - low >= np.minimum(self.lens[n], LEAST_WORDS)
+            x, n, d, low, high = x[room], n[room], d[room], low[room], high[room]
+            x = x[self._equal(h, n, d, low, high) >= self.least[n]]
+            if len(x):
+                found.append(x)
         out = []
         if not found:
             return out

@@ -91,6 +91,41 @@ def test_decontamination(spark, odd_docs, no_docs):
     assert decontam.decontaminate(odd_docs, bench).columns == odd_docs.columns
 
 
+def test_every_accepted_run_has_a_seed():
+    """All substitutions the rule allows, for tests of 1 to 25 words, through the index itself; for 21 and more a sample."""
+    import itertools
+
+    r = random.Random(3)
+    for n in range(1, 26):
+        k = n * (100 - decontam.LEAST_PERCENT) // 100
+        index = decontam.Index([(0, " ".join(f"w{i}" for i in range(n)))])
+        gone = list(itertools.combinations(range(n), k))
+        if n > 20:
+            gone = r.sample(gone, 3000)
+        held = np.tile(index.words[0], (len(gone), 1))
+        for row, g in zip(held, gone):
+            row[list(g)] = 7
+        got = index.overlaps(held.ravel(), np.arange(len(gone) + 1) * n)
+        assert {g[0] for g in got} == set(range(len(gone))), n
+        assert all(g[4:] == (n, n - k) for g in got)
+
+
+def test_overlaps_by_brute_force():
+    r = random.Random(8)
+    items = [(k, " ".join(f"t{r.randrange(9)}" if r.random() < 0.2 else f"t{k}w{i}" for i in range(n))) for k, n in enumerate([*range(1, 23), 30, 41])]
+    texts = []
+    for _ in range(300):
+        w = []
+        for _ in range(r.randrange(1, 4)):
+            t = r.choice(items)[1].split()
+            a = r.randrange(0, max(1, len(t) - 12))
+            w += [f"c{r.randrange(9)}" for _ in range(r.randrange(4))] + [x if r.random() < 0.82 else "CHANGED" for x in t[a : a + r.randrange(5, 45)]]
+        texts.append(" ".join(w))
+    index = decontam.Index(items)
+    got = {(g[0], index.ids[g[1]], g[4]) for g in decontam._scan(texts, index, decontam._Hash())}
+    assert got == {(i, *h) for i, t in enumerate(texts) for h in hits_by_hand(t, items)}
+
+
 def test_leaks_are_found_and_clean_documents_left(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
