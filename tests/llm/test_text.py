@@ -197,6 +197,20 @@ def test_lm(spark, sf, odd_docs, no_docs):
     assert all(r.n_known == 0 and r.train_tokens == 0 and math.isfinite(r.score) for r in untrained)
 
 
+def test_lm_head_does_not_change_classes(spark, sf, monkeypatch):
+    """Words that are not broadcast get the class they would have in the head, so scores do not depend on HEAD."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("doc_id", "text", "crc32(cast(doc_id as string)) % 5 <> 1 as train")
+    monkeypatch.setattr(lm, "CORE", 60)
+    want = {r.doc_id: r for r in lm.score(docs, "train").collect()}
+    for head in (61, 150):
+        monkeypatch.setattr(lm, "HEAD", head)
+        got = {r.doc_id: r for r in lm.score(docs, "train").collect()}
+        assert got.keys() == want.keys()
+        for i, r in want.items():
+            assert math.isclose(got[i].score, r.score, rel_tol=1e-9) and math.isclose(got[i].base_score, r.base_score, rel_tol=1e-9)
+            assert got[i].n_known == r.n_known
+
+
 def test_lm_query(spark, sf):
     rows = [(r.doc_id, zlib.crc32(str(r.doc_id).encode()) % 5 != 1, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     out = queries.op5_lm_score(spark, sf).collect()
