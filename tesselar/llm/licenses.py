@@ -1,14 +1,17 @@
 """License scans by conditional compression.
 
-Candidate blocks are lines, or sentences of long lines, with a cue word of a license notice, and the lines that follow
-on. Each block is compressed alone and with each template as zstandard raw dictionary; templates are ranked by how much
-smaller they make the block. The best ones are confirmed, or not, by the exact difference in wording: the fewest words to insert,
-delete or replace so that the template reads as some part of the block.
+A cue of a license notice may be any of its words. The block searched for a template is therefore the cue's paragraph as far as the
+template, with all differences allowed, can reach to both sides, whatever lines and comment signs it is wrapped in. The candidate
+is the part of it that reads most like the template: the fewest words to insert, delete or replace, with the cue in it. It is
+compressed alone and with the template as zstandard raw dictionary, and confirmed if it has few differences and gets enough
+smaller. All templates are tried; a stretch of words goes to the one with the smallest share of differences.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,14 +46,23 @@ TEMPLATES = {
 CUES = ("licens", "licenc", "rights reserved", "creative commons", "permission is hereby", "redistribution and use", "free software")
 #: A winner needs this share of size saved; confirmed blocks differ in at most this share of the template's words.
 LEAST_SAVED, MOST_DIFFERENT = 0.25, 0.2
-RANKED = 4
 LEVEL = 19
-_REACH = 600
-_WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
+_WORD = re.compile(r"[^\W_]+(?:(?:\.|-(?:[ \t]*\r?\n[^\w\n]*)?)[^\W_]+)*")
+_WRAPPED = re.compile(r"-[^\w]+")
+_BLANK = re.compile(r"\n[ \t\r\f\v]*\n")
+_CUE = re.compile("|".join(c.replace(" ", r"[\W_]+") for c in CUES))
+#: A word of each cue, to pass over most texts quickly.
+_RARE = tuple({max(c.split(), key=len) for c in CUES})
+
+
+def _tokens(low: str) -> tuple[list[str], list[int], list[int]]:
+    """Words, with those broken after a hyphen at a line's end joined, and where they start and end."""
+    found = list(_WORD.finditer(low))
+    return [_WRAPPED.sub("-", m.group()) if "\n" in m.group() else m.group() for m in found], [m.start() for m in found], [m.end() for m in found]
 
 
 def words(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    return _tokens(text.lower())[0]
 
 
 def difference(template: list[str], block: list[str]) -> tuple[int, int, int]:
@@ -69,27 +81,22 @@ def difference(template: list[str], block: list[str]) -> tuple[int, int, int]:
     return cost[end], start[end], end
 
 
-def candidates(text: str) -> Iterator[tuple[int, int]]:
-    """Start and end of candidate blocks: from the sentence or line with a cue to _REACH characters on, not past a blank line;
-    further cues in a block belong to it."""
+def lower(text: str) -> str:
+    """The text in lower case, of the same length (a few letters would change it)."""
     low = text.lower()
-    if len(low) != len(text):  # a few letters change length in lower case
-        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    spots = sorted({m.start() for cue in CUES if cue in low for m in re.finditer(re.escape(cue), low)})
-    done = 0
-    for spot in spots:
-        if spot < done:
-            continue
-        stopped = low.rfind(". ", max(0, spot - _REACH), spot)
-        begin = max(low.rfind("\n", 0, spot) + 1, stopped + 2 if stopped >= 0 else 0, done, spot - _REACH)
-        stop = low.find("\n\n", spot)
-        end = min(len(text), spot + _REACH, stop if stop >= 0 else len(text))
-        line = low.find("\n", spot, end)
-        after = low.find("\n", line + 1, end) if line >= 0 else -1
-        if line >= 0 and not any(c in low[line : after if after >= 0 else end] for c in CUES) and spot - begin < 200 and line - begin < 120:
-            end = line
-        yield begin, end
-        done = end
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
+def candidates(low: str, starts: list[int]) -> list[tuple[int, int, int]]:
+    """(word with a cue, first word and end of its paragraph) for each cue, in order."""
+    breaks = [m.start() for m in _BLANK.finditer(low)]
+    out = {}
+    for m in _CUE.finditer(low):
+        k = bisect_right(breaks, m.start())
+        begin = bisect_left(starts, breaks[k - 1]) if k else 0
+        end = bisect_left(starts, breaks[k]) if k < len(breaks) else len(starts)
+        out[bisect_right(starts, m.start()) - 1] = (begin, end)
+    return [(i, *span) for i, span in sorted(out.items())]
 
 
 class Scanner:
@@ -100,47 +107,58 @@ class Scanner:
         self.known = []
         for name, texts in (templates or TEMPLATES).items():
             for t in texts:
-                content = t.lower().encode().ljust(8)
-                d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                known = words(t)
+                d = zstandard.ZstdCompressionDict(" ".join(known).encode().ljust(8), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                 d.precompute_compress(level=LEVEL)
-                self.known.append((name, words(t), zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_dict_id=False).compress))
-        self.cache: dict[str, list] = {}
-
-    def block(self, text: str) -> list[tuple[str, float, int, int, int, int]]:
-        """(license, saved, differences, template's words, first word, end) of confirmed templates, best first."""
-        found = self.cache.get(text)
-        if found is not None:
-            return found
-        data = text.lower().encode("utf-8", "surrogatepass")
-        base = len(self.alone(data))
-        ranked = sorted(((1 - len(f(data)) / base, i) for i, (_, _, f) in enumerate(self.known)), key=lambda x: (-x[0], x[1]))
-        tokens, found = words(text), []
-        for saved, i in ranked[:RANKED]:
-            name, template, _ = self.known[i]
-            if saved >= LEAST_SAVED * min(1.0, 2 * len(template) / max(1, len(tokens))):
-                edits, a, b = difference(template, tokens)
-                if edits <= MOST_DIFFERENT * len(template):
-                    found.append((name, saved, edits, len(template), a, b))
-        found.sort(key=lambda x: (x[2] / x[3], -x[3], -x[1], x[0]))
-        out, taken = [], []
-        for x in found:  # one license a stretch of words
-            if not any(x[4] < b and a < x[5] for a, b in taken):
-                out.append(x), taken.append((x[4], x[5]))
+                self.known.append((name, known, Counter(known), int(MOST_DIFFERENT * len(known)), zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_dict_id=False).compress))
+        self.cache: dict[tuple, tuple | None] = {}
+
+    def block(self, k: int, tokens: tuple[str, ...], cue: int) -> tuple[float, int, int, int] | None:
+        """(saved, differences, first word, end) of the best reading of template ``k`` that has word ``cue`` of the block in it."""
+        _, template, bag, most, compress = self.known[k]
+        if sum((bag & Counter(tokens)).values()) < len(template) - most:  # each of its words that is not there is a difference
+            return None
+        if (k, tokens, cue) in self.cache:
+            return self.cache[k, tokens, cue]
+        found, low, high = None, 0, len(tokens)
+        while low <= cue < high:
+            edits, a, b = difference(template, tokens[low:high])
+            if edits > most:
+                break
+            a, b = a + low, b + low
+            if a <= cue < b:
+                data = " ".join(tokens[a:b]).encode("utf-8", "surrogatepass")
+                saved = 1 - len(compress(data)) / len(self.alone(data))
+                found = (saved, edits, a, b) if saved >= LEAST_SAVED else None
+                break
+            low, high = (low, a) if a > cue else (max(b, low + 1), high)  # another notice, which has its own cue
         if len(self.cache) > 20_000:
             self.cache.clear()
-        self.cache[text] = out
-        return out
+        self.cache[k, tokens, cue] = found
+        return found
 
     def __call__(self, text: str | None) -> list[tuple[str, int, int, float, int, int]]:
-        """(license, start, end, saved, differences, template's words) with positions in characters."""
-        out = []
-        if text and any(c in text.lower() for c in CUES):
-            for a, b in candidates(text):
-                spans = [(m.start(), m.end()) for m in _WORD.finditer(text[a:b].lower())] if len(text[a:b].lower()) == b - a else None
-                for name, saved, edits, n, i, j in self.block(text[a:b]):
-                    start, end = (a + spans[i][0], a + spans[j - 1][1]) if spans and i < j <= len(spans) else (a, b)
-                    out.append((name, start, end, saved, edits, n))
-        return out
+        """(license, start, end, saved, differences, template's words) with positions in characters, in order."""
+        if not text:
+            return []
+        low = lower(text)
+        if not any(c in low for c in _RARE) or not _CUE.search(low):
+            return []
+        tokens, starts, ends = _tokens(low)
+        found = set()
+        for cue, begin, end in candidates(low, starts):
+            for k, (name, template, _, most, _) in enumerate(self.known):
+                reach = len(template) + most
+                a, b = max(begin, cue - reach), min(end, cue + reach + 1)
+                got = self.block(k, tuple(tokens[a:b]), cue - a)
+                if got:
+                    found.add((name, len(template), *got[:2], got[2] + a, got[3] + a))
+        out, taken = [], set()
+        for name, n, saved, edits, a, b in sorted(found, key=lambda x: (x[3] / x[1], -x[1], -x[2], x[0], x[4])):
+            if taken.isdisjoint(range(a, b)):  # one license a stretch of words
+                out.append((name, starts[a], ends[b - 1], saved, edits, n))
+                taken.update(range(a, b))
+        return sorted(out, key=lambda x: x[1])
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, list[str]] | None = None) -> DataFrame:

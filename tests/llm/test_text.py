@@ -167,6 +167,29 @@ def test_licenses(spark, sf, odd_docs, no_docs):
     assert licenses.scan(odd_docs).count() == 0 and licenses.scan(no_docs).count() == 0
 
 
+def test_wrapped_licenses():
+    """Every template wrapped at 60 to 80 columns, in comments and between other words, and two of it in a paragraph."""
+    import textwrap
+
+    scanner = licenses.Scanner()
+    prose = "the quick brown fox jumps over some lazy dogs while seven small boats sail past an old harbour wall in autumn rain".split()
+    r = random.Random(2)
+    for name, texts in licenses.TEMPLATES.items():
+        for t in texts:
+            for width in range(60, 81, 4):
+                for prefix in ("", " * ", "# ", "// ", ";; "):
+                    for before in (0, 9, 70):
+                        text = " ".join([*r.choices(prose, k=before), t, *r.choices(prose, k=before)])
+                        text = "\n".join(textwrap.wrap(text, width, initial_indent=prefix, subsequent_indent=prefix))
+                        got = scanner(text)
+                        assert [g[0] for g in got] == [name] and got[0][4] == 0, (t, width, prefix, before, got)
+                        assert licenses.words(text[got[0][1] : got[0][2]]) == licenses.words(t)
+            got = scanner(textwrap.fill(" ".join([t, *r.choices(prose, k=5), t])))
+            assert [(g[0], g[4]) for g in got] == [(name, 0)] * 2, (t, got)
+    changed = licenses.TEMPLATES["MIT"][2].replace("charge", "cost").replace("person", "party").replace("merge, ", "").replace("persons", "people")
+    assert [g[0] for g in scanner(textwrap.fill(changed, 77).replace("\n", "\r\n"))] == ["MIT"]
+
+
 def test_exchange_finds_classes():
     """Words of two kinds that alternate end up in two classes."""
     n = 12
