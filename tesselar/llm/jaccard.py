@@ -250,37 +250,42 @@ class Unit:
         self.tokens = np.split(token, np.cumsum(self.sizes)[:-1])
         by = np.argsort(token, kind="stable")  # owners rise within a list, so lists are sorted by size
         self.lists = owner[by]
-        self.starts = np.r_[0, np.cumsum(np.bincount(token))]
+        self.places = token[by] * len(self.sets) + self.lists  # of all entries, by list and position
 
     def _entries(self, tokens: np.ndarray, low: int, high: int) -> np.ndarray:
         """The entries with positions in [low, high) of some lists; what lies outside is skipped by position."""
-        parts = []
-        for t in tokens:
-            part = self.lists[self.starts[t] : self.starts[t + 1]]
-            if len(part) > 8:
-                part = part[np.searchsorted(part, low) : np.searchsorted(part, high)]
-            parts.append(part)
-        return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        n = len(self.sets)
+        a, b = np.searchsorted(self.places, tokens * n + low), np.searchsorted(self.places, tokens * n + high)
+        ends = np.cumsum(b - a)
+        return self.lists[np.arange(ends[-1]) + np.repeat(b - ends, b - a)] if len(ends) else np.zeros(0, np.int64)
+
+    def _shared(self, tokens: np.ndarray, low: int, high: int) -> np.ndarray:
+        """How many of the tokens each set with a position in [low, high) has."""
+        return np.bincount(self._entries(tokens, low, high) - low, minlength=high - low)
 
     def links(self) -> Iterator[tuple[int, np.ndarray]]:
         """For each set the larger or equal sets (by position in the order) that it is linked with."""
         n, two = len(self.sets), bool(self.sides.any()) and not self.sides.all()
         high = np.searchsorted(self.sizes, self.sizes * 100 // self.percent, "right")
-        shared, was, covered = None, None, 0
+        shared, was, begin, reach = None, None, 0, 0  # ``shared`` counts for the positions in [begin, reach)
         for i in range(n):
             top = int(high[i])
+            if top <= i + 1:
+                yield i, np.zeros(0, np.int64)
+                continue
             mine = self.tokens[i]
             derived = False
-            if was is not None and top <= n:
+            if was is not None and top <= reach:
                 common = np.intersect1d(mine, was, assume_unique=True)
                 if len(common) * 3 >= 2 * max(len(mine), len(was)):
                     gone, new = np.setdiff1d(was, common, assume_unique=True), np.setdiff1d(mine, common, assume_unique=True)
-                    shared = shared - np.bincount(self._entries(gone, 0, n), minlength=n) + np.bincount(self._entries(new, 0, n), minlength=n)
+                    shared = shared[i + 1 - begin :] - self._shared(gone, i + 1, reach) + self._shared(new, i + 1, reach)
                     derived = True
             if not derived:
-                shared = np.bincount(self._entries(mine, 0, n), minlength=n)
-            was = mine
-            c = shared[i + 1 : top]
+                reach = int(high[top - 1])  # what the sets that can be like this one need, to be derived from it
+                shared = self._shared(mine, i + 1, reach)
+            was, begin = mine, i + 1
+            c = shared[: top - begin]
             union = len(mine) + self.sizes[i + 1 : top] - c
             hit = (100 * c >= self.percent * union) & (c > 0)
             if two:

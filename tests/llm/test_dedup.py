@@ -3,6 +3,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from tesselar.llm import components, exact_dedup, jaccard, line_dedup, queries
@@ -189,3 +190,21 @@ def test_components(spark, monkeypatch, local):
         theirs[find(x)].add(x)
     assert sorted(map(sorted, mine.values())) == sorted(map(sorted, theirs.values()))
     assert components.components(spark.createDataFrame([(1, 1)], "a long, b long"), Scratch(spark, "t")).count() == 0
+
+
+def test_lists_are_read_in_bounds(monkeypatch):
+    """Only positions after a set, up to what its likes can be linked with, are read; links are those of brute force."""
+    r, calls, read = random.Random(5), [], jaccard.Unit._entries
+    sets = []
+    for k in range(12):
+        base = r.sample(range(40 + 40 * k), 20 + 20 * k)
+        for _ in range(6):
+            sets.append(np.array(sorted({*r.sample(base, len(base) - r.randrange(4)), *r.sample(range(900), 2)}), np.uint64))
+    monkeypatch.setattr(jaccard.Unit, "_entries", lambda self, t, low, high: calls.append((low, high)) or read(self, t, low, high))
+    unit = jaccard.Unit(sets, [0] * len(sets), 80)
+    got = {(min(a, b), max(a, b)) for i, hit in unit.links() for j in hit for a, b in [(int(unit.order[i]), int(unit.order[j]))]}
+    pairs = [(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets))]
+    assert got and got == {(a, b) for a, b in pairs for x, y in [({*sets[a].tolist()}, {*sets[b].tolist()})] if 100 * len(x & y) >= 80 * len(x | y)}
+    high = np.searchsorted(unit.sizes, unit.sizes * 100 // 80, "right")
+    assert all(0 < low < end <= high[high[low - 1] - 1] for low, end in calls)
+    assert sum(end - low for low, end in calls) < len(calls) * len(sets) / 2
