@@ -51,8 +51,10 @@ class MergeAutomaton:
         self.cut: dict[int, int] = {}
         self.size = size
         self.used = [True] * size
+        self.rules: dict[int, tuple[int, int]] = {}
         for time, (a, b) in enumerate(merges):
             self._gadget(vocab[a], vocab[b], vocab[a + b], time)
+            self.rules.setdefault(vocab[a] * size + vocab[b], (time, vocab[a + b]))
         self.spelt: dict[str, int] = {}
         made = [i for i in range(size) if self.used[i] and (self.rank[i] >= 0 or self._is_base(self.label[i]))]
         for i in made:
@@ -70,6 +72,32 @@ class MergeAutomaton:
             self.shorter[i] = next((self.spelt[s[:k]] for k in range(len(s) - 1, 0, -1) if s[:k] in self.spelt), -1)
         self.reach = max(self.length, default=0)
         self.arcs: dict[int, bool] = {}
+        self.proved: dict[str, bool] = {}
+
+    def merged(self, s: str) -> list[int]:
+        """The ids of a short string of symbols by the plain merge procedure, without the automaton."""
+        path, rules, size = [self.spelt[c] for c in s], self.rules, self.size
+        while len(path) > 1:
+            best = min((rules[k] for k in (a * size + b for a, b in zip(path, path[1:])) if k in rules), default=None)
+            if best is None:
+                break
+            out, i = [], 0
+            while i < len(path):
+                if i + 1 < len(path) and rules.get(path[i] * size + path[i + 1]) == best:
+                    out.append(best[1])
+                    i += 2
+                else:
+                    out.append(path[i])
+                    i += 1
+            path = out
+        return path
+
+    def is_whole(self, s: str) -> bool:
+        """Whether a vocabulary string is proved, by the merge procedure, to end as its own token."""
+        found = self.proved.get(s)
+        if found is None:
+            found = self.proved[s] = self.merged(s) == [self.spelt[s]]
+        return found
 
     def _is_base(self, label: str) -> bool:
         return len(label) == 1 or bool(self.suffix) and len(label) == 1 + len(self.suffix) and label.endswith(self.suffix)
@@ -130,9 +158,9 @@ class MergeAutomaton:
     def encode(self, s: str) -> list[int]:
         """The ids of a string of symbols (see ``word``)."""
         n = len(s)
-        whole = self.spelt.get(s)  # its own path, and there is only one
+        whole = self.spelt.get(s)
         if whole is not None:
-            return [whole]
+            return [whole] if self.is_whole(s) else self.merged(s)
         size, arcs, lengths = self.size, self.arcs, self.length
         path: list[int] = []
         dead = bytearray(n + 1)
@@ -222,10 +250,10 @@ class Bpe:
         return [text]
 
     def whole_tokens(self) -> dict[str, int]:
-        """Pre-tokens proved to encode alone as one token: each vocabulary string is run through the automaton once."""
+        """Pre-tokens proved to encode alone as one token: each vocabulary string is merged by the plain procedure once."""
         proved = {}
         for s, i in self.auto.spelt.items():
-            if self.auto.encode(s) == [i]:
+            if self.auto.is_whole(s):
                 label = self.label[i]
                 if self.auto.suffix:
                     if not label.endswith(self.auto.suffix):

@@ -72,6 +72,13 @@ def test_whole_tokens_are_proved(pair):
             assert lib.encode(s, add_special_tokens=False).ids == [whole[s]]
 
 
+def test_proof_does_not_rest_on_the_table_of_strings():
+    """A string wrongly taken for a token is not proved, and encodes as the merges have it."""
+    small = bpe.MergeAutomaton({"a": 0, "b": 1, "ab": 2, "ba": 3, "aba": 4}, [("a", "b"), ("b", "a")], None)
+    small.spelt["aba"] = 4
+    assert small.encode("aba") == [2, 0] and not small.is_whole("aba") and small.is_whole("ab")
+
+
 def test_operators(spark, odd_docs, no_docs):
     path = public_tokenizers.path(NAMES[0])
     lib = tokenizers.Tokenizer.from_file(path)
