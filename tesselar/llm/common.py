@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,8 @@ def shared_dir(spark: SparkSession) -> str:
         return found.rstrip("/")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="tesselar-")
     return _OWN[app]
 
@@ -75,6 +78,96 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def opened(uri: str):
+    """The pyarrow file system of a URI and the path in it."""
+    from pyarrow import fs
+
+    uri = uri.replace("s3a://", "s3://", 1)
+    return fs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri.removeprefix("file:"))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column is called so."""
+    used = {c.lower() for c in df.columns}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
+#: Rows of a block, as a power of two.
+BLOCK_ROWS = 17
+
+
+class Numbered:
+    """Rows written once, each with a number, so that what was found about a row meets it again where it lies.
+
+    Numbers are read from the written table and never drawn twice, whatever the scan's splits are. The rows of a block lie side by side;
+    facts about rows are sorted by block and written beside the table, and the task that reads a block reads its facts. So only facts
+    are shuffled, never the rows.
+    """
+
+    def __init__(self, df: DataFrame, scratch: Scratch, name: str = "rows"):
+        self.scratch, self.columns, self.row = scratch, df.columns, free_name(df, "_row")
+        self.rows = scratch.save(df.withColumn(self.row, F.monotonically_increasing_id()), name)
+
+    def block(self) -> Column:
+        return F.shiftright(F.col(self.row), BLOCK_ROWS)
+
+    def facts(self, found: DataFrame, block: Column) -> Facts:
+        """Writes ``found`` by block; the result can be sent to tasks."""
+        n, path = partitions(found.sparkSession), self.scratch.path("facts")
+        dealt = found.withColumn("_block", block).withColumn("part", F.pmod(F.col("_block"), F.lit(n)))
+        dealt = dealt.repartition(n, "part").sortWithinPartitions("part", "_block")
+        dealt.write.option("parquet.block.size", 1 << 20).partitionBy("part").parquet(path)
+        return Facts(path, n, found.columns)
+
+    def without(self, dropped: DataFrame) -> DataFrame:
+        """The rows, as they were, but for those whose number is in the one column of ``dropped``."""
+        name = dropped.columns[0]
+        facts = self.facts(dropped, F.shiftright(F.col(name), BLOCK_ROWS))
+        at = self.rows.columns.index(self.row)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part, rows, known in facts.beside(batches, at):
+                yield part.filter(pa.array(~np.isin(rows, known.column(0).to_numpy())))
+
+        return self.rows.mapInArrow(run, self.rows.schema).drop(self.row)
+
+
+class Facts:
+    """What is known about the rows of each block, read by the task that has the block."""
+
+    def __init__(self, path: str, n: int, columns: list[str]):
+        self.path, self.n, self.columns, self.last = path, n, columns, None
+
+    def of(self, block: int) -> pa.Table:
+        if self.last is None or self.last[0] != block:
+            import pyarrow.dataset as ds
+            from pyarrow import fs
+
+            files, path = opened(f"{self.path}/part={block % self.n}")
+            if files.get_file_info(path).type == fs.FileType.NotFound:
+                found = pa.table({c: pa.array([], pa.int64()) for c in self.columns})
+            else:
+                found = ds.dataset(path, filesystem=files, format="parquet").to_table(columns=self.columns, filter=ds.field("_block") == block)
+            self.last = block, found
+        return self.last[1]
+
+    def beside(self, batches: Iterator[pa.RecordBatch], at: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, pa.Table]]:
+        """Parts of batches that lie in one block, the numbers of their rows (column ``at``), and the block's facts."""
+        for batch, rows in by_block(batches, at):
+            yield batch, rows, self.of(int(rows[0]) >> BLOCK_ROWS)
+
+
+def by_block(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    for batch in batches:
+        rows = batch.column(at).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(rows >> BLOCK_ROWS)) + 1).tolist(), len(rows)]
+        for a, b in zip(cuts, cuts[1:]):
+            if b > a:
+                yield batch.slice(a, b - a), rows[a:b]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, fold, id_type, partitions
+from .common import Numbered, Scratch, fold, partitions
 
 #: Bytes a block.
 BLOCK = 4096
@@ -172,8 +172,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that ``exact_dedup`` keeps, all columns as they were."""
-    tagged = docs.withColumn("_row_", F.monotonically_increasing_id())
-    dropped = exact_dedup(tagged, id_col, text_col, row_col="_row_").where("not kept").select(F.col("row_id").alias("_row_"))
-    dropped = Scratch(docs.sparkSession, "dropped").save(dropped)
-    return tagged.join(dropped, "_row_", "left_anti").drop("_row_")
+    """The rows that ``exact_dedup`` keeps, all columns as they were, whatever they are called.
+
+    Of equal texts the row with the largest id stays; of several rows with this id one, as numbered when the rows were written. They
+    are written once, so that the numbers hold if splits of the scan change; the result is a map over them.
+    """
+    scratch = Scratch(docs.sparkSession, "distinct")
+    rows = Numbered(docs, scratch)
+    dropped = exact_dedup(rows.rows, id_col, text_col, row_col=rows.row).where("not kept").select("row_id")
+    return rows.without(dropped)

@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from tesselar.plans.scratch import exclusive_sum
 
-from .common import Scratch, WordHash, hash_filter, held_by, partitions, shingle_hashes, words_of
+from .common import Numbered, Scratch, WordHash, hash_filter, held_by, partitions, shingle_hashes, words_of
 from .components import components
 
 #: Counters of the sketch (a fixed size, whatever the input); shingles and bytes of signatures in a block of sets.
@@ -403,12 +403,12 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """The rows without those that a similar row makes needless: of each component the row with the smallest id stays (null ids
-    come last; of equal ids the first row). All columns as they were."""
+    come last; of equal ids the row that was written first). All columns as they were, whatever they are called. Rows are written once
+    and numbered, and the result is a map over them; an empty table gives an empty table."""
     scratch = Scratch(docs.sparkSession, "keep")
-    tagged = docs.withColumn("_row_", F.monotonically_increasing_id())
-    found = jaccard_join(tagged, "_row_", text_col, size, percent).where("linked").select("_row_", "component_id")
-    found = scratch.save(found.join(tagged.select("_row_", F.col(id_col).alias("_id_")), "_row_"))
-    best = F.min(F.struct(F.col("_id_").isNull().alias("none"), F.col("_id_").alias("id"), F.col("_row_").alias("row"))).alias("best")
+    rows = Numbered(docs, scratch)
+    found = jaccard_join(rows.rows, rows.row, text_col, size, percent).where("linked").select(F.col(rows.row).alias("row"), "component_id")
+    found = scratch.save(found.join(rows.rows.select(F.col(rows.row).alias("row"), F.col(id_col).alias("id")), "row"))
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best")
     best = scratch.save(found.groupBy("component_id").agg(best))
-    dropped = scratch.save(found.join(best, "component_id").where(F.col("best.row") != F.col("_row_")).select("_row_"))
-    return tagged.join(dropped, "_row_", "left_anti").drop("_row_")
+    return rows.without(found.join(best, "component_id").where(F.col("best.row") != F.col("row")).select("row"))
