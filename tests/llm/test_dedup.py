@@ -47,7 +47,9 @@ def test_exact(spark, odd_docs, no_docs):
         assert set(kept.values()) == {1} and len(kept) == len(groups)
     assert exact_dedup.exact_dedup(no_docs).count() == 0
     left = exact_dedup.deduplicate(odd_docs)
-    assert left.columns == odd_docs.columns and left.count() == len(groups)
+    assert left.columns == odd_docs.columns and exact_dedup.deduplicate(no_docs).count() == 0
+    top = {t: max((i for i in ids if i is not None), default=None) for t, ids in groups.items()}
+    assert sorted(((r.text or "").translate(FOLD), str(r.doc_id)) for r in left.collect()) == sorted((t, str(i)) for t, i in top.items())
 
 
 def lines_by_hand(rows, least=10):
@@ -69,13 +71,62 @@ def lines_by_hand(rows, least=10):
 
 def test_lines(spark, odd_docs, no_docs, monkeypatch):
     want = lines_by_hand([(d.doc_id, d.text) for d in odd_docs.collect()])
-    for dense in (False, True):
-        if dense:  # filters much too small, in several slices: slower, never wrong
-            monkeypatch.setattr(line_dedup, "MAX_BITS", line_dedup._SEGMENT)
-            monkeypatch.setattr(line_dedup, "BITS_A_LINE", 1 << 12)
-        out = line_dedup.dedup_lines(odd_docs).collect()
+    for bits in (16, 1):  # filters much too small: more is shuffled, nothing wrong
+        out = line_dedup.dedup_lines(odd_docs, bits=bits).collect()
         assert sorted((str(r.doc_id), r.n_lines, r.n_dropped, r.kept_text) for r in out) == want
     assert line_dedup.dedup_lines(no_docs).count() == 0
+    text = line_dedup.dedup_lines(odd_docs.withColumn("doc_id", odd_docs.doc_id.cast("string"))).collect()
+    assert sum(r.n_dropped for r in text) > 0 and sorted((r.n_lines, str(r.doc_id)) for r in text) == sorted((n, i) for i, n, *_ in want)
+
+
+def test_line_keys():
+    texts = ["A b\x0b\n\n ÄÖ éÉ ü 12\x85\r\nshort\n" + "ñ" * 9 + "\n" + "ñ" * 10, "", " \x1cten chars..\x1c"]
+    for t in texts:
+        want = [k if len(k) >= 10 else "" for k in (x.strip(" \t\n\x0b\x0c\r").translate(FOLD) for x in t.split("\n"))]
+        assert [k.decode() for k in line_dedup.keys_of(t.encode(), 10)] == want
+
+
+@pytest.mark.parametrize("n", [1000, 300_000])
+def test_suspects_stay_few(n):
+    """All repeats are suspected, and a share of the others that doesn't depend on the number of hashes."""
+    r = np.random.default_rng(n)
+    h = r.integers(0, 1 << 63, n, dtype=np.uint64)
+    h[: n // 10] = h[n // 2 : n // 2 + n // 10]
+    again = np.zeros(n, bool)
+    again[n // 5 : n // 5 + n // 100] = True
+    seen, counts = np.unique(h, return_counts=True)
+    true = np.isin(h, seen[counts > 1]) | again
+    got = line_dedup.suspected(h, again)
+    assert got[true].all() and got[~true].mean() < 0.02
+    assert line_dedup.suspected(h, again, 1)[true].all() and len(line_dedup.suspected(h[:0], again[:0])) == 0
+
+
+@pytest.mark.parametrize("name", ["deduplicate", "keep_one"])
+def test_rows_hold_when_splits_change(spark, sf, name):
+    """Scan splits that change between the call and the reading of its result change no row, and the right rows stay."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("*", "doc_id as _row", "'x' as _ROW_", "'y' as component_id")
+    conf = {"spark.sql.files.minPartitionNum": "1", "spark.sql.files.openCostInBytes": "1"}
+    call = exact_dedup.deduplicate if name == "deduplicate" else jaccard.keep_one
+    try:
+        spark.conf.set("spark.sql.files.minPartitionNum", "13")
+        left = call(docs)
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = sorted(left.collect())
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+    rows = docs.collect()
+    if name == "deduplicate":
+        last = {(r.text or "").translate(FOLD): r for r in sorted(rows, key=lambda r: r.doc_id)}
+        want = list(last.values())
+    else:
+        parts = {}
+        for r, x in zip(rows, join_by_hand([(r.doc_id, r.text) for r in rows], 5, 80)):
+            if r.doc_id == x[2] or not x[3]:
+                parts[r.doc_id] = r
+        want = list(parts.values())
+    assert got == sorted(want) and left.columns == docs.columns
 
 
 def sets_of(text, size):
