@@ -115,7 +115,7 @@ class Numbered:
 
     def facts(self, found: DataFrame, block: Column) -> Facts:
         """Writes ``found`` by block; the result can be sent to tasks."""
-        n, path = partitions(found.sparkSession), self.scratch.path("facts")
+        n, path = max(1, partitions(found.sparkSession) // 4), self.scratch.path("facts")
         dealt = found.withColumn("_block", block).withColumn("part", F.pmod(F.col("_block"), F.lit(n)))
         dealt = dealt.repartition(n, "part").sortWithinPartitions("part", "_block")
         dealt.write.option("parquet.block.size", 1 << 20).partitionBy("part").parquet(path)
