@@ -168,9 +168,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     schema = T.StructType([T.StructField("key", T.BinaryType()), rows.schema["d"], *T.StructType.fromDDL("row long, at array<int>")])
     found = scratch.save(rows.select("row", "text", "d").mapInArrow(suspects, schema), "suspects")
     repeated = found.groupBy("key").agg(F.min("d").alias("first"), F.max("d").alias("last")).where("first < last").select("key", "first")
+    repeated = scratch.save(repeated, "repeated")  # so that the join with a frequent line can be split
     lost = found.join(repeated, "key").where("d > first").select("row", "at")
     losses = numbered.facts(lost, F.shiftright("row", BLOCK_ROWS))
-    scratch.drop(found)
+    scratch.drop(found, repeated)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drops, of = {}, None
