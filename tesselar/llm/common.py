@@ -187,10 +187,6 @@ def fold_of_id(col: Column, k: int) -> Column:
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % F.lit(k)
 
 
-def id_type(df: DataFrame, name: str):
-    return df.schema[name].dataType
-
-
 def list_of(values: np.ndarray, lengths, kind=pa.int64()) -> pa.ListArray:
     """A list column from one flat array and the length of each list."""
     offsets = np.zeros(len(lengths) + 1, np.int32)
@@ -248,44 +244,3 @@ def shingle_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
     for i in range(size):
         out += hashes[i : n - size + 1 + i] * _STEPS[i]
     return mix(out + np.uint64(size))
-
-
-#: Bits of a filter of 64-bit hashes, the bound of what is collected and broadcast; a denser filter only lets more rows pass to the exact
-#: join behind it.
-FILTER_BITS = 1 << 26
-_SEGMENTS = 64
-
-
-def _slots(hashes: pa.Array) -> np.ndarray:
-    return (mix(hashes.to_numpy(zero_copy_only=False).view(np.uint64)) % np.uint64(FILTER_BITS)).astype(np.int64)
-
-
-def hash_filter(df: DataFrame, col: str) -> np.ndarray:
-    """A bit for each value of a BIGINT column, merged from the tasks' own bits by segments."""
-    import pandas as pd
-
-    part = FILTER_BITS // _SEGMENTS
-
-    def mine(batches):
-        for batch in batches:
-            slots = np.unique(_slots(batch.column(0)))
-            for k in np.unique(slots // part):
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([(slots[slots // part == k] - k * part).astype(np.uint32).tobytes()], pa.binary())], names=["segment", "slots"])
-
-    def merge(key, pdf):
-        bits = np.zeros(part, np.uint8)
-        for s in pdf.slots:
-            bits[np.frombuffer(s, np.uint32)] = 1
-        return pd.DataFrame({"segment": [key[0]], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
-
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    made = df.select(col).mapInArrow(mine, "segment int, slots binary").groupBy("segment").applyInPandas(merge, "segment int, bits binary")
-    for r in made.toLocalIterator():
-        bits[r.segment * part // 8 : (r.segment + 1) * part // 8] = np.frombuffer(r.bits, np.uint8)
-    return bits
-
-
-def held_by(bits: np.ndarray, hashes: pa.Array) -> np.ndarray:
-    """Whether the filter may hold each hash (never false for one that it was made of)."""
-    slots = _slots(hashes)
-    return (bits[slots >> 3] >> (slots & 7) & 1).astype(bool)

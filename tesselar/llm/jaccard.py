@@ -1,14 +1,16 @@
 """N-gram Jaccard join by set-relation skipping.
 
-1. Documents with equal shingle sets form a class; only classes are compared.
+1. Texts are written once with a number each. Documents with equal shingle sets (by a 128-bit digest) form a class, named by the smallest
+   number; only classes are compared, and only the text with this number is read again.
 2. A sketch of how often each shingle occurs, over all documents, orders shingles from rare to frequent. Similar sets share one of
    their first shingles in this order (the prefix filter). Each shingle's index list is sorted by set size; entries too far apart in
-   size are skipped, and what remains side by side links classes into candidate groups, of which only ids were shuffled.
+   size are skipped, and what remains side by side links classes into candidate groups. A task chains the lists of its own classes first
+   and sends a chain as one entry with the span of its sizes, so a frequent shingle is a few rows a task.
 3. Groups are narrowed by signatures: bitmaps of the parity of each slot's shingles, which differ in at most as many bits as two sets
    do in shingles. Pairs that differ in more bits than a link allows are skipped; the rest form smaller groups.
-4. A group is cut into blocks by size. Each pair of blocks whose sizes allow a link is a unit of work, holding the sets once.
-   Within it, lists are sorted by set size, so the part of a list that is too small or large is skipped by position, and the
-   overlaps of a set are derived from those of the set before it, where the two are similar: only the lists of the shingles in
+4. A group is cut into blocks by size, large groups into at least SPLIT. Each pair of blocks whose sizes allow a link is a unit of work,
+   holding the sets once. Within it, lists are sorted by set size, so the part of a list that is too small or large is skipped by position,
+   and the overlaps of a set are derived from those of the set before it, where the two are similar: only the lists of the shingles in
    which they differ are read. So all links are found, and counted, without a row a pair.
 5. Links that join something new become edges, and connected components give the classes their component.
 """
@@ -26,13 +28,17 @@ from pyspark.sql import types as T
 
 from tesselar.plans.scratch import exclusive_sum
 
-from .common import Numbered, Scratch, WordHash, hash_filter, held_by, partitions, shingle_hashes, words_of
+from .common import BLOCK_ROWS, Facts, Numbered, Scratch, WordHash, partitions, shingle_hashes, words_of
 from .components import components
 
-#: Counters of the sketch (a fixed size, whatever the input); shingles and bytes of signatures in a block of sets.
+#: Counters of the sketch (a fixed size, whatever the input); least and most shingles and bytes of signatures in a block of sets; blocks
+#: that a group is cut into as far as these bounds allow.
 COUNTERS = 1 << 20
-BLOCK_SHINGLES = 300_000
-BLOCK_SIGNATURES = 1 << 19
+BLOCK_SHINGLES = (20_000, 300_000)
+BLOCK_SIGNATURES = (1 << 14, 1 << 19)
+SPLIT = 16
+#: Prefix entries that a task chains at a time.
+_FLUSH = 1_000_000
 #: Bits of a signature, for sets up to so many shingles.
 SIGNATURES = ((1 << 10, 1_500), (1 << 13, 12_000), (1 << 16, 1 << 62))
 _SEGMENTS = 64
@@ -44,12 +50,10 @@ def shingle_set(text: str | None, size: int, hash_: WordHash) -> np.ndarray:
     return np.unique(shingle_hashes(hash_.array(words_of(text)), size))
 
 
-def class_id(s: np.ndarray) -> tuple[int, bytes]:
-    """A signed 64-bit id and a 128-bit digest of a set."""
+def digest_of(s: np.ndarray) -> bytes:
     import xxhash
 
-    digest = xxhash.xxh3_128_digest(s.tobytes())
-    return int.from_bytes(digest[:8], "little", signed=True), digest
+    return xxhash.xxh3_128_digest(s.tobytes())
 
 
 def _counter(s: np.ndarray) -> np.ndarray:
@@ -67,61 +71,65 @@ def signature(s: np.ndarray) -> bytes:
     return np.packbits((np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
-def _describe(docs: DataFrame, size: int) -> DataFrame:
-    """Two kinds of rows: documents (doc, th, n, class, digest, signature) and parts of the sketch (segment, counts)."""
-    schema = T.StructType([T.StructField("doc", docs.schema["doc"].dataType), *T.StructType.fromDDL("th long, n long, class long, digest binary, signature binary, segment int, counts binary")])
+def _describe(rows: DataFrame, size: int) -> DataFrame:
+    """Two kinds of rows: documents (row, n, digest, signature) and parts of the sketch (segment, counts)."""
+    schema = "row long, n long, digest binary, signature binary, segment int, counts binary"
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hash_, sketch, kind, waiting = WordHash(), np.zeros(COUNTERS, np.int64), None, []
+        hash_, sketch, waiting = WordHash(), np.zeros(COUNTERS, np.int64), []
 
         def count() -> None:
             sketch.__iadd__(np.bincount(np.concatenate(waiting), minlength=COUNTERS))
             waiting.clear()
 
         for batch in batches:
-            kind = batch.column(0).type
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                n, ids, digests, marks = [], [], [], []
-                for t in part.column(2).to_pylist():
+                n, digests, marks = [], [], []
+                for t in part.column(1).to_pylist():
                     s = shingle_set(t, size, hash_)
-                    n.append(len(s))
-                    i, d = class_id(s) if len(s) else (None, None)
-                    ids.append(i), digests.append(d), marks.append(signature(s) if len(s) else None)
+                    n.append(len(s)), digests.append(digest_of(s) if len(s) else None), marks.append(signature(s) if len(s) else None)
                     waiting.append(_counter(s))
                     if sum(map(len, waiting[-64:])) > 1_000_000 or len(waiting) >= 4000:
                         count()
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:2], pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array(marks, pa.binary()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())],
-                    names=schema.names,
-                )
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(marks, pa.binary()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names=names)
         if waiting:
             count()
-        if kind is not None and sketch.any():
+        if sketch.any():
             parts = [zlib.compress(sketch[k * _PART : (k + 1) * _PART].astype(np.uint32).tobytes(), 1) for k in range(_SEGMENTS)]
-            nulls = [pa.nulls(_SEGMENTS, k) for k in (kind, pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())]
-            yield pa.RecordBatch.from_arrays([*nulls, pa.array(range(_SEGMENTS), pa.int32()), pa.array(parts, pa.binary())], names=schema.names)
+            nulls = [pa.nulls(_SEGMENTS, k) for k in (pa.int64(), pa.int64(), pa.binary(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([*nulls, pa.array(range(_SEGMENTS), pa.int32()), pa.array(parts, pa.binary())], names=names)
 
-    return docs.select("doc", F.xxhash64("text").alias("th"), "text").mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def _sketch(parts: DataFrame) -> np.ndarray:
-    """Order classes of the counters: 0 for those near or below the mean, more for each doubling."""
-    import pandas as pd
+    """Order classes of the counters: 0 for those near or below the mean, more for each doubling. Parts are summed as they
+    come, first in as many tasks as there are partitions, then a segment a task; no task holds more than one sketch."""
 
-    def add(key, pdf):
-        total = np.zeros(_PART, np.uint64)
-        for c in pdf.counts:
-            total += np.frombuffer(zlib.decompress(c), np.uint32)
-        return pd.DataFrame({"segment": [key[0]], "counts": [total.tobytes()]})
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                total[k] = total[k] + _counts(counts) if k in total else _counts(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in total.values()], pa.binary())], names=["segment", "counts"])
 
+    n = partitions(parts.sparkSession)
+    summed = parts.repartition(max(1, n // 4)).mapInArrow(add, "segment int, counts binary").repartition(_SEGMENTS, "segment").mapInArrow(add, "segment int, counts binary")
     total = np.zeros(COUNTERS, np.uint64)
-    for r in parts.groupBy("segment").applyInPandas(add, "segment int, counts binary").toLocalIterator():
-        total[r.segment * _PART : (r.segment + 1) * _PART] = np.frombuffer(r.counts, np.uint64)
+    for r in summed.toLocalIterator():
+        total[r.segment * _PART : (r.segment + 1) * _PART] = _counts(r.counts)
     mean = max(1.0, total.mean())
     return np.clip(np.floor(np.log2(np.maximum(total, 1) / mean + 1e-9) * 2), 0, 60).astype(np.uint8)
 
 
+def _counts(data: bytes) -> np.ndarray:
+    """The counters of a part: 32 bits each as a task made them, 64 bits once summed."""
+    data = zlib.decompress(data)
+    return np.frombuffer(data, np.uint32 if len(data) == 4 * _PART else np.uint64).astype(np.uint64)
+
+
 def prefix(s: np.ndarray, order: np.ndarray, percent: int) -> np.ndarray:
     """The first shingles in the order (class of the counter, hash), enough for any similar set to share one."""
     keep = len(s) - needed(len(s), percent) + 1
@@ -130,52 +138,85 @@ def prefix(s: np.ndarray, order: np.ndarray, percent: int) -> np.ndarray:
     return s[np.lexsort((s, rank))[:keep]]
 
 
-def _postings(docs: DataFrame, size: int, percent: int, order) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hash_ = WordHash()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                tokens, ids, sizes, lengths = [], [], [], []
-                for t in batch.slice(at, 500).column(0).to_pylist():
-                    s = shingle_set(t, size, hash_)
-                    if len(s):
-                        p = prefix(s, order.value, percent)
-                        tokens.append(p), ids.append(class_id(s)[0]), sizes.append(len(s)), lengths.append(len(p))
-                if tokens:
-                    cols = [np.concatenate(tokens).view(np.int64), np.repeat(np.array(ids, np.int64), lengths), np.repeat(np.array(sizes, np.int32), lengths)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["token", "class", "n"])
+def chains(token: np.ndarray, ids: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of sets side by side in a list whose sizes allow a link, and the chains that they make: (token, class, least size, most
+    size). Sets that may be linked are in one chain: all sizes between theirs allow links too."""
+    by = np.lexsort((n, token))
+    token, ids, n = token[by], ids[by], n[by].astype(np.int64)
+    near = (token[1:] == token[:-1]) & (n[:-1] * 100 >= n[1:] * percent)
+    first = np.flatnonzero(np.r_[True, ~near])
+    last = np.r_[first[1:], len(n)] - 1
+    pairs = np.stack([ids[:-1][near], ids[1:][near]], 1)
+    return np.unique(pairs, axis=0) if len(pairs) else pairs, np.stack([token[first], ids[first], n[first], n[last]], 1)
+
 
-    return docs.select("text").mapInArrow(run, "token long, class long, n int")
+def _postings(rows: DataFrame, reps: Facts, size: int, percent: int, order) -> DataFrame:
+    """(token, class, low, high, other): chains of a task's own classes, and, with ``low`` -1, pairs of a class and another."""
+    names = ["token", "class", "low", "high", "other"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hash_, tokens, ids, sizes, held = WordHash(), [], [], [], 0
+
+        def out() -> pa.RecordBatch:
+            lengths = [len(t) for t in tokens]
+            pairs, found = chains(np.concatenate(tokens).view(np.int64), np.repeat(np.array(ids, np.int64), lengths), np.repeat(np.array(sizes, np.int64), lengths), percent)
+            minus = np.full(len(pairs), -1, np.int64)
+            cols = [np.r_[pairs[:, 0], found[:, 0]], np.r_[pairs[:, 0], found[:, 1]], np.r_[minus, found[:, 2]], np.r_[minus, found[:, 3]], np.r_[pairs[:, 1], found[:, 1]]]
+            for x in (tokens, ids, sizes):
+                x.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names)
+
+        for batch, numbers, known in reps.beside(batches, 0):
+            mine = np.isin(numbers, known.column(0).to_numpy())
+            for row, t in zip(numbers[mine].tolist(), batch.column(1).filter(pa.array(mine)).to_pylist()):
+                s = shingle_set(t, size, hash_)
+                tokens.append(prefix(s, order.value, percent)), ids.append(row), sizes.append(len(s))
+                held += len(tokens[-1])
+                if held >= _FLUSH:
+                    yield out()
+                    held = 0
+        if tokens:
+            yield out()
+
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
 def _neighbours(postings: DataFrame, percent: int) -> DataFrame:
-    """Edges between entries side by side in an index list whose sizes allow a link. Sets that may be linked are joined by such
-    edges: all sizes between theirs allow links too. Streams over sorted lists; nothing of a list is held."""
+    """Edges that join the classes of each index list as far as sizes side by side allow links. Streams over sorted lists of
+    chains; nothing of a list is held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
         for batch in batches:
-            token, ids, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2))
+            token, ids, low, high, other = (batch.column(i).to_numpy() for i in range(5))
+            is_pair = low < 0
+            a, b = [ids[is_pair]], [other[is_pair]]
+            token, ids, low, high = (x[~is_pair] for x in (token, ids, low, high))
             if last is not None:
-                token, ids, n = np.r_[last[0], token], np.r_[last[1], ids], np.r_[last[2], n]
+                token, ids, low, high = (np.r_[x, y] for x, y in zip(last, (token, ids, low, high)))
             if len(token):
-                last = token[-1:], ids[-1:], n[-1:]
-                hit = (token[1:] == token[:-1]) & (ids[1:] != ids[:-1]) & (n[:-1].astype(np.int64) * 100 >= n[1:].astype(np.int64) * percent)
-                a, b = ids[:-1][hit], ids[1:][hit]
-                pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+                same = token[1:] == token[:-1]
+                far = np.cumsum(np.r_[0, ~same]) << 40  # the largest size so far in a list
+                most = np.maximum.accumulate(high + far) - far
+                near = same & (most[:-1] * 100 >= low[1:] * percent) & (ids[:-1] != ids[1:])
+                a.append(ids[:-1][near]), b.append(ids[1:][near])
+                last = token[-1:], ids[-1:], low[-1:], most[-1:]
+            a, b = np.concatenate(a), np.concatenate(b)
+            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     n = partitions(postings.sparkSession)
-    lists = postings.repartition(n, "token").sortWithinPartitions("token", "n", "class")
+    lists = postings.repartition(n, "token").sortWithinPartitions("token", "low")
     return lists.mapInArrow(run, "a long, b long").groupBy("a", "b").agg(F.lit(1).alias("one")).select("a", "b")
 
 
-def _units(groups: DataFrame, sizes: DataFrame, percent: int, scratch: Scratch, weight, limit: int) -> DataFrame:
+def _units(groups: DataFrame, sizes: DataFrame, percent: int, scratch: Scratch, weight, bounds: tuple[int, int]) -> DataFrame:
     """(class, root, b1, b2, side): the units of work a class belongs to. A unit is a block of a group, or a pair of its blocks."""
     rows = groups.join(sizes, groups.node == sizes["class"]).select("class", "n", "root", weight.cast("long").alias("w"))
     rows = exclusive_sum(rows, ["root", "n", "class"], "w", "before")  # over all groups, so that a large one is not in one task
-    begin = scratch.save(rows.groupBy("root").agg(F.min("before").alias("begin")), "begin")
-    blocks = rows.join(begin, "root").select("class", "n", "root", F.floor((F.col("before") - F.col("begin")) / limit).alias("block"))
+    limit = F.least(F.greatest(F.ceil(F.sum("w") / SPLIT), F.lit(bounds[0])), F.lit(bounds[1])).alias("limit")
+    begin = scratch.save(rows.groupBy("root").agg(F.min("before").alias("begin"), limit), "begin")
+    blocks = rows.join(begin, "root").select("class", "n", "root", F.floor((F.col("before") - F.col("begin")) / F.col("limit")).alias("block"))
     blocks = scratch.save(blocks, "blocks")
     spans = blocks.groupBy("root", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     other = spans.withColumnsRenamed({"block": "right", "low": "low2", "high": "high2"})
@@ -187,25 +228,20 @@ def _units(groups: DataFrame, sizes: DataFrame, percent: int, scratch: Scratch,
     return alone.unionByName(left).unionByName(right)
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(class, shingles) of the wanted classes, from the texts with a wanted hash: a filter of bounded size spares most others the
-    work, and a join the rest."""
-    sent = docs.sparkSession.sparkContext.broadcast(hash_filter(wanted, "th"))
+def _sets(rows: DataFrame, wanted: Facts, size: int) -> DataFrame:
+    """(class, shingles, size) of the wanted classes, each from the text that names it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hash_ = WordHash()
-        for batch in batches:
-            batch = batch.filter(pa.array(held_by(sent.value, batch.column(0))))
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                ids, sets = [], []
-                for t in part.column(1).to_pylist():
-                    s = shingle_set(t, size, hash_)
-                    ids.append(class_id(s)[0] if len(s) else None), sets.append(s.tobytes())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["th", "class", "shingles"])
+        for batch, numbers, known in wanted.beside(batches, 0):
+            count = dict(zip(known.column("row").to_pylist(), known.column("size").to_pylist()))
+            mine = np.isin(numbers, list(count))
+            part, ids = batch.filter(pa.array(mine)), numbers[mine].tolist()
+            for at in range(0, len(ids), 500):
+                sets = [shingle_set(t, size, hash_).tobytes() for t in part.column(1).slice(at, 500).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + 500], pa.int64()), pa.array(sets, pa.binary()), pa.array([count[i] for i in ids[at : at + 500]], pa.int64())], names=["class", "data", "size"])
 
-    found = docs.select(F.xxhash64("text").alias("th"), "text").mapInArrow(run, "th long, class long, shingles binary")
-    return found.join(wanted, ["class", "th"]).dropDuplicates(["class"]).select("class", "shingles", "size")
+    return rows.mapInArrow(run, "class long, data binary, size long")
 
 
 class Rough:
@@ -356,48 +392,56 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Sets of distinct ``size``-word shingles (the whole sequence, if it is shorter) are linked if 100 * shared >= percent * union.
     ``component_id`` is the smallest id reached by links, ``n_links`` the number of other documents linked directly, ``class`` a number
-    that equal sets share. Null and empty texts and texts without words have no shingles and no links; rows with equal ids are rows of
-    their own; null ids are linked as any and never are the smallest.
+    that equal sets share. Null and empty texts and texts without words have no shingles and no links; long texts are read whole; rows with
+    equal ids are rows of their own; null ids are linked as any and never are the smallest. Other columns, whatever they are called, aren't
+    read; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "jaccard")
-    docs = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
-    described = scratch.save(_describe(docs, size), "sets")
-    sets = described.where(F.col("segment").isNull())
-    classes = sets.where("n > 0").groupBy("class").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("size"), F.min("n").alias("n"), F.min("th").alias("th"), F.min("digest").alias("d1"), F.max("digest").alias("d2"))
+    numbered = Numbered(docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text")), Scratch(docs.sparkSession, "jaccard"))
+    return _joined(numbered, "doc", "text", size, percent).withColumnRenamed("doc", id_col).drop("row", "component")
+
+
+def _joined(numbered: Numbered, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
+    """What ``jaccard_join`` returns, with the id called ``doc``, and the numbers of the row and of its component."""
+    spark, scratch = numbered.rows.sparkSession, numbered.scratch
+    rows = numbered.rows.select(F.col(numbered.row).alias("row"), F.col(text_col).cast("string").alias("text"))
+    ids = numbered.rows.select(F.col(numbered.row).alias("row"), F.col(id_col).alias("doc"))
+    described = scratch.save(_describe(rows, size), "sets")
+    sets = scratch.save(described.where(F.col("segment").isNull()).select("row", "n", "digest").join(ids, "row"), "ids")
+    classes = sets.where("n > 0").groupBy("digest").agg(F.min("row").alias("class"), F.min("doc").alias("first"), F.count(F.lit(1)).alias("size"), F.min("n").alias("n"))
     classes = scratch.save(classes, "classes")
-    if not classes.where("d1 <> d2").isEmpty():
-        raise RuntimeError("two sets have one 64-bit id; use another hash")
     order = spark.sparkContext.broadcast(_sketch(described.where(F.col("segment").isNotNull()).select("segment", "counts")))
     sizes = classes.select("class", "n")
 
-    near = _neighbours(_postings(docs, size, percent, order), percent)
+    reps = numbered.facts(classes.select(F.col("class").alias("row")), F.shiftright("row", BLOCK_ROWS))
+    near = _neighbours(_postings(rows, reps, size, percent, order), percent)
     groups = scratch.save(components(near, scratch), "groups")
     weight = F.when(F.col("n") <= SIGNATURES[0][1], SIGNATURES[0][0] // 8).when(F.col("n") <= SIGNATURES[1][1], SIGNATURES[1][0] // 8).otherwise(SIGNATURES[2][0] // 8)
     units = _units(groups, sizes, percent, scratch, weight, BLOCK_SIGNATURES)
-    marks = sets.select("class", "n", "signature").join(groups.select(F.col("node").alias("class")), "class").dropDuplicates(["class"])
-    marks = scratch.save(marks.select("class", F.col("n").alias("size"), F.col("signature").alias("data")), "marks")
+    marks = described.join(groups.select(F.col("node").alias("row")), "row").select(F.col("row").alias("class"), F.col("n").alias("size"), F.col("signature").alias("data"))
+    marks = scratch.save(marks, "marks")
     groups = scratch.save(components(_solve(units.join(marks, "class"), percent, rough=True).select("a", "b"), scratch), "groups")
 
     units = _units(groups, sizes, percent, scratch, F.col("n"), BLOCK_SHINGLES)
-    wanted = scratch.save(groups.join(classes, groups.node == classes["class"]).select("class", "th", "size"), "wanted")
-    held = scratch.save(_sets(docs, wanted, size).withColumnRenamed("shingles", "data"), "held")
+    wanted = groups.join(classes, groups.node == classes["class"]).select(F.col("class").alias("row"), "size")
+    held = scratch.save(_sets(rows, numbered.facts(wanted, F.shiftright("row", BLOCK_ROWS)), size), "held")
     found = scratch.save(_solve(units.join(held, "class"), percent), "links")
-    scratch.drop(marks, wanted, held)
+    scratch.drop(marks, held, described)
     joined = scratch.save(components(found.where(F.col("b").isNotNull()).select("a", "b"), scratch), "joined")
     links = found.where(F.col("links").isNotNull()).groupBy("a").agg(F.sum("links").alias("links"))
 
     known = classes.join(joined, classes["class"] == joined.node, "left").join(links, F.col("class") == F.col("a"), "left")
-    known = scratch.save(known.select("class", "first", "size", "root", F.coalesce("links", F.lit(0)).alias("links")).where("root is not null or size > 1"), "known")
+    known = scratch.save(known.select("digest", "class", "first", "size", "root", F.coalesce("links", F.lit(0)).alias("links")).where("root is not null or size > 1"), "known")
     least = known.where("root is not null").groupBy("root").agg(F.min("first").alias("least"))
-    known = scratch.save(known.join(least, "root", "left").select("class", F.coalesce("least", "first").alias("component"), F.lit(True).alias("linked"), (F.col("links") + F.col("size") - 1).alias("links")), "known")
-    return sets.select("doc", "n", "class").join(known, "class", "left").select(
-        F.col("doc").alias(id_col),
+    known = scratch.save(known.join(least, "root", "left").select("digest", "class", F.coalesce("least", "first").alias("first"), F.coalesce("root", "class").alias("component"), F.lit(True).alias("linked"), (F.col("links") + F.col("size") - 1).alias("links")), "known")
+    return sets.join(known, "digest", "left").select(
+        "doc",
         F.col("n").alias("n_shingles"),
-        F.when(F.col("linked"), F.col("component")).otherwise(F.col("doc")).alias("component_id"),
+        F.when(F.col("linked"), F.col("first")).otherwise(F.col("doc")).alias("component_id"),
         F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
-        "class",
+        F.coalesce("class", "row").alias("class"),
         F.coalesce("linked", F.lit(False)).alias("linked"),
+        "row",
+        "component",
     )
 
 
@@ -407,8 +451,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     and numbered, and the result is a map over them; an empty table gives an empty table."""
     scratch = Scratch(docs.sparkSession, "keep")
     rows = Numbered(docs, scratch)
-    found = jaccard_join(rows.rows, rows.row, text_col, size, percent).where("linked").select(F.col(rows.row).alias("row"), "component_id")
-    found = scratch.save(found.join(rows.rows.select(F.col(rows.row).alias("row"), F.col(id_col).alias("id")), "row"))
-    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best")
-    best = scratch.save(found.groupBy("component_id").agg(best))
-    return rows.without(found.join(best, "component_id").where(F.col("best.row") != F.col("row")).select("row"))
+    found = scratch.save(_joined(rows, id_col, text_col, size, percent).where("linked").select("row", "doc", "component"))
+    best = F.min(F.struct(F.col("doc").isNull().alias("none"), F.col("doc").alias("id"), "row")).alias("best")
+    best = scratch.save(found.groupBy("component").agg(best))
+    return rows.without(found.join(best, "component").where(F.col("best.row") != F.col("row")).select("row"))

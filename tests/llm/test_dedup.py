@@ -177,8 +177,8 @@ def near_rows(seed, n=90):
 @pytest.mark.parametrize("size,percent,small", [(4, 85, False), (5, 80, True)])
 def test_jaccard(spark, odd_docs, no_docs, monkeypatch, size, percent, small):
     if small:  # many blocks a group
-        monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 400)
-        monkeypatch.setattr(jaccard, "BLOCK_SIGNATURES", 1000)
+        monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", (100, 400))
+        monkeypatch.setattr(jaccard, "BLOCK_SIGNATURES", (300, 1000))
         rows = near_rows(size)
         docs = spark.createDataFrame(rows, "doc_id long, text string")
     else:
@@ -259,3 +259,53 @@ def test_lists_are_read_in_bounds(monkeypatch):
     high = np.searchsorted(unit.sizes, unit.sizes * 100 // 80, "right")
     assert all(0 < low < end <= high[high[low - 1] - 1] for low, end in calls)
     assert sum(end - low for low, end in calls) < len(calls) * len(sets) / 2
+
+
+def test_chains_join_what_may_be_linked():
+    """Chains made a part at a time, and chained again, connect the same classes as whole lists."""
+    r = random.Random(11)
+    entries = [(r.randrange(6), k, r.choice((10, 11, 12, 14, 20, 21, 30))) for k in range(80)]
+
+    def groups(pairs):
+        parent = list(range(80))
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in pairs:
+            parent[find(a)] = find(b)
+        return sorted(tuple(sorted(k for k in range(80) if find(k) == x)) for x in {find(k) for k in range(80)})
+
+    whole, part = [], []
+    for t in range(6):
+        row = sorted((n, k) for x, k, n in entries if x == t)
+        whole += [(a[1], b[1]) for a, b in zip(row, row[1:]) if 100 * a[0] >= 80 * b[0]]
+    kept = []
+    for at in range(0, 80, 17):
+        pairs, found = jaccard.chains(*(np.array([e[i] for e in entries[at : at + 17]]) for i in range(3)), 80)
+        part += pairs.tolist()
+        kept += found.tolist()
+    assert len(kept) < 80
+    most = {}
+    for t, k, low, high in sorted(kept, key=lambda x: (x[0], x[2])):
+        if t in most and most[t][0] * 100 >= low * 80:
+            part.append((most[t][1], k))
+            high = max(high, most[t][0])
+        most[t] = high, k
+    assert groups(part) == groups(whole)
+
+
+def test_frequent_shingles_are_few_rows(spark):
+    """Classes that share a prefix shingle are sent as one chain a task."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{k}" for k in range(40)) + f" x{i}") for i in range(400)], "doc_id long, text string").repartition(4)
+    numbered = jaccard.Numbered(docs, Scratch(spark, "t"))
+    rows = numbered.rows.selectExpr(f"{numbered.row} as row", "text")
+    reps = numbered.facts(rows.select("row"), jaccard.F.shiftright("row", jaccard.BLOCK_ROWS))
+    order = spark.sparkContext.broadcast(np.zeros(jaccard.COUNTERS, np.uint8))
+    sent = jaccard._postings(rows, reps, 4, 80, order)
+    lists = sent.where("low >= 0")
+    assert lists.count() < 4 * 40 + 400 and sent.where("low < 0").count() <= 2 * 400
+    got = components.components(jaccard._neighbours(sent, 80), Scratch(spark, "t")).collect()
+    assert len(got) == 400 and len({x.root for x in got}) == 1
