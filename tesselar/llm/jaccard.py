@@ -384,7 +384,9 @@ def _solve(rows: DataFrame, percent: int, rough: bool = False) -> DataFrame:
             yield out
 
     n = partitions(rows.sparkSession)
-    return rows.repartition(n, "root", "b1", "b2").sortWithinPartitions("root", "b1", "b2", "class").mapInArrow(run, schema)
+    # the units of a group, in order, are dealt to all partitions in turn
+    turn = F.pmod(F.xxhash64("root") + (F.col("b2") * (F.col("b2") + 1) / 2).cast("long") + F.col("b1"), F.lit(n)).cast("int")
+    return rows.repartitionById(n, turn).sortWithinPartitions("root", "b1", "b2", "class").mapInArrow(run, schema)
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
