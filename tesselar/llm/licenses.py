@@ -1,10 +1,13 @@
 """License scans by conditional compression.
 
-A cue of a license notice may be any of its words. The block searched for a template is therefore the cue's paragraph as far as the
-template, with all differences allowed, can reach to both sides, whatever lines and comment signs it is wrapped in. The candidate
-is the part of it that reads most like the template: the fewest words to insert, delete or replace, with the cue in it. It is
-compressed alone and with the template as zstandard raw dictionary, and confirmed if it has few differences and gets enough
-smaller. All templates are tried; a stretch of words goes to the one with the smallest share of differences.
+A cue of a license notice may be any of its words. The block searched for a template is therefore the cue's paragraph (for templates of
+several paragraphs the whole text) as far as the template, with all differences allowed, can reach to both sides, whatever lines and
+comment signs it is wrapped in. The candidate is the part of it that reads most like the template: the fewest words to insert, delete or
+replace, with the cue in it. It is compressed alone and with the template as zstandard raw dictionary, and confirmed if it has few
+differences, none of them in words that tell licenses apart (names, versions, "lesser", "endorse"), and gets enough smaller. All templates
+are tried; a stretch of words goes to the one that explains most of it.
+
+Notices, and not the whole text, stand for the long licenses (GNU, Apache, MPL, EPL, Creative Commons), and so does the permission for MIT.
 """
 
 from __future__ import annotations
@@ -20,6 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+_GNU = "under the terms of the GNU {kind}General Public License as published by the Free Software Foundation{sep} either version {v} of the License, or (at your option) any later version."
+_ONLY = "you can redistribute it and/or modify it under the terms of the GNU {kind}General Public License version {v} as published by the Free Software Foundation."
+_CONDITIONS = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+_CLAUSES = " 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_NAMES = " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_AS_IS = " THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."
+_APACHE = "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at"
+_UNLESS = " http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."
+
 #: The usual wording of public license notices.
 TEMPLATES = {
     "MIT": [
@@ -27,23 +39,46 @@ TEMPLATES = {
         "Licensed under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
     ],
-    "Apache-2.0": [
-        "Licensed under the Apache License, Version 2.0.",
-        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
+    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", _APACHE, _APACHE + _UNLESS],
+    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3."],
+    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2."],
+    "ISC": [
+        "Licensed under the ISC License.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     ],
-    "GPL-3.0": [
-        "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "0BSD": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."],
+    "BSD": [_CONDITIONS, "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."],
+    "BSD-2-Clause": ["Licensed under the BSD 2-Clause License.", _CONDITIONS + _CLAUSES + _AS_IS],
+    "BSD-3-Clause": ["Licensed under the BSD 3-Clause License.", _CONDITIONS + _CLAUSES + _NAMES + _AS_IS],
+    "Zlib": [
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
     ],
-    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2."],
-    "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
-    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
-    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
-    "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
+    "Unlicense": [
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    ],
+    "CC0-1.0": ["Licensed under CC0 1.0.", "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide."],
+    "MPL-2.0": [
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at",
+    ],
+    "EPL-2.0": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at"],
     "Proprietary": ["All rights reserved."],
 }
-CUES = ("licens", "licenc", "rights reserved", "creative commons", "permission is hereby", "redistribution and use", "free software")
+for _name, _kind, _v, _what in (("GPL-2.0", "", "2", "program"), ("GPL-3.0", "", "3", "program"), ("AGPL-3.0", "Affero ", "3", "program"), ("LGPL-2.1", "Lesser ", "2.1", "library"), ("LGPL-3.0", "Lesser ", "3", "library")):
+    TEMPLATES[f"{_name}-or-later"] = [f"This {_what} is free software: you can redistribute it and/or modify it {_GNU.format(kind=_kind, sep=',', v=_v)}"]
+    TEMPLATES[f"{_name}-only"] = [f"This {_what} is free software; {_ONLY.format(kind=_kind, v=_v)}"]
+for _code, _long in (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives")):
+    TEMPLATES[f"CC-{_code}-4.0"] = [f"Licensed under CC {_code} 4.0.", f"This work is licensed under a Creative Commons {_long} 4.0 International License."]
+for _name in TEMPLATES:
+    if _name not in ("BSD", "Proprietary"):
+        TEMPLATES[_name] = [*TEMPLATES[_name], f"SPDX-License-Identifier: {_name}"]
+
+CUES = ("licens", "licenc", "rights reserved", "creative commons", "permission is hereby", "permission to use", "permission is granted", "redistribution and use", "free software", "public domain")
+#: Words that tell licenses apart, as are versions: a part in which they are others than the template's is another license.
+DECIDING = frozenset("mit apache gnu lesser affero isc bsd bsd-style mozilla eclipse unencumbered later endorse 2-clause 3-clause cc0 attribution".split()) | {f"by{x}" for x in ("", "-sa", "-nc", "-nd", "-nc-sa", "-nc-nd")}
+#: Templates of more words than this may have several paragraphs.
+_LONG = 60
+_VERSION = re.compile(r"v?(\d+(?:\.\d+)+)$")
 #: A winner needs this share of size saved; confirmed blocks differ in at most this share of the template's words.
 LEAST_SAVED, MOST_DIFFERENT = 0.25, 0.2
 LEVEL = 19
@@ -65,20 +100,34 @@ def words(text: str) -> list[str]:
     return _tokens(text.lower())[0]
 
 
+def _costs(template: np.ndarray, block: np.ndarray, cost: np.ndarray) -> np.ndarray:
+    """Last row of the edit table of two texts, whose first row is ``cost``."""
+    steps = np.arange(len(block) + 1)
+    for w in template:
+        new = cost + 1
+        new[1:] = np.minimum(new[1:], cost[:-1] + (block != w))
+        cost = np.minimum.accumulate(new - steps) + steps  # words inserted after a cheaper place
+    return cost
+
+
 def difference(template: list[str], block: list[str]) -> tuple[int, int, int]:
-    """Fewest word edits between the template and any part of the block, and that part's first word and end."""
-    n = len(block)
-    cost, start = np.zeros(n + 1, np.int64), np.arange(n + 1)
-    cost, start = cost.tolist(), start.tolist()
-    for i, w in enumerate(template):
-        new, begin = [i + 1], [0]
-        for j, b in enumerate(block):
-            options = ((cost[j] + (w != b), start[j]), (cost[j + 1] + 1, start[j + 1]), (new[j] + 1, begin[j]))
-            c, s = min(options, key=lambda o: (o[0], -o[1]))
-            new.append(c), begin.append(s)
-        cost, start = new, begin
-    end = min(range(n + 1), key=lambda j: (cost[j], j))
-    return cost[end], start[end], end
+    """Fewest word edits between the template and any part of the block, and that part's first word and end (of equal ones the
+    first to end, and then the shortest)."""
+    number: dict[str, int] = {}
+    t = np.array([number.setdefault(w, len(number)) for w in template], np.int64)
+    b = np.array([number.setdefault(w, len(number)) for w in block], np.int64)
+    cost = _costs(t, b, np.zeros(len(b) + 1, np.int64))
+    end = int(np.argmin(cost))
+    back = _costs(t[::-1], b[:end][::-1], np.arange(end + 1))
+    return int(cost[end]), end - int(np.argmin(back)), end
+
+
+def deciding(tokens: list[str] | tuple[str, ...]) -> Counter:
+    """The words that tell licenses apart, with versions without "v" and trailing zeros."""
+    out = Counter(w for w in tokens if w in DECIDING)
+    out.update(m.group(1).removesuffix(".0") for w in tokens if (m := _VERSION.match(w)))
+    out.update(w for before, w in zip(tokens, tokens[1:]) if before in ("version", "v") and w.isdigit())
+    return out
 
 
 def lower(text: str) -> str:
@@ -110,12 +159,12 @@ class Scanner:
                 known = words(t)
                 d = zstandard.ZstdCompressionDict(" ".join(known).encode().ljust(8), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                 d.precompute_compress(level=LEVEL)
-                self.known.append((name, known, Counter(known), int(MOST_DIFFERENT * len(known)), zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_dict_id=False).compress))
+                self.known.append((name, known, Counter(known), int(MOST_DIFFERENT * len(known)), deciding(known), zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_dict_id=False).compress))
         self.cache: dict[tuple, tuple | None] = {}
 
     def block(self, k: int, tokens: tuple[str, ...], cue: int) -> tuple[float, int, int, int] | None:
         """(saved, differences, first word, end) of the best reading of template ``k`` that has word ``cue`` of the block in it."""
-        _, template, bag, most, compress = self.known[k]
+        _, template, bag, most, decide, compress = self.known[k]
         if sum((bag & Counter(tokens)).values()) < len(template) - most:  # each of its words that is not there is a difference
             return None
         if (k, tokens, cue) in self.cache:
@@ -129,7 +178,7 @@ class Scanner:
             if a <= cue < b:
                 data = " ".join(tokens[a:b]).encode("utf-8", "surrogatepass")
                 saved = 1 - len(compress(data)) / len(self.alone(data))
-                found = (saved, edits, a, b) if saved >= LEAST_SAVED else None
+                found = (saved, edits, a, b) if saved >= LEAST_SAVED and deciding(tokens[a:b]) == decide else None
                 break
             low, high = (low, a) if a > cue else (max(b, low + 1), high)  # another notice, which has its own cue
         if len(self.cache) > 20_000:
@@ -147,15 +196,16 @@ class Scanner:
         tokens, starts, ends = _tokens(low)
         found = set()
         for cue, begin, end in candidates(low, starts):
-            for k, (name, template, _, most, _) in enumerate(self.known):
+            for k, (name, template, _, most, _, _) in enumerate(self.known):
                 reach = len(template) + most
-                a, b = max(begin, cue - reach), min(end, cue + reach + 1)
+                first, last = (0, len(tokens)) if len(template) > _LONG else (begin, end)
+                a, b = max(first, cue - reach), min(last, cue + reach + 1)
                 got = self.block(k, tuple(tokens[a:b]), cue - a)
                 if got:
                     found.add((name, len(template), *got[:2], got[2] + a, got[3] + a))
         out, taken = [], set()
-        for name, n, saved, edits, a, b in sorted(found, key=lambda x: (x[3] / x[1], -x[1], -x[2], x[0], x[4])):
-            if taken.isdisjoint(range(a, b)):  # one license a stretch of words
+        for name, n, saved, edits, a, b in sorted(found, key=lambda x: (x[3] - x[1], x[3], -x[2], x[0], x[4])):
+            if taken.isdisjoint(range(a, b)):  # one license a stretch of words: that with most words as they should be
                 out.append((name, starts[a], ends[b - 1], saved, edits, n))
                 taken.update(range(a, b))
         return sorted(out, key=lambda x: x[1])
@@ -165,7 +215,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     """One row a confirmed notice: id, license, start, end, saved, n_different, n_template_words.
 
     Documents without a notice have no row; null and empty texts have none. A map without a shuffle over whole texts; rows with
-    equal or null ids each give their own rows, other columns are not read.
+    equal or null ids each give their own rows, other columns, whatever they are called, are not read; an empty table gives no row. Of
+    templates that explain as many words of a stretch the one with fewer differences wins, then the larger saving, then the name.
     """
     schema = T.StructType([docs.schema[id_col], *T.StructType.fromDDL("license string, start int, end int, saved double, n_different int, n_template_words int")])
     kinds = [pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.int32()]
