@@ -19,6 +19,9 @@ from pyspark.sql import types as T
 DICT_BYTES = 32_768
 OPINIONS = 2
 SAMPLE_ROWS = 160
+#: Characters of a sampled text that may enter a dictionary.
+SAMPLE_CHARS = 4 * DICT_BYTES
+_SALTS = 64
 #: Bytes compressed at a time: small against the dictionary, so that long texts don't become their own dictionary.
 CHUNK = 4096
 LEVEL = 6
@@ -37,22 +40,23 @@ def clean(text: str) -> str:
 def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> dict[str, list[bytes]]:
     """Language -> contents of its dictionaries, from labelled rows chosen by a hash of the id.
 
-    Reads ids and labels first and texts only of the chosen rows, so what reaches the driver is bounded by the number of
-    languages. Copies count once.
+    Reads ids and labels first and then texts of the chosen ids only: SAMPLE_ROWS a language at most, and of each SAMPLE_CHARS characters,
+    so what reaches the driver is bounded by the number of languages. Rows with the same id and label count as one, with the
+    largest of their texts; null ids are one id. Copies count once. An empty table, or one without labels, gives an empty result.
     """
-    keys = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(lang_col).cast("string").alias("l"))
-    order = F.struct(F.xxhash64(F.col("i").cast("string")).alias("h"), "i")
-    salted = keys.withColumn("s", F.pmod(F.xxhash64(F.col("i").cast("string")), F.lit(64)))
-    per = -(-SAMPLE_ROWS // 64) * 4
-    ranked = salted.withColumn("r", F.row_number().over(Window.partitionBy("l", "s").orderBy(order))).where(F.col("r") <= per)
+    ident = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(ident.alias("i"), F.col(lang_col).cast("string").alias("l"), F.col(text_col).cast("string").alias("t"))
+    order = F.struct(F.xxhash64("i").alias("h"), "i")
+    keys = rows.select("i", "l").distinct().withColumn("s", F.pmod(F.xxhash64("i", F.lit(1)), F.lit(_SALTS)))
+    per = -(-SAMPLE_ROWS // _SALTS) * 4
+    ranked = keys.withColumn("r", F.row_number().over(Window.partitionBy("l", "s").orderBy(order))).where(F.col("r") <= per)
     top = ranked.withColumn("q", F.row_number().over(Window.partitionBy("l").orderBy("r", "s", order))).where(F.col("q") <= SAMPLE_ROWS)
-    chosen = top.select("l", "i").collect()
-    ids = [r.i for r in chosen if r.i is not None]
-    if not chosen:
+    ids = sorted({r.i for r in top.select("i").collect()})
+    if not ids:
         return {}
-    texts = docs.where(F.col(id_col).isin(ids)).select(F.col(lang_col).cast("string").alias("l"), F.substring(F.col(text_col), 1, 4 * DICT_BYTES).alias("t")).collect() if ids else []
+    texts = rows.where(F.col("i").isin(ids)).groupBy("l", "i").agg(F.substring(F.max("t"), 1, SAMPLE_CHARS).alias("t")).collect()
     by: dict[str, dict[str, None]] = {}
-    for r in sorted((r for r in texts if r.l is not None and r.t), key=lambda r: (r.l, -min(len(r.t), 1500), r.t)):
+    for r in sorted((r for r in texts if r.t), key=lambda r: (r.l, -min(len(r.t), 1500), r.t)):
         by.setdefault(r.l, {})[clean(r.t)] = None
     out = {}
     for lang, found in by.items():
@@ -104,7 +108,9 @@ class Classifier:
 def identify(docs: DataFrame, contents: dict[str, list[bytes]], id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, min_margin: float = MIN_MARGIN) -> DataFrame:
     """(id, ``keep`` columns, lang_pred, score, rejected) of whole texts; a map without a shuffle.
 
-    Null texts and texts without a letter are ``und`` with score 0; ties go to the first language by name and are rejected.
+    Null texts and texts without a letter are ``und`` with score 0; ties go to the first language by name and are rejected. Long texts
+    are compressed whole. Each row is judged by its text alone, so repeated rows get the same; an empty table gives an empty result.
+    Columns in ``keep`` must not be called as those added; all others, whatever they are called, are not read.
     """
     sent = docs.sparkSession.sparkContext.broadcast(contents)  # languages x OPINIONS x DICT_BYTES at most
     keep = [c for c in keep or [] if c != id_col]
@@ -126,7 +132,9 @@ def identify(docs: DataFrame, contents: dict[str, list[bytes]], id_col: str = "d
 
 
 def keep_known(docs: DataFrame, contents: dict[str, list[bytes]], text_col: str = "text", min_margin: float = MIN_MARGIN) -> DataFrame:
-    """The rows whose language is not rejected, all columns as they were; a map without a shuffle."""
+    """The rows whose language is not rejected, all columns as they were, whatever they are called; a map without a shuffle.
+
+    Null and empty texts, texts without a letter and ties are rejected; long texts are read whole; repeated rows are treated alike."""
     sent = docs.sparkSession.sparkContext.broadcast(contents)
     at = docs.columns.index(text_col)
 
