@@ -225,11 +225,10 @@ def train(texts: DataFrame, scratch: Scratch) -> Words:
     ends = texts.count()
     sums = counts.agg(F.sum("c"), F.count(F.lit(1))).first()
     total, types = (sums[0] or 0) + ends, sums[1] + (ends > 0)
-    # the least count of a head word, from the counts of counts (their number grows with the root of the input)
+    # the least count of a head word, from the numbers of words by count, in steps of an eighth: at most 8 * 63 rows
+    step = F.floor(F.log2(F.col("c").cast("double")) * 8).cast("int")
     least, room, more = 1 << 62, HEAD, None
-    for r in sorted(counts.groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r.c):
-        if r.c < LEAST_HEAD:
-            break
+    for r in counts.where(F.col("c") >= LEAST_HEAD).groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("c")).orderBy(F.desc("s")).collect():
         if room < r.n:
             more = r.c
             break
@@ -238,9 +237,9 @@ def train(texts: DataFrame, scratch: Scratch) -> Words:
     top = sorted(((bytes(r.word), r.c) for r in counts.where(F.col("c") >= least).collect()), key=lambda r: (-r[1], r[0]))
     others = F.col("c") < least
     short = min(CORE, HEAD) - len(top)
-    if more and short > 0:  # a level of equal counts that does not fit fills up the core
-        top += [(bytes(r.word), r.c) for r in counts.where(F.col("c") == more).orderBy("word").limit(short).collect()]
-        others = (F.col("c") < more) | ((F.col("c") == more) & (F.col("word") > F.lit(top[-1][0])))
+    if more and short > 0:  # a step that does not fit fills up the core
+        top += [(bytes(r.word), r.c) for r in counts.where((F.col("c") >= more) & (F.col("c") < least)).orderBy(F.desc("c"), "word").limit(short).collect()]
+        others = (F.col("c") < top[-1][1]) | ((F.col("c") == top[-1][1]) & (F.col("word") > F.lit(top[-1][0])))
     head = {w: i for i, (w, _) in enumerate(top)}
     n_head = len(top)
     n_of = np.array([c for _, c in top], float)
@@ -323,8 +322,9 @@ def sequence(words: list[bytes], head: dict[bytes, int], of: np.ndarray, tails:
 def score(docs: DataFrame, train_col: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: id, the training flag, n_tokens, n_known, train_tokens, base_score, score (log10).
 
-    Null and empty texts are one end. Without training rows nothing is known; then both scores come from the smoothing alone.
-    Rows with equal or null ids each have their own row.
+    Null and empty texts are one end; long texts are scored whole. Without training rows nothing is known; then both scores come from
+    the smoothing alone. A null flag is no training. Rows with equal or null ids each have their own row; an empty table gives none.
+    Other columns, whatever they are called, are not read. Ties between classes go to the lowest.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm")
