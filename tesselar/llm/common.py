@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+#: Roots of scratch tables that were not swept.
+_MADE: list[str] = []
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 FOLD = str.maketrans(UPPER, LOWER)
@@ -50,6 +52,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+        _MADE.append(self.root)
         self.n = 0
         small_batches(spark)
 
@@ -72,6 +75,17 @@ class Scratch:
                 delete(self.spark, path)
 
 
+def sweep(spark: SparkSession, since: int = 0, keep: str | None = None) -> None:
+    """Removes the scratch folders made after the first ``since`` ones, whose tables nothing will read again, but for ``keep``."""
+    for root in [r for r in _MADE[since:] if r != keep]:
+        delete(spark, root)
+        _MADE.remove(root)
+
+
+def made() -> int:
+    return len(_MADE)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

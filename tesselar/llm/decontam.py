@@ -205,8 +205,9 @@ def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text"
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """One row a verified overlap: id, item_id, start, item_start (in words), n_words, n_equal.
 
-    Documents without an overlap have no row. Whole texts are searched; null and empty texts have no words. Rows with equal or
-    null ids each give their own rows; other columns are not read.
+    Documents without an overlap have no row. Whole texts are searched; null and empty texts have no words, null and empty tests are
+    none. Rows with equal or null ids each give their own rows, equal tests each theirs; of equally long runs along an alignment the first
+    counts. Other columns, whatever they are called, are not read; an empty table on either side gives no row.
     """
     spark = docs.sparkSession
     rows = docs.select(id_col, F.col(text_col).cast("string").alias("text"))
@@ -236,7 +237,8 @@ def _overlap_rows(sent, schema: T.StructType):
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id") -> DataFrame:
-    """The documents without a verified overlap with any test, all columns as they were; a map without a shuffle."""
+    """The documents without a verified overlap with any test, all columns as they were, whatever they are called; a map without a
+    shuffle. Null and empty texts stay; whole texts are searched; repeated rows are treated alike; without tests all rows stay."""
     schema = docs.schema
     at = docs.columns.index(text_col)
     out = docs
