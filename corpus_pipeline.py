@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesselar.llm import bpe, decontam, exact_dedup, jaccard, langid
-from tesselar.llm.common import Scratch, small_batches, table
+from tesselar.llm.common import Scratch, made, small_batches, sweep, table
 from tesselar.llm.queries import tokenizer_path
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognised language go: no letter, no text, or a margin below MIN_MARGIN."""
+    """Documents without a recognised language go: no letter, no text, or a margin below MIN_MARGIN. The dictionaries are made of
+    labelled rows of ``docs`` itself."""
     small_batches(spark)
     return langid.keep_known(docs, langid.sample(docs, "doc_id", "text", "lang"))
 
@@ -47,8 +48,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; what a stage wrote on its way, and its input, is removed once its result is written."""
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = scratch.save(stage(spark, docs, sf_dir), name)
+        before = made()
+        kept = scratch.save(stage(spark, docs, sf_dir), name)
+        sweep(spark, before)
+        scratch.drop(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
