@@ -26,8 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import tidy
+
 #: Words and pieces kept with their result, a Python worker.
-CACHE = 200_000
+CACHE = 100_000
 _END = 0xE000
 
 
@@ -141,7 +143,7 @@ class MergeAutomaton:
         key = x * self.size + t
         found = self.arcs.get(key)
         if found is None:
-            if len(self.arcs) > 4 * CACHE:
+            if len(self.arcs) > 2 * CACHE:
                 self.arcs.clear()
             found = self.arcs[key] = self._had_arc(x, t, 1 << 60)
         return found
@@ -217,7 +219,9 @@ class Bpe:
         if self._library is None:
             import tokenizers
 
-            self._library = tokenizers.Tokenizer.from_str(self.raw)
+            spec = json.loads(self.raw)  # without the vocabulary: only the normaliser and the splitter are asked
+            bare = {"type": "BPE", "vocab": {}, "merges": []}
+            self._library = tokenizers.Tokenizer.from_str(json.dumps(spec | {"model": bare, "added_tokens": [], "post_processor": None}))
         return self._library
 
     def splitter(self):
@@ -393,7 +397,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                     cols.append(pa.array([enc.decode(x) for x in ids], pa.string()))
                 yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in fields])
 
-    return docs.select(id_col, F.col(text_col).cast("string").alias("text")).mapInArrow(run, T.StructType(fields))
+    return docs.select(id_col, F.col(text_col).cast("string").alias("text")).mapInArrow(lambda batches: tidy(run(batches)), T.StructType(fields))
 
 
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
@@ -422,4 +426,4 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), n], names=schema.names)
 
     text = F.col(text_col).cast("string")
-    return docs.select(id_col, text.alias("text"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("b")).mapInArrow(run, schema)
+    return docs.select(id_col, text.alias("text"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("b")).mapInArrow(lambda batches: tidy(run(batches)), schema)

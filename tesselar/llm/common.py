@@ -6,6 +6,8 @@ Nothing here uses a machine-local folder on a cluster: scratch tables go to the
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -39,9 +41,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most 1000 rows or 8 MB, unless the session has settings of its own: texts are long, and a task holds a batch
+    """Arrow batches of at most 500 rows or 4 MB, unless the session has settings of its own: texts are long, and a task holds a batch
     several times over (in the JVM, on the way, in Python)."""
-    for key, default, ours in (("maxRecordsPerBatch", "10000", "1000"), ("maxBytesPerBatch", None, "8m")):
+    for key, default, ours in (("maxRecordsPerBatch", "10000", "500"), ("maxBytesPerBatch", None, "4m")):
         key = f"spark.sql.execution.arrow.{key}"
         if spark.conf.get(key, default) == default or default is None and not spark.sparkContext.getConf().contains(key):
             spark.conf.set(key, ours)
@@ -129,9 +131,9 @@ class Numbered:
 
     def facts(self, found: DataFrame, block: Column) -> Facts:
         """Writes ``found`` by block; the result can be sent to tasks."""
-        n, path = max(1, partitions(found.sparkSession) // 4), self.scratch.path("facts")
-        dealt = found.withColumn("_block", block).withColumn("part", F.pmod(F.col("_block"), F.lit(n)))
-        dealt = dealt.repartition(n, "part").sortWithinPartitions("part", "_block")
+        n, path = max(1, partitions(found.sparkSession) // 16), self.scratch.path("facts")
+        dealt = found.select(block.alias("_block"), *found.columns).withColumn("part", F.pmod(F.col("_block"), F.lit(n)))
+        dealt = dealt.repartition("part").sortWithinPartitions("part", "_block")
         dealt.write.option("parquet.block.size", 1 << 20).partitionBy("part").parquet(path)
         return Facts(path, n, found.columns)
 
@@ -156,23 +158,40 @@ class Facts:
 
     def of(self, block: int) -> pa.Table:
         if self.last is None or self.last[0] != block:
-            import pyarrow.dataset as ds
-            from pyarrow import fs
-
-            files, path = opened(f"{self.path}/part={block % self.n}")
-            if files.get_file_info(path).type == fs.FileType.NotFound:
-                found = pa.table({c: pa.array([], pa.int64()) for c in self.columns})
-            else:
-                found = ds.dataset(path, filesystem=files, format="parquet").to_table(columns=self.columns, filter=ds.field("_block") == block)
-            self.last = block, found
+            self.last = block, self._read(block)
         return self.last[1]
 
+    def _read(self, block: int) -> pa.Table:
+        from pyarrow import fs
+        from pyarrow import parquet as pq
+
+        files, path = opened(f"{self.path}/part={block % self.n}")
+        found = []
+        for info in files.get_file_info(fs.FileSelector(path, allow_not_found=True)):
+            if info.path.endswith(".parquet"):
+                with files.open_input_file(info.path) as source, pq.ParquetFile(source) as f:
+                    at = f.schema_arrow.get_field_index("_block")
+                    for k in range(f.num_row_groups):
+                        stats = f.metadata.row_group(k).column(at).statistics  # no list comes before the block in the schema
+                        if stats is None or stats.min <= block <= stats.max:
+                            rows = f.read_row_group(k, columns=["_block", *self.columns], use_threads=False)
+                            found.append(rows.filter(pa.array(rows.column("_block").to_numpy() == block)).select(self.columns))
+        return pa.concat_tables(found).combine_chunks() if found else pa.table({c: pa.array([], pa.int64()) for c in self.columns})
+
     def beside(self, batches: Iterator[pa.RecordBatch], at: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, pa.Table]]:
         """Parts of batches that lie in one block, the numbers of their rows (column ``at``), and the block's facts."""
         for batch, rows in by_block(batches, at):
             yield batch, rows, self.of(int(rows[0]) >> BLOCK_ROWS)
 
 
+def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; after the last one the worker, which other tasks will use, hands free memory back."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def by_block(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
     for batch in batches:
         rows = batch.column(at).to_numpy()

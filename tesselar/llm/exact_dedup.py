@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Numbered, Scratch, fold, partitions
+from .common import Numbered, Scratch, fold
 
 #: Bytes a block.
 BLOCK = 4096
@@ -32,9 +32,9 @@ def _named(df: DataFrame, scratch: Scratch, prefix: list[str], keys: list[str],
     ``prefix``: leading columns of the order, small enough to be sampled; equal keys have equal prefixes.
     """
     spark = df.sparkSession
-    n = partitions(spark)
+    # small tables get few partitions, next to one another, so that names still rise
     rows = df.select(*dict.fromkeys([*prefix, *keys, tie, *carry]))
-    rows = rows.repartitionByRange(n, *prefix, tie).sortWithinPartitions(*dict.fromkeys([*prefix, *keys, tie]))
+    rows = rows.repartitionByRange(*prefix, tie).sortWithinPartitions(*dict.fromkeys([*prefix, *keys, tie]))
     at = {c: i for i, c in enumerate(rows.columns)}
     pre, key, kept = [at[c] for c in prefix], [at[c] for c in keys], [at[c] for c in carry]
     end = T.StructType([T.StructField("head", T.BooleanType()), *[T.StructField(c, rows.schema[c].dataType) for c in dict.fromkeys([*prefix, *keys])], T.StructField("name", T.LongType())])

@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from tesselar.plans.scratch import exclusive_sum
 
-from .common import BLOCK_ROWS, Facts, Numbered, Scratch, WordHash, partitions, shingle_hashes, words_of
+from .common import BLOCK_ROWS, Facts, Numbered, Scratch, WordHash, partitions, shingle_hashes, tidy, words_of
 from .components import components
 
 #: Counters of the sketch (a fixed size, whatever the input); least and most shingles and bytes of signatures in a block of sets; blocks
@@ -38,7 +38,7 @@ BLOCK_SHINGLES = (20_000, 300_000)
 BLOCK_SIGNATURES = (1 << 14, 1 << 19)
 SPLIT = 16
 #: Prefix entries that a task chains at a time.
-_FLUSH = 1_000_000
+_FLUSH = 400_000
 #: Bits of a signature, for sets up to so many shingles.
 SIGNATURES = ((1 << 10, 1_500), (1 << 13, 12_000), (1 << 16, 1 << 62))
 _SEGMENTS = 64
@@ -101,7 +101,7 @@ def _describe(rows: DataFrame, size: int) -> DataFrame:
             nulls = [pa.nulls(_SEGMENTS, k) for k in (pa.int64(), pa.int64(), pa.binary(), pa.binary())]
             yield pa.RecordBatch.from_arrays([*nulls, pa.array(range(_SEGMENTS), pa.int32()), pa.array(parts, pa.binary())], names=names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lambda batches: tidy(run(batches)), schema)
 
 
 def _sketch(parts: DataFrame) -> np.ndarray:
@@ -178,7 +178,7 @@ def _postings(rows: DataFrame, reps: Facts, size: int, percent: int, order) -> D
         if tokens:
             yield out()
 
-    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    return rows.mapInArrow(lambda batches: tidy(run(batches)), ", ".join(f"{c} long" for c in names))
 
 
 def _neighbours(postings: DataFrame, percent: int) -> DataFrame:
@@ -386,7 +386,7 @@ def _solve(rows: DataFrame, percent: int, rough: bool = False) -> DataFrame:
     n = partitions(rows.sparkSession)
     # the units of a group, in order, are dealt to all partitions in turn
     turn = F.pmod(F.xxhash64("root") + (F.col("b2") * (F.col("b2") + 1) / 2).cast("long") + F.col("b1"), F.lit(n)).cast("int")
-    return rows.repartitionById(n, turn).sortWithinPartitions("root", "b1", "b2", "class").mapInArrow(run, schema)
+    return rows.repartitionById(n, turn).sortWithinPartitions("root", "b1", "b2", "class").mapInArrow(lambda batches: tidy(run(batches)), schema)
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
