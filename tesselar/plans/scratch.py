@@ -30,8 +30,7 @@ def with_position(df: DataFrame, *order, name: str = "pos") -> DataFrame:
 
     No task sees more than its own range; the driver sees nothing, and the broadcast side has a row a partition.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
+    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
     ordered = save(ordered, "ordered")
     part = F.shiftright("_m", 33)
     counts = ordered.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
@@ -43,8 +42,7 @@ def with_position(df: DataFrame, *order, name: str = "pos") -> DataFrame:
 
 def exclusive_sum(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
     """Adds the sum of ``value`` over all rows before in ``order``: sums within ranges, and of the ranges before."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = df.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id())
+    ordered = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
     ordered = save(ordered, "ranges")
     within = F.coalesce(F.sum(value).over(Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     totals = ordered.groupBy("_p").agg(F.sum(value).alias("_n"))
