@@ -87,17 +87,39 @@ def register_sql(spark: SparkSession) -> None:
     spark.udf.register("scale_add", scale_add)
 
 
-def user_sum(df: DataFrame, group: str, v: str) -> DataFrame:
-    """A user reduction: tasks reduce their batches by group with their own code, then partial results are reduced in the same way."""
+#: Groups that a task holds before it sends what it has.
+_GROUPS = 100_000
+
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def user_reduce(df: DataFrame, reduce: Callable[[pa.Table], pa.Table], schema: str, by: str) -> DataFrame:
+    """A user reduction. ``reduce`` takes rows of the schema and returns fewer, one for each value of ``by``; it must be
+    associative. Tasks reduce their rows, partial results are shuffled by ``by`` and reduced again by the same code, a batch at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+        held = None
         for batch in batches:
-            t = pa.Table.from_batches([batch]).group_by("g").aggregate([("v", "sum")])
-            yield from t.rename_columns(["g", "v"] if t.column_names[0] == "g" else ["v", "g"]).select(["g", "v"]).to_batches()
+            rows = pa.Table.from_batches([batch])
+            held = reduce(rows if held is None else pa.concat_tables([held, rows])).select(batch.schema.names)
+            if held.num_rows > least:
+                yield from held.to_batches()
+                held = None
+        if held is not None:
+            yield from held.combine_chunks().to_batches()
+
+    part = df.mapInArrow(lambda batches: run(batches, _GROUPS), schema)
+    return part.repartition(by).mapInArrow(lambda batches: run(batches, 1 << 62), schema)
 
+
+def summed(rows: pa.Table) -> pa.Table:
+    """A sample reduction: the sum of ``v`` for each ``g``."""
+    out = rows.group_by("g").aggregate([("v", "sum")])
+    return pa.table({"g": out.column("g"), "v": out.column("v_sum")})
+
+
+def user_sum(df: DataFrame, group: str, v: str) -> DataFrame:
+    """The sample reduction, over the values of ``group``."""
     rows = df.select(F.col(group).cast("long").alias("g"), F.col(v).cast("long").alias("v"))
-    part = rows.mapInArrow(partial, "g long, v long").groupBy("g").agg(F.sum("v").alias("v"))
-    return part.select(F.col("g").alias(group), F.col("v").alias("total"))
+    return user_reduce(rows, summed, "g long, v long", "g").select(F.col("g").alias(group), F.col("v").alias("total"))
 
 
 def sum_serial(df: DataFrame, v: str) -> DataFrame:

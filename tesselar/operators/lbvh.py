@@ -1,8 +1,9 @@
 """A linear bounding-volume hierarchy as tables, by grouping on common prefixes.
 
 Leaves are sorted by code; with ``key = code << 32 | position`` all keys differ. An internal node is a prefix below which both
-next bits occur: a group by (level, prefix), whose aggregate also has its range, split and box. Levels at which no split can
-occur, as the key's bits are always 0, are left out.
+next bits occur: a group by (level, prefix), whose aggregate also has its range, split and box. A leaf takes part only down to the
+level at which it parts from its nearer neighbour, so a row is made for each of its ancestors and no more; levels at which the key's bits
+are always 0 are left out.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ class SpatialIndex:
         leaves = save(rows.withColumn("key", key), "leaves")
         n = leaves.count()
         require_two(n)
+        if n >= 1 << 32:
+            raise ValueError("keys hold positions up to 2^32; build an index for each part of the scene")
         return cls(leaves, n)
 
     def length(self) -> int:
@@ -44,8 +47,14 @@ class SpatialIndex:
 
     def internal_nodes(self) -> DataFrame:
         """(node_id, left_id, right_id, first_pos, last_pos, split, level, box)."""
-        levels = F.array(*[F.lit(v) for v in self._levels()])
-        rows = self.leaves.select("pos", "key", *BOX, F.explode(levels).alias("lv"))
+        # neighbours' keys differ first in the bit at which the nodes of both end; below the lower of these a leaf is alone
+        nxt = self.leaves.select((F.col("pos") - 1).alias("pos"), F.col("key").alias("next"))
+        diff = save(self.leaves.select("pos", "key").join(nxt, "pos").select("pos", F.col("key").bitwiseXOR(F.col("next")).alias("d")), "diff")
+        shared = F.lit(63) - F.length(F.bin("d"))
+        both = diff.select("pos", shared.alias("s")).unionByName(diff.select((F.col("pos") + 1).alias("pos"), shared.alias("s")))
+        deep = both.groupBy("pos").agg(F.max("s").alias("deep"))
+        levels = F.filter(F.array(*[F.lit(v) for v in self._levels()]), lambda v: v <= F.col("deep"))
+        rows = self.leaves.join(deep, "pos").select("pos", "key", *BOX, F.explode(levels).alias("lv"))
         rows = rows.withColumn("pre", F.expr("shiftright(key, 63 - lv)")).withColumn("bit", F.expr("shiftright(key, 62 - lv) & 1"))
         nodes = rows.groupBy("lv", "pre").agg(
             F.min("pos").alias("first_pos"),
@@ -57,8 +66,6 @@ class SpatialIndex:
         )
         nodes = nodes.where(F.col("split").isNotNull() & (F.col("ones") == 1))
         # the bits in which neighbours differ decide at which end of its range a node has its id
-        nxt = self.leaves.select((F.col("pos") - 1).alias("pos"), F.col("key").alias("next"))
-        diff = self.leaves.select("pos", "key").join(nxt, "pos").select("pos", F.col("key").bitwiseXOR(F.col("next")).alias("d"))
         down = diff.select(F.col("pos").alias("last_pos"), F.col("d").alias("dn"))
         up = diff.select((F.col("pos") + 1).alias("first_pos"), F.col("d").alias("up"))
         nodes = nodes.join(down, "last_pos", "left").join(up, "first_pos", "left")

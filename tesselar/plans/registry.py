@@ -121,6 +121,13 @@ def knn_join(spark, sf):
     return search.knn_join(pts, pts, 5)
 
 
+@query(
+    f"WITH {EMB}, {TRIS}, d AS (SELECT e.idx AS q, t.idx AS idx, {_box_d2('e.x', 'e.y', 'e.z')} AS dist2 FROM emb e, tri t), r AS (SELECT q, row_number() OVER (PARTITION BY q ORDER BY dist2, idx) AS rank, idx, dist2 FROM d) SELECT * FROM r WHERE rank <= 3"
+)
+def knn_join_boxes(spark, sf):
+    return search.knn_join(views.emb(spark, sf), views.tri(spark, sf), 3, "triangles")
+
+
 # ---- primitives ------------------------------------------------------------------------------------------------------------
 
 
@@ -415,6 +422,15 @@ def ply_mesh_lines(spark, sf):
     return ply.mesh_lines(marching.tsdf_mesh(FIELD.integrate(_seen(spark, sf)), 0.05))
 
 
+@query(
+    f"WITH {_V}, {_CUBES}, {_mesh_sql(1.0, False)}, o AS (SELECT {_MCOLS}, row_number() OVER (ORDER BY ax, ay, az, tri) - 1 AS t, count(*) OVER () AS n FROM mesh) "
+    + " UNION ALL ".join(f"SELECT t * 3 + {i} AS line_no, 'vertex' AS kind, x{i} AS a, y{i} AS b, z{i} AS c FROM o" for i in range(3))
+    + " UNION ALL SELECT n * 3 + t, 'face', t * 3, t * 3 + 1, t * 3 + 2 FROM o"
+)
+def ply_voxel_mesh_lines(spark, sf):
+    return ply.mesh_lines(marching.mesh(GRID.count(views.line(spark, sf)), 1.0))
+
+
 @query(f"WITH {EMB} SELECT row_number() OVER (ORDER BY idx) - 1 AS line_no, CAST(round(x * 1e6) AS BIGINT) AS a, CAST(round(y * 1e6) AS BIGINT) AS b, CAST(round(z * 1e6) AS BIGINT) AS c FROM emb")
 def ply_point_lines(spark, sf):
     return ply.point_lines(views.emb(spark, sf))

@@ -15,6 +15,8 @@ _OWN: dict[str, str] = {}
 def folder(spark: SparkSession, label: str) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:  # a session of its own, as in tests
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = _OWN.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="tesselar-"))
     return f"{found.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
+from tesselar.operators.voxels import VoxelGrid
 from tesselar.plans.scratch import with_position
 
 
@@ -110,6 +111,11 @@ def write_points(points: DataFrame, uri: str) -> None:
     points.write.format("ply").option("kind", "points").mode("overwrite").save(uri)
 
 
+def write_centers(voxels: DataFrame, grid: VoxelGrid, uri: str) -> None:
+    """The middles of occupied voxels, or of those of a distance field, as a point cloud."""
+    write_points(grid.centers(voxels), uri)
+
+
 def micro(col) -> F.Column:
     return F.round(col * 1e6).cast("long")
 

@@ -1,6 +1,6 @@
 """Occupancy and distance fields that grow with a stream of batches.
 
-The state is Spark's: a grouped aggregate in the state store, in complete or update mode. ``run_available`` processes what there is and
+The state is Spark's: a grouped aggregate in the state store, in update mode. ``run_available`` processes what there is and
 gives the state as a table, which executors write; nothing is collected.
 """
 
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesselar.operators.tsdf import TSDF
-from tesselar.operators.voxels import VoxelGrid
+from tesselar.operators.voxels import KEY, VoxelGrid
 from tesselar.plans.scratch import folder
 
 
@@ -35,28 +35,58 @@ def stream_tsdf(cloud: DataFrame, field: TSDF) -> DataFrame:
     return field.integrate(cloud)
 
 
-def run_available(state: DataFrame, checkpoint: str | None = None) -> DataFrame:
-    """Runs a stateful query over all available input. With the checkpoint of an earlier run it goes on from there; without one it
-    starts empty, which is how the state is reset."""
+def run_available(state: DataFrame, checkpoint: str | None = None, keys: tuple[str, ...] = KEY) -> DataFrame:
+    """Runs a stateful query over all available input. With the checkpoint of an earlier run it goes on from there, also if nothing
+    new has come; without one it starts empty, which is how the state is reset.
+
+    A batch writes only the rows it changed, under its number, beside the checkpoint. At the end the last row of each key, of these
+    and of the table of the run before, becomes the new table; a failed run leaves the old one and is taken up by the next.
+    """
     spark = state.sparkSession
-    out = folder(spark, "state")
+    home = (checkpoint or folder(spark, "stream")).rstrip("/")
+    out = f"{home}-state"
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/v{number:08d}")
+        batch.write.mode("overwrite").parquet(f"{out}/batch-{number:012d}")
 
-    query = state.writeStream.outputMode("complete").trigger(availableNow=True).option("checkpointLocation", checkpoint or folder(spark, "checkpoint")).foreachBatch(keep).start()
+    query = state.writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", home).foreachBatch(keep).start()
     query.awaitTermination()
-    last = query.lastProgress
-    number = last["batchId"] if last else None
-    if number is None:
-        return spark.createDataFrame([], state.schema)
-    return spark.read.schema(state.schema).parquet(f"{out}/v{_last_written(spark, out):08d}")
-
-
-def _last_written(spark: SparkSession, out: str) -> int:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out)
-    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
-    return max(int(f.getPath().getName()[1:]) for f in files)
+    names = _written(spark, out)
+    tables = [n for n in names if n.startswith("table-")]
+    done = int(tables[-1][6:]) if tables else -1
+    new = [n for n in names if n.startswith("batch-") and int(n[6:]) > done]
+    if not new:
+        return spark.read.schema(state.schema).parquet(f"{out}/{tables[-1]}") if tables else spark.createDataFrame([], state.schema)
+    changed = None
+    for name in [*tables[-1:], *new]:
+        rows = spark.read.schema(state.schema).parquet(f"{out}/{name}").withColumn("_batch", F.lit(int(name[6:])))
+        changed = rows if changed is None else changed.unionByName(rows)
+    rest = [c for c in state.columns if c not in keys]
+    last = changed.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("_last")).select(*keys, *[F.col("_last")[c].alias(c) for c in rest])
+    path = f"{out}/table-{int(new[-1][6:]):012d}"
+    last.select(*state.columns).write.mode("overwrite").parquet(path)
+    for name in [*tables[:-1], *new]:  # the table before stays for those who still read it
+        _drop(spark, f"{out}/{name}")
+    return spark.read.schema(state.schema).parquet(path)
+
+
+def _path(spark: SparkSession, at: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def _written(spark: SparkSession, out: str) -> list[str]:
+    """Names of the tables that were written whole, in order."""
+    files, path = _path(spark, out)
+    if not files.exists(path):
+        return []
+    names = sorted(f.getPath().getName() for f in files.listStatus(path))
+    return [n for n in names if files.exists(_path(spark, f"{out}/{n}/_SUCCESS")[1])]
+
+
+def _drop(spark: SparkSession, at: str) -> None:
+    files, path = _path(spark, at)
+    files.delete(path, True)
 
 
 def with_pose(cloud: DataFrame, poses: DataFrame, key: Callable[[DataFrame], F.Column]) -> DataFrame:

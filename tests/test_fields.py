@@ -123,4 +123,15 @@ def test_stream_goes_on_and_resets(spark, tmp_path):
     assert {(r.kx, r.cnt) for r in incremental.run_available(state(), check).collect()} == batch
     spark.createDataFrame([(0, 50.0, 0.0, 0.0)], PT).coalesce(1).write.mode("append").parquet(src)
     assert {(r.kx, r.cnt) for r in incremental.run_available(state(), check).collect()} == batch | {(50, 1)}
+    again = incremental.run_available(state(), check)  # nothing new
+    assert {(r.kx, r.cnt) for r in again.collect()} == batch | {(50, 1)} and again.count() == len(batch) + 1
     assert {(r.kx, r.cnt) for r in incremental.run_available(state()).collect()} == batch | {(50, 1)}
+
+
+def test_centres_are_exported(spark, tmp_path):
+    grid = voxels.VoxelGrid(0.5)
+    vox = grid.count(spark.createDataFrame([(0, 0.1, 0.6, -0.2), (1, 0.2, 0.7, -0.3), (2, 3.0, 0.0, 0.0)], PT))
+    path = tmp_path / "c.ply"
+    ply.write_centers(vox, grid, str(path))
+    text = path.read_text().split("\n")
+    assert "element vertex 2" in text and sorted(text[text.index("end_header") + 1 : -1]) == ["0.25 0.75 -0.25", "3.25 0.25 0.25"]

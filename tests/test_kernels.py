@@ -1,3 +1,4 @@
+import pyarrow as pa
 import pytest
 
 from tesselar.operators import kernels
@@ -23,3 +24,26 @@ def test_kernel(spark):
         kernels.Kernel(spark).build("x = 1\n")
     with pytest.raises(ValueError):
         kernels.Kernel(spark).build(source).dispatch(2, "idx long")
+
+
+def test_user_reduction(spark):
+    """Least value and number of rows of a group, in partial and final steps by the same code."""
+    rows = spark.range(5000).selectExpr("id % 7 as g", "(id * 37) % 1009 as low", "1L as n").repartition(5)
+
+    def reduce(t):
+        out = t.group_by("g").aggregate([("low", "min"), ("n", "sum")])
+        return pa.table({"n": out.column("n_sum"), "low": out.column("low_min"), "g": out.column("g")})
+
+    got = kernels.user_reduce(rows, reduce, "g long, low long, n long", "g").collect()
+    want = {k: (min(i * 37 % 1009 for i in range(k, 5000, 7)), len(range(k, 5000, 7))) for k in range(7)}
+    assert {r.g: (r.low, r.n) for r in got} == want and len(got) == 7
+    assert kernels.user_reduce(rows.where("false"), reduce, "g long, low long, n long", "g").count() == 0
+
+
+def test_include(spark, tmp_path):
+    """A kernel on the executors uses a helper file that was included."""
+    (tmp_path / "shift_helper.py").write_text("def shift():\n    return 40\n")
+    source = "import pyarrow as pa, pyarrow.compute as pc\ndef kernel(b, args):\n    import shift_helper\n    return pa.RecordBatch.from_arrays([b.column(0), pc.add(b.column(0), shift_helper.shift())], names=['idx', 'w'])\n"
+    k = kernels.Kernel(spark).include(str(tmp_path / "shift_helper.py")).build(source).bind(spark.range(50).withColumnRenamed("id", "idx"))
+    out = k.dispatch(2, "idx long, w long").collect()
+    assert len(out) == 50 and all(r.w == r.idx + 40 for r in out)

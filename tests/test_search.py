@@ -23,12 +23,12 @@ def d2(a, b):
 
 
 CASES = [
-    ([(10, 10, 10), (20, 20, 20)], 1, set()),
-    ([(0.1, 0, 0), (-0.1, 0, 0), (0, 0.1, 0), (0, -0.1, 0)], 1, {0, 1, 2, 3}),
-    ([(0.5, 0, 0), (5, 0, 0), (0, 0.8, 0), (0, 3, 0), (0.7, 0.7, 0), (1.5, 1.5, 1.5)], 1, {0, 2, 4}),
-    ([(i, 0, 0) for i in range(1, 6)], 3.5, {0, 1, 2}),
-    ([(0, 0, 0), (100, 0, 0)], 0, {0}),
-    ([(0, 0, 0), (100, 0, 0)], -1, {0}),
+    ([(4, -3, 7), (-9, 12, 2)], 6, set()),
+    ([(0.2, 0.3, -0.1), (-0.4, 0.2, 0.3), (0.1, -0.5, 0.2)], 0.9, {0, 1, 2}),
+    ([(1, 2, 2), (1, 2, 2.1), (-2, -2, -1), (0, 0, 3.5), (0, 3, 0)], 3, {0, 2, 4}),
+    ([(0, 2.5 * i, 0) for i in range(1, 5)], 7.5, {0, 1, 2}),
+    ([(0, 0, 0), (0, 0, 1e-9)], 0, {0}),
+    ([(0, 0, 0), (0, -2, 0)], -1.5, {0}),
 ]
 
 
@@ -104,3 +104,50 @@ def test_box_filter_reaches_the_scan(spark, tmp_path):
     cloud(spark, rand(50, 1, 5)).write.parquet(path)
     plan = search.radius_search(spark.read.parquet(path), (0, 0, 0), 1)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(x" in plan and "LessThanOrEqual(x" in plan
+
+
+def boxes_of(spark, rows):
+    return spark.createDataFrame(rows, "idx long, min_x double, min_y double, min_z double, max_x double, max_y double, max_z double")
+
+
+def box_d2(p, x):
+    d = [max(0.0, x[1 + a] - p[a], p[a] - x[4 + a]) for a in range(3)]
+    return d[0] * d[0] + d[1] * d[1] + d[2] * d[2]
+
+
+def test_knn_join_of_boxes_and_triangles(spark):
+    r = random.Random(15)
+    rows = [(i, *(lo := [r.uniform(-3, 3) for _ in range(3)]), *[v + r.choice((0, 0.1, 1.0, 4.0)) * r.random() for v in lo]) for i in range(80)]
+    qs = rand(25, 16, 5) + [(900.0, 0.0, 0.0)]
+    for k in (1, 6, 64):
+        got = {(x.q, x["rank"]): x.idx for x in search.knn_join(cloud(spark, qs), boxes_of(spark, rows), k, "boxes").collect()}
+        want = {(i, n + 1): j for i, p in enumerate(qs) for n, (_, j) in enumerate(sorted((box_d2(p, x), x[0]) for x in rows)[:k])}
+        assert got == want
+    tri = spark.createDataFrame([(i, [float(i), 0.0, 0.0], [i + 0.5, 1.0, 0.0], [float(i), 0.0, 1.0]) for i in range(9)], "idx long, v0 array<double>, v1 array<double>, v2 array<double>")
+    got = search.knn_join(cloud(spark, [(4.1, 0.5, 0.5), (-3, 0, 0)]), tri, 2, "triangles").collect()
+    assert sorted((x.q, x["rank"], x.idx) for x in got) == [(0, 1, 4), (0, 2, 3), (1, 1, 0), (1, 2, 1)]
+
+
+@pytest.mark.parametrize("n", [1000, 4000])
+def test_one_far_point_leaves_few_candidates(spark, n):
+    r = random.Random(n)
+    pts = [tuple(r.random() for _ in range(3)) for _ in range(n)] + [(1e5, 0.0, 0.0)]
+    df, k = search.points(cloud(spark, pts)), 5
+    q = df.selectExpr("idx as q", "x as qx", "y as qy", "z as qz")
+    bounded = search._bounded(q, df, k, "points")
+    assert search._candidates(bounded, df, "points").count() < 100 * k * len(pts)
+    got = search.knn_join(df, df, k).where("q % 97 = 0").collect()
+    assert {x.q for x in got} >= {0, 97, 194}
+    for i in {x.q for x in got}:
+        want = [j for _, j in sorted((d2(p, pts[i]), j) for j, p in enumerate(pts))][:k]
+        assert [x.idx for x in sorted(got, key=lambda x: x["rank"]) if x.q == i] == want
+
+
+def test_one_large_box_is_in_few_cells(spark):
+    rows = [(0, -1e4, -1e4, -1e4, 1e4, 1e4, 1e4)] + [(i, i / 10, 0.0, 0.0, i / 10 + 0.01, 0.01, 0.01) for i in range(1, 200)]
+    qs = [(x / 7, 0.05, 0.0) for x in range(60)]
+    b, q = boxes_of(spark, rows), cloud(spark, qs)
+    asked = search.points(q).selectExpr("idx as q", "x as qx", "y as qy", "z as qz", "0.01D as b2")
+    assert search._candidates(asked, search.canonicalize(b, "boxes").select("idx", *search.BOX), "boxes", 0.1).count() < 60 * 40
+    got = sorted((x.q, x.idx) for x in search.radius_join(q, b, 0.1, "boxes").collect())
+    assert got == sorted((i, x[0]) for i, p in enumerate(qs) for x in rows if box_d2(p, x) <= 0.1 * 0.1)
