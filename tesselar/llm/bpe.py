@@ -379,7 +379,8 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     """(id, ids, decoded?): ids packed as little-endian unsigned 32-bit integers; with ``decoded`` also their decoded text.
 
     A map over batches without a shuffle. Null and empty texts give no ids. Rows keep their number, repeated ids and null
-    ids included; other columns are not read, so names cannot clash. Texts of any length are encoded whole.
+    ids included; other columns are not read, so names cannot clash. Texts of any length are encoded whole. Nothing is chosen between rows,
+    so there are no ties; an empty table gives an empty result.
     """
     raw = _source(docs.sparkSession, path)
     fields = [T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("ids", T.BinaryType())]
@@ -401,7 +402,10 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
 
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
-    """(id, decoded) of packed ids: the labels of the arcs, put together as the tokenizer does. Null ids give null."""
+    """(id, decoded) of packed ids: the labels of the arcs, put together as the tokenizer does.
+
+    Null ids give null, empty ones an empty text; lists of any length are decoded whole. Rows keep their number, repeated ids and null ids
+    of documents included; other columns are not read; an empty table gives an empty result. An id that the vocabulary lacks is an error."""
     raw = _source(encoded.sparkSession, path)
     schema = T.StructType([T.StructField(id_col, encoded.schema[id_col].dataType), T.StructField("decoded", T.StringType())])
 
@@ -415,7 +419,10 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
 
 
 def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_bytes, n_tokens) of whole texts; null and empty texts have none of either. One map without a shuffle."""
+    """(id, n_bytes, n_tokens) of whole texts; null and empty texts have none of either. One map without a shuffle.
+
+    Texts of any length are counted whole. Rows keep their number, repeated ids and null ids included; other columns, whatever they are
+    called, are not read; an empty table gives an empty result."""
     raw = _source(docs.sparkSession, path)
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
 
