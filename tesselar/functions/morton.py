@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: The shifts and masks that spread 10 bits over 30.
 SPREAD = ((16, 0x030000FF), (8, 0x0300F00F), (4, 0x030C30C3), (2, 0x09249249))
 MASK32 = 0xFFFFFFFF
+#: Fixed value: the multiplier of the voxel hash.
+HASH_FACTOR = 0x45D9F3B
 
 
 def _long(v: int) -> Column:
@@ -59,7 +61,7 @@ def unpack_key(key: Column) -> tuple[Column, Column, Column]:
 def integer_hash(key: Column) -> Column:
     """Unsigned 32-bit mixing hash of a key of at most 30 bits, in BIGINT."""
     k = key.bitwiseXOR(F.shiftright(key, 16))
-    k = (k * _long(0x45D9F3B)).bitwiseAND(_long(MASK32))
+    k = (k * _long(HASH_FACTOR)).bitwiseAND(_long(MASK32))
     return k.bitwiseXOR(F.shiftright(k, 16))
 
 

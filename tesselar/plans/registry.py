@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesselar.functions.morton import HASH_FACTOR, MASK32, SPREAD
 from tesselar.operators import kernels, marching, order, search, tsdf, voxels
 from tesselar.operators.lbvh import SpatialIndex
 from tesselar.plans.scratch import with_position
@@ -161,7 +162,7 @@ def scene_bounds(spark, sf):
 
 _STEPS = ", ".join(
     f"s{n + 1} AS (SELECT idx, " + ", ".join(f"((m{a} | (m{a} << {s})) & {m}) AS m{a}" for a in "xyz") + f" FROM s{n})"
-    for n, (s, m) in enumerate(((16, 0x030000FF), (8, 0x0300F00F), (4, 0x030C30C3), (2, 0x09249249)))
+    for n, (s, m) in enumerate(SPREAD)
 )
 _UNIT = ", ".join(f"CAST(floor(least(greatest(((({a} + {a}) * 0.5::DOUBLE - lo_{a}) / greatest(hi_{a} - lo_{a}, 1e-8::DOUBLE)) * 1024.0::DOUBLE, 0.0::DOUBLE), 1023.0::DOUBLE)) AS BIGINT) AS m{a}" for a in "xyz")
 CODES = f"{ORD}, gb AS (SELECT " + ", ".join(f"min({a}) AS lo_{a}, max({a}) AS hi_{a}" for a in "xyz") + f" FROM ord), s0 AS (SELECT idx, {_UNIT} FROM ord, gb), {_STEPS}, codes AS (SELECT idx, (mx << 2) | (my << 1) | mz AS code FROM s4)"
@@ -294,7 +295,7 @@ def voxel_centers(spark, sf):
     return GRID.centers(GRID.count(views.line(spark, sf)))
 
 
-@query(f"WITH {_V}, a AS (SELECT key, xor(key, key >> 16) AS k FROM vox), b AS (SELECT key, (k * 73244475) & 4294967295 AS k FROM a), c AS (SELECT key, xor(k, k >> 16) AS h FROM b) SELECT key, h, h % 1048576 AS slot FROM c")
+@query(f"WITH {_V}, a AS (SELECT key, xor(key, key >> 16) AS k FROM vox), b AS (SELECT key, (k * {HASH_FACTOR}) & {MASK32} AS k FROM a), c AS (SELECT key, xor(k, k >> 16) AS h FROM b) SELECT key, h, h % 1048576 AS slot FROM c")
 def wang_hash(spark, sf):
     return voxels.slots(GRID.count(views.line(spark, sf)))
 
