@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from .common import tidy
 
 #: Words and pieces kept with their result, a Python worker.
-CACHE = 150_000
+CACHE = 100_000
 _END = 0xE000
 
 
