@@ -98,8 +98,10 @@ def user_reduce(df: DataFrame, reduce: Callable[[pa.Table], pa.Table], schema: s
     def run(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
-            rows = pa.Table.from_batches([batch])
-            held = reduce(rows if held is None else pa.concat_tables([held, rows])).select(batch.schema.names)
+            names = batch.schema.names
+            rows = pa.table({n: batch.column(n) for n in names})  # all columns nullable, as those of results are
+            out = reduce(rows if held is None else pa.concat_tables([held, rows]))
+            held = pa.table({n: out.column(n) for n in names})
             if held.num_rows > least:
                 yield from held.to_batches()
                 held = None

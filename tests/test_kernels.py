@@ -34,7 +34,9 @@ def test_user_reduction(spark):
         out = t.group_by("g").aggregate([("low", "min"), ("n", "sum")])
         return pa.table({"n": out.column("n_sum"), "low": out.column("low_min"), "g": out.column("g")})
 
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")  # several batches a task
     got = kernels.user_reduce(rows, reduce, "g long, low long, n long", "g").collect()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     want = {k: (min(i * 37 % 1009 for i in range(k, 5000, 7)), len(range(k, 5000, 7))) for k in range(7)}
     assert {r.g: (r.low, r.n) for r in got} == want and len(got) == 7
     assert kernels.user_reduce(rows.where("false"), reduce, "g long, low long, n long", "g").count() == 0
