@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import tidied
+
 _GNU = "under the terms of the GNU {kind}General Public License as published by the Free Software Foundation{sep} either version {v} of the License, or (at your option) any later version."
 _ONLY = "you can redistribute it and/or modify it under the terms of the GNU {kind}General Public License version {v} as published by the Free Software Foundation."
 _CONDITIONS = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
@@ -86,6 +88,9 @@ _WORD = re.compile(r"[^\W_]+(?:(?:\.|-(?:[ \t]*\r?\n[^\w\n]*)?)[^\W_]+)*")
 _WRAPPED = re.compile(r"-[^\w]+")
 _BLANK = re.compile(r"\n[ \t\r\f\v]*\n")
 _CUE = re.compile("|".join(c.replace(" ", r"[\W_]+") for c in CUES))
+#: An expression of several SPDX identifiers.
+_SPDX = re.compile(r"spdx-license-identifier:[ \t(]*[\w.+-]+(?:[ \t()]+(?:or|and|with)[ \t(]+[^\W_][\w.+-]*)+")
+_JOINED = re.compile(r"[ \t()](?:or|and)[ \t(]+([^\W_][\w.+-]*)")
 #: A word of each cue, to pass over most texts quickly.
 _RARE = tuple({max(c.split(), key=len) for c in CUES})
 
@@ -203,6 +208,12 @@ class Scanner:
                 got = self.block(k, tuple(tokens[a:b]), cue - a)
                 if got:
                     found.add((name, len(template), *got[:2], got[2] + a, got[3] + a))
+        for at in (m.start() + x.start(1) for m in _SPDX.finditer(low) for x in _JOINED.finditer(m.group())):
+            i = bisect_left(starts, at)  # an identifier after the first is read as if it stood alone
+            for k, (name, template, *_) in enumerate(self.known):
+                got = self.block(k, ("spdx-license-identifier", tokens[i]), 0)
+                if got:
+                    found.add((name, len(template), *got[:2], i, i + 1))
         out, taken = [], set()
         for name, n, saved, edits, a, b in sorted(found, key=lambda x: (x[3] - x[1], x[3], -x[2], x[0], x[4])):
             if taken.isdisjoint(range(a, b)):  # one license a stretch of words: that with most words as they should be
@@ -216,7 +227,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
 
     Documents without a notice have no row; null and empty texts have none. A map without a shuffle over whole texts; rows with
     equal or null ids each give their own rows, other columns, whatever they are called, are not read; an empty table gives no row. Of
-    templates that explain as many words of a stretch the one with fewer differences wins, then the larger saving, then the name.
+    templates that explain as many words of a stretch the one with fewer differences wins, then the larger saving, then the name. Of an
+    SPDX expression each license has its row, exceptions after WITH have none.
     """
     schema = T.StructType([docs.schema[id_col], *T.StructType.fromDDL("license string, start int, end int, saved double, n_different int, n_template_words int")])
     kinds = [pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.int32()]
@@ -228,4 +240,4 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
             ids = batch.column(0).take(pa.array([i for i, _ in rows], pa.int64()))
             yield pa.RecordBatch.from_arrays([ids, *(pa.array([x[k] for _, x in rows], kind) for k, kind in enumerate(kinds))], names=schema.names)
 
-    return docs.select(id_col, F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(id_col, F.col(text_col).cast("string").alias("text")).mapInArrow(tidied(run), schema)

@@ -241,6 +241,14 @@ def test_licenses_that_read_alike():
     assert names(licenses.TEMPLATES["ISC"][1]) == ["ISC"] and names(licenses.TEMPLATES["0BSD"][0]) == ["0BSD"]
     for name in ("MIT", "Apache-2.0", "GPL-2.0-or-later", "LGPL-2.1-only", "BSD-2-Clause"):
         assert names(f"# SPDX-License-Identifier: {name}\nimport os\n") == [name]
+    for text, found in (
+        ("MIT OR Apache-2.0", ["MIT", "Apache-2.0"]),
+        ("(GPL-2.0-or-later AND BSD-3-Clause) OR ISC", ["GPL-2.0-or-later", "BSD-3-Clause", "ISC"]),
+        ("GPL-2.0 WITH Linux-syscall-note OR MIT", ["GPL-2.0", "MIT"]),
+        ("MIT OR -", ["MIT"]),
+        ("MIT OR\nApache-2.0", ["MIT"]),
+    ):
+        assert names(f"// SPDX-License-Identifier: {text}\n") == found, text
     seven = ["MIT", "Apache-2.0", "GPL-3.0", "CC-BY-4.0", "CC-BY-SA-4.0", "MPL-2.0", "ISC"]
     assert names(" ".join(["Parts of it:", *(licenses.TEMPLATES[n][0] for n in seven)])) == seven
 
