@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import tidy
+from .common import tidied
 
 #: Words and pieces kept with their result, a Python worker.
 CACHE = 100_000
@@ -398,7 +398,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                     cols.append(pa.array([enc.decode(x) for x in ids], pa.string()))
                 yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in fields])
 
-    return docs.select(id_col, F.col(text_col).cast("string").alias("text")).mapInArrow(lambda batches: tidy(run(batches)), T.StructType(fields))
+    return docs.select(id_col, F.col(text_col).cast("string").alias("text")).mapInArrow(tidied(run), T.StructType(fields))
 
 
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
@@ -415,7 +415,7 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
             out = [None if x is None else enc.decode(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=schema.names)
 
-    return encoded.select(id_col, "ids").mapInArrow(run, schema)
+    return encoded.select(id_col, "ids").mapInArrow(tidied(run), schema)
 
 
 def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -433,4 +433,4 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), n], names=schema.names)
 
     text = F.col(text_col).cast("string")
-    return docs.select(id_col, text.alias("text"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("b")).mapInArrow(lambda batches: tidy(run(batches)), schema)
+    return docs.select(id_col, text.alias("text"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("b")).mapInArrow(tidied(run), schema)

@@ -147,7 +147,7 @@ class Numbered:
             for part, rows, known in facts.beside(batches, at):
                 yield part.filter(pa.array(~np.isin(rows, known.column(0).to_numpy())))
 
-        return self.rows.mapInArrow(run, self.rows.schema).drop(self.row)
+        return self.rows.mapInArrow(tidied(run), self.rows.schema).drop(self.row)
 
 
 class Facts:
@@ -184,12 +184,16 @@ class Facts:
             yield batch, rows, self.of(int(rows[0]) >> BLOCK_ROWS)
 
 
-def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches; after the last one the worker, which other tasks will use, hands free memory back."""
-    yield from batches
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):  # only the GNU library has it
-        ctypes.CDLL(None).malloc_trim(0)
+def tidied(run):
+    """``run`` over batches; after the last one the worker, which other tasks and stages will use, hands free memory back."""
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # only the GNU library has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return tidy
 
 
 def by_block(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:

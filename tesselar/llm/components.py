@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, tidied
 
 LOCAL_EDGES = 200_000
 
@@ -50,7 +50,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         if not left:
             break
         if left <= LOCAL_EDGES:
-            steps.append(scratch.save(edges.coalesce(1).mapInArrow(_local, "node long, to long"), "step"))
+            steps.append(scratch.save(edges.coalesce(1).mapInArrow(tidied(_local), "node long, to long"), "step"))
             break
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         best = both.groupBy("a").agg(_least(F.col("b"), salt).alias("m"))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHash, mix, words_of
+from .common import WordHash, mix, tidied, words_of
 
 MASKS = ("1110111", "110100000111", "101011011")
 #: An overlap has at least so many words (or all words of a shorter test) of which this share, in percent, is equal.
@@ -215,7 +215,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     schema = T.StructType([docs.schema[id_col], T.StructField(item_col, item_type), *T.StructType.fromDDL("start int, item_start int, n_words int, n_equal int")])
     out = None
     for block in blocks(benchmark, item_col):
-        part = rows.mapInArrow(_overlap_rows(spark.sparkContext.broadcast(block), schema), schema)
+        part = rows.mapInArrow(tidied(_overlap_rows(spark.sparkContext.broadcast(block), schema)), schema)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -252,5 +252,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
                 keep[[g[0] for g in _scan(batch.column(at).to_pylist(), index, hash_)]] = False
                 yield batch.filter(pa.array(keep))
 
-        out = out.mapInArrow(run, schema)
+        out = out.mapInArrow(tidied(run), schema)
     return out

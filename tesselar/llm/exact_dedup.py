@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Numbered, Scratch, fold
+from .common import Numbered, Scratch, fold, tidied
 
 #: Bytes a block.
 BLOCK = 4096
@@ -70,7 +70,7 @@ def _named(df: DataFrame, scratch: Scratch, prefix: list[str], keys: list[str],
         if empty is not None:
             yield pa.RecordBatch.from_arrays([*(pa.nulls(1, kinds[i]) for i in range(len(kept))), pa.array([None], pa.int64()), pa.array([part], pa.int32()), pa.array([head + tail], kinds[-1])], names=schema.names)
 
-    made = scratch.save(rows.mapInArrow(run, schema), "named")
+    made = scratch.save(rows.mapInArrow(tidied(run), schema), "named")
     open_prefix, open_names, renamed = None, {}, []
     for row in made.where(F.col("ends").isNotNull()).select("part", "ends").orderBy("part").toLocalIterator():
         whole = {}

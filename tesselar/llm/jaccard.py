@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from tesselar.plans.scratch import exclusive_sum
 
-from .common import BLOCK_ROWS, Facts, Numbered, Scratch, WordHash, partitions, shingle_hashes, tidy, words_of
+from .common import BLOCK_ROWS, Facts, Numbered, Scratch, WordHash, partitions, shingle_hashes, tidied, words_of
 from .components import components
 
 #: Counters of the sketch (a fixed size, whatever the input); least and most shingles and bytes of signatures in a block of sets; blocks
@@ -101,7 +101,7 @@ def _describe(rows: DataFrame, size: int) -> DataFrame:
             nulls = [pa.nulls(_SEGMENTS, k) for k in (pa.int64(), pa.int64(), pa.binary(), pa.binary())]
             yield pa.RecordBatch.from_arrays([*nulls, pa.array(range(_SEGMENTS), pa.int32()), pa.array(parts, pa.binary())], names=names)
 
-    return rows.mapInArrow(lambda batches: tidy(run(batches)), schema)
+    return rows.mapInArrow(tidied(run), schema)
 
 
 def _sketch(parts: DataFrame) -> np.ndarray:
@@ -116,7 +116,7 @@ def _sketch(parts: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in total.values()], pa.binary())], names=["segment", "counts"])
 
     n = partitions(parts.sparkSession)
-    summed = parts.repartition(max(1, n // 4)).mapInArrow(add, "segment int, counts binary").repartition(_SEGMENTS, "segment").mapInArrow(add, "segment int, counts binary")
+    summed = parts.repartition(max(1, n // 4)).mapInArrow(tidied(add), "segment int, counts binary").repartition(_SEGMENTS, "segment").mapInArrow(tidied(add), "segment int, counts binary")
     total = np.zeros(COUNTERS, np.uint64)
     for r in summed.toLocalIterator():
         total[r.segment * _PART : (r.segment + 1) * _PART] = _counts(r.counts)
@@ -178,7 +178,7 @@ def _postings(rows: DataFrame, reps: Facts, size: int, percent: int, order) -> D
         if tokens:
             yield out()
 
-    return rows.mapInArrow(lambda batches: tidy(run(batches)), ", ".join(f"{c} long" for c in names))
+    return rows.mapInArrow(tidied(run), ", ".join(f"{c} long" for c in names))
 
 
 def _neighbours(postings: DataFrame, percent: int) -> DataFrame:
@@ -207,7 +207,7 @@ def _neighbours(postings: DataFrame, percent: int) -> DataFrame:
 
     n = partitions(postings.sparkSession)
     lists = postings.repartition(n, "token").sortWithinPartitions("token", "low")
-    return lists.mapInArrow(run, "a long, b long").groupBy("a", "b").agg(F.lit(1).alias("one")).select("a", "b")
+    return lists.mapInArrow(tidied(run), "a long, b long").groupBy("a", "b").agg(F.lit(1).alias("one")).select("a", "b")
 
 
 def _units(groups: DataFrame, sizes: DataFrame, percent: int, scratch: Scratch, weight, bounds: tuple[int, int]) -> DataFrame:
@@ -241,7 +241,7 @@ def _sets(rows: DataFrame, wanted: Facts, size: int) -> DataFrame:
                 sets = [shingle_set(t, size, hash_).tobytes() for t in part.column(1).slice(at, 500).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + 500], pa.int64()), pa.array(sets, pa.binary()), pa.array([count[i] for i in ids[at : at + 500]], pa.int64())], names=["class", "data", "size"])
 
-    return rows.mapInArrow(run, "class long, data binary, size long")
+    return rows.mapInArrow(tidied(run), "class long, data binary, size long")
 
 
 class Rough:
@@ -386,7 +386,7 @@ def _solve(rows: DataFrame, percent: int, rough: bool = False) -> DataFrame:
     n = partitions(rows.sparkSession)
     # the units of a group, in order, are dealt to all partitions in turn
     turn = F.pmod(F.xxhash64("root") + (F.col("b2") * (F.col("b2") + 1) / 2).cast("long") + F.col("b1"), F.lit(n)).cast("int")
-    return rows.repartitionById(n, turn).sortWithinPartitions("root", "b1", "b2", "class").mapInArrow(lambda batches: tidy(run(batches)), schema)
+    return rows.repartitionById(n, turn).sortWithinPartitions("root", "b1", "b2", "class").mapInArrow(tidied(run), schema)
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:

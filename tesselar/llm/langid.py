@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import tidied
+
 #: Bytes of a dictionary; dictionaries a language; labelled rows fetched a language (bounds of the sample, not of the data).
 DICT_BYTES = 32_768
 OPINIONS = 2
@@ -128,7 +130,7 @@ def identify(docs: DataFrame, contents: dict[str, list[bytes]], id_col: str = "d
                     names=schema.names,
                 )
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidied(run), schema)
 
 
 def keep_known(docs: DataFrame, contents: dict[str, list[bytes]], text_col: str = "text", min_margin: float = MIN_MARGIN) -> DataFrame:
@@ -143,4 +145,4 @@ def keep_known(docs: DataFrame, contents: dict[str, list[bytes]], text_col: str
         for batch in batches:
             yield batch.filter(pa.array([not classify(t, min_margin)[2] for t in batch.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)

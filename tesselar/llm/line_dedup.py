@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BLOCK_ROWS, Numbered, Scratch, by_block, mix, partitions
+from .common import BLOCK_ROWS, Numbered, Scratch, by_block, mix, partitions, tidied
 
 #: Bits of a filter for each hash that a slice gets, and probes; bytes of text whose hashes make a slice.
 BITS_A_HASH = 16
@@ -102,7 +102,7 @@ def _block_hashes(rows: DataFrame, least: int) -> DataFrame:
         if held:
             yield out()
 
-    return rows.mapInArrow(run, "h long, block long, again boolean")
+    return rows.mapInArrow(tidied(run), "h long, block long, again boolean")
 
 
 def _ask(hashes: DataFrame, bits: int) -> DataFrame:
@@ -115,7 +115,7 @@ def _ask(hashes: DataFrame, bits: int) -> DataFrame:
             hit = suspected(h.view(np.uint64), again, bits)
             yield pa.RecordBatch.from_arrays([pa.array(block[hit]), pa.array(h[hit])], names=["block", "h"])
 
-    return hashes.mapInArrow(run, "block long, h long")
+    return hashes.mapInArrow(tidied(run), "block long, h long")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 10, bits: int = BITS_A_HASH) -> DataFrame:
@@ -166,7 +166,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             )
 
     schema = T.StructType([T.StructField("key", T.BinaryType()), rows.schema["d"], *T.StructType.fromDDL("row long, at array<int>")])
-    found = scratch.save(rows.select("row", "text", "d").mapInArrow(suspects, schema), "suspects")
+    found = scratch.save(rows.select("row", "text", "d").mapInArrow(tidied(suspects), schema), "suspects")
     repeated = found.groupBy("key").agg(F.min("d").alias("first"), F.max("d").alias("last")).where("first < last").select("key", "first")
     repeated = scratch.save(repeated, "repeated")  # so that the join with a frequent line can be split
     lost = found.join(repeated, "key").where("d > first").select("row", "at")
@@ -188,4 +188,4 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).view(pa.string())], names=[id_col, "n_lines", "n_dropped", "kept_text"])
 
     schema = T.StructType([T.StructField(id_col, kind), *T.StructType.fromDDL("n_lines long, n_dropped long, kept_text string")])
-    return rows.select("row", "text", "doc").mapInArrow(apply, schema)
+    return rows.select("row", "text", "doc").mapInArrow(tidied(apply), schema)

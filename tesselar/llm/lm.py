@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, words_of
+from .common import Scratch, tidied, words_of
 
 #: Words clustered by exchange, words broadcast, classes of words seen LEAST_HEAD times, classes of tail words.
 CORE, HEAD, CLASSES, TAILS = 1000, 200_000, 48, 16
@@ -67,7 +67,7 @@ def count_words(texts: DataFrame) -> DataFrame:
     def _pair(held: Counter) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(held.keys()), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "c"])
 
-    return texts.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return texts.mapInArrow(tidied(run), "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def _summed(texts: DataFrame, head, keys) -> DataFrame:
@@ -91,7 +91,7 @@ def _summed(texts: DataFrame, head, keys) -> DataFrame:
         if held:
             yield out()
 
-    return texts.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(tidied(run), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -186,7 +186,7 @@ def _rare_contexts(texts: DataFrame, sent, core_of: np.ndarray) -> DataFrame:
         if held:
             yield out()
 
-    return texts.mapInArrow(run, "word binary, at int, n long")
+    return texts.mapInArrow(tidied(run), "word binary, at int, n long")
 
 
 def _choose(contexts: DataFrame, weight: np.ndarray) -> DataFrame:
@@ -214,7 +214,7 @@ def _choose(contexts: DataFrame, weight: np.ndarray) -> DataFrame:
         if last is not None:
             yield out(pa.array([last], pa.binary()), kept[None])
 
-    return contexts.mapInArrow(run, "word binary, k int")
+    return contexts.mapInArrow(tidied(run), "word binary, k int")
 
 
 def train(texts: DataFrame, scratch: Scratch) -> Words:
@@ -291,7 +291,7 @@ def train(texts: DataFrame, scratch: Scratch) -> Words:
 
         seen = _summed(texts, sent_all, contexts)
         by_word = seen.repartition(n_parts, F.floor(F.col("key") / (2 * CLASSES)))
-        for r in by_word.mapInArrow(choose, "w long, k long").collect():  # a row a head word at most
+        for r in by_word.mapInArrow(tidied(choose), "w long, k long").collect():  # a row a head word at most
             of[r.w] = r.k
 
     rest = counts.where(others)
@@ -352,7 +352,7 @@ def score(docs: DataFrame, train_col: str, id_col: str = "doc_id", text_col: str
             cols = [pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *cols, batch.column(1)], names=schema.names)
 
-    looked = scratch.save(rows.mapInArrow(look_up, schema), "looked")
+    looked = scratch.save(rows.mapInArrow(tidied(look_up), schema), "looked")
     tokens = looked.select("row", F.posexplode(F.arrays_zip("words", "times")).alias("at", "x")).select("row", "at", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
     half, unseen = F.log10(F.col("c") + 0.5), F.log10(F.lit(0.5))
     found = tokens.join(known.others, "word").groupBy("row").agg(
@@ -391,7 +391,7 @@ def score(docs: DataFrame, train_col: str, id_col: str = "doc_id", text_col: str
                 out.append(seq)
             yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(out, pa.binary())], names=names)
 
-    filled = scratch.save(joined.mapInArrow(fill, joined.select(*names).schema), "filled")
+    filled = scratch.save(joined.mapInArrow(tidied(fill), joined.select(*names).schema), "filled")
 
     def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = _END + 1
@@ -404,7 +404,7 @@ def score(docs: DataFrame, train_col: str, id_col: str = "doc_id", text_col: str
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(table[some], pa.int64())], names=["key", "n"])
 
     transitions = np.zeros((_END + 1, _END + 1))
-    for r in filled.where("train").select("seq").mapInArrow(steps, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect():
+    for r in filled.where("train").select("seq").mapInArrow(tidied(steps), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect():
         transitions[r.key // (_END + 1), r.key % (_END + 1)] = r.n
     model = spark.sparkContext.broadcast(Model(transitions, known.tail_words))
 
@@ -417,7 +417,7 @@ def score(docs: DataFrame, train_col: str, id_col: str = "doc_id", text_col: str
                 out.append(s + float(m.step[seq[:-1], seq[1:]].sum()) + float(m.rest[seq[1:-1]].sum()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(out, pa.float64())], names=names[:6])
 
-    return filled.mapInArrow(finish, filled.select(*names[:6]).schema).select(
+    return filled.mapInArrow(tidied(finish), filled.select(*names[:6]).schema).select(
         F.col("doc").alias(id_col),
         F.col("train").alias(train_col),
         "n_tokens",

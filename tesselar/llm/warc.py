@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BLOCK_ROWS, Facts, Numbered, Scratch, opened
+from .common import BLOCK_ROWS, Facts, Numbered, Scratch, opened, tidied
 
 WARC_MEMBER, INDEX_MEMBER = "archive/data.warc.gz", "indexes/index.cdxj"
 _WARCS, _INDEXES = (".warc.gz", ".warc"), (".cdxj", ".cdx", ".cdxj.gz", ".cdx.gz")
@@ -287,7 +287,7 @@ def write_archives(pages: DataFrame, uri: str, id_col: str = "page_id", url_col:
             done.append(out.close())
         yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))], names=["path", "records", "bytes"])
 
-    return rows.mapInArrow(run, "path string, records long, bytes long")
+    return rows.mapInArrow(tidied(run), "path string, records long, bytes long")
 
 
 def index_spans(data: bytes) -> Iterator[tuple[str, int, int]]:
@@ -403,8 +403,8 @@ def read_archives(archives: DataFrame, id_type: T.DataType | None = None) -> Dat
     def _batch(found: list[dict]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([x[n] for x in found], k) for n, k in zip(names, kinds)], names=[c.split()[0] for c in schema.split(", ")])
 
-    ranges = archives.select("path").mapInArrow(locate, "path string, offsets array<long>, lengths array<long>")
-    out = ranges.repartition(int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(fetch, schema)
+    ranges = archives.select("path").mapInArrow(tidied(locate), "path string, offsets array<long>, lengths array<long>")
+    out = ranges.repartition(int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(tidied(fetch), schema)
     if id_type is not None:
         out = out.withColumn("id", F.col("id").cast(id_type)).withColumn("refers_to", F.col("refers_to").cast(id_type))
     return out
