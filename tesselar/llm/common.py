@@ -41,10 +41,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most 500 rows or 4 MB, unless the session has settings of its own: texts are long, and a task holds a batch
-    several times over (in the JVM, on the way, in Python)."""
-    for key, default, ours in (("maxRecordsPerBatch", "10000", "500"), ("maxBytesPerBatch", None, "4m")):
-        key = f"spark.sql.execution.arrow.{key}"
+    """Arrow batches of at most 500 rows or 4 MB, and Parquet batches of 512 rows, unless the session has settings of its own: texts are
+    long, and a task holds a batch several times over (in the JVM, where the bytes of a column are one array, on the way, in Python)."""
+    for key, default, ours in (("execution.arrow.maxRecordsPerBatch", "10000", "500"), ("execution.arrow.maxBytesPerBatch", None, "4m"), ("parquet.columnarReaderBatchSize", "4096", "512")):
+        key = f"spark.sql.{key}"
         if spark.conf.get(key, default) == default or default is None and not spark.sparkContext.getConf().contains(key):
             spark.conf.set(key, ours)
 
