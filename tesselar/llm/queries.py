@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, licenses, lm, warc
+from . import bpe, decontam, divergence, langid, licenses, lm, warc
 from .exact_dedup import exact_dedup
 from .jaccard import jaccard_join
 from .line_dedup import dedup_lines
@@ -144,3 +144,29 @@ k AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
 SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, m.component_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links
 FROM s JOIN m ON s.doc_id = m.doc_id LEFT JOIN k ON s.doc_id = k.a
 """
+
+
+@query
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op13_source_divergence"] = r"""
+WITH d AS (SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+             regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+t AS (SELECT i, lang, source, unnest(ts) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS total FROM t GROUP BY lang, term HAVING count(DISTINCT i) >= 3),
+c AS (SELECT t.lang, t.source, t.term, count(*) AS n FROM t JOIN k ON t.lang = k.lang AND t.term = k.term GROUP BY ALL),
+g AS (SELECT lang, source FROM d GROUP BY ALL),
+n AS (SELECT g.lang, g.source, coalesce(sum(c.n), 0) AS n FROM g LEFT JOIN c ON g.lang = c.lang AND g.source = c.source GROUP BY ALL),
+v AS (SELECT g.lang, count(DISTINCT k.term) AS v FROM g LEFT JOIN k ON g.lang = k.lang GROUP BY ALL),
+l AS (SELECT lang, sum(total) AS n FROM k GROUP BY lang),
+p AS (SELECT n.lang, n.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000 * (coalesce(c.n, 0) + 1)) // (n.n + v.v) AS p, 1 + (1000000000 * (k.total + 1)) // (l.n + v.v) AS q
+      FROM n JOIN v ON n.lang = v.lang JOIN k ON n.lang = k.lang JOIN l ON n.lang = l.lang LEFT JOIN c ON c.lang = n.lang AND c.source = n.source AND c.term = k.term),
+s AS (SELECT a.lang, a.source, b.source AS item, sum(CAST(((a.p - b.p) * (a.p - b.p)) // b.p AS HUGEINT)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+      LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+      UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q)) // q FROM p WHERE n > 0 AND p > q),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM o WHERE part = 'pair' OR rank <= 200
+"""
