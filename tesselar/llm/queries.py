@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, divergence, langid, licenses, lm, warc
+from . import bpe, decontam, divergence, langid, licenses, lm, spelling, warc
 from .exact_dedup import exact_dedup
 from .jaccard import jaccard_join
 from .line_dedup import dedup_lines
@@ -146,6 +146,35 @@ FROM s JOIN m ON s.doc_id = m.doc_id LEFT JOIN k ON s.doc_id = k.a
 """
 
 
+@query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+#: crc32 of text, byte by byte over its hexadecimal form, and the table of the polynomial.
+_CRC = """(WITH RECURSIVE x(b, c, k) AS (SELECT range, range, 0 FROM range(256) UNION ALL SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM x WHERE k < 8)
+  SELECT list(c ORDER BY b) AS tab FROM x WHERE k = 8)"""
+ORACLE["op11_spelling_variants"] = rf"""
+WITH RECURSIVE tab AS MATERIALIZED {_CRC},
+d AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z\x{{C0}}-\x{{FF}}]+') AS rs FROM documents),
+u AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, translate(unnest(rs), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r FROM d),
+o AS (SELECT id, r, count(*) AS n FROM u WHERE length(r) >= 7 GROUP BY ALL),
+h AS (SELECT r, n, hex(encode(id || ':' || r)) AS x, tab FROM o, tab),
+c AS (SELECT r, n, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, length(x), 2), lambda i: CAST('0x' || substr(x, i, 2) AS BIGINT))),
+        lambda s, b: xor(s >> 8, CAST(tab[1 + (xor(s, b) & 255)] AS BIGINT))), 4294967295) AS h FROM h),
+e AS (SELECT CASE WHEN h % 31 = 0 THEN substr(r, 1, h % length(r)) || substr(r, 2 + h % length(r)) ELSE r END AS word, n FROM c),
+w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM e WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+v AS (SELECT word, n, length(word) AS len, unnest(range(1, length(word) + 1)) AS i FROM w),
+g AS (SELECT word, n, len, i, substr(word, 1, i - 1) || substr(word, i + 1) AS s FROM v),
+p AS (SELECT a.word AS a, a.n AS na, b.word AS b, b.n AS nb FROM g a JOIN g b ON a.s = b.s AND a.i = b.i AND a.len = b.len AND a.word <> b.word
+      UNION SELECT g.word, g.n, w.word, w.n FROM g JOIN w ON g.s = w.word UNION SELECT w.word, w.n, g.word, g.n FROM g JOIN w ON g.s = w.word),
+b AS (SELECT a, count(*) AS n_near, first(b ORDER BY nb DESC, b) AS f, max(nb) AS fn FROM p GROUP BY a),
+f AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN fn >= 10 * n THEN f END AS form, CASE WHEN fn >= 10 * n THEN fn END AS form_n FROM w LEFT JOIN b ON w.word = b.a),
+r(word, last) AS (SELECT word, word FROM f UNION ALL SELECT r.word, f.form FROM r JOIN f ON r.last = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, r.last AS root, f.n, f.n_near, f.form_n FROM f JOIN r ON r.word = f.word JOIN f AS z ON z.word = r.last AND z.form IS NULL
+"""
+
+
 @query
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
