@@ -28,8 +28,9 @@ from .common import Scratch, free_name, partitions, tidied
 #: Least number of documents that hold a kept term; ranks of the part ``term``.
 LEAST_DOCS = 3
 TOP = 200
-#: Entries that a task holds before it hands them on, and elements of the arrays of a scan.
-_HELD = 200_000
+#: Entries that a task holds before it hands them on, partial pairs that a scan holds, and elements of its arrays.
+_HELD = 600_000
+_HELD_PAIRS = 200_000
 _PAIRS = 1 << 20
 
 #: Bytes of UTF-8: A-Z lower-cased, other ASCII characters than letters become blanks.
@@ -189,7 +190,7 @@ def _corrections(rows: DataFrame) -> DataFrame:
                     low, high = int(begin[at]), int(right[-1]) + 1
                     add(left[differ] - low, right[differ] - low, group[low:high], p[low:high], zero[low:high])
                 at = to
-                if len(sums) > _HELD:
+                if len(sums) > _HELD_PAIRS:
                     yield out()
                     sums.clear()
         yield out()
