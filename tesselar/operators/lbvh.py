@@ -1,87 +1,212 @@
-"""A linear bounding-volume hierarchy as tables, by grouping on common prefixes.
+"""A spatial index: primitives in Morton order, written once, with boxes of pages and pages of pages, and the binary hierarchy as tables.
 
-Leaves are sorted by code; with ``key = code << 32 | position`` all keys differ. An internal node is a prefix below which both
-next bits occur: a group by (level, prefix), whose aggregate also has its range, split and box. A leaf takes part only down to the
-level at which it parts from its nearer neighbour, so a row is made for each of its ancestors and no more; levels at which the key's bits
-are always 0 are left out.
+The written index is what queries read. Leaves lie in sorted runs, a folder a range of each run (``at``), so that queries read only the
+ranges they can meet. FAN leaves make a page, FAN pages a page of the next level, up to TOP pages; ``traverse`` walks down these levels. A
+batch appended later is a run of its own, searched together with the others, until ``compact`` sorts all runs into one.
+
+The binary hierarchy (``internal_nodes`` and what follows) is that of the keys ``code << 32 | position``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+import math
+import re
 
-from tesselar.operators.order import morton_code, morton_sort
-from tesselar.plans.scratch import save
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
+
+from tesselar.operators import traverse
+from tesselar.operators.hierarchy import radix_nodes
+from tesselar.operators.order import morton_code
+from tesselar.operators.traverse import BITS
+from tesselar.plans.scratch import exclusive_sum, folder, save
 from tesselar.schema import AXES, BOX, canonicalize, require_two
 
+#: Children of a page, pages of the highest level, and runs an index may have before an append compacts it.
+FAN, TOP, RUNS = 1 << BITS, 64, 8
+
+
+class Run:
+    """One sorted run of leaves, and the levels of its pages."""
+
+    def __init__(self, spark: SparkSession, path: str, ranges: list[tuple[int, int, list[float]]], kind: T.DataType):
+        self.spark, self.path, self.ranges, self.kind = spark, path, ranges, kind
+        self.n = sum(n for _, n, _ in ranges)
+        self.height = max(1, math.ceil(math.log(max(self.n, 1) / TOP, FAN)))
+        while -(-self.n // FAN**self.height) > TOP:  # logarithms are rounded
+            self.height += 1
+
+    @classmethod
+    def write(cls, boxes: DataFrame, path: str) -> Run:
+        """Sorts canonical boxes by (code, idx) in ranges, and writes them and their pages."""
+        spark = boxes.sparkSession
+        order = ("code", "idx")
+        rows = morton_code(boxes).repartitionByRange(*order).sortWithinPartitions(*order)
+        row = F.monotonically_increasing_id()
+        rows = rows.select("idx", "code", row.bitwiseAND(F.lit((1 << 33) - 1)).alias("row"), *BOX, F.shiftright(row, 33).cast("int").alias("at"))
+        rows.write.partitionBy("at").parquet(f"{path}/leaves")
+        run = cls._read(spark, path, boxes.schema["idx"].dataType)
+        pages = run.leaves().groupBy(F.shiftright("pos", BITS).alias("page")).agg(F.count(F.lit(1)).alias("n"), *_bounds(), F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx"))
+        pages.write.parquet(f"{path}/pages-1")
+        for level in range(2, run.height + 1):
+            up = run.pages(level - 1).groupBy(F.shiftright("page", BITS).alias("page")).agg(F.sum("n").alias("n"), *_bounds(), F.min("first_idx").alias("first_idx"), F.max("last_idx").alias("last_idx"))
+            up.write.parquet(f"{path}/pages-{level}")
+        return run
+
+    @classmethod
+    def _read(cls, spark: SparkSession, path: str, kind: T.DataType) -> Run:
+        """The ranges of a written run: as many rows as there were partitions."""
+        found = spark.read.schema(_leaf_schema(kind)).parquet(f"{path}/leaves").groupBy("at").agg(F.count(F.lit(1)).alias("n"), *_bounds()).collect()
+        return cls(spark, path, sorted((r["at"], r["n"], [r[c] for c in BOX]) for r in found), kind)
+
+    def leaves(self, ranges: list[int] | None = None) -> DataFrame:
+        """(idx, code, box, pos) of all leaves, or of those in some ranges: only their files are read."""
+        rows = self.spark.read.schema(_leaf_schema(self.kind)).parquet(f"{self.path}/leaves")
+        if ranges is not None:
+            rows = rows.where(F.col("at").isin(ranges))
+        begin, starts = 0, []
+        for at, n, _ in self.ranges:
+            starts.append((at, begin))
+            begin += n
+        starts = F.broadcast(self.spark.createDataFrame(starts, "at int, begin long"))  # a row a range
+        return rows.join(starts, "at").select("idx", "code", *BOX, (F.col("begin") + F.col("row")).alias("pos"))
+
+    def pages(self, level: int) -> DataFrame:
+        """(page, n, box, first_idx, last_idx) of a level, 1 being that above the leaves."""
+        schema = T.StructType([T.StructField("page", T.LongType()), T.StructField("n", T.LongType()), *[T.StructField(c, T.DoubleType()) for c in BOX], T.StructField("first_idx", self.kind), T.StructField("last_idx", self.kind)])
+        return self.spark.read.schema(schema).parquet(f"{self.path}/pages-{level}")
+
+    def meeting(self, centre: tuple[float, float, float], radius: float) -> list[int]:
+        """Ranges whose box the ball meets."""
+        reach = abs(radius) * (1 + 1e-9)
+        return [at for at, _, box in self.ranges if all(box[i] <= c + reach and box[3 + i] >= c - reach for i, c in enumerate(centre))]
+
+
+def _bounds() -> list:
+    return [F.min(f"min_{a}").alias(f"min_{a}") for a in AXES] + [F.max(f"max_{a}").alias(f"max_{a}") for a in AXES]
+
+
+def _leaf_schema(kind: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField("idx", kind), T.StructField("code", T.LongType()), T.StructField("row", T.LongType()), *[T.StructField(c, T.DoubleType()) for c in BOX], T.StructField("at", T.IntegerType())])
+
 
 class SpatialIndex:
-    """The hierarchy of a table of primitives: immutable, with its leaves written once."""
+    """The written index of a table of primitives, in one or more runs."""
 
-    def __init__(self, leaves: DataFrame, n: int):
-        self.leaves, self.n = leaves, n
+    def __init__(self, spark: SparkSession, path: str, runs: list[Run], kind: str, version: int = 0):
+        self.spark, self.path, self.runs, self.kind, self.version = spark, path, runs, kind, version
 
     @classmethod
-    def build(cls, df: DataFrame, kind: str = "points") -> SpatialIndex:
-        """Sorts the primitives; fewer than two raise ValueError."""
-        rows = morton_sort(morton_code(canonicalize(df, kind)))
-        key = F.shiftleft("code", 32).bitwiseOR(F.col("pos"))
-        leaves = save(rows.withColumn("key", key), "leaves")
-        n = leaves.count()
-        require_two(n)
-        if n >= 1 << 32:
-            raise ValueError("keys hold positions up to 2^32; build an index for each part of the scene")
-        return cls(leaves, n)
+    def build(cls, df: DataFrame, kind: str = "points", path: str | None = None) -> SpatialIndex:
+        """Sorts and writes the primitives, under ``path`` if it is to be kept; fewer than two raise ValueError."""
+        index = cls.of(df, kind, path)
+        require_two(index.n)
+        return index
+
+    @classmethod
+    def of(cls, df: DataFrame, kind: str = "points", path: str | None = None) -> SpatialIndex:
+        """As ``build``, of any number of primitives."""
+        home = (path or folder(df.sparkSession, "index")).rstrip("/")
+        index = cls(df.sparkSession, home, [Run.write(canonicalize(df, kind), f"{home}/run-{0:06d}")], kind)
+        if path is not None:
+            index._publish()
+        return index
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> SpatialIndex:
+        """A kept index, with the runs it had when its list was last written."""
+        home = path.rstrip("/")
+        files, at = _files(spark, home)
+        lists = sorted(f.getPath().getName() for f in files.listStatus(at) if re.fullmatch(r"list-\d+", f.getPath().getName()) and files.exists(_files(spark, f"{f.getPath()}/_SUCCESS")[1]))
+        if not lists:
+            raise ValueError(f"no index at {path}")
+        rows = spark.read.parquet(f"{home}/{lists[-1]}").orderBy("run").collect()  # a row a run
+        return cls(spark, home, [Run._read(spark, f"{home}/{r['run']}", T._parse_datatype_string(r["idx"])) for r in rows], rows[0]["kind"], int(lists[-1][5:]) + 1)
+
+    def _publish(self) -> None:
+        """Writes the list of runs: readers see a run once it is in a whole list, and a failed append leaves the list before."""
+        rows = [(r.path.rpartition("/")[2], self.kind, r.kind.simpleString()) for r in self.runs]
+        self.spark.createDataFrame(rows, "run string, kind string, idx string").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/list-{self.version:06d}")
+        self.version += 1
+
+    def append(self, df: DataFrame) -> SpatialIndex:
+        """Adds a batch as a sorted run of its own; what is there is not read, unless there are more than RUNS runs then."""
+        path = f"{self.path}/run-{self._next():06d}"
+        self.runs = [*self.runs, Run.write(canonicalize(df, self.kind), path)]
+        if len(self.runs) > RUNS:
+            return self.compact()
+        self._publish()
+        return self
+
+    def compact(self) -> SpatialIndex:
+        """Sorts all runs into one. The runs before stay for those who still read them, until the folder is removed."""
+        if len(self.runs) > 1:
+            rows = self.runs[0].leaves().select("idx", *BOX)
+            for r in self.runs[1:]:
+                rows = rows.unionByName(r.leaves().select("idx", *BOX))
+            self.runs = [Run.write(rows, f"{self.path}/run-{self._next():06d}")]
+            self._publish()
+        return self
+
+    def _next(self) -> int:
+        """A number no folder has; a run that a failed append left behind keeps its own."""
+        files, at = _files(self.spark, self.path)
+        return 1 + max(int(f.getPath().getName()[4:]) for f in files.listStatus(at) if f.getPath().getName().startswith("run-"))
+
+    @property
+    def n(self) -> int:
+        return sum(r.n for r in self.runs)
 
     def length(self) -> int:
         return self.n
 
+    # ---- queries ---------------------------------------------------------------------------------------------------------
+
+    def radius_search(self, centre: tuple[float, float, float], radius: float) -> DataFrame:
+        """(idx, dist2) within the radius of one centre. Only the files of ranges that the ball meets are read."""
+        return traverse.around(self, centre, radius)
+
+    def radius_join(self, queries: DataFrame, radius: float | str) -> DataFrame:
+        """(q, idx, dist2) for each query point; ``radius`` is a number, or the column of ``queries`` that has each one's own."""
+        return traverse.radius_join(self, queries, radius)
+
+    def knn(self, centre: tuple[float, float, float], k: int) -> DataFrame:
+        """(rank, idx, dist2) of the k nearest to one centre."""
+        one = self.spark.createDataFrame([(0, *map(float, centre))], "idx int, x double, y double, z double")
+        return traverse.knn_join(self, one, k).select("rank", "idx", "dist2")
+
+    def knn_join(self, queries: DataFrame, k: int) -> DataFrame:
+        """(q, rank, idx, dist2): the k nearest primitives of each query point, ties by idx."""
+        return traverse.knn_join(self, queries, k)
+
+    # ---- the binary hierarchy --------------------------------------------------------------------------------------------
+
+    @property
+    def leaves(self) -> DataFrame:
+        """(idx, code, box, pos, key), of an index of one run."""
+        if len(self.runs) > 1:
+            raise ValueError("compact the index first: the hierarchy is over one run")
+        if self.n >= 1 << 32:
+            raise ValueError("keys hold positions up to 2^32; build an index for each part of the scene")
+        return self.runs[0].leaves().withColumn("key", F.shiftleft("code", 32).bitwiseOR(F.col("pos")))
+
     def leaf_nodes(self) -> DataFrame:
         """(node_id, pos, prim_idx, code, box): leaf ids follow those of internal nodes."""
         return self.leaves.select((F.lit(self.n - 1) + F.col("pos")).cast("long").alias("node_id"), "pos", F.col("idx").alias("prim_idx"), "code", *BOX)
 
-    def _levels(self) -> list[int]:
-        low = 63 - max(1, (self.n - 1).bit_length())
-        return [*range(1, 31), *range(low, 63)]
-
     def internal_nodes(self) -> DataFrame:
-        """(node_id, left_id, right_id, first_pos, last_pos, split, level, box)."""
-        # neighbours' keys differ first in the bit at which the nodes of both end; below the lower of these a leaf is alone
-        nxt = self.leaves.select((F.col("pos") - 1).alias("pos"), F.col("key").alias("next"))
-        diff = save(self.leaves.select("pos", "key").join(nxt, "pos").select("pos", F.col("key").bitwiseXOR(F.col("next")).alias("d")), "diff")
-        shared = F.lit(63) - F.length(F.bin("d"))
-        both = diff.select("pos", shared.alias("s")).unionByName(diff.select((F.col("pos") + 1).alias("pos"), shared.alias("s")))
-        deep = both.groupBy("pos").agg(F.max("s").alias("deep"))
-        levels = F.filter(F.array(*[F.lit(v) for v in self._levels()]), lambda v: v <= F.col("deep"))
-        rows = self.leaves.join(deep, "pos").select("pos", "key", *BOX, F.explode(levels).alias("lv"))
-        rows = rows.withColumn("pre", F.expr("shiftright(key, 63 - lv)")).withColumn("bit", F.expr("shiftright(key, 62 - lv) & 1"))
-        nodes = rows.groupBy("lv", "pre").agg(
-            F.min("pos").alias("first_pos"),
-            F.max("pos").alias("last_pos"),
-            F.max(F.when(F.col("bit") == 0, F.col("pos"))).alias("split"),
-            F.max("bit").alias("ones"),
-            *[F.min(f"min_{a}").alias(f"min_{a}") for a in AXES],
-            *[F.max(f"max_{a}").alias(f"max_{a}") for a in AXES],
-        )
-        nodes = nodes.where(F.col("split").isNotNull() & (F.col("ones") == 1))
-        # the bits in which neighbours differ decide at which end of its range a node has its id
-        down = diff.select(F.col("pos").alias("last_pos"), F.col("d").alias("dn"))
-        up = diff.select((F.col("pos") + 1).alias("first_pos"), F.col("d").alias("up"))
-        nodes = nodes.join(down, "last_pos", "left").join(up, "first_pos", "left")
-        at_last = F.col("dn").isNotNull() & (F.col("up").isNull() | (F.col("dn") < F.col("up")))
-        node_id = F.when(at_last, F.col("last_pos")).otherwise(F.col("first_pos"))
-        leaf = F.lit(self.n - 1).cast("long")
-        left = F.when(F.col("split") == F.col("first_pos"), leaf + F.col("split")).otherwise(F.col("split"))
-        right = F.when(F.col("split") + 1 == F.col("last_pos"), leaf + F.col("split") + 1).otherwise(F.col("split") + 1)
-        return nodes.select(node_id.alias("node_id"), left.alias("left_id"), right.alias("right_id"), "first_pos", "last_pos", "split", F.col("lv").alias("level"), *BOX)
+        """(node_id, left_id, right_id, first_pos, last_pos, split, level, box), made once an index."""
+        if getattr(self, "_made", None) is None or self._made[0] != self.runs[0].path:
+            self._made = self.runs[0].path, radix_nodes(self.leaves, self.n)
+        return self._made[1]
 
     def nodes(self, relative: bool = False) -> DataFrame:
         """All nodes; a leaf has no children and a prim_idx. With ``relative`` child ids are offsets from the node's own."""
         inner = self.internal_nodes()
         child = [(F.col(c) - F.col("node_id")).alias(c) if relative else F.col(c) for c in ("left_id", "right_id")]
-        idx = self.leaves.schema["idx"].dataType
-        inner = inner.select("node_id", *child, F.lit(None).cast(idx).alias("prim_idx"), "first_pos", "last_pos", F.lit(False).alias("is_leaf"), *BOX)
+        inner = inner.select("node_id", *child, F.lit(None).cast(self.runs[0].kind).alias("prim_idx"), "first_pos", "last_pos", F.lit(False).alias("is_leaf"), *BOX)
         none = F.lit(None).cast("long")
         leaf = self.leaf_nodes().select("node_id", none.alias("left_id"), none.alias("right_id"), "prim_idx", F.col("pos").alias("first_pos"), F.col("pos").alias("last_pos"), F.lit(True).alias("is_leaf"), *BOX)
         return inner.unionByName(leaf)
@@ -89,7 +214,7 @@ class SpatialIndex:
     def parents(self) -> DataFrame:
         """(child_id, parent_id); the root, node 0, is its own parent."""
         inner = self.internal_nodes().select("node_id", F.explode(F.array("left_id", "right_id")).alias("child_id"))
-        root = self.leaves.sparkSession.range(1).select(F.lit(0).cast("long").alias("child_id"), F.lit(0).cast("long").alias("parent_id"))
+        root = self.spark.range(1).select(F.lit(0).cast("long").alias("child_id"), F.lit(0).cast("long").alias("parent_id"))
         return inner.select("child_id", F.col("node_id").alias("parent_id")).unionByName(root)
 
     def children(self) -> DataFrame:
@@ -104,13 +229,21 @@ class SpatialIndex:
         return nodes.join(union, "node_id").select("node_id", "n_children", same.alias("covers"))
 
     def depths(self) -> DataFrame:
-        """(node_id, depth) of all nodes: pointers to ancestors double their reach in each round."""
-        up = self.parents().where("child_id <> 0").select(F.col("child_id").alias("node_id"), F.col("parent_id").alias("anc"), F.lit(1).cast("long").alias("depth"))
-        up = save(up, "up")
-        while not up.where("anc <> 0").isEmpty():
-            far = up.select(F.col("node_id").alias("anc"), F.col("anc").alias("anc2"), F.col("depth").alias("more"))
-            open_, done = up.where("anc <> 0"), up.where("anc = 0")
-            step = open_.join(far, "anc").select("node_id", F.col("anc2").alias("anc"), (F.col("depth") + F.col("more")).alias("depth"))
-            up = save(step.unionByName(done), "up")
-        root = up.sparkSession.range(1).select(F.lit(0).cast("long").alias("node_id"), F.lit(0).cast("long").alias("depth"))
-        return up.select("node_id", "depth").unionByName(root)
+        """(node_id, depth) of all nodes. A leaf's depth is the number of ranges over it, a prefix sum of ranges that begin and end; a
+        node's is that of its first leaf, less the nodes from it down to that leaf, all of which begin where it does."""
+        inner = self.internal_nodes().select("node_id", "first_pos", "last_pos")
+        zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+        events = self.leaves.select("pos", zero.alias("begin"), zero.alias("end")).unionByName(inner.select(F.col("first_pos").alias("pos"), one.alias("begin"), zero.alias("end")))
+        events = events.unionByName(inner.select(F.col("last_pos").alias("pos"), zero.alias("begin"), one.alias("end")))
+        events = events.groupBy("pos").agg(F.sum("begin").alias("begin"), (F.sum("begin") - F.sum("end")).alias("open"))
+        above = exclusive_sum(events, ["pos"], "open", "above").select("pos", "begin", "above")
+        above = save(above, "above")
+        leaf = above.select((F.lit(self.n - 1) + F.col("pos")).cast("long").alias("node_id"), (F.col("above") + F.col("begin")).alias("depth"))
+        rank = F.row_number().over(Window.partitionBy("first_pos").orderBy(F.desc("last_pos"))) - 1  # as many as a key has bits at most
+        inner = inner.join(above.withColumnRenamed("pos", "first_pos"), "first_pos").select("node_id", (F.col("above") + rank).cast("long").alias("depth"))
+        return inner.unionByName(leaf)
+
+
+def _files(spark: SparkSession, at: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tesselar.functions.morton import HASH_FACTOR, MASK32, SPREAD
 from tesselar.operators import kernels, marching, order, search, tsdf, voxels
 from tesselar.operators.lbvh import SpatialIndex
-from tesselar.plans.scratch import with_position
+from tesselar.plans.scratch import folder, with_position
 from tesselar.schema import BOX, canonicalize
 from tesselar.sources import generate, ply, views
 from tesselar.streaming import incremental
@@ -129,6 +129,39 @@ def knn_join_boxes(spark, sf):
     return search.knn_join(views.emb(spark, sf), views.tri(spark, sf), 3, "triangles")
 
 
+# ---- a written index that is searched --------------------------------------------------------------------------------------
+
+CUST = "cust AS (SELECT c_custkey AS idx, CAST(c_acctbal AS DOUBLE) / 100.0::DOUBLE AS x, CAST(c_custkey % 100 AS DOUBLE) AS y, CAST(c_nationkey * 4 AS DOUBLE) AS z FROM customer)"
+OWN = "0.05::DOUBLE + CAST(a.idx % 8 AS DOUBLE) * 0.01::DOUBLE"
+
+
+@query(f"WITH {EMB} SELECT a.idx AS q, b.idx AS idx, {PAIR_D2} AS dist2 FROM emb a JOIN emb b ON {PAIR_D2} <= ({OWN}) * ({OWN})")
+def radius_join_index(spark, sf):
+    """A radius of its own for each query."""
+    pts = views.emb(spark, sf)
+    return SpatialIndex.build(pts).radius_join(pts.withColumn("r", F.lit(0.05) + (F.col("idx") % 8).cast("double") * F.lit(0.01)), "r")
+
+
+@query(f"WITH {ORD}, {CUST}, d AS (SELECT a.idx AS q, b.idx AS idx, {PAIR_D2} AS dist2 FROM cust a, ord b), r AS (SELECT q, row_number() OVER (PARTITION BY q ORDER BY dist2, idx) AS rank, idx, dist2 FROM d) SELECT * FROM r WHERE rank <= 7")
+def knn_join_index(spark, sf):
+    return SpatialIndex.build(views.ord(spark, sf)).knn_join(views.customers(spark, sf), 7)
+
+
+@query(f"WITH {BOXES}, {CUST}, d AS (SELECT c.idx AS q, b.idx AS idx, {_box_d2('c.x', 'c.y', 'c.z')} AS dist2 FROM cust c, box b), r AS (SELECT q, row_number() OVER (PARTITION BY q ORDER BY dist2, idx) AS rank, idx, dist2 FROM d) SELECT * FROM r WHERE rank <= 3")
+def knn_join_appended(spark, sf):
+    """Boxes that came in three batches: a build and two appends."""
+    boxes, kept = views.box(spark, sf), folder(spark, "kept-index")
+    part = lambda i: boxes.where(F.col("idx") % 3 == i)
+    SpatialIndex.build(part(0), "boxes", kept)
+    SpatialIndex.open(spark, kept).append(part(1)).append(part(2))
+    return SpatialIndex.open(spark, kept).knn_join(views.customers(spark, sf), 3)
+
+
+@query(f"WITH {BOXES}, d AS (SELECT idx, {_box_d2('25.0::DOUBLE', '5.0::DOUBLE', '20.0::DOUBLE')} AS dist2 FROM box) SELECT idx, dist2 FROM d WHERE dist2 <= 4.0")
+def radius_search_index(spark, sf):
+    return SpatialIndex.build(views.box(spark, sf), "boxes").radius_search((25.0, 5.0, 20.0), 2.0)
+
+
 # ---- primitives ------------------------------------------------------------------------------------------------------------
 
 
@@ -269,6 +302,32 @@ def lbvh_depth(spark, sf):
     return _index(spark, sf).depths()
 
 
+def _tree_sql(src: str) -> str:
+    """The internal nodes over a view of boxes (idx, min_x .. max_z), whose scene and codes are taken here."""
+    lo_hi = ", ".join(f"min(min_{a}) AS lo_{a}, max(max_{a}) AS hi_{a}" for a in "xyz")
+    unit = ", ".join(f"CAST(floor(least(greatest((((min_{a} + max_{a}) * 0.5::DOUBLE - lo_{a}) / greatest(hi_{a} - lo_{a}, 1e-8::DOUBLE)) * 1024.0::DOUBLE, 0.0::DOUBLE), 1023.0::DOUBLE)) AS BIGINT) AS m{a}" for a in "xyz")
+    box = ", ".join(f"{f}({f}_{a}) AS {f}_{a}" for f in ("min", "max") for a in "xyz")
+    return f"""gb AS (SELECT {lo_hi} FROM {src}), s0 AS (SELECT {src}.*, {unit} FROM {src}, gb), {_STEPS.replace("SELECT idx,", "SELECT * REPLACE (").replace(" FROM s", ") FROM s")},
+leaf AS (SELECT *, row_number() OVER (ORDER BY (mx << 2) | (my << 1) | mz, idx) - 1 AS pos FROM s4), keyed AS (SELECT *, (((mx << 2) | (my << 1) | mz) << 32) | pos AS key FROM leaf),
+diff AS (SELECT pos, xor(key, lead(key) OVER (ORDER BY pos)) AS dn, xor(key, lag(key) OVER (ORDER BY pos)) AS up FROM keyed), total AS (SELECT count(*) AS n FROM leaf),
+g AS (SELECT lv, key >> CAST(63 - lv AS INTEGER) AS pre, min(pos) AS first_pos, max(pos) AS last_pos, max(pos) FILTER (WHERE (key >> CAST(62 - lv AS INTEGER)) & 1 = 0) AS split,
+        max((key >> CAST(62 - lv AS INTEGER)) & 1) AS ones, {box} FROM keyed, range(0, 63) r(lv) GROUP BY 1, 2)
+SELECT CASE WHEN dl.dn IS NOT NULL AND (df.up IS NULL OR dl.dn < df.up) THEN last_pos ELSE first_pos END AS node_id,
+       CASE WHEN split = first_pos THEN n - 1 + split ELSE split END AS left_id, CASE WHEN split + 1 = last_pos THEN n + split ELSE split + 1 END AS right_id,
+       first_pos, last_pos, split, CAST(lv AS INTEGER) AS level, {_BOXES}
+FROM g JOIN diff dl ON dl.pos = last_pos JOIN diff df ON df.pos = first_pos, total WHERE split IS NOT NULL AND ones = 1"""
+
+
+@query(f"WITH {BOXES}, {_tree_sql('box')}")
+def lbvh_nodes_boxes(spark, sf):
+    return SpatialIndex.build(views.box(spark, sf), "boxes").internal_nodes()
+
+
+@query(f"WITH {TRIS}, {_tree_sql('tri')}")
+def lbvh_nodes_triangles(spark, sf):
+    return SpatialIndex.build(views.tri(spark, sf), "triangles").internal_nodes()
+
+
 # ---- voxels ----------------------------------------------------------------------------------------------------------------
 
 _V = f"{LINE}, v AS ({_voxel(1.0, 'line')}), vox AS (SELECT kx, ky, kz, {KEY_SQL} AS key, count(*) AS cnt FROM v GROUP BY kx, ky, kz)"

@@ -26,6 +26,12 @@ def ord(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(F.col("o_orderkey").alias("idx"), (F.col("o_totalprice").cast("double") / 5000.0).alias("x"), (F.col("o_custkey") % 100).cast("double").alias("y"), (F.col("o_orderkey") % 100).cast("double").alias("z"))
 
 
+def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Query points."""
+    c = table(spark, sf_dir, "customer")
+    return c.select(F.col("c_custkey").alias("idx"), (F.col("c_acctbal").cast("double") / 100.0).alias("x"), (F.col("c_custkey") % 100).cast("double").alias("y"), (F.col("c_nationkey") * 4).cast("double").alias("z"))
+
+
 def line(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A cloud without unique ids."""
     li = table(spark, sf_dir, "lineitem")

@@ -4,7 +4,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tesselar.operators import search
+from tesselar.operators import search, traverse
+from tesselar.operators.lbvh import SpatialIndex
 
 PT = "idx long, x double, y double, z double"
 
@@ -128,14 +129,18 @@ def test_knn_join_of_boxes_and_triangles(spark):
     assert sorted((x.q, x["rank"], x.idx) for x in got) == [(0, 1, 4), (0, 2, 3), (1, 1, 0), (1, 2, 1)]
 
 
+def candidates(index, qs, k):
+    """Leaves that a k-nearest search compares with its queries."""
+    q = search.points(qs).selectExpr("idx as q", "x as qx", "y as qy", "z as qz")
+    return traverse._leaves(index, traverse._descend(index, q, traverse.nearest_first(k))).count()
+
+
 @pytest.mark.parametrize("n", [1000, 4000])
 def test_one_far_point_leaves_few_candidates(spark, n):
     r = random.Random(n)
     pts = [tuple(r.random() for _ in range(3)) for _ in range(n)] + [(1e5, 0.0, 0.0)]
-    df, k = search.points(cloud(spark, pts)), 5
-    q = df.selectExpr("idx as q", "x as qx", "y as qy", "z as qz")
-    bounded = search._bounded(q, df, k, "points")
-    assert search._candidates(bounded, df, "points").count() < 100 * k * len(pts)
+    df, k = cloud(spark, pts), 5
+    assert candidates(SpatialIndex.build(df), df, k) < 100 * k * len(pts)
     got = search.knn_join(df, df, k).where("q % 97 = 0").collect()
     assert {x.q for x in got} >= {0, 97, 194}
     for i in {x.q for x in got}:
@@ -143,11 +148,28 @@ def test_one_far_point_leaves_few_candidates(spark, n):
         assert [x.idx for x in sorted(got, key=lambda x: x["rank"]) if x.q == i] == want
 
 
-def test_one_large_box_is_in_few_cells(spark):
+def test_duplicates_and_far_queries_have_few_candidates(spark):
+    """As many primitives again leave the number of candidates a query as it is, whether all are equal or all are far away."""
+    k, page = 5, 32
+    for n in (1500, 6000):
+        same = cloud(spark, [(1, 2, 3)] * n)
+        index = SpatialIndex.build(same)
+        assert candidates(index, same.where("idx in (0, 49, 1451)"), k) <= 3 * 2 * page
+        got = index.knn_join(same.where("idx < 50"), k)
+        assert got.where("rank <> idx + 1 or dist2 <> 0").count() == 0 and got.count() == 50 * k
+        r = random.Random(n)
+        cluster = cloud(spark, [tuple(r.random() for _ in range(3)) for _ in range(n)])
+        far = cloud(spark, [(1e4 + 50 * i, -3e4, 7.0 * i) for i in range(40)])
+        assert candidates(SpatialIndex.build(cluster), far, k) <= 40 * 12 * page
+
+
+def test_one_large_box_is_in_few_pages(spark):
     rows = [(0, -1e4, -1e4, -1e4, 1e4, 1e4, 1e4)] + [(i, i / 10, 0.0, 0.0, i / 10 + 0.01, 0.01, 0.01) for i in range(1, 200)]
     qs = [(x / 7, 0.05, 0.0) for x in range(60)]
     b, q = boxes_of(spark, rows), cloud(spark, qs)
+    index = SpatialIndex.build(b, "boxes")
     asked = search.points(q).selectExpr("idx as q", "x as qx", "y as qy", "z as qz", "0.01D as b2")
-    assert search._candidates(asked, search.canonicalize(b, "boxes").select("idx", *search.BOX), "boxes", 0.1).count() < 60 * 40
+    front = traverse._descend(index, asked, lambda rows: rows.where(traverse.nearest([F.col("qx"), F.col("qy"), F.col("qz")]) <= F.col("b2")))
+    assert traverse._leaves(index, front).count() <= 60 * 5 * 32  # few of the pages that have the large box or lie near
     got = sorted((x.q, x.idx) for x in search.radius_join(q, b, 0.1, "boxes").collect())
     assert got == sorted((i, x[0]) for i, p in enumerate(qs) for x in rows if box_d2(p, x) <= 0.1 * 0.1)
