@@ -30,9 +30,10 @@ WIDTH, BANDS = 6, 42
 SLOTS = WIDTH * BANDS
 #: Most of the 128 bits in which a linked pair may differ.
 MOST = 34
-#: Rounds with one hub a bucket; partners of a hub, and classes of a bucket, that one task compares at a time.
+#: Rounds with one hub a bucket; partners of a hub that one task compares; shingles of either side of a unit.
 ROUNDS = 3
 PORTION = 500
+SHINGLES = 300_000
 #: Shingles whose signatures are made at a time.
 _ELEMENTS = 40_000
 _LOW, _ONE = np.uint64(0xFFFFFFFF), np.uint64(32)
@@ -145,6 +146,13 @@ def _hubs(entries: DataFrame, salt: int, percent: int) -> DataFrame:
     return entries.join(best, "key").where((F.col("comp") != F.col("comp2")) & _likely(percent)).select("hub", "class").distinct()
 
 
+def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets are similar enough."""
+    few, more = (a, b) if len(a) < len(b) else (b, a)
+    shared = int((more[np.minimum(np.searchsorted(more, few), len(more) - 1)] == few).sum())
+    return 100 * shared >= percent * (len(a) + len(b) - shared)
+
+
 def _confirmed(pairs: DataFrame, held: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """(a, b) of the pairs (hub, class) that are linked, by their full sets."""
     pairs = scratch.save(pairs, "pairs")
@@ -164,10 +172,7 @@ def _confirmed(pairs: DataFrame, held: DataFrame, percent: int, scratch: Scratch
                     at, head = (hub, portion), s
                     continue
                 assert at == (hub, portion)
-                few, more = (s, head) if len(s) < len(head) else (head, s)
-                place = np.searchsorted(more, few)
-                shared = int((more[np.minimum(place, len(more) - 1)] == few).sum())
-                if 100 * shared >= percent * (len(s) + len(head) - shared):
+                if linked(s, head, percent):
                     a.append(hub), b.append(other)
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -176,53 +181,96 @@ def _confirmed(pairs: DataFrame, held: DataFrame, percent: int, scratch: Scratch
     return scratch.save(both.mapInArrow(tidied(run), "a long, b long"), "confirmed")
 
 
-def _apart(entries: DataFrame, percent: int) -> DataFrame:
-    """(hub, class): all pairs of a bucket that are not joined and may be linked.
+def _apart(entries: DataFrame, members: DataFrame, held: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(a, b): links between classes of a bucket that are not joined, enough of them to join what all of them join.
 
     The largest component of a bucket is compared with the others, and these with one another. The others (hubs) and all classes are
-    dealt to portions; a task gets one portion of either kind.
+    dealt to portions, and a unit gets one portion of either kind. Units find by bits which pairs to look at, a pair only in the first band
+    it shares; then the sets of these classes are sent to the unit once, whatever the number of pairs.
     """
-    sizes = entries.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("k"))
+    sizes = entries.groupBy("key", "comp").agg(F.sum("n").alias("k"))
     most = sizes.groupBy("key").agg(F.max(F.struct("k", "comp"))["comp"].alias("largest"), F.sum("k").alias("all"), F.max("k").alias("k"))
-    rows = entries.join(most, "key").withColumn("is_hub", F.col("comp") != F.col("largest"))
-    portions = lambda c: F.ceil(c / PORTION).cast("long")
+    rows = entries.join(most, "key").withColumn("minor", F.col("comp") != F.col("largest"))
+    rows = rows.join(members.select("class", "bands"), "class")
+    portions = lambda c: F.ceil(c / SHINGLES).cast("long")
     p, q = portions(F.col("all") - F.col("k")), portions(F.col("all"))
     turn = lambda n: F.pmod(F.xxhash64("class"), n)
-    last = F.explode(F.sequence(F.lit(0).cast("long"), q - 1))
-    cols = ["key", "class", "n", "low", "high", "comp"]
-    hubs = rows.where("is_hub").select(*cols, turn(p).alias("i"), last.alias("j"), F.lit(True).alias("is_hub"))
+    cols = ["key", "class", "n", "low", "high", "comp", "minor", "bands"]
+    hubs = rows.where("minor").select(*cols, turn(p).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), q - 1)).alias("j"), F.lit(True).alias("is_hub"))
     rest = rows.select(*cols, F.explode(F.sequence(F.lit(0).cast("long"), p - 1)).alias("i"), turn(q).alias("j"), F.lit(False).alias("is_hub"))
 
-    def pairs(hubs: list[tuple], rest: list[tuple]) -> pa.RecordBatch:
-        x, y = np.array(hubs, np.int64).reshape(-1, 5), np.array(rest, np.int64).reshape(-1, 5)
-        a, b = [], []
-        for row in x:  # (class, n, low, high, comp)
+    def pairs(unit: int, key: int, hubs: list[tuple], rest: list[tuple]) -> pa.RecordBatch | None:
+        """Rows (unit, class, comp) of the classes to compare, and (unit, class, comp, others) of the pairs."""
+        x, y = (np.array([r[:6] for r in side], np.int64) for side in (hubs, rest))  # class, n, low, high, comp, minor
+        kx, ky = (np.frombuffer(b"".join(r[6] for r in side), np.int64).reshape(len(side), -1) for side in (hubs, rest))
+        found, comp = {}, {}
+        for row, mine in zip(x, kx):
             differ = np.bitwise_count((y[:, 2:4] ^ row[2:4]).view(np.uint64)).sum(1)  # of signed numbers it would count the bits of the absolute value
             near = (differ <= MOST) & (y[:, 4] != row[4]) & (100 * np.minimum(y[:, 1], row[1]) >= percent * np.maximum(y[:, 1], row[1]))
-            other = y[near, 0]
-            a.append(np.full(len(other), row[0])), b.append(other)
-        a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b))
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["hub", "class"])
+            near &= (y[:, 5] == 0) | (y[:, 0] > row[0])  # pairs of hubs once
+            at = np.flatnonzero(near)
+            first = (ky[at] == mine).argmax(1)
+            at = at[mine[first] == key]
+            if len(at):
+                found[int(row[0])] = y[at, 0].tolist()
+                comp[int(row[0])] = int(row[4])
+                comp.update(zip(y[at, 0].tolist(), y[at, 4].tolist()))
+        if not found:
+            return None
+        names = [*comp, *found]
+        others = pa.array([*[None] * len(comp), *found.values()], pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.array([unit] * len(names), pa.int64()), pa.array(names, pa.int64()), pa.array([comp[c] for c in names], pa.int64()), others], names=["unit", "class", "comp", "others"])
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, key, hubs, rest = None, None, [], []
+        for batch in batches:
+            for u, k, is_hub, *row in zip(*(batch.column(c).to_pylist() for c in ("unit", "key", "is_hub", "class", "n", "low", "high", "comp", "minor", "bands"))):
+                if u != unit:
+                    if hubs and rest and (out := pairs(unit, key, hubs, rest)) is not None:
+                        yield out
+                    unit, key, hubs, rest = u, k, [], []
+                (hubs if is_hub else rest).append(tuple(row))
+        if hubs and rest and (out := pairs(unit, key, hubs, rest)) is not None:
+            yield out
+
+    n = partitions(entries.sparkSession)
+    both = hubs.unionByName(rest).withColumn("unit", F.xxhash64("key", "i", "j")).drop("i", "j")
+    near = scratch.save(both.repartition(n, "unit").sortWithinPartitions("unit", "key").mapInArrow(tidied(look), "unit long, class long, comp long, others array<long>"), "near")
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, sets, comp, parent = None, {}, {}, {}
+
+        def find(c: int) -> int:
+            while parent.setdefault(c, c) != c:
+                c = parent[c]
+            return c
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, hubs, rest = None, [], []
         for batch in batches:
-            for key, i, j, is_hub, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j", "is_hub", "class", "n", "low", "high", "comp"))):
-                if (key, i, j) != unit:
-                    if hubs and rest:
-                        yield pairs(hubs, rest)
-                    unit, hubs, rest = (key, i, j), [], []
-                (hubs if is_hub else rest).append(row)
-        if hubs and rest:
-            yield pairs(hubs, rest)
+            a, b = [], []
+            for u, name, own, others, data in zip(*(batch.column(c).to_pylist() for c in ("unit", "class", "comp", "others", "data"))):
+                if u != unit:
+                    unit, sets, comp, parent = u, {}, {}, {}
+                if others is None:  # a unit's sets come first
+                    sets[name], comp[name] = np.frombuffer(data, np.uint64), own
+                    continue
+                for other in others:
+                    x, y = find(own), find(comp[other])
+                    if x != y and linked(sets[name], sets[other], percent):
+                        parent[x] = y
+                        a.append(name), b.append(other)
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    both = hubs.unionByName(rest).repartition(partitions(entries.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return both.mapInArrow(tidied(run), "hub long, class long").distinct()
+    wanted = near.where("others is null").join(held.select("class", "data"), "class").select("unit", "class", "comp", "others", "data")
+    rows = near.where("others is not null").withColumn("data", F.lit(None).cast("binary")).unionByName(wanted)
+    rows = rows.withColumn("is_pairs", F.col("others").isNotNull()).repartition(n, "unit").sortWithinPartitions("unit", "is_pairs").drop("is_pairs")
+    return scratch.save(rows.mapInArrow(tidied(confirm), "a long, b long"), "confirmed")
 
 
-def _links(entries: DataFrame, numbered: Numbered, rows: DataFrame, size: int, percent: int) -> DataFrame:
+def _links(members: DataFrame, numbered: Numbered, rows: DataFrame, size: int, percent: int) -> DataFrame:
     """(node, root) of the classes that links join."""
     scratch = numbered.scratch
+    entries = scratch.save(_entries(members), "bands")
     shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("key")
     entries = scratch.save(entries.join(shared, "key"), "shared")
     wanted = entries.select(F.col("class").alias("row")).distinct().withColumn("size", F.lit(1).cast("long"))
@@ -230,8 +278,7 @@ def _links(entries: DataFrame, numbered: Numbered, rows: DataFrame, size: int, p
     found, edges = None, None
     now = entries.withColumn("comp", F.col("class"))
     for step in range(ROUNDS + 1):
-        pairs = _hubs(now, step, percent) if step < ROUNDS else _apart(now, percent)
-        new = _confirmed(pairs, held, percent, scratch)
+        new = _confirmed(_hubs(now, step, percent), held, percent, scratch) if step < ROUNDS else _apart(now, members, held, percent, scratch)
         edges = new if edges is None else edges.unionByName(new)
         found = scratch.save(components(edges, scratch), "joined")
         if step < ROUNDS:
@@ -262,7 +309,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = sets.where("n > 0").groupBy("digest").agg(F.min("row").alias("class"), F.min("doc").alias("first"), F.count(F.lit(1)).alias("size"))
     classes = scratch.save(classes, "classes")
     members = described.join(classes.select(F.col("class").alias("row")), "row").withColumnRenamed("row", "class")
-    joined = _links(scratch.save(_entries(members), "bands"), numbered, rows, size, percent)
+    joined = _links(scratch.save(members, "members"), numbered, rows, size, percent)
 
     known = classes.join(joined, classes["class"] == joined.node, "left").where("root is not null or size > 1")
     known = scratch.save(known.select("digest", "first", F.coalesce("root", "class").alias("component")), "known")
