@@ -119,18 +119,34 @@ def _described(rows: DataFrame, size: int) -> DataFrame:
     return rows.mapInArrow(tidied(run), "row long, n long, digest binary, low long, high long, bands binary")
 
 
-def _entries(members: DataFrame) -> DataFrame:
-    """(key, class, n, low, high), a row for each band of a class."""
+def _shared(members: DataFrame) -> DataFrame:
+    """(key, class) of the buckets with several classes. Rows are sorted by key and streamed: of a bucket only its first class is held, until
+    a second one shows."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                keys = np.frombuffer(b"".join(part.column(4).to_pylist()), np.int64)
-                again = pa.array(np.repeat(np.arange(part.num_rows), BANDS))
-                yield pa.RecordBatch.from_arrays([pa.array(keys), *(part.column(i).take(again) for i in range(4))], names=["key", "class", "n", "low", "high"])
+                keys = np.frombuffer(b"".join(part.column(1).to_pylist()), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(part.column(0).to_numpy(), BANDS))], names=["key", "class"])
 
-    return members.select("class", "n", "low", "high", "bands").mapInArrow(tidied(run), "key long, class long, n long, low long, high long")
+    def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, gone = None, False  # the last row, and whether it has been handed on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, name = (batch.column(i).to_numpy() for i in (0, 1))
+            if last is not None:
+                key, name = np.r_[last[0], key], np.r_[last[1], name]
+            same = key[1:] == key[:-1]
+            keep = np.r_[same, False] | np.r_[False, same]
+            last, kept = (key[-1], name[-1]), bool(keep[-1])
+            keep[0] &= not gone
+            gone = kept
+            yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(name[keep])], names=["key", "class"])
+
+    rows = members.select("class", "bands").mapInArrow(tidied(spread), "key long, class long")
+    return rows.repartition(partitions(members.sparkSession), "key").sortWithinPartitions("key").mapInArrow(tidied(several), "key long, class long")
 
 
 def _likely(percent: int) -> Column:
@@ -140,10 +156,12 @@ def _likely(percent: int) -> Column:
 
 
 def _hubs(entries: DataFrame, salt: int, percent: int) -> DataFrame:
-    """(hub, class) pairs to be compared: in each bucket every class with the one whose hash is least. ``comp``: what is joined already."""
+    """(hub, class) pairs to be compared, one a class: the class whose hash is least is a bucket's hub, and of the hubs of its buckets a class
+    meets the one it shares most of them with. ``comp``: what is joined already."""
     best = entries.groupBy("key").agg(F.min(F.struct(F.xxhash64("class", F.lit(salt)), F.col("class"), F.col("n").alias("m"), F.col("low").alias("low2"), F.col("high").alias("high2"), F.col("comp").alias("comp2"))).alias("hub"))
     best = best.select("key", F.col("hub.class").alias("hub"), "hub.m", "hub.low2", "hub.high2", "hub.comp2")
-    return entries.join(best, "key").where((F.col("comp") != F.col("comp2")) & _likely(percent)).select("hub", "class").distinct()
+    met = entries.join(best, "key").where((F.col("comp") != F.col("comp2")) & _likely(percent)).groupBy("hub", "class").agg(F.count(F.lit(1)).alias("k"))
+    return met.groupBy("class").agg(F.max(F.struct("k", "hub"))["hub"].alias("hub")).select("hub", "class")
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -270,9 +288,8 @@ def _apart(entries: DataFrame, members: DataFrame, held: DataFrame, percent: int
 def _links(members: DataFrame, numbered: Numbered, rows: DataFrame, size: int, percent: int) -> DataFrame:
     """(node, root) of the classes that links join."""
     scratch = numbered.scratch
-    entries = scratch.save(_entries(members), "bands")
-    shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("key")
-    entries = scratch.save(entries.join(shared, "key"), "shared")
+    shared = scratch.save(_shared(members), "shared")
+    entries = scratch.save(shared.join(members.select("class", "n", "low", "high"), "class"), "entries")
     wanted = entries.select(F.col("class").alias("row")).distinct().withColumn("size", F.lit(1).cast("long"))
     held = scratch.save(_sets(rows, numbered.facts(wanted, F.shiftright("row", BLOCK_ROWS)), size), "held")
     found, edges = None, None
@@ -309,7 +326,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = sets.where("n > 0").groupBy("digest").agg(F.min("row").alias("class"), F.min("doc").alias("first"), F.count(F.lit(1)).alias("size"))
     classes = scratch.save(classes, "classes")
     members = described.join(classes.select(F.col("class").alias("row")), "row").withColumnRenamed("row", "class")
-    joined = _links(scratch.save(members, "members"), numbered, rows, size, percent)
+    members = scratch.save(members, "members")
+    scratch.drop(described)
+    joined = _links(members, numbered, rows, size, percent)
 
     known = classes.join(joined, classes["class"] == joined.node, "left").where("root is not null or size > 1")
     known = scratch.save(known.select("digest", "first", F.coalesce("root", "class").alias("component")), "known")
