@@ -176,9 +176,9 @@ def _confirmed(pairs: DataFrame, held: DataFrame, percent: int, scratch: Scratch
     pairs = scratch.save(pairs, "pairs")
     many = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / PORTION).alias("portions"))
     dealt = pairs.join(many, "hub").withColumn("portion", F.pmod(F.xxhash64("class"), F.col("portions")))
-    sets = held.select("class", "data")
-    partners = dealt.join(sets, "class").select("hub", "portion", "class", "data")
-    heads = dealt.select("hub", "portion").distinct().join(sets.withColumnRenamed("class", "hub"), "hub").select("hub", "portion", F.lit(None).cast("long").alias("class"), "data")
+    head = F.lit(None).cast("long").alias("class")
+    sent = dealt.select("hub", "portion", "class", F.col("class").alias("of")).unionByName(dealt.select("hub", "portion").distinct().select("hub", "portion", head, F.col("hub").alias("of")))
+    both = sent.join(held.select(F.col("class").alias("of"), "data"), "of").select("hub", "portion", "class", "data")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, head = None, None
@@ -195,7 +195,7 @@ def _confirmed(pairs: DataFrame, held: DataFrame, percent: int, scratch: Scratch
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    both = partners.unionByName(heads).repartition(partitions(pairs.sparkSession), "hub", "portion").sortWithinPartitions("hub", "portion", F.asc_nulls_first("class"))
+    both = both.repartition(partitions(pairs.sparkSession), "hub", "portion").sortWithinPartitions("hub", "portion", F.asc_nulls_first("class"))
     return scratch.save(both.mapInArrow(tidied(run), "a long, b long"), "confirmed")
 
 
@@ -289,8 +289,10 @@ def _links(members: DataFrame, numbered: Numbered, rows: DataFrame, size: int, p
     """(node, root) of the classes that links join."""
     scratch = numbered.scratch
     shared = scratch.save(_shared(members), "shared")
+    whole, members = members, scratch.save(members.join(shared.select("class").distinct(), "class"), "members")
+    scratch.drop(whole)
     entries = scratch.save(shared.join(members.select("class", "n", "low", "high"), "class"), "entries")
-    wanted = entries.select(F.col("class").alias("row")).distinct().withColumn("size", F.lit(1).cast("long"))
+    wanted = members.select(F.col("class").alias("row")).withColumn("size", F.lit(1).cast("long"))
     held = scratch.save(_sets(rows, numbered.facts(wanted, F.shiftright("row", BLOCK_ROWS)), size), "held")
     found, edges = None, None
     now = entries.withColumn("comp", F.col("class"))
