@@ -64,3 +64,17 @@ def integer_hash(key: Column) -> Column:
     k = (k * _long(HASH_FACTOR)).bitwiseAND(_long(MASK32))
     return k.bitwiseXOR(F.shiftright(k, 16))
 
+
+#: Masks that leave two zero bits between the bits of a number of up to 21 bits.
+_WIDE = ((32, 0x1F00000000FFFF), (16, 0x1F0000FF0000FF), (8, 0x100F00F00F00F00F), (4, 0x10C30C30C30C30C3), (2, 0x1249249249249249))
+
+
+def interleave20(*cells: Column) -> Column:
+    """The 60-bit code of three cells of 20 bits."""
+    out = []
+    for c in cells:
+        x = c.cast("long")
+        for step, mask in _WIDE:
+            x = x.bitwiseOR(F.shiftleft(x, step)).bitwiseAND(F.lit(mask).cast("long"))
+        out.append(x)
+    return F.shiftleft(out[0], 2).bitwiseOR(F.shiftleft(out[1], 1)).bitwiseOR(out[2])

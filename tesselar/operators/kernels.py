@@ -5,6 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -87,13 +88,43 @@ def register_sql(spark: SparkSession) -> None:
     spark.udf.register("scale_add", scale_add)
 
 
+def register_table_function(spark: SparkSession, name: str, kernel: Callable[[pa.Table, dict], pa.Table], schema: str, args: dict | None = None) -> None:
+    """``SELECT * FROM name(TABLE(...) PARTITION BY ... ORDER BY ...)``: the kernel gets all rows of a partition in their order, and returns
+    rows of the schema. A partition is held in one task; what need not be together is better a ``Kernel``, which goes by batches."""
+    scalars = dict(args or {})
+
+    class Run:
+        def __init__(self):
+            self.held = []
+
+        def eval(self, batch: pa.RecordBatch) -> Iterator[pa.Table]:
+            self.held.append(batch)
+            yield from ()
+
+        def terminate(self) -> Iterator[pa.Table]:
+            if self.held:
+                yield kernel(pa.Table.from_batches(self.held), scalars)
+
+    spark.udtf.register(name, F.arrow_udtf(Run, returnType=schema))
+
+
+def gaps(rows: pa.Table, args: dict) -> pa.Table:
+    """A sample table kernel: each row with the difference from the row before, 0 for the first."""
+    v = rows.column("v").to_numpy()
+    return pa.table({"g": rows.column("g"), "idx": rows.column("idx"), "gap": pa.array(v - np.r_[v[:1], v[:-1]], pa.int64())})
+
+
 #: Groups that a task holds before it sends what it has.
 _GROUPS = 100_000
+#: Tasks among which the partial results of one value are dealt.
+SALTS = 64
 
 
 def user_reduce(df: DataFrame, reduce: Callable[[pa.Table], pa.Table], schema: str, by: str) -> DataFrame:
     """A user reduction. ``reduce`` takes rows of the schema and returns fewer, one for each value of ``by``; it must be
-    associative. Tasks reduce their rows, partial results are shuffled by ``by`` and reduced again by the same code, a batch at a time."""
+    associative. Tasks reduce their rows; partial results of a value are dealt to SALTS tasks and reduced, and what these leave is shuffled
+    by ``by`` and reduced once more, all by the same code, a batch at a time. So however many rows and tasks a value has, its last
+    task gets no more than SALTS partial results, unless single tasks had too many groups to hold."""
 
     def run(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
         held = None
@@ -109,9 +140,19 @@ def user_reduce(df: DataFrame, reduce: Callable[[pa.Table], pa.Table], schema: s
             yield from held.combine_chunks().to_batches()
 
     part = df.mapInArrow(lambda batches: run(batches, _GROUPS), schema)
+    salt = free_name(part, "_salt")
+    dealt = part.withColumn(salt, F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+    part = dealt.repartition(by, salt).drop(salt).mapInArrow(lambda batches: run(batches, _GROUPS), schema)
     return part.repartition(by).mapInArrow(lambda batches: run(batches, 1 << 62), schema)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column is called so."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def summed(rows: pa.Table) -> pa.Table:
     """A sample reduction: the sum of ``v`` for each ``g``."""
     out = rows.group_by("g").aggregate([("v", "sum")])

@@ -1,16 +1,19 @@
 """A spatial index: primitives in Morton order, written once, with boxes of pages and pages of pages, and the binary hierarchy as tables.
 
-The written index is what queries read. Leaves lie in sorted runs, a folder a range of each run (``at``), so that queries read only the
-ranges they can meet. FAN leaves make a page, FAN pages a page of the next level, up to TOP pages; ``traverse`` walks down these levels. A
+The written index is what queries read. Leaves are sorted by a Morton code of 40 bits an axis, so that neither an outlier nor a dense spot
+leaves pages that are spread out, and lie in sorted runs, a folder a range of each run (``at``), so that queries read only the ranges
+they can meet. FAN leaves make a page, FAN pages a page of the next level, up to TOP pages; ``traverse`` walks down these levels. A
 batch appended later is a run of its own, searched together with the others, until ``compact`` sorts all runs into one.
 
-The binary hierarchy (``internal_nodes`` and what follows) is that of the keys ``code << 32 | position``.
+The binary hierarchy (``internal_nodes`` and what follows) is that of the keys ``code << 32 | position``, with the code of 10 bits an axis
+and positions in the order of (code, idx). Either is made when it is first asked for.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,9 +22,9 @@ from pyspark.sql.window import Window
 
 from tesselar.operators import traverse
 from tesselar.operators.hierarchy import radix_nodes
-from tesselar.operators.order import morton_code
+from tesselar.operators.order import fine_codes, morton_code
 from tesselar.operators.traverse import BITS
-from tesselar.plans.scratch import exclusive_sum, folder, save
+from tesselar.plans.scratch import exclusive_sum, folder, save, with_position
 from tesselar.schema import AXES, BOX, canonicalize, require_two
 
 #: Children of a page, pages of the highest level, and runs an index may have before an append compacts it.
@@ -40,12 +43,12 @@ class Run:
 
     @classmethod
     def write(cls, boxes: DataFrame, path: str) -> Run:
-        """Sorts canonical boxes by (code, idx) in ranges, and writes them and their pages."""
+        """Sorts canonical boxes in ranges, and writes them and their pages."""
         spark = boxes.sparkSession
-        order = ("code", "idx")
-        rows = morton_code(boxes).repartitionByRange(*order).sortWithinPartitions(*order)
+        order = ("coarse", "fine", "idx")
+        rows = fine_codes(boxes).repartitionByRange(*order).sortWithinPartitions(*order)
         row = F.monotonically_increasing_id()
-        rows = rows.select("idx", "code", row.bitwiseAND(F.lit((1 << 33) - 1)).alias("row"), *BOX, F.shiftright(row, 33).cast("int").alias("at"))
+        rows = rows.select("idx", row.bitwiseAND(F.lit((1 << 33) - 1)).alias("row"), *BOX, F.shiftright(row, 33).cast("int").alias("at"))
         rows.write.partitionBy("at").parquet(f"{path}/leaves")
         run = cls._read(spark, path, boxes.schema["idx"].dataType)
         pages = run.leaves().groupBy(F.shiftright("pos", BITS).alias("page")).agg(F.count(F.lit(1)).alias("n"), *_bounds(), F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx"))
@@ -62,7 +65,7 @@ class Run:
         return cls(spark, path, sorted((r["at"], r["n"], [r[c] for c in BOX]) for r in found), kind)
 
     def leaves(self, ranges: list[int] | None = None) -> DataFrame:
-        """(idx, code, box, pos) of all leaves, or of those in some ranges: only their files are read."""
+        """(idx, box, pos) of all leaves, or of those in some ranges: only their files are read."""
         rows = self.spark.read.schema(_leaf_schema(self.kind)).parquet(f"{self.path}/leaves")
         if ranges is not None:
             rows = rows.where(F.col("at").isin(ranges))
@@ -71,7 +74,7 @@ class Run:
             starts.append((at, begin))
             begin += n
         starts = F.broadcast(self.spark.createDataFrame(starts, "at int, begin long"))  # a row a range
-        return rows.join(starts, "at").select("idx", "code", *BOX, (F.col("begin") + F.col("row")).alias("pos"))
+        return rows.join(starts, "at").select("idx", *BOX, (F.col("begin") + F.col("row")).alias("pos"))
 
     def pages(self, level: int) -> DataFrame:
         """(page, n, box, first_idx, last_idx) of a level, 1 being that above the leaves."""
@@ -89,31 +92,37 @@ def _bounds() -> list:
 
 
 def _leaf_schema(kind: T.DataType) -> T.StructType:
-    return T.StructType([T.StructField("idx", kind), T.StructField("code", T.LongType()), T.StructField("row", T.LongType()), *[T.StructField(c, T.DoubleType()) for c in BOX], T.StructField("at", T.IntegerType())])
+    return T.StructType([T.StructField("idx", kind), T.StructField("row", T.LongType()), *[T.StructField(c, T.DoubleType()) for c in BOX], T.StructField("at", T.IntegerType())])
 
 
 class SpatialIndex:
     """The written index of a table of primitives, in one or more runs."""
 
-    def __init__(self, spark: SparkSession, path: str, runs: list[Run], kind: str, version: int = 0):
-        self.spark, self.path, self.runs, self.kind, self.version = spark, path, runs, kind, version
+    def __init__(self, spark: SparkSession, path: str, runs: list[Run] | None, kind: str, version: int = 0, boxes: DataFrame | None = None):
+        self.spark, self.path, self._runs, self.kind, self.version, self._boxes = spark, path, runs, kind, version, boxes
+        self._sorted, self._inner = None, None
 
     @classmethod
     def build(cls, df: DataFrame, kind: str = "points", path: str | None = None) -> SpatialIndex:
-        """Sorts and writes the primitives, under ``path`` if it is to be kept; fewer than two raise ValueError."""
-        index = cls.of(df, kind, path)
-        require_two(index.n)
-        return index
+        """The index of a table, written under ``path`` if it is to be kept; fewer than two primitives raise ValueError."""
+        require_two(canonicalize(df, kind).limit(2).count())
+        return cls.of(df, kind, path)
 
     @classmethod
     def of(cls, df: DataFrame, kind: str = "points", path: str | None = None) -> SpatialIndex:
         """As ``build``, of any number of primitives."""
-        home = (path or folder(df.sparkSession, "index")).rstrip("/")
-        index = cls(df.sparkSession, home, [Run.write(canonicalize(df, kind), f"{home}/run-{0:06d}")], kind)
+        index = cls(df.sparkSession, (path or folder(df.sparkSession, "index")).rstrip("/"), None, kind, boxes=canonicalize(df, kind))
         if path is not None:
+            index.runs
             index._publish()
         return index
 
+    @property
+    def runs(self) -> list[Run]:
+        if self._runs is None:
+            self._runs = [Run.write(self._boxes, f"{self.path}/run-{0:06d}")]
+        return self._runs
+
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> SpatialIndex:
         """A kept index, with the runs it had when its list was last written."""
@@ -133,8 +142,10 @@ class SpatialIndex:
 
     def append(self, df: DataFrame) -> SpatialIndex:
         """Adds a batch as a sorted run of its own; what is there is not read, unless there are more than RUNS runs then."""
+        self.runs
         path = f"{self.path}/run-{self._next():06d}"
-        self.runs = [*self.runs, Run.write(canonicalize(df, self.kind), path)]
+        self._runs = [*self.runs, Run.write(canonicalize(df, self.kind), path)]
+        self._boxes = self._sorted = self._inner = None
         if len(self.runs) > RUNS:
             return self.compact()
         self._publish()
@@ -143,10 +154,7 @@ class SpatialIndex:
     def compact(self) -> SpatialIndex:
         """Sorts all runs into one. The runs before stay for those who still read them, until the folder is removed."""
         if len(self.runs) > 1:
-            rows = self.runs[0].leaves().select("idx", *BOX)
-            for r in self.runs[1:]:
-                rows = rows.unionByName(r.leaves().select("idx", *BOX))
-            self.runs = [Run.write(rows, f"{self.path}/run-{self._next():06d}")]
+            self._runs = [Run.write(self._all(), f"{self.path}/run-{self._next():06d}")]
             self._publish()
         return self
 
@@ -155,9 +163,17 @@ class SpatialIndex:
         files, at = _files(self.spark, self.path)
         return 1 + max(int(f.getPath().getName()[4:]) for f in files.listStatus(at) if f.getPath().getName().startswith("run-"))
 
+    def _all(self) -> DataFrame:
+        """(idx, box) of all primitives, from the runs if there are any."""
+        if self._runs is None:
+            return self._boxes
+        return reduce(DataFrame.unionByName, [r.leaves().select("idx", *BOX) for r in self._runs])
+
     @property
     def n(self) -> int:
-        return sum(r.n for r in self.runs)
+        if self._runs is not None:
+            return sum(r.n for r in self._runs)
+        return self._leaves()[1]
 
     def length(self) -> int:
         return self.n
@@ -183,14 +199,19 @@ class SpatialIndex:
 
     # ---- the binary hierarchy --------------------------------------------------------------------------------------------
 
+    def _leaves(self) -> tuple[DataFrame, int]:
+        """(idx, code, box, pos, key) in the order of (code, idx), written once, and their number."""
+        if self._sorted is None:
+            rows = save(with_position(morton_code(self._all()), "code", "idx").withColumn("key", F.shiftleft("code", 32).bitwiseOR(F.col("pos"))), "leaves")
+            n = rows.count()
+            if n >= 1 << 32:
+                raise ValueError("keys hold positions up to 2^32; build an index for each part of the scene")
+            self._sorted = rows, n
+        return self._sorted
+
     @property
     def leaves(self) -> DataFrame:
-        """(idx, code, box, pos, key), of an index of one run."""
-        if len(self.runs) > 1:
-            raise ValueError("compact the index first: the hierarchy is over one run")
-        if self.n >= 1 << 32:
-            raise ValueError("keys hold positions up to 2^32; build an index for each part of the scene")
-        return self.runs[0].leaves().withColumn("key", F.shiftleft("code", 32).bitwiseOR(F.col("pos")))
+        return self._leaves()[0]
 
     def leaf_nodes(self) -> DataFrame:
         """(node_id, pos, prim_idx, code, box): leaf ids follow those of internal nodes."""
@@ -198,15 +219,16 @@ class SpatialIndex:
 
     def internal_nodes(self) -> DataFrame:
         """(node_id, left_id, right_id, first_pos, last_pos, split, level, box), made once an index."""
-        if getattr(self, "_made", None) is None or self._made[0] != self.runs[0].path:
-            self._made = self.runs[0].path, radix_nodes(self.leaves, self.n)
-        return self._made[1]
+        if self._inner is None:
+            leaves, n = self._leaves()
+            self._inner = radix_nodes(leaves, n)
+        return self._inner
 
     def nodes(self, relative: bool = False) -> DataFrame:
         """All nodes; a leaf has no children and a prim_idx. With ``relative`` child ids are offsets from the node's own."""
         inner = self.internal_nodes()
         child = [(F.col(c) - F.col("node_id")).alias(c) if relative else F.col(c) for c in ("left_id", "right_id")]
-        inner = inner.select("node_id", *child, F.lit(None).cast(self.runs[0].kind).alias("prim_idx"), "first_pos", "last_pos", F.lit(False).alias("is_leaf"), *BOX)
+        inner = inner.select("node_id", *child, F.lit(None).cast(self.leaves.schema["idx"].dataType).alias("prim_idx"), "first_pos", "last_pos", F.lit(False).alias("is_leaf"), *BOX)
         none = F.lit(None).cast("long")
         leaf = self.leaf_nodes().select("node_id", none.alias("left_id"), none.alias("right_id"), "prim_idx", F.col("pos").alias("first_pos"), F.col("pos").alias("last_pos"), F.lit(True).alias("is_leaf"), *BOX)
         return inner.unionByName(leaf)

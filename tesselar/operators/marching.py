@@ -8,8 +8,11 @@ in counter-clockwise order.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import cache
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,32 +72,97 @@ def cut_edges(case: int) -> int:
     return sum(1 << i for i, (a, b) in enumerate(EDGES) if (case >> a & 1) != (case >> b & 1))
 
 
-def corner_rows(voxels: DataFrame, *cols: Column | str) -> DataFrame:
-    """Each voxel as a corner of its eight cubes: (ax, ay, az, c, cols)."""
-    corners = F.array(*[F.struct(F.lit(i).alias("c"), *[F.lit(o).cast("long").alias(f"o{a}") for o, a in zip(off, "xyz")]) for i, off in enumerate(CORNERS)])
-    rows = voxels.select(*KEY, *cols, F.explode(corners).alias("k"))
-    return rows.select(*[(F.col(k) - F.col(f"k.o{a}")).alias(f"a{a}") for k, a in zip(KEY, "xyz")], F.col("k.c").alias("c"), *cols)
-
-
 ANCHOR = ("ax", "ay", "az")
+#: Edge of a block of cubes as a power of two, and blocks whose corners are held at a time.
+BITS = 3
+EDGE = 1 << BITS
+_BLOCKS = 256
+_BLOCK = ("bx", "by", "bz")
+
+
+def halo_rows(voxels: DataFrame, *cols: str) -> DataFrame:
+    """(bx, by, bz, kx, ky, kz, cols): each voxel in the block of cubes it lies in, and in those before it for which it is the outer face.
+
+    A block of 8^3 cubes has 9^3 corners, so of dense voxels a row becomes 1.42 rows, not one for each of its eight cubes."""
+    rows = voxels.select(*KEY, *cols)
+    for k, b in zip(KEY, _BLOCK):
+        own = F.shiftright(k, BITS)
+        on_face = F.col(k).bitwiseAND(F.lit(EDGE - 1)) == 0
+        rows = rows.withColumn(b, F.explode(F.when(on_face, F.array(own, own - 1)).otherwise(F.array(own))))
+    return rows
+
+
+def _by_block(rows: DataFrame, work, schema: str) -> DataFrame:
+    """``work(origin, corners)`` on the corners of some blocks at a time: what it returns are columns of the result.
+
+    ``corners``: an array (blocks, 9, 9, 9), NaN where there is no voxel; ``origin``: the blocks' first anchors."""
+    value = rows.columns[3] if len(rows.columns) > 6 else None
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def solve(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        k, b = (np.stack([table.column(c).to_numpy() for c in cs], 1) for cs in (KEY, _BLOCK))
+        v = table.column(value).to_numpy() if value else np.zeros(len(k))
+        first = np.r_[True, (b[1:] != b[:-1]).any(1)]
+        block = np.cumsum(first) - 1
+        origin = b[first] << BITS
+        for low in range(0, len(origin), _BLOCKS):
+            mine = (block >= low) & (block < low + _BLOCKS)
+            some = origin[low : low + _BLOCKS]
+            corners = np.full((len(some), EDGE + 1, EDGE + 1, EDGE + 1), np.nan)
+            at = k[mine] - some[block[mine] - low]
+            corners[block[mine] - low, at[:, 0], at[:, 1], at[:, 2]] = v[mine]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in work(some, corners)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = pa.concat_tables([rest, table]) if rest is not None else table
+            b = np.stack([table.column(c).to_numpy() for c in _BLOCK], 1)
+            cuts = np.flatnonzero((b[1:] != b[:-1]).any(1)) + 1
+            last = int(cuts[-1]) if len(cuts) else 0
+            if last:
+                yield from solve(table.slice(0, last))
+            rest = table.slice(last).combine_chunks()  # one block at most
+        if rest is not None and rest.num_rows:
+            yield from solve(rest)
+
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, *_BLOCK).sortWithinPartitions(*_BLOCK).mapInArrow(run, schema)
+
+
+def _corner(corners: np.ndarray, c: int) -> np.ndarray:
+    """Corner ``c`` of every cube."""
+    x, y, z = CORNERS[c]
+    return corners[:, x : x + EDGE, y : y + EDGE, z : z + EDGE]
+
+
+def _anchors(origin: np.ndarray, found: tuple[np.ndarray, ...]) -> list[np.ndarray]:
+    return [origin[found[0], i] + found[1 + i] for i in range(3)]
 
 
 def cubes(voxels: DataFrame) -> DataFrame:
     """(ax, ay, az, ci) of cubes that the surface of an occupancy grid crosses."""
-    out = corner_rows(voxels).groupBy(*ANCHOR).agg(F.bit_or(F.expr("shiftleft(1, c)")).cast("long").alias("ci"))
-    return out.where("ci not in (0, 255)")
+
+    def work(origin: np.ndarray, corners: np.ndarray) -> list[np.ndarray]:
+        case = sum((~np.isnan(_corner(corners, c))).astype(np.int64) << c for c in range(8))
+        found = np.nonzero((case > 0) & (case < 255))
+        return [*_anchors(origin, found), case[found]]
+
+    return _by_block(halo_rows(voxels), work, "ax long, ay long, az long, ci long")
 
 
 def tsdf_cubes(field: DataFrame, min_weight: int = MIN_WEIGHT) -> DataFrame:
     """(ax, ay, az, ci, v0..v7) of cubes with all corners observed that the zero level crosses."""
     seen = value(field.where(F.col("sum_w") >= min_weight))
-    rows = corner_rows(seen, "tsdf")
-    out = rows.groupBy(*ANCHOR).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.when(F.col("tsdf") < 0, F.expr("shiftleft(1, c)")).otherwise(0)).cast("long").alias("ci"),
-        *[F.max(F.when(F.col("c") == i, F.col("tsdf"))).alias(f"v{i}") for i in range(8)],
-    )
-    return out.where("n = 8 and ci not in (0, 255)").drop("n")
+
+    def work(origin: np.ndarray, corners: np.ndarray) -> list[np.ndarray]:
+        at = [_corner(corners, c) for c in range(8)]
+        case = sum((v < 0).astype(np.int64) << c for c, v in enumerate(at))
+        found = np.nonzero(~np.isnan(sum(at)) & (case > 0) & (case < 255))
+        return [*_anchors(origin, found), case[found], *(v[found] for v in at)]
+
+    return _by_block(halo_rows(seen, "tsdf"), work, "ax long, ay long, az long, ci long, " + ", ".join(f"v{i} double" for i in range(8)))
 
 
 def _table(spark) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tesselar.functions.morton import compact, digit, interleave, quantise
+from tesselar.functions.morton import compact, digit, interleave, interleave20, quantise
 from tesselar.plans.scratch import exclusive_sum, with_position
 from tesselar.schema import AXES
 
@@ -30,6 +30,19 @@ def morton_code(boxes: DataFrame, bounds: DataFrame | None = None) -> DataFrame:
     return rows.select(*boxes.columns, interleave(*[quantise(u) for u in unit]).alias("code"))
 
 
+def fine_codes(boxes: DataFrame) -> DataFrame:
+    """The boxes with ``coarse`` and ``fine``: a Morton code of 40 bits an axis, the upper 20 bits of each before the lower ones."""
+    b = scene_bounds(boxes).select(*[F.col(f"{m}_{a}").alias(f"g{m}_{a}") for m in ("min", "max") for a in AXES])
+    rows = boxes.crossJoin(F.broadcast(b))  # one row
+    cells = []
+    for a in AXES:
+        centre = F.col(f"min_{a}") * 0.5 + F.col(f"max_{a}") * 0.5
+        unit = (centre * 0.5 - F.col(f"gmin_{a}") * 0.5) / F.greatest(F.col(f"gmax_{a}") * 0.5 - F.col(f"gmin_{a}") * 0.5, F.lit(1e-300))  # halves, so that nothing overflows
+        cells.append(F.floor(F.least(F.greatest(unit, F.lit(0.0)), F.lit(1.0)) * F.lit(float((1 << 40) - 1))).cast("long"))
+    low = F.lit((1 << 20) - 1).cast("long")
+    return rows.select(*boxes.columns, interleave20(*[F.shiftright(c, 20) for c in cells]).alias("coarse"), interleave20(*[c.bitwiseAND(low) for c in cells]).alias("fine"))
+
+
 def morton_decode(codes: DataFrame) -> DataFrame:
     """Cells (mx, my, mz) and normalised coordinates of codes."""
     cells = [compact(F.shiftright("code", s)).alias(n) for n, s in (("mx", 2), ("my", 1), ("mz", 0))]

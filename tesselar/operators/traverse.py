@@ -1,9 +1,10 @@
 """Walks of many queries down the pages of a spatial index, a level at a time.
 
 A query's frontier is the set of pages that may hold what it seeks. From level to level the frontier is joined with the pages' children, so
-no query meets a leaf whose page it could rule out. For nearest neighbours the frontier bounds itself: pages whose farthest corners are
-nearest, enough of them to hold k primitives, give a distance (and, for ties, an id) that the answer does not exceed; pages that
-begin beyond it go. As bounds compare (distance, id), equal primitives are as selective as any.
+no query meets a leaf whose page it could rule out. For nearest neighbours a query first dives: at each level it keeps only the few pages
+that reach k primitives soonest, and the k-th primitive found is its bound. A second walk, with the bound known from the top, keeps what
+may be nearer. So a query far from everything looks at few pages too, and as bounds compare (distance, id), equal primitives are as
+selective as any.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ if TYPE_CHECKING:
 MAX_K = 64
 #: Children of a page, as a power of two.
 BITS = 5
+#: Pages a level that a dive keeps besides those that surely hold k primitives.
+NEAREST = 2
 #: Ranges that a condition names; where a frontier meets more, all files are read.
 NAMED = 1000
 _AT = [f"q{a}" for a in AXES]
@@ -77,26 +80,40 @@ def radius_join(index: SpatialIndex, queries: DataFrame, radius: float | str) ->
     return _leaves(index, front).withColumn("dist2", near).where("dist2 <= b2").select("q", "idx", "dist2")
 
 
-def nearest_first(k: int):
-    """Keeps the pages of a query's frontier that may hold one of the k nearest."""
+def dive(k: int):
+    """Keeps the pages by which a query reaches k primitives soonest: those with the nearest farthest corners that hold k, and the
+    NEAREST that begin nearest to it."""
     at, one = list(map(F.col, _AT)), ["q", *_AT]
 
     def prune(rows: DataFrame) -> DataFrame:
-        rows = rows.withColumn("least", F.struct(nearest(at).alias("d"), F.col("first_idx").alias("i"))).withColumn("most", F.struct(farthest(at).alias("d"), F.col("last_idx").alias("i")))
-        upto = F.sum("n").over(Window.partitionBy(*one).orderBy("most").rowsBetween(Window.unboundedPreceding, 0))
-        bound = F.min(F.when(F.col("upto") >= k, F.col("most"))).over(Window.partitionBy(*one))
-        rows = rows.withColumn("upto", upto).withColumn("bound", bound)
-        return rows.where(F.col("bound").isNull() | (F.col("least") <= F.col("bound")))
+        rows = rows.withColumn("most", F.struct(farthest(at).alias("d"), F.col("last_idx").alias("i"))).withColumn("least", F.struct(nearest(at).alias("d"), F.col("first_idx").alias("i")))
+        before = F.coalesce(F.sum("n").over(Window.partitionBy(*one).orderBy("most").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        rank = F.row_number().over(Window.partitionBy(*one).orderBy("least"))
+        return rows.withColumn("before", before).withColumn("rank", rank).where((F.col("before") < k) | (F.col("rank") <= NEAREST))
 
     return prune
 
 
+def within(rows: DataFrame) -> DataFrame:
+    """Keeps the pages that may hold a primitive not beyond the query's ``bound``, a distance and an id."""
+    least = F.struct(nearest(list(map(F.col, _AT))).alias("d"), F.col("first_idx").alias("i"))
+    return rows.where(F.col("bound").isNull() | (least <= F.col("bound")))
+
+
+def bounds(index: SpatialIndex, q: DataFrame, k: int) -> DataFrame:
+    """The queries (q, qx, qy, qz) with a bound: the k-th of the primitives that a dive finds; null if there are not k."""
+    found = _leaves(index, _descend(index, q, dive(k))).select("q", *_AT, F.struct(nearest(list(map(F.col, _AT))).alias("d"), F.col("idx").alias("i")).alias("at"))
+    rank = F.row_number().over(Window.partitionBy("q", *_AT).orderBy("at"))
+    found = found.withColumn("rank", rank).where(F.col("rank") <= k)
+    return found.groupBy("q", *_AT).agg(F.when(F.count(F.lit(1)) >= k, F.max("at")).alias("bound"))
+
+
 def knn_join(index: SpatialIndex, queries: DataFrame, k: int) -> DataFrame:
     if not 1 <= k <= MAX_K:
         raise ValueError(f"k must be from 1 to {MAX_K}")
     # equal ids are queries of their own only if they lie apart
     q = points(queries).select(F.col("idx").alias("q"), *[F.col(a).alias(f"q{a}") for a in AXES]).distinct()
-    found = _leaves(index, _descend(index, q, nearest_first(k))).withColumn("dist2", nearest(list(map(F.col, _AT))))
+    found = _leaves(index, _descend(index, bounds(index, q, k), within)).withColumn("dist2", nearest(list(map(F.col, _AT))))
     rank = F.row_number().over(Window.partitionBy("q", *_AT).orderBy("dist2", "idx")).cast("long")
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("q", "rank", "idx", "dist2")
 

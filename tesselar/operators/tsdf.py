@@ -15,6 +15,8 @@ from tesselar.schema import AXES, finite
 #: Fixed-point scale of distances and weights.
 SCALE = 10_000
 MIN_WEIGHT = 5_000
+#: Poses that are sent to every task.
+FEW = 10_000
 
 
 @dataclass(frozen=True)
@@ -22,21 +24,21 @@ class TSDF:
     voxel_size: float = 0.1
     truncation: float = 0.3
 
-    def samples(self, cloud: DataFrame) -> DataFrame:
-        """(kx, ky, kz, dw): samples along the ray from (cam_x, cam_y, cam_z) through each point, a voxel's edge apart, within the
+    def samples(self, cloud: DataFrame, *keep: str) -> DataFrame:
+        """(kx, ky, kz, dw, and the columns to keep): samples along the ray from (cam_x, cam_y, cam_z) through each point, a voxel's edge apart, within the
         truncation. Two samples in one voxel both count. Points at the camera are dropped."""
         vs = F.lit(float(self.voxel_size))
         steps = math.ceil(self.truncation / self.voxel_size) + 1
         cams = [f"cam_{a}" for a in AXES]
-        rows = cloud.where(finite(*AXES, *cams)).select(*[F.col(c).cast("double").alias(c) for c in (*AXES, *cams)])
+        rows = cloud.where(finite(*AXES, *cams)).select(*[F.col(c).cast("double").alias(c) for c in (*AXES, *cams)], *keep)
         rows = rows.select("*", *[(F.col(a) - F.col(f"cam_{a}")).alias(f"d{a}") for a in AXES])
         rows = rows.withColumn("depth", F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + F.col("dz") * F.col("dz"))).where("depth >= 1e-6")
-        rows = rows.select(*AXES, *cams, "depth", *[(F.col(f"d{a}") / F.col("depth")).alias(f"r{a}") for a in AXES])
+        rows = rows.select(*AXES, *cams, *keep, "depth", *[(F.col(f"d{a}") / F.col("depth")).alias(f"r{a}") for a in AXES])
         rows = rows.withColumn("t", F.explode(F.sequence(F.lit(-steps), F.lit(steps))))
         rows = rows.select("*", *[voxel_coord(F.col(a) + F.col(f"r{a}") * (F.col("t") * vs), self.voxel_size).alias(k) for a, k in zip(AXES, KEY)])
         part = [((F.col(k) + 0.5) * vs - F.col(f"cam_{a}")) * F.col(f"r{a}") for a, k in zip(AXES, KEY)]
-        rows = rows.select(*KEY, (F.col("depth") - (part[0] + part[1] + part[2])).alias("sdf"))
-        return rows.where(F.abs("sdf") <= F.lit(float(self.truncation))).select(*KEY, (F.col("sdf") * float(SCALE)).cast("long").alias("dw"))
+        rows = rows.select(*KEY, *keep, (F.col("depth") - (part[0] + part[1] + part[2])).alias("sdf"))
+        return rows.where(F.abs("sdf") <= F.lit(float(self.truncation))).select(*KEY, *keep, (F.col("sdf") * float(SCALE)).cast("long").alias("dw"))
 
     def integrate(self, cloud: DataFrame) -> DataFrame:
         """(kx, ky, kz, key, sum_dw, sum_w) in 64-bit sums, added up before the shuffle."""
@@ -55,8 +57,8 @@ def value(field: DataFrame) -> DataFrame:
 def visible_points(points: DataFrame, poses: DataFrame, least: float = 0.15) -> DataFrame:
     """Points, taken as positions on a unit sphere, whose outward normal faces the camera by a cosine over ``least``.
 
-    Poses are parameters: a table of a bounded number of rows, broadcast to the points."""
-    rows = points.crossJoin(F.broadcast(poses))
+    Every point meets every pose, as visibility is a matter of each pair; up to FEW poses are broadcast."""
+    rows = points.crossJoin(F.broadcast(poses) if poses.limit(FEW + 1).count() <= FEW else poses)
     d = {a: F.col(f"cam_{a}") - F.col(a) for a in AXES}
     dn = F.sqrt(d["x"] * d["x"] + d["y"] * d["y"] + d["z"] * d["z"])
     pn = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z"))

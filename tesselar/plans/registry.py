@@ -17,7 +17,7 @@ from tesselar.operators.lbvh import SpatialIndex
 from tesselar.plans.scratch import folder, with_position
 from tesselar.schema import BOX, canonicalize
 from tesselar.sources import generate, ply, views
-from tesselar.streaming import incremental
+from tesselar.streaming import blocks, incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -546,6 +546,29 @@ def stream_tsdf(spark, sf):
     return incremental.run_available(incremental.stream_tsdf(seen, WIDE))
 
 
+@query(f"WITH {EV}, {_voxel(5.0, 'ev').join(('v AS (', ')'))} SELECT kx, ky, kz, {KEY_SQL} AS key, count(*) AS cnt FROM v GROUP BY kx, ky, kz")
+def stream_voxel_blocks(spark, sf):
+    """The state of keyed blocks, each dealt to four keys."""
+    ev = views.event_points(incremental.read_stream(spark, f"{sf}/events.parquet")).withColumn("epoch", F.lit(0))
+    return blocks.table(spark, blocks.run(blocks.voxel_rows(ev, EV_GRID, salts=4)), ["cnt"])
+
+
+@query(f"WITH {EV}, w AS (SELECT * FROM ev WHERE idx // 4000 = (SELECT max(event_id) // 4000 FROM events)), {_voxel(5.0, 'w').join(('v AS (', ')'))} SELECT kx, ky, kz, {KEY_SQL} AS key, count(*) AS cnt FROM v GROUP BY kx, ky, kz")
+def stream_voxel_reset(spark, sf):
+    """Every 4000th event resets the grid, inside the running stream."""
+    events = incremental.read_stream(spark, f"{sf}/events.parquet")
+    ev = views.event_points(events).withColumn("epoch", F.floor(F.col("idx") / 4000).cast("long"))
+    resets = events.where("event_id % 4000 = 0").select(F.floor(F.col("event_id") / 4000).cast("long").alias("epoch"))
+    return blocks.table(spark, blocks.run(blocks.voxel_rows(ev, EV_GRID).unionByName(blocks.reset(resets))), ["cnt"])
+
+
+@query(f"WITH {EV}, {POSES}, seen AS (SELECT ev.x, ev.y, ev.z, cam_x, cam_y, cam_z FROM ev JOIN poses p ON ev.batch_id % 25 = p.batch_id), {_samples('seen', 5.0, 15.0, 4)} SELECT kx, ky, kz, key, sum_dw, sum_w FROM field")
+def stream_tsdf_blocks(spark, sf):
+    ev = views.event_points(incremental.read_stream(spark, f"{sf}/events.parquet")).withColumn("epoch", F.lit(0))
+    seen = incremental.with_pose(ev, views.poses(spark, sf), lambda d: F.col("batch_id") % 25)
+    return blocks.table(spark, blocks.run(blocks.tsdf_rows(seen, WIDE)), ["sum_dw", "sum_w"])
+
+
 # ---- kernels and reductions ------------------------------------------------------------------------------------------------
 
 
@@ -577,3 +600,11 @@ def udf_sql(spark, sf):
 @query("SELECT CAST(l_linenumber AS BIGINT) AS l_linenumber, CAST(sum(CAST(l_orderkey AS BIGINT)) AS BIGINT) AS total FROM lineitem GROUP BY 1")
 def udaf_sum(spark, sf):
     return kernels.user_sum(views.table(spark, sf, "lineitem"), "l_linenumber", "l_orderkey").select(F.col("l_linenumber").cast("long").alias("l_linenumber"), "total")
+
+
+@query("SELECT CAST(o_custkey AS BIGINT) AS g, CAST(o_orderkey AS BIGINT) AS idx, coalesce(v - lag(v) OVER (PARTITION BY o_custkey ORDER BY o_orderkey), 0) AS gap FROM (SELECT *, CAST(floor(o_totalprice) AS BIGINT) AS v FROM orders)")
+def kernel_sql(spark, sf):
+    """A user kernel over a partitioned table argument, called from SQL."""
+    kernels.register_table_function(spark, "gaps", kernels.gaps, "g long, idx long, gap long")
+    views.table(spark, sf, "orders").select(F.col("o_custkey").cast("long").alias("g"), F.col("o_orderkey").cast("long").alias("idx"), F.floor("o_totalprice").cast("long").alias("v")).createOrReplaceTempView("gaps_of_orders")
+    return spark.sql("SELECT * FROM gaps(TABLE(gaps_of_orders) PARTITION BY g ORDER BY idx)")

@@ -135,3 +135,22 @@ def test_centres_are_exported(spark, tmp_path):
     ply.write_centers(vox, grid, str(path))
     text = path.read_text().split("\n")
     assert "element vertex 2" in text and sorted(text[text.index("end_header") + 1 : -1]) == ["0.25 0.75 -0.25", "3.25 0.25 0.25"]
+
+
+def test_halo_is_small_and_blocks_do_not_show(spark):
+    """A dense grid over several blocks and both signs: few more rows than voxels, and the cubes of plain Python."""
+    full = {(x, y, z) for x in range(-9, 10) for y in range(-3, 17) for z in range(-17, 1) if (x * 7 + y * 5 + z * 3) % 11}
+    vox = spark.createDataFrame(sorted(full), "kx long, ky long, kz long").repartition(5)
+    assert marching.halo_rows(vox).count() < 1.6 * len(full)
+    want = {}
+    for v in full:
+        for c, o in enumerate(marching.CORNERS):
+            a = tuple(p - q for p, q in zip(v, o))
+            want[a] = want.get(a, 0) | 1 << c
+    assert {(r.ax, r.ay, r.az): r.ci for r in marching.cubes(vox).collect()} == {a: ci for a, ci in want.items() if ci != 255}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")  # blocks that go on over batches
+    try:
+        assert marching.cubes(vox).count() == sum(ci != 255 for ci in want.values())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert marching.cubes(vox.where("false")).count() == 0

@@ -49,3 +49,50 @@ def test_include(spark, tmp_path):
     k = kernels.Kernel(spark).include(str(tmp_path / "shift_helper.py")).build(source).bind(spark.range(50).withColumnRenamed("id", "idx"))
     out = k.dispatch(2, "idx long, w long").collect()
     assert len(out) == 50 and all(r.w == r.idx + 40 for r in out)
+
+
+def test_kernel_of_a_table_argument(spark):
+    """A partition's rows come together and in order, also if they are more than a batch."""
+    kernels.register_table_function(spark, "gaps_test", kernels.gaps, "g long, idx long, gap long")
+    spark.range(3000).selectExpr("id % 5 as g", "id as idx", "(id * 7919) % 1000 as v").repartition(6).createOrReplaceTempView("gaps_rows")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        got = {(r.g, r.idx): r.gap for r in spark.sql("SELECT * FROM gaps_test(TABLE(gaps_rows) PARTITION BY g ORDER BY idx)").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    v = lambda i: i * 7919 % 1000
+    assert got == {(i % 5, i): v(i) - v(i - 5) if i >= 5 else 0 for i in range(3000)}
+    assert spark.sql("SELECT * FROM gaps_test(TABLE(SELECT * FROM gaps_rows WHERE false) PARTITION BY g)").count() == 0
+
+
+def test_one_hot_key_is_reduced_by_many_tasks(spark, tmp_path):
+    """Partial results of one key are dealt to many tasks, and the last task gets few of them."""
+    rows = spark.range(200_000, numPartitions=40).selectExpr("0L as g", "id as v")
+    log = str(tmp_path)
+
+    def reduce(t):
+        import os
+        import uuid
+
+        from pyspark import TaskContext
+
+        c = TaskContext.get()
+        with open(os.path.join(log, uuid.uuid4().hex), "w") as f:
+            f.write(f"{c.stageId()} {c.partitionId()} {t.num_rows}")
+        return kernels.summed(t)
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        got = kernels.user_reduce(rows, reduce, "g long, v long", "g").collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert [(r.g, r.v) for r in got] == [(0, sum(range(200_000)))]
+    tasks = {}
+    for p in tmp_path.iterdir():
+        stage, part, n = map(int, p.read_text().split())
+        tasks.setdefault(stage, {}).setdefault(part, []).append(n)
+    first, middle, last = (tasks[s] for s in sorted(tasks))
+    assert len(first) == 40 and len(middle) >= 8 and len(last) == 1
+    assert sum(map(len, last.values())) <= 2 and max(last.popitem()[1]) <= 40
