@@ -238,7 +238,8 @@ def _overlap_rows(sent, schema: T.StructType):
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """The documents without a verified overlap with any test, all columns as they were, whatever they are called; a map without a
-    shuffle. Null and empty texts stay; whole texts are searched; repeated rows are treated alike; without tests all rows stay."""
+    shuffle. Null and empty texts stay; whole texts are searched; repeated rows are treated alike, and one overlap is enough where several tie; without tests all rows stay, and an empty table
+    stays empty."""
     schema = docs.schema
     at = docs.columns.index(text_col)
     out = docs

@@ -107,7 +107,8 @@ def _arrow(schema: T.StructType) -> pa.Schema:
 def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, row_col: str | None = None) -> DataFrame:
     """One row a document: row_id (or the given unique ``row_col``), the id, text_sha256 of the normalised text, and (level, name), equal for equal texts only.
 
-    Null texts count as empty; only A-Z are lower-cased. Rows with equal ids or null ids stay apart by row_id.
+    Null texts count as empty; only A-Z are lower-cased; long texts are many blocks. Rows with equal ids or null ids stay apart by row_id,
+    repeated rows and ties share one name. An empty table gives an empty result. No other column is read, whatever it is called.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "exact")
@@ -175,7 +176,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """The rows that ``exact_dedup`` keeps, all columns as they were, whatever they are called.
 
     Of equal texts the row with the largest id stays; of several rows with this id one, as numbered when the rows were written. They
-    are written once, so that the numbers hold if splits of the scan change; the result is a map over them.
+    are written once, so that the numbers hold if splits of the scan change; the result is a map over them. Null texts count as empty
+    ones, null ids as the smallest; long texts are compared whole; an empty table stays empty.
     """
     scratch = Scratch(docs.sparkSession, "distinct")
     rows = Numbered(docs, scratch)

@@ -449,7 +449,8 @@ def _joined(numbered: Numbered, id_col: str, text_col: str, size: int, percent:
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """The rows without those that a similar row makes needless: of each component the row with the smallest id stays (null ids
-    come last; of equal ids the row that was written first). All columns as they were, whatever they are called. Rows are written once
+    come last; of equal ids the row that was written first). Null and empty texts and texts without words are like nothing and stay; long texts
+    are read whole; repeated rows are near copies like others. All columns as they were, whatever they are called. Rows are written once
     and numbered, and the result is a map over them; an empty table gives an empty table."""
     scratch = Scratch(docs.sparkSession, "keep")
     rows = Numbered(docs, scratch)

@@ -136,7 +136,7 @@ def identify(docs: DataFrame, contents: dict[str, list[bytes]], id_col: str = "d
 def keep_known(docs: DataFrame, contents: dict[str, list[bytes]], text_col: str = "text", min_margin: float = MIN_MARGIN) -> DataFrame:
     """The rows whose language is not rejected, all columns as they were, whatever they are called; a map without a shuffle.
 
-    Null and empty texts, texts without a letter and ties are rejected; long texts are read whole; repeated rows are treated alike."""
+    Null and empty texts, texts without a letter and ties are rejected; long texts are read whole; repeated rows are treated alike; an empty table stays empty."""
     sent = docs.sparkSession.sparkContext.broadcast(contents)
     at = docs.columns.index(text_col)
 

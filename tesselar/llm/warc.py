@@ -220,6 +220,8 @@ class ZipDirectory:
                 q += 4 + size
             if method == 0:
                 self.members[name] = (local, packed)
+            elif name.startswith(("archive/", "indexes/")):  # its records would be missing without a word
+                raise ValueError(f"{name} is compressed in the ZIP; members with records or indexes must be stored")
             p = stop + comment
 
     def read(self, at: int, n: int) -> bytes:
@@ -243,7 +245,7 @@ def revisits(pages: Numbered, id_col: str, payload: str, least: int = 0) -> Fact
     """(row, refers_to) of the rows that revisit another: of rows with equal payloads of at least ``least`` bytes the one with the
     largest id (of equal ids the row written last) is the response.
 
-    Payloads stay where they are; only their keys (length and SHA-256) are aggregated and joined, so that a large group can be split.
+    Null and repeated rows are treated as any; an empty table gives no facts. Payloads stay where they are; only their keys (length and SHA-256) are aggregated and joined, so that a large group can be split.
     """
     scratch, size = pages.scratch, F.octet_length(payload)
     keys = pages.rows.where(size >= least).select(F.col(pages.row).alias("row"), F.col(id_col).alias("id"), F.concat_ws(":", size.cast("string"), F.sha2(payload, 256)).alias("key"))
@@ -260,7 +262,8 @@ def write_archives(pages: DataFrame, uri: str, id_col: str = "page_id", url_col:
     """Writes ZIP archives under ``uri``, some for each task; returns (path, records, bytes) of each.
 
     The result is the manifest: written as a table, it names only archives that tasks completed. A repeated task writes the same
-    names again. Null texts are empty payloads; null ids and urls are kept as such.
+    names again. Null texts are empty payloads, long ones are written whole; null ids and urls are kept as such; repeated rows and equal
+    ids are records of their own, of which ``revisits`` names the response; an empty table has no archives and an empty manifest.
     """
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("payload"))
     numbered = Numbered(rows, Scratch(pages.sparkSession, "pages"))

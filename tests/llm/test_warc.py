@@ -127,3 +127,19 @@ def test_index_is_cdxj(spark, tmp_path):
         e = json.loads(x.split(" ", 2)[2])
         got = warc.parse(gzip.decompress(data[int(e["offset"]) : int(e["offset"]) + int(e["length"])]))
         assert e["filename"] == "data.warc.gz" and e["digest"] == "sha1:" + got["digest"] and (e["mime"] == "warc/revisit") == (got["type"] == "revisit")
+
+
+def test_compressed_members_are_refused():
+    """A ZIP whose records are deflated is an error, not an archive without records; other members may be."""
+
+    def made(inside):
+        out = Source()
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr("archive/data.warc", b"stored")
+            z.writestr(inside, b"some text " * 50, zipfile.ZIP_DEFLATED)
+        return out
+
+    for inside in ("archive/more.warc", "indexes/index.cdx"):
+        with pytest.raises(ValueError):
+            warc.ZipDirectory(made(inside))
+    assert list(warc.ZipDirectory(made("pages/pages.jsonl")).members) == ["archive/data.warc"]
