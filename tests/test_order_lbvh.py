@@ -45,7 +45,7 @@ def test_spread_compact(spark):
 
 def test_radix_sort_is_a_stable_sort(spark):
     r = random.Random(1)
-    for codes in ([5, 1, 3, 7, 2, 6, 0, 4], [42] * 64, [3 * i for i in range(300)][::-1], [r.randrange(1 << 30) for _ in range(700)]):
+    for codes in ([9, 4, 31, 2, 17, 4, 0, 12], [5] * 70, [3 * i for i in range(300)][::-1], [r.randrange(1 << 30) for _ in range(700)]):
         df = spark.createDataFrame([(i, c, i) for i, c in enumerate(codes)], "idx long, code long, pos long")
         want = [i for _, i in sorted((c, i) for i, c in enumerate(codes))]
         assert [x.idx for x in order.radix_sort(df, 8 if max(codes) >= 4096 else 3).orderBy("pos").collect()] == want
