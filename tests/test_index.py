@@ -15,7 +15,7 @@ def files(df):
     return {r[0] for r in df.selectExpr("_metadata.file_path").distinct().collect()}
 
 
-@pytest.mark.parametrize("n", [2, 3, 70, 900])
+@pytest.mark.parametrize("n", [2, 300])
 def test_kept_index_is_opened_appended_and_compacted(spark, tmp_path, n):
     path, pts, more, qs = str(tmp_path / "index"), rand(n, n, 5), rand(40, 2, 9), rand(12, 3, 6)
     SpatialIndex.build(cloud(spark, pts), path=path)
@@ -109,7 +109,7 @@ def by_hand(keys):
     return out
 
 
-@pytest.mark.parametrize("seed,size", [(1, 4), (2, 7), (3, 64), (4, 5)])
+@pytest.mark.parametrize("seed,size", [(1, 4), (3, 64)])
 def test_linear_hierarchy_over_many_ranges(spark, monkeypatch, seed, size):
     """Ranges much smaller than nodes, taken together in several rounds, on dense, sparse and clustered keys."""
     monkeypatch.setattr(hierarchy, "RANGE", (size, size))
