@@ -8,11 +8,16 @@
    and sends a chain as one entry with the span of its sizes, so a frequent shingle is a few rows a task.
 3. Groups are narrowed by signatures: bitmaps of the parity of each slot's shingles, which differ in at most as many bits as two sets
    do in shingles. Pairs that differ in more bits than a link allows are skipped; the rest form smaller groups.
-4. A group is cut into blocks by size, large groups into at least SPLIT. Each pair of blocks whose sizes allow a link is a unit of work,
+4. The classes of a large group are first compared with one representative (its hub), in at most ROUNDS rounds; those that it is linked
+   with are its members. A group whose classes are all joined is done. Of others only classes that are still apart are compared on: the
+   largest component's members with the rest, never with one another.
+5. A group is cut into blocks by size, large groups into at least SPLIT. Each pair of blocks whose sizes allow a link is a unit of work,
    holding the sets once. Within it, lists are sorted by set size, so the part of a list that is too small or large is skipped by position,
    and the overlaps of a set are derived from those of the set before it, where the two are similar: only the lists of the shingles in
-   which they differ are read. So all links are found, and counted, without a row a pair.
-5. Links that join something new become edges, and connected components give the classes their component.
+   which they differ are read, and none if these are too few to make a link. Sets that are joined already aren't compared. So a unit of
+   near copies costs in proportion to its sets, and no link between two components is left out.
+6. Links that join something new become edges, and connected components give the classes their component. Only where the number of links
+   of each document is asked for, steps 3 to 5 visit all links within a group, without a row a pair.
 """
 
 from __future__ import annotations
@@ -30,6 +35,7 @@ from tesselar.plans.scratch import exclusive_sum
 
 from .common import BLOCK_ROWS, Facts, Numbered, Scratch, WordHash, partitions, shingle_hashes, tidied, words_of
 from .components import components
+from .hubs import confirmed, linked
 
 #: Counters of the sketch (a fixed size, whatever the input); least and most shingles and bytes of signatures in a block of sets; blocks
 #: that a group is cut into as far as these bounds allow.
@@ -37,6 +43,8 @@ COUNTERS = 1 << 20
 BLOCK_SHINGLES = (20_000, 300_000)
 BLOCK_SIGNATURES = (1 << 14, 1 << 19)
 SPLIT = 16
+#: Rounds with one hub a group.
+ROUNDS = 2
 #: Prefix entries that a task chains at a time.
 _FLUSH = 400_000
 #: Bits of a signature, for sets up to so many shingles.
@@ -210,21 +218,48 @@ def _neighbours(postings: DataFrame, percent: int) -> DataFrame:
     return lists.mapInArrow(tidied(run), "a long, b long").groupBy("a", "b").agg(F.lit(1).alias("one")).select("a", "b")
 
 
-def _units(groups: DataFrame, sizes: DataFrame, percent: int, scratch: Scratch, weight, bounds: tuple[int, int]) -> DataFrame:
-    """(class, root, b1, b2, side): the units of work a class belongs to. A unit is a block of a group, or a pair of its blocks."""
-    rows = groups.join(sizes, groups.node == sizes["class"]).select("class", "n", "root", weight.cast("long").alias("w"))
-    rows = exclusive_sum(rows, ["root", "n", "class"], "w", "before")  # over all groups, so that a large one is not in one task
+def _by_hubs(rows: DataFrame, held: DataFrame, percent: int, scratch: Scratch, above: int, test) -> tuple[DataFrame, DataFrame | None]:
+    """The classes (class, n, root, w, comp, minor) that are still to be compared, and the edges found so far. ``rows`` are (class, n, root, w),
+    ``held`` (class, n, data). Groups that weigh up to ``above`` are compared as they are; of others only those with several components
+    are left. A class that isn't ``minor`` needs no comparison with another such class."""
+    rows = scratch.save(rows, "grouped")
+    whole = rows.withColumn("comp", F.col("class")).withColumn("minor", F.lit(True))
+    large = scratch.save(rows.groupBy("root").agg(F.sum("w").alias("all")).where(F.col("all") > above).select("root"), "large")
+    if large.isEmpty():
+        return whole, None
+    now, edges = scratch.save(whole.join(large, "root"), "open"), None
+    for salt in range(ROUNDS):
+        hub = now.groupBy("root").agg(F.min(F.struct(F.xxhash64("class", F.lit(salt)), F.col("class"), F.col("n").alias("m"), F.col("comp").alias("comp2"))).alias("hub"))
+        met = now.join(hub.select("root", F.col("hub.class").alias("hub"), "hub.m", "hub.comp2"), "root")
+        met = met.where((F.col("comp") != F.col("comp2")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m")))
+        new = confirmed(met.select("hub", "class"), held, test, scratch)
+        edges = new if edges is None else edges.unionByName(new)
+        found = components(edges, scratch).withColumnsRenamed({"node": "class", "root": "joined"})
+        now = now.join(found, "class", "left").withColumn("comp", F.coalesce("joined", "class")).drop("joined")
+        apart = now.groupBy("root").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("root")
+        now = scratch.save(now.join(apart, "root"), "open")
+        if now.isEmpty():
+            break
+    most = now.groupBy("root", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("root").agg(F.max(F.struct("k", "comp"))["comp"].alias("largest"))
+    now = now.join(most, "root").withColumn("minor", F.col("comp") != F.col("largest")).drop("largest")
+    return whole.join(large, "root", "left_anti").unionByName(now), edges
+
+
+def _units(rows: DataFrame, percent: int, scratch: Scratch, bounds: tuple[int, int]) -> DataFrame:
+    """(class, root, comp, b1, b2, side): the units of work a class belongs to. A unit is a block of a group, or a pair of its blocks."""
+    rows = exclusive_sum(rows, ["root", "minor", "n", "class"], "w", "before")  # over all groups, so that a large one is not in one task
     limit = F.least(F.greatest(F.ceil(F.sum("w") / SPLIT), F.lit(bounds[0])), F.lit(bounds[1])).alias("limit")
     begin = scratch.save(rows.groupBy("root").agg(F.min("before").alias("begin"), limit), "begin")
-    blocks = rows.join(begin, "root").select("class", "n", "root", F.floor((F.col("before") - F.col("begin")) / F.col("limit")).alias("block"))
+    blocks = rows.join(begin, "root").select("class", "n", "root", "comp", "minor", F.floor((F.col("before") - F.col("begin")) / F.col("limit")).alias("block"))
     blocks = scratch.save(blocks, "blocks")
-    spans = blocks.groupBy("root", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    other = spans.withColumnsRenamed({"block": "right", "low": "low2", "high": "high2"})
-    pairs = spans.join(other, "root").where((F.col("right") > F.col("block")) & (F.col("high") * 100 >= F.col("low2") * percent))
+    spans = blocks.groupBy("root", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("minor").alias("some"))
+    other = spans.withColumnsRenamed({"block": "right", "low": "low2", "high": "high2", "some": "some2"})
+    sized = (F.col("high") * 100 >= F.col("low2") * percent) & (F.col("high2") * 100 >= F.col("low") * percent)
+    pairs = spans.join(other, "root").where((F.col("right") > F.col("block")) & sized & (F.col("some") | F.col("some2")))
     pairs = scratch.save(pairs.select("root", "block", "right"), "pairs")
-    alone = blocks.select("class", "root", F.col("block").alias("b1"), F.col("block").alias("b2"), F.lit(0).alias("side"))
-    left = blocks.join(pairs, ["root", "block"]).select("class", "root", F.col("block").alias("b1"), F.col("right").alias("b2"), F.lit(0).alias("side"))
-    right = blocks.withColumnRenamed("block", "right").join(pairs, ["root", "right"]).select("class", "root", F.col("block").alias("b1"), F.col("right").alias("b2"), F.lit(1).alias("side"))
+    alone = blocks.select("class", "root", "comp", F.col("block").alias("b1"), F.col("block").alias("b2"), F.lit(0).alias("side"))
+    left = blocks.join(pairs, ["root", "block"]).select("class", "root", "comp", F.col("block").alias("b1"), F.col("right").alias("b2"), F.lit(0).alias("side"))
+    right = blocks.withColumnRenamed("block", "right").join(pairs, ["root", "right"]).select("class", "root", "comp", F.col("block").alias("b1"), F.col("right").alias("b2"), F.lit(1).alias("side"))
     return alone.unionByName(left).unionByName(right)
 
 
@@ -244,6 +279,36 @@ def _sets(rows: DataFrame, wanted: Facts, size: int) -> DataFrame:
     return rows.mapInArrow(tidied(run), "class long, data binary, size long")
 
 
+def maybe_linked(a: bytes, b: bytes, n: int, m: int, percent: int) -> bool:
+    """Whether the signatures of two sets of n and m shingles allow a link."""
+    few, more = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
+    differ = few ^ np.bitwise_xor.reduce(more.reshape(-1, len(few)), axis=0)
+    return int(np.bitwise_count(differ).sum(dtype=np.int64)) * (100 + percent) <= (100 - percent) * (n + m)
+
+
+class Labels:
+    """Which sets of a unit are joined: those with one label."""
+
+    def __init__(self, comp: np.ndarray):
+        names, self.of = np.unique(comp, return_inverse=True)
+        self.left = len(names)
+
+    def apart(self, i: int, top: int) -> np.ndarray:
+        """Which positions between i and top are not joined with i."""
+        return self.of[i + 1 : top] != self.of[i]
+
+    def join(self, i: int, hit: np.ndarray) -> list[int]:
+        """Joins the sets of ``hit`` with i; one of them for each label that was another."""
+        labels, first = np.unique(self.of[hit], return_index=True)
+        new = labels != self.of[i]
+        if new.any():
+            to = np.arange(int(self.of.max()) + 1)
+            to[labels] = self.of[i]
+            self.of = to[self.of]
+            self.left -= int(new.sum())
+        return hit[first[new]].tolist()
+
+
 class Rough:
     """The signatures of a unit, and all pairs that they allow to be links."""
 
@@ -258,17 +323,21 @@ class Rough:
             at = next(i for i, b in enumerate(self.level) if b >= bits)
             self.folded[bits] = at, np.stack([np.bitwise_xor.reduce(m.reshape(-1, bits // 8), axis=0) for m in marks[at:]]).view(np.uint64)
 
-    def links(self) -> Iterator[tuple[int, np.ndarray]]:
+    def links(self, labels: Labels | None = None) -> Iterator[tuple[int, np.ndarray]]:
+        """For each set the larger or equal ones that it may be linked with; with ``labels``, which the caller keeps, only those not joined with it."""
         two = bool(self.sides.any()) and not self.sides.all()
         high = np.searchsorted(self.sizes, self.sizes * 100 // self.percent, "right")
         for i in range(len(self.sizes)):
-            at, marks = self.folded[self.level[i]]
-            rows = marks[i + 1 - at : int(high[i]) - at]
-            bits = np.bitwise_count(rows ^ marks[i - at]).sum(1, dtype=np.int64)
-            hit = bits * (100 + self.percent) <= (100 - self.percent) * (self.sizes[i] + self.sizes[i + 1 : int(high[i])])
+            if labels is not None and labels.left == 1:
+                return
+            top = int(high[i])
+            wanted = np.ones(top - i - 1, bool) if labels is None else labels.apart(i, top)
             if two:
-                hit &= self.sides[i + 1 : int(high[i])] != self.sides[i]
-            yield i, np.flatnonzero(hit) + i + 1
+                wanted &= self.sides[i + 1 : top] != self.sides[i]
+            spots = np.flatnonzero(wanted) + i + 1
+            at, marks = self.folded[self.level[i]]
+            bits = np.bitwise_count(marks[spots - at] ^ marks[i - at]).sum(1, dtype=np.int64)
+            yield i, spots[bits * (100 + self.percent) <= (100 - self.percent) * (self.sizes[i] + self.sizes[spots])]
 
 
 class Unit:
@@ -299,14 +368,20 @@ class Unit:
         """How many of the tokens each set with a position in [low, high) has."""
         return np.bincount(self._entries(tokens, low, high) - low, minlength=high - low)
 
-    def links(self) -> Iterator[tuple[int, np.ndarray]]:
-        """For each set the larger or equal sets (by position in the order) that it is linked with."""
+    def links(self, labels: Labels | None = None) -> Iterator[tuple[int, np.ndarray]]:
+        """For each set the larger or equal sets (by position in the order) that it is linked with; with ``labels``, which the caller
+        keeps, only those not joined with it."""
         n, two = len(self.sets), bool(self.sides.any()) and not self.sides.all()
         high = np.searchsorted(self.sizes, self.sizes * 100 // self.percent, "right")
         shared, was, begin, reach = None, None, 0, 0  # ``shared`` counts for the positions in [begin, reach)
         for i in range(n):
+            if labels is not None and labels.left == 1:
+                return
             top = int(high[i])
-            if top <= i + 1:
+            wanted = np.ones(top - i - 1, bool) if labels is None else labels.apart(i, top)
+            if two:
+                wanted &= self.sides[i + 1 : top] != self.sides[i]
+            if not wanted.any():
                 yield i, np.zeros(0, np.int64)
                 continue
             mine = self.tokens[i]
@@ -315,6 +390,9 @@ class Unit:
                 common = np.intersect1d(mine, was, assume_unique=True)
                 if len(common) * 3 >= 2 * max(len(mine), len(was)):
                     gone, new = np.setdiff1d(was, common, assume_unique=True), np.setdiff1d(mine, common, assume_unique=True)
+                    most = shared[i + 1 - begin : top - begin][wanted] + len(new)
+                    if not (100 * most >= self.percent * (len(mine) + self.sizes[i + 1 : top][wanted] - most)).any():
+                        continue
                     shared = shared[i + 1 - begin :] - self._shared(gone, i + 1, reach) + self._shared(new, i + 1, reach)
                     derived = True
             if not derived:
@@ -323,15 +401,13 @@ class Unit:
             was, begin = mine, i + 1
             c = shared[: top - begin]
             union = len(mine) + self.sizes[i + 1 : top] - c
-            hit = (100 * c >= self.percent * union) & (c > 0)
-            if two:
-                hit &= self.sides[i + 1 : top] != self.sides[i]
+            hit = (100 * c >= self.percent * union) & (c > 0) & wanted
             yield i, np.flatnonzero(hit) + i + 1
 
 
-def _solve(rows: DataFrame, percent: int, rough: bool = False) -> DataFrame:
-    """Links of each unit: (a, b) edges that join something new, and (a, null, links) the number of linked documents. With ``rough``
-    ``data`` holds signatures, and pairs are possible links."""
+def _solve(rows: DataFrame, percent: int, rough: bool = False, count: bool = False) -> DataFrame:
+    """Links of each unit: (a, b) edges that join something new, and with ``count`` (a, null, links) the number of linked documents. With
+    ``rough`` ``data`` holds signatures, and pairs are possible links."""
     schema = "a long, b long, links long"
 
     def flush(held: list[tuple]) -> pa.RecordBatch | None:
@@ -345,25 +421,17 @@ def _solve(rows: DataFrame, percent: int, rough: bool = False) -> DataFrame:
         else:
             unit = Unit([np.frombuffer(r[2], np.uint64) for r in held], sides, percent)
         ids, weight = ids[unit.order], weight[unit.order]
-        links, parent = np.zeros(len(ids), np.int64), list(range(len(ids)))
-
-        def find(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
+        links, labels = np.zeros(len(ids), np.int64), Labels(np.array([r[7] for r in held], np.int64)[unit.order])
         a, b = [], []
-        for i, hit in unit.links():
+        for i, hit in unit.links(None if count else labels):
             if len(hit):
-                links[i] += weight[hit].sum()
-                links[hit] += weight[i]
-                for j in hit.tolist():
-                    x, y = find(i), find(j)
-                    if x != y:
-                        parent[max(x, y)] = min(x, y)
-                        a.append(int(ids[i])), b.append(int(ids[j]))
-        some = np.flatnonzero(links) if not rough else np.zeros(0, np.int64)
+                if count:
+                    links[i] += weight[hit].sum()
+                    links[hit] += weight[i]
+                new = labels.join(i, hit)
+                a += [int(ids[i])] * len(new)
+                b += ids[new].tolist()
+        some = np.flatnonzero(links)
         return pa.RecordBatch.from_arrays(
             [pa.array([*a, *ids[some].tolist()], pa.int64()), pa.array([*b, *[None] * len(some)], pa.int64()), pa.array([*[None] * len(a), *links[some].tolist()], pa.int64())],
             names=["a", "b", "links"],
@@ -372,7 +440,7 @@ def _solve(rows: DataFrame, percent: int, rough: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, unit = [], None
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("class", "size", "data", "b1", "b2", "side", "root")]
+            cols = [batch.column(c).to_pylist() for c in ("class", "size", "data", "b1", "b2", "side", "root", "comp")]
             for row in zip(*cols):
                 key = row[6], row[3], row[4]
                 if key != unit:
@@ -389,20 +457,33 @@ def _solve(rows: DataFrame, percent: int, rough: bool = False) -> DataFrame:
     return rows.repartitionById(n, turn).sortWithinPartitions("root", "b1", "b2", "class").mapInArrow(tidied(run), schema)
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """One row a document: id, n_shingles, component_id, n_links, class, linked.
+def _edges(grouped: DataFrame, held: DataFrame, percent: int, scratch: Scratch, bounds: tuple[int, int], rough: bool = False, count: bool = False) -> DataFrame:
+    """What ``_solve`` finds within the groups (class, n, root, w), by hubs first unless links are counted."""
+    test = (lambda a, b, n, m: maybe_linked(a, b, n, m, percent)) if rough else (lambda a, b, n, m: linked(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), percent))
+    if count:
+        rows, edges = grouped.withColumn("comp", F.col("class")).withColumn("minor", F.lit(True)), None
+    else:
+        rows, edges = _by_hubs(grouped, held, percent, scratch, bounds[1] * (SPLIT if rough else 1), test)
+    data = held.select("class", "data", F.col("size") if "size" in held.columns else F.col("n").alias("size"))
+    found = _solve(_units(rows, percent, scratch, bounds).join(data, "class"), percent, rough, count)
+    return found if edges is None else found.unionByName(edges.withColumn("links", F.lit(None).cast("long")))
+
+
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, count_links: bool = False) -> DataFrame:
+    """One row a document: id, n_shingles, component_id, class, linked, and with ``count_links`` n_links.
 
     Sets of distinct ``size``-word shingles (the whole sequence, if it is shorter) are linked if 100 * shared >= percent * union.
-    ``component_id`` is the smallest id reached by links, ``n_links`` the number of other documents linked directly, ``class`` a number
-    that equal sets share. Null and empty texts and texts without words have no shingles and no links; long texts are read whole; rows with
+    ``component_id`` is the smallest id reached by links, ``class`` a number that equal sets share, ``linked`` says whether there is a link,
+    ``n_links`` is the number of other documents linked directly; to count it, time grows with the number of links between classes. Null and empty texts and texts without words have no shingles and no links; long texts are read whole; rows with
     equal ids are rows of their own; null ids are linked as any and never are the smallest. Other columns, whatever they are called, aren't
     read; an empty table gives an empty result.
     """
     numbered = Numbered(docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text")), Scratch(docs.sparkSession, "jaccard"))
-    return _joined(numbered, "doc", "text", size, percent).withColumnRenamed("doc", id_col).drop("row", "component")
+    out = _joined(numbered, "doc", "text", size, percent, count_links).withColumnRenamed("doc", id_col).drop("row", "component")
+    return out if count_links else out.drop("n_links")
 
 
-def _joined(numbered: Numbered, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
+def _joined(numbered: Numbered, id_col: str, text_col: str, size: int, percent: int, count: bool = False) -> DataFrame:
     """What ``jaccard_join`` returns, with the id called ``doc``, and the numbers of the row and of its component."""
     spark, scratch = numbered.rows.sparkSession, numbered.scratch
     rows = numbered.rows.select(F.col(numbered.row).alias("row"), F.col(text_col).cast("string").alias("text"))
@@ -418,15 +499,15 @@ def _joined(numbered: Numbered, id_col: str, text_col: str, size: int, percent:
     near = _neighbours(_postings(rows, reps, size, percent, order), percent)
     groups = scratch.save(components(near, scratch), "groups")
     weight = F.when(F.col("n") <= SIGNATURES[0][1], SIGNATURES[0][0] // 8).when(F.col("n") <= SIGNATURES[1][1], SIGNATURES[1][0] // 8).otherwise(SIGNATURES[2][0] // 8)
-    units = _units(groups, sizes, percent, scratch, weight, BLOCK_SIGNATURES)
-    marks = described.join(groups.select(F.col("node").alias("row")), "row").select(F.col("row").alias("class"), F.col("n").alias("size"), F.col("signature").alias("data"))
+    marks = described.join(groups.select(F.col("node").alias("row")), "row").select(F.col("row").alias("class"), "n", F.col("signature").alias("data"))
     marks = scratch.save(marks, "marks")
-    groups = scratch.save(components(_solve(units.join(marks, "class"), percent, rough=True).select("a", "b"), scratch), "groups")
+    edges = _edges(groups.join(sizes, groups.node == sizes["class"]).select("class", "n", "root", weight.cast("long").alias("w")), marks, percent, scratch, BLOCK_SIGNATURES, rough=True)
+    groups = scratch.save(components(edges.select("a", "b"), scratch), "groups")
 
-    units = _units(groups, sizes, percent, scratch, F.col("n"), BLOCK_SHINGLES)
     wanted = groups.join(classes, groups.node == classes["class"]).select(F.col("class").alias("row"), "size")
     held = scratch.save(_sets(rows, numbered.facts(wanted, F.shiftright("row", BLOCK_ROWS)), size), "held")
-    found = scratch.save(_solve(units.join(held, "class"), percent), "links")
+    grouped = groups.join(sizes, groups.node == sizes["class"]).select("class", "n", "root", F.col("n").alias("w"))
+    found = scratch.save(_edges(grouped, held.withColumn("n", F.octet_length("data") / 8), percent, scratch, BLOCK_SHINGLES, count=count), "links")
     scratch.drop(marks, held, described)
     joined = scratch.save(components(found.where(F.col("b").isNotNull()).select("a", "b"), scratch), "joined")
     links = found.where(F.col("links").isNotNull()).groupBy("a").agg(F.sum("links").alias("links"))

@@ -24,15 +24,15 @@ from pyspark.sql import functions as F
 
 from .common import BLOCK_ROWS, Numbered, Scratch, WordHash, mix, partitions, tidied
 from .components import components
+from .hubs import confirmed, linked
 from .jaccard import _sets, digest_of, shingle_set
 
 WIDTH, BANDS = 6, 42
 SLOTS = WIDTH * BANDS
 #: Most of the 128 bits in which a linked pair may differ.
 MOST = 34
-#: Rounds with one hub a bucket; partners of a hub that one task compares; shingles of either side of a unit.
+#: Rounds with one hub a bucket; shingles of either side of a unit.
 ROUNDS = 3
-PORTION = 500
 SHINGLES = 300_000
 #: Shingles whose signatures are made at a time.
 _ELEMENTS = 40_000
@@ -164,41 +164,6 @@ def _hubs(entries: DataFrame, salt: int, percent: int) -> DataFrame:
     return met.groupBy("class").agg(F.max(F.struct("k", "hub"))["hub"].alias("hub")).select("hub", "class")
 
 
-def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """Whether two sorted sets are similar enough."""
-    few, more = (a, b) if len(a) < len(b) else (b, a)
-    shared = int((more[np.minimum(np.searchsorted(more, few), len(more) - 1)] == few).sum())
-    return 100 * shared >= percent * (len(a) + len(b) - shared)
-
-
-def _confirmed(pairs: DataFrame, held: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """(a, b) of the pairs (hub, class) that are linked, by their full sets."""
-    pairs = scratch.save(pairs, "pairs")
-    many = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / PORTION).alias("portions"))
-    dealt = pairs.join(many, "hub").withColumn("portion", F.pmod(F.xxhash64("class"), F.col("portions")))
-    head = F.lit(None).cast("long").alias("class")
-    sent = dealt.select("hub", "portion", "class", F.col("class").alias("of")).unionByName(dealt.select("hub", "portion").distinct().select("hub", "portion", head, F.col("hub").alias("of")))
-    both = sent.join(held.select(F.col("class").alias("of"), "data"), "of").select("hub", "portion", "class", "data")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, head = None, None
-        for batch in batches:
-            a, b = [], []
-            for hub, portion, other, data in zip(*(c.to_pylist() for c in batch.columns)):
-                s = np.frombuffer(data, np.uint64)
-                if other is None:
-                    at, head = (hub, portion), s
-                    continue
-                assert at == (hub, portion)
-                if linked(s, head, percent):
-                    a.append(hub), b.append(other)
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    both = both.repartition(partitions(pairs.sparkSession), "hub", "portion").sortWithinPartitions("hub", "portion", F.asc_nulls_first("class"))
-    return scratch.save(both.mapInArrow(tidied(run), "a long, b long"), "confirmed")
-
-
 def _apart(entries: DataFrame, members: DataFrame, held: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """(a, b): links between classes of a bucket that are not joined, enough of them to join what all of them join.
 
@@ -294,10 +259,12 @@ def _links(members: DataFrame, numbered: Numbered, rows: DataFrame, size: int, p
     entries = scratch.save(shared.join(members.select("class", "n", "low", "high"), "class"), "entries")
     wanted = members.select(F.col("class").alias("row")).withColumn("size", F.lit(1).cast("long"))
     held = scratch.save(_sets(rows, numbered.facts(wanted, F.shiftright("row", BLOCK_ROWS)), size), "held")
+    sized = held.select("class", "data", F.lit(None).cast("long").alias("n"))
+    test = lambda a, b, n, m: linked(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), percent)
     found, edges = None, None
     now = entries.withColumn("comp", F.col("class"))
     for step in range(ROUNDS + 1):
-        new = _confirmed(_hubs(now, step, percent), held, percent, scratch) if step < ROUNDS else _apart(now, members, held, percent, scratch)
+        new = confirmed(_hubs(now, step, percent), sized, test, scratch) if step < ROUNDS else _apart(now, members, held, percent, scratch)
         edges = new if edges is None else edges.unionByName(new)
         found = scratch.save(components(edges, scratch), "joined")
         if step < ROUNDS:

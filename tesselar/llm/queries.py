@@ -122,7 +122,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = jaccard_join(table(spark, sf_dir, "documents"), size=4, percent=85)
-    return out.select("doc_id", "n_shingles", "component_id", "n_links")
+    return out.select("doc_id", "n_shingles", "component_id")
 
 
 @query
@@ -140,10 +140,9 @@ t AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM s),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c FROM t a JOIN t b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2),
 l AS (SELECT a, b FROM p WHERE 100 * c >= 85 * (na + nb - c)),
 r(doc_id, reached) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.reached = l.a),
-m AS (SELECT doc_id, min(reached) AS component_id FROM r GROUP BY doc_id),
-k AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
-SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, m.component_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links
-FROM s JOIN m ON s.doc_id = m.doc_id LEFT JOIN k ON s.doc_id = k.a
+m AS (SELECT doc_id, min(reached) AS component_id FROM r GROUP BY doc_id)
+SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, m.component_id
+FROM s JOIN m ON s.doc_id = m.doc_id
 """
 
 

@@ -174,19 +174,23 @@ def near_rows(seed, n=90):
     return rows
 
 
-@pytest.mark.parametrize("size,percent,small", [(4, 85, False), (5, 80, True)])
+@pytest.mark.parametrize("size,percent,small", [(4, 85, False), (5, 80, True), (4, 60, True)])
 def test_jaccard(spark, odd_docs, no_docs, monkeypatch, size, percent, small):
     if small:  # many blocks a group
         monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", (100, 400))
         monkeypatch.setattr(jaccard, "BLOCK_SIGNATURES", (300, 1000))
+        monkeypatch.setattr(jaccard, "SPLIT", 2 if percent == 60 else 16)  # then groups of signatures have hubs too
         rows = near_rows(size)
         docs = spark.createDataFrame(rows, "doc_id long, text string")
     else:
         rows = [(d.doc_id, d.text) for d in odd_docs.collect()]
         docs = odd_docs
-    out = jaccard.jaccard_join(docs, size=size, percent=percent).collect()
+    plain = jaccard.jaccard_join(docs, size=size, percent=percent)
+    out = jaccard.jaccard_join(docs, size=size, percent=percent, count_links=True).collect()
     key = lambda x: tuple(map(str, x))
     assert sorted(((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in out), key=key) == sorted(join_by_hand(rows, size, percent), key=key)
+    assert "n_links" not in plain.columns
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id, r.linked) for r in plain.collect()), key=key) == sorted(((r.doc_id, r.n_shingles, r.component_id, r.n_links > 0) for r in out), key=key)
     if not small:
         assert jaccard.jaccard_join(no_docs).count() == 0
         left = jaccard.keep_one(docs, size=size, percent=percent)
@@ -208,6 +212,73 @@ def test_units_against_all_pairs():
         assert want <= may
 
 
+def copies(n, apart=1, words=300):
+    """n near copies of each of some texts, as shingle sets."""
+    r, rows = random.Random(n), []
+    for k in range(apart):
+        base = [f"{k}w{i}" for i in range(words)]
+        for _ in range(n):
+            w = list(base)
+            for _ in range(r.randrange(3)):
+                w[r.randrange(words)] = f"x{r.randrange(10**6)}"
+            rows.append(" ".join(w))
+    return [jaccard.shingle_set(t, 4, WordHash()) for t in rows]
+
+
+def test_joined_sets_are_not_compared():
+    """With labels the components are those of all links; near copies cost in proportion to their number."""
+    sets = [s for s in (jaccard.shingle_set(t, 4, WordHash()) for _, t in near_rows(9, 120)) if len(s)]
+
+    def parts(unit, sides, start, labels):
+        labels_ = jaccard.Labels(np.array(start)[unit.order])
+        seen = sum(len(hit) for i, hit in unit.links(labels_ if labels else None) if labels_.join(i, hit) or True)
+        groups = defaultdict(set)
+        for k, g in zip(unit.order.tolist(), labels_.of.tolist()):
+            groups[g].add(k)
+        return sorted(map(sorted, groups.values())), seen
+
+    for percent in (50, 80, 100):
+        for sides in ([0] * len(sets), [k % 2 for k in range(len(sets))]):
+            for start in (list(range(len(sets))), [k // 3 for k in range(len(sets))]):
+                unit = jaccard.Unit(sets, sides, percent)
+                want, pairs = parts(unit, sides, start, False)
+                got, fewer = parts(unit, sides, start, True)
+                assert got == want and fewer <= pairs
+                rough = [jaccard.Rough([jaccard.signature(s) for s in sets], [len(s) for s in sets], sides, percent) for _ in range(2)]
+                assert parts(rough[0], sides, start, False)[0] == parts(rough[1], sides, start, True)[0]
+    cost = {}
+    for n in (500, 1000):
+        for kind in ("exact", "rough"):
+            c = copies(n, 2)
+            unit = jaccard.Unit(c, [0] * len(c), 85) if kind == "exact" else jaccard.Rough([jaccard.signature(s) for s in c], [len(s) for s in c], [0] * len(c), 85)
+            groups, cost[kind, n] = parts(unit, None, list(range(len(c))), True)
+            assert len(groups) == 2
+    assert cost["exact", 1000] < 2.2 * cost["exact", 500] and cost["rough", 1000] < 2.2 * cost["rough", 500]
+
+
+def test_hubs_join_near_copies(spark, monkeypatch):
+    """Of a large group of near copies each class meets its hub once, and no units are left; texts near the threshold keep their links."""
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", (1000, 4000))
+    pairs, call = [], jaccard.confirmed
+    monkeypatch.setattr(jaccard, "confirmed", lambda p, *a: pairs.append(p.count()) or call(p, *a))
+    base = [f"w{i}" for i in range(100)]
+    for n in (200, 400):
+        rows = [(k, " ".join([*base[:50], f"y{k}", *base[51:]])) for k in range(n)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        pairs.clear()
+        out = jaccard.jaccard_join(docs, size=4, percent=85).collect()
+        assert {x.component_id for x in out} == {0} and pairs == [n - 1]
+
+
+def test_maybe_linked_is_what_rough_finds():
+    sets = copies(12, 3, 60) + copies(2, 1, 2000)
+    marks, sizes = [jaccard.signature(s) for s in sets], [len(s) for s in sets]
+    rough = jaccard.Rough(marks, sizes, [0] * len(sets), 85)
+    got = {frozenset((int(rough.order[i]), int(rough.order[j]))) for i, hit in rough.links() for j in hit}
+    every = [(a, b) for a in range(len(sets)) for b in range(a) if min(sizes[a], sizes[b]) * 100 >= 85 * max(sizes[a], sizes[b])]
+    assert got == {frozenset(p) for p in every if jaccard.maybe_linked(marks[p[0]], marks[p[1]], sizes[p[0]], sizes[p[1]], 85)}
+
+
 def test_signatures_of_large_sets_fold():
     import numpy as np
 
