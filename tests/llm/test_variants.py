@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from tesselar.llm import divergence, minhash, spelling
+from tesselar.llm import divergence, hubs, minhash, spelling
 from tesselar.llm.common import Scratch, mix
 
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -162,7 +162,7 @@ def test_minhash_components(spark, monkeypatch, rounds, shingles, portion):
     """Equal to brute force with any number of rounds by hubs, and with small portions."""
     monkeypatch.setattr(minhash, "ROUNDS", rounds)
     monkeypatch.setattr(minhash, "SHINGLES", shingles)
-    monkeypatch.setattr(minhash, "PORTION", portion)
+    monkeypatch.setattr(hubs, "PORTION", portion)
     rows = near_copies(3) + [(1000 + i, "same words in every row of this group") for i in range(30)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
     got = minhash.near_duplicates(df, size=3, percent=85)
