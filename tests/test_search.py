@@ -4,8 +4,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tesselar.operators import search, traverse
+from tesselar.operators import packed, search, traverse
 from tesselar.operators.lbvh import SpatialIndex
+from tesselar.plans.scratch import save
 
 PT = "idx long, x double, y double, z double"
 
@@ -175,3 +176,37 @@ def test_one_large_box_is_in_few_pages(spark):
     assert traverse._leaves(index, front).count() <= 60 * 5 * 32  # few of the pages that have the large box or lie near
     got = sorted((x.q, x.idx) for x in search.radius_join(q, b, 0.1, "boxes").collect())
     assert got == sorted((i, x[0]) for i, p in enumerate(qs) for x in rows if box_d2(p, x) <= 0.1 * 0.1)
+
+
+def asked_rows(monkeypatch):
+    """Counts of the (query block, block) rows that joins send, one a tier."""
+    seen, real = [], packed._asked
+
+    def asked(*args):
+        out = save(real(*args))
+        seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(packed, "_asked", asked)
+    return seen
+
+
+def test_overlapping_boxes_are_met_by_their_ids(spark, monkeypatch):
+    """Thousands of boxes at one distance from a query, in space in another order than their ids: the lowest ids are found without the other tier."""
+    seen, r = asked_rows(monkeypatch), random.Random(4)
+    rows = [(i, *[-r.uniform(0.01, 9) for _ in range(3)], *[r.uniform(0.01, 9) for _ in range(3)]) for i in range(6000)]
+    r.shuffle(rows)
+    qs = [(r.uniform(-2, 2), r.uniform(-2, 2), x) for x in (0.0, 1.5, 12.0) for _ in range(30)]
+    got = {(x.q, x["rank"]): (x.idx, x.dist2) for x in search.knn_join(cloud(spark, qs[:60]), boxes_of(spark, rows), 3, "boxes").collect()}
+    assert seen[0] > 0 and seen[1] == 0
+    got |= {(x.q + 60, x["rank"]): (x.idx, x.dist2) for x in search.knn_join(cloud(spark, qs[60:]), boxes_of(spark, rows), 3, "boxes").collect()}
+    assert got == {(i, n + 1): (j, d) for i, p in enumerate(qs) for n, (d, j) in enumerate(sorted((box_d2(p, x), x[0]) for x in rows)[:3])}
+
+
+def test_joins_send_few_rows(spark, monkeypatch):
+    """Dense points under all of themselves: rows for pairs of blocks, not of queries and pages; far blocks are never sent."""
+    seen, r = asked_rows(monkeypatch), random.Random(6)
+    pts = [(r.random() + 100 * (i % 2), r.random(), r.random()) for i in range(8000)]
+    got = search.radius_join(cloud(spark, pts), cloud(spark, pts), 0.05)
+    want = sum(d2(pts[i], b) <= 0.05 * 0.05 for i in range(0, 8000, 100) for b in pts)
+    assert got.where("q % 100 = 0").count() == want and 0 < seen[0] <= 32
