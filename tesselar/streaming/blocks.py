@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -25,18 +26,46 @@ from tesselar.plans.scratch import folder
 BITS = 3
 SIZE = 1 << 3 * BITS
 BLOCK = ("bx", "by", "bz", "salt")
+#: Sums that a task holds before it hands them on, and rows it collects before it adds them up.
+HELD = 1 << 18
 #: The key of reset rows, and the store that keyed state needs.
 CONTROL = -1
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def _rows(voxels: DataFrame, values: list, salts: int) -> DataFrame:
-    """(bx, by, bz, salt, at, epoch, values) of rows (kx, ky, kz, epoch)."""
+    """(bx, by, bz, salt, at, epoch, values) of rows (kx, ky, kz, epoch), added up in each task, so that the state meets a voxel once a task."""
     low = F.lit((1 << BITS) - 1)
     at = [F.col(k).bitwiseAND(low) for k in KEY]
     cell = F.shiftleft(at[0], 2 * BITS).bitwiseOR(F.shiftleft(at[1], BITS)).bitwiseOR(at[2]).cast("int")
     salt = F.pmod(F.xxhash64(*KEY, *values), F.lit(salts)).cast("long")
-    return voxels.select(*[F.shiftright(k, BITS).alias(b) for k, b in zip(KEY, BLOCK)], salt.alias("salt"), cell.alias("at"), F.coalesce(F.col("epoch").cast("long"), F.lit(0)).alias("epoch"), *[v.alias(f"v{i}") for i, v in enumerate(values)])
+    rows = voxels.select(*[F.shiftright(k, BITS).alias(b) for k, b in zip(KEY, BLOCK)], salt.alias("salt"), cell.alias("at"), F.coalesce(F.col("epoch").cast("long"), F.lit(0)).alias("epoch"), *[v.alias(f"v{i}") for i, v in enumerate(values)])
+    return rows.mapInArrow(_added(len(values)), rows.schema)
+
+
+def _added(values: int):
+    sums, keys = [f"v{i}" for i in range(values)], [*BLOCK, "at", "epoch"]
+
+    def add(held: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+        t = pa.Table.from_batches(held)
+        out = t.group_by(keys).aggregate([(v, "sum") for v in sums]).rename_columns({f"{v}_sum": v for v in sums})
+        return out.select(t.column_names).cast(t.schema).combine_chunks().to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in batches:
+            held.append(b)
+            n += b.num_rows
+            if n >= 2 * HELD:
+                held = add(held)
+                n = sum(h.num_rows for h in held)
+                if n >= HELD:
+                    yield from held
+                    held, n = [], 0
+        if n:
+            yield from add(held)
+
+    return run
 
 
 def voxel_rows(cloud: DataFrame, grid: VoxelGrid, salts: int = 1) -> DataFrame:

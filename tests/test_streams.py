@@ -126,3 +126,13 @@ def test_poses_are_joined_by_their_size(spark, monkeypatch):
     monkeypatch.setattr(tsdf, "FEW", 1)
     assert sorted((r.idx, r.batch_id) for r in tsdf.visible_points(pts, poses).collect()) == want
     assert tsdf.visible_points(pts, poses.where(F.lit(False))).count() == 0
+
+
+def test_rows_of_a_voxel_are_added_up_before_the_state(spark):
+    """A task hands on a row a voxel, salt and epoch, with the sums of all its rows; more voxels than it holds are all there."""
+    cloud = spark.range(0, 700_000, 1, 2).selectExpr("id % 40 + 0.5D as x", "0.5D as y", "0.5D as z", "id % 2 as epoch")
+    rows = blocks.voxel_rows(cloud, GRID)
+    assert rows.count() == 2 * 40 and rows.agg(F.sum("v0")).first()[0] == 700_000
+    assert {r.n for r in rows.groupBy("bx", "at", "epoch").agg(F.sum("v0").alias("n")).collect()} == {17_500}
+    wide = blocks.voxel_rows(spark.range(0, 600_000, 1, 1).selectExpr("CAST(id AS DOUBLE) as x", "0.5D as y", "0.5D as z", "0 as epoch"), GRID)
+    assert wide.count() == 600_000 and wide.agg(F.sum("v0")).first()[0] == 600_000
