@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, partitions, tidied
+from .common import Numbered, partitions, tidied
 
 #: Partners of a hub that one task compares.
 PORTION = 500
@@ -22,15 +22,16 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * shared >= percent * (len(a) + len(b) - shared)
 
 
-def confirmed(pairs: DataFrame, held: DataFrame, test, scratch: Scratch) -> DataFrame:
+def confirmed(pairs: DataFrame, held: DataFrame, test, numbered: Numbered) -> DataFrame:
     """(a, b) of the pairs (hub, class) that pass ``test(data of the class, data of the hub, n of the class, n of the hub)``, by ``held``
-    (class, data, n). A hub's data is sent to each of its tasks, a class's once a pair."""
+    (class, data, n), whose rows lie as the numbered ones do. A hub's data is sent to each of its tasks, a class's once a pair, and no other."""
+    scratch = numbered.scratch
     pairs = scratch.save(pairs, "pairs")
     many = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / PORTION).alias("portions"))
     dealt = pairs.join(many, "hub").withColumn("portion", F.pmod(F.xxhash64("class"), F.col("portions")))
     head = F.lit(None).cast("long").alias("class")
     sent = dealt.select("hub", "portion", "class", F.col("class").alias("of")).unionByName(dealt.select("hub", "portion").distinct().select("hub", "portion", head, F.col("hub").alias("of")))
-    both = sent.join(held.select(F.col("class").alias("of"), "data", "n"), "of").select("hub", "portion", "class", "data", "n")
+    both = numbered.meet(held.select(F.col("class").alias("of"), "data", "n"), sent, "of").select("hub", "portion", "class", "data", "n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, head = None, None

@@ -2,10 +2,12 @@
 
 1. Texts are written once with a number each. Documents with equal shingle sets (by a 128-bit digest) form a class, named by the smallest
    number; only classes are compared, and only the text with this number is read again.
-2. A sketch of how often each shingle occurs, over all documents, orders shingles from rare to frequent. Similar sets share one of
-   their first shingles in this order (the prefix filter). Each shingle's index list is sorted by set size; entries too far apart in
-   size are skipped, and what remains side by side links classes into candidate groups. A task chains the lists of its own classes first
-   and sends a chain as one entry with the span of its sizes, so a frequent shingle is a few rows a task.
+2. A sketch of how often each shingle occurs, over all documents, orders shingles from rare to frequent. Similar sets share SHARED of
+   their first shingles in this order (the prefix filter). Each shingle's index list is sorted by set size, and entries too far apart in
+   size are skipped. Classes in short lists are candidates once they meet in SHARED lists: the more texts there are, the more of them
+   share a shingle by chance, and if one sufficed, most would end up in one group. In long lists what remains side by side links classes
+   into groups. A task chains the longer lists of its own classes first and sends a chain as one entry with the span of its sizes, so a
+   frequent shingle is a few rows a task.
 3. Groups are narrowed by signatures: bitmaps of the parity of each slot's shingles, which differ in at most as many bits as two sets
    do in shingles. Pairs that differ in more bits than a link allows are skipped; the rest form smaller groups.
 4. The classes of a large group are first compared with one representative (its hub), in at most ROUNDS rounds; those that it is linked
@@ -45,6 +47,10 @@ BLOCK_SIGNATURES = (1 << 14, 1 << 19)
 SPLIT = 16
 #: Rounds with one hub a group.
 ROUNDS = 2
+#: Prefix shingles that classes share to be candidates; most entries of a list whose classes are paired; of one task's own, to be sent singly.
+SHARED = 4
+LIST = 64
+OWN = 4
 #: Prefix entries that a task chains at a time.
 _FLUSH = 400_000
 #: Bits of a signature, for sets up to so many shingles.
@@ -139,8 +145,8 @@ def _counts(data: bytes) -> np.ndarray:
 
 
 def prefix(s: np.ndarray, order: np.ndarray, percent: int) -> np.ndarray:
-    """The first shingles in the order (class of the counter, hash), enough for any similar set to share one."""
-    keep = len(s) - needed(len(s), percent) + 1
+    """The first shingles in the order (class of the counter, hash), enough for any similar set to share SHARED of them, or all that both have."""
+    keep = len(s) - needed(len(s), percent) + SHARED
     # similar sets of other sizes share at least needed(len(s)), so this prefix serves for both sides
     rank = order[_counter(s)]
     return s[np.lexsort((s, rank))[:keep]]
@@ -149,6 +155,8 @@ def prefix(s: np.ndarray, order: np.ndarray, percent: int) -> np.ndarray:
 def chains(token: np.ndarray, ids: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of sets side by side in a list whose sizes allow a link, and the chains that they make: (token, class, least size, most
     size). Sets that may be linked are in one chain: all sizes between theirs allow links too."""
+    if not len(n):
+        return np.zeros((0, 2), np.int64), np.zeros((0, 4), np.int64)
     by = np.lexsort((n, token))
     token, ids, n = token[by], ids[by], n[by].astype(np.int64)
     near = (token[1:] == token[:-1]) & (n[:-1] * 100 >= n[1:] * percent)
@@ -159,7 +167,8 @@ def chains(token: np.ndarray, ids: np.ndarray, n: np.ndarray, percent: int) -> t
 
 
 def _postings(rows: DataFrame, reps: Facts, size: int, percent: int, order) -> DataFrame:
-    """(token, class, low, high, other): chains of a task's own classes, and, with ``low`` -1, pairs of a class and another."""
+    """(token, class, low, high, other): entries of a task's own classes, chains of those that are more than OWN in a list with ``other`` 1; and,
+    with ``low`` -1, pairs of a class and another in such a chain."""
     names = ["token", "class", "low", "high", "other"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,9 +176,13 @@ def _postings(rows: DataFrame, reps: Facts, size: int, percent: int, order) -> D
 
         def out() -> pa.RecordBatch:
             lengths = [len(t) for t in tokens]
-            pairs, found = chains(np.concatenate(tokens).view(np.int64), np.repeat(np.array(ids, np.int64), lengths), np.repeat(np.array(sizes, np.int64), lengths), percent)
-            minus = np.full(len(pairs), -1, np.int64)
-            cols = [np.r_[pairs[:, 0], found[:, 0]], np.r_[pairs[:, 0], found[:, 1]], np.r_[minus, found[:, 2]], np.r_[minus, found[:, 3]], np.r_[pairs[:, 1], found[:, 1]]]
+            token, name, n = np.concatenate(tokens).view(np.int64), np.repeat(np.array(ids, np.int64), lengths), np.repeat(np.array(sizes, np.int64), lengths)
+            _, at, often = np.unique(token, return_inverse=True, return_counts=True)
+            long = often[at] > OWN
+            pairs, found = chains(token[long], name[long], n[long], percent)
+            token, name, n = token[~long], name[~long], n[~long]
+            minus, one = np.full(len(pairs), -1, np.int64), np.ones(len(found), np.int64)
+            cols = [np.r_[pairs[:, 0], found[:, 0], token], np.r_[pairs[:, 0], found[:, 1], name], np.r_[minus, found[:, 2], n], np.r_[minus, found[:, 3], n], np.r_[pairs[:, 1], one, np.zeros_like(n)]]
             for x in (tokens, ids, sizes):
                 x.clear()
             return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names)
@@ -189,39 +202,83 @@ def _postings(rows: DataFrame, reps: Facts, size: int, percent: int, order) -> D
     return rows.mapInArrow(tidied(run), ", ".join(f"{c} long" for c in names))
 
 
-def _neighbours(postings: DataFrame, percent: int) -> DataFrame:
-    """Edges that join the classes of each index list as far as sizes side by side allow links. Streams over sorted lists of
-    chains; nothing of a list is held."""
+def in_lists(percent: int):
+    """A map over entries sorted by token and least size to (a, b, shared): how many prefix shingles the classes a and b share, or SHARED where
+    they must be in one group. Classes in a list of at most LIST entries, none of them a chain, are paired if their sizes allow a link;
+    longer lists are chained as far as sizes side by side allow. At most LIST entries of a list are held."""
+
+    def pairs_of(n: np.ndarray, ids: np.ndarray, run: np.ndarray) -> list[np.ndarray]:
+        out, step = [], 1
+        while step < len(n) and (same := run[step:] == run[:-step]).any():
+            near = np.flatnonzero(same & (n[:-step] * 100 >= n[step:] * percent))
+            few = n[near + step] * percent <= 100 * (SHARED - 1)  # sets so small may share fewer
+            out.append(np.stack([ids[near], ids[near + step], np.where(few, SHARED, 1)], 1))
+            step += 1
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
-        for batch in batches:
-            token, ids, low, high, other = (batch.column(i).to_numpy() for i in range(5))
-            is_pair = low < 0
-            a, b = [ids[is_pair]], [other[is_pair]]
-            token, ids, low, high = (x[~is_pair] for x in (token, ids, low, high))
-            if last is not None:
-                token, ids, low, high = (np.r_[x, y] for x, y in zip(last, (token, ids, low, high)))
+        held, open_ = [np.zeros(0, np.int64)] * 5, None  # entries of the last list; of a long one only what its next entry may be chained with
+
+        def settle(cols: list[np.ndarray], ended: bool) -> list[np.ndarray]:
+            nonlocal held, open_
+            token, ids, low, high, chain = cols
+            out = []
             if len(token):
-                same = token[1:] == token[:-1]
-                far = np.cumsum(np.r_[0, ~same]) << 40  # the largest size so far in a list
-                most = np.maximum.accumulate(high + far) - far
-                near = same & (most[:-1] * 100 >= low[1:] * percent) & (ids[:-1] != ids[1:])
-                a.append(ids[:-1][near]), b.append(ids[1:][near])
-                last = token[-1:], ids[-1:], low[-1:], most[-1:]
-            a, b = np.concatenate(a), np.concatenate(b)
-            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+                starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+                lengths = np.diff(np.r_[starts, len(token)])
+                run = np.repeat(np.arange(len(starts)), lengths)
+                long = (lengths > LIST) | (np.add.reduceat(chain, starts) > 0)
+                if open_ is not None and open_[0][0] == token[0]:
+                    long[0] = True
+                wait = not ended and not long[-1]
+                short = ~long[run]
+                if wait:
+                    short &= run != run[-1]
+                out += pairs_of(low[short], ids[short], run[short])
+                held = [c[run == run[-1]] if wait else c[:0] for c in cols]
+                mine = long[run]
+                token, ids, low, high = (c[mine] for c in cols[:4])
+                if open_ is not None:
+                    token, ids, low, high = (np.r_[x, y] for x, y in zip(open_, (token, ids, low, high)))
+                open_ = None
+                if len(token):
+                    same = token[1:] == token[:-1]
+                    far = np.cumsum(np.r_[0, ~same]) << 40  # the largest size so far in a list
+                    most = np.maximum.accumulate(high + far) - far
+                    near = np.flatnonzero(same & (most[:-1] * 100 >= low[1:] * percent) & (ids[:-1] != ids[1:]))
+                    out.append(np.stack([ids[near], ids[near + 1], np.full(len(near), SHARED)], 1))
+                    open_ = token[-1:], ids[-1:], low[-1:], most[-1:]
+            return out
+
+        def batch_of(found: list[np.ndarray]) -> pa.RecordBatch:
+            x = np.concatenate([np.zeros((0, 3), np.int64), *found])
+            pairs, at = np.unique(np.sort(x[:, :2], axis=1), axis=0, return_inverse=True)
+            shared = np.bincount(at.ravel(), weights=x[:, 2], minlength=len(pairs)).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(shared)], names=["a", "b", "shared"])
 
+        for batch in batches:
+            cols = [batch.column(i).to_numpy() for i in range(5)]
+            is_pair = cols[2] < 0
+            sure = np.stack([cols[1][is_pair], cols[4][is_pair], np.full(int(is_pair.sum()), SHARED)], 1)
+            yield batch_of([sure, *settle([np.r_[h, c[~is_pair]] for h, c in zip(held, cols)], False)])
+        yield batch_of(settle(held, True))
+
+    return run
+
+
+def _neighbours(postings: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) that join all classes that may be linked: those that share SHARED prefix shingles in short lists, or are chained in a long one."""
     n = partitions(postings.sparkSession)
     lists = postings.repartition(n, "token").sortWithinPartitions("token", "low")
-    return lists.mapInArrow(tidied(run), "a long, b long").groupBy("a", "b").agg(F.lit(1).alias("one")).select("a", "b")
+    found = lists.mapInArrow(tidied(in_lists(percent)), "a long, b long, shared long")
+    return found.groupBy("a", "b").agg(F.sum("shared").alias("shared")).where(F.col("shared") >= SHARED).select("a", "b")
 
 
-def _by_hubs(rows: DataFrame, held: DataFrame, percent: int, scratch: Scratch, above: int, test) -> tuple[DataFrame, DataFrame | None]:
+def _by_hubs(rows: DataFrame, held: DataFrame, percent: int, numbered: Numbered, above: int, test) -> tuple[DataFrame, DataFrame | None]:
     """The classes (class, n, root, w, comp, minor) that are still to be compared, and the edges found so far. ``rows`` are (class, n, root, w),
     ``held`` (class, n, data). Groups that weigh up to ``above`` are compared as they are; of others only those with several components
     are left. A class that isn't ``minor`` needs no comparison with another such class."""
+    scratch = numbered.scratch
     rows = scratch.save(rows, "grouped")
     whole = rows.withColumn("comp", F.col("class")).withColumn("minor", F.lit(True))
     large = scratch.save(rows.groupBy("root").agg(F.sum("w").alias("all")).where(F.col("all") > above).select("root"), "large")
@@ -232,7 +289,7 @@ def _by_hubs(rows: DataFrame, held: DataFrame, percent: int, scratch: Scratch, a
         hub = now.groupBy("root").agg(F.min(F.struct(F.xxhash64("class", F.lit(salt)), F.col("class"), F.col("n").alias("m"), F.col("comp").alias("comp2"))).alias("hub"))
         met = now.join(hub.select("root", F.col("hub.class").alias("hub"), "hub.m", "hub.comp2"), "root")
         met = met.where((F.col("comp") != F.col("comp2")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m")))
-        new = confirmed(met.select("hub", "class"), held, test, scratch)
+        new = confirmed(met.select("hub", "class"), held.select("class", "data", "n"), test, numbered)
         edges = new if edges is None else edges.unionByName(new)
         found = components(edges, scratch).withColumnsRenamed({"node": "class", "root": "joined"})
         now = now.join(found, "class", "left").withColumn("comp", F.coalesce("joined", "class")).drop("joined")
@@ -457,15 +514,15 @@ def _solve(rows: DataFrame, percent: int, rough: bool = False, count: bool = Fal
     return rows.repartitionById(n, turn).sortWithinPartitions("root", "b1", "b2", "class").mapInArrow(tidied(run), schema)
 
 
-def _edges(grouped: DataFrame, held: DataFrame, percent: int, scratch: Scratch, bounds: tuple[int, int], rough: bool = False, count: bool = False) -> DataFrame:
+def _edges(grouped: DataFrame, held: DataFrame, percent: int, numbered: Numbered, bounds: tuple[int, int], rough: bool = False, count: bool = False) -> DataFrame:
     """What ``_solve`` finds within the groups (class, n, root, w), by hubs first unless links are counted."""
     test = (lambda a, b, n, m: maybe_linked(a, b, n, m, percent)) if rough else (lambda a, b, n, m: linked(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), percent))
     if count:
         rows, edges = grouped.withColumn("comp", F.col("class")).withColumn("minor", F.lit(True)), None
     else:
-        rows, edges = _by_hubs(grouped, held, percent, scratch, bounds[1] * (SPLIT if rough else 1), test)
+        rows, edges = _by_hubs(grouped, held, percent, numbered, bounds[1] * (SPLIT if rough else 1), test)
     data = held.select("class", "data", F.col("size") if "size" in held.columns else F.col("n").alias("size"))
-    found = _solve(_units(rows, percent, scratch, bounds).join(data, "class"), percent, rough, count)
+    found = _solve(numbered.meet(data, _units(rows, percent, numbered.scratch, bounds), "class"), percent, rough, count)
     return found if edges is None else found.unionByName(edges.withColumn("links", F.lit(None).cast("long")))
 
 
@@ -499,15 +556,16 @@ def _joined(numbered: Numbered, id_col: str, text_col: str, size: int, percent:
     near = _neighbours(_postings(rows, reps, size, percent, order), percent)
     groups = scratch.save(components(near, scratch), "groups")
     weight = F.when(F.col("n") <= SIGNATURES[0][1], SIGNATURES[0][0] // 8).when(F.col("n") <= SIGNATURES[1][1], SIGNATURES[1][0] // 8).otherwise(SIGNATURES[2][0] // 8)
-    marks = described.join(groups.select(F.col("node").alias("row")), "row").select(F.col("row").alias("class"), "n", F.col("signature").alias("data"))
+    marks = described.where(F.col("segment").isNull()).select(F.col("row").alias("class"), "n", F.col("signature").alias("data"))
+    marks = numbered.meet(marks, groups.select(F.col("node").alias("class")), "class")
     marks = scratch.save(marks, "marks")
-    edges = _edges(groups.join(sizes, groups.node == sizes["class"]).select("class", "n", "root", weight.cast("long").alias("w")), marks, percent, scratch, BLOCK_SIGNATURES, rough=True)
+    edges = _edges(groups.join(sizes, groups.node == sizes["class"]).select("class", "n", "root", weight.cast("long").alias("w")), marks, percent, numbered, BLOCK_SIGNATURES, rough=True)
     groups = scratch.save(components(edges.select("a", "b"), scratch), "groups")
 
     wanted = groups.join(classes, groups.node == classes["class"]).select(F.col("class").alias("row"), "size")
     held = scratch.save(_sets(rows, numbered.facts(wanted, F.shiftright("row", BLOCK_ROWS)), size), "held")
     grouped = groups.join(sizes, groups.node == sizes["class"]).select("class", "n", "root", F.col("n").alias("w"))
-    found = scratch.save(_edges(grouped, held.withColumn("n", F.octet_length("data") / 8), percent, scratch, BLOCK_SHINGLES, count=count), "links")
+    found = scratch.save(_edges(grouped, held.withColumn("n", F.octet_length("data") / 8), percent, numbered, BLOCK_SHINGLES, count=count), "links")
     scratch.drop(marks, held, described)
     joined = scratch.save(components(found.where(F.col("b").isNotNull()).select("a", "b"), scratch), "joined")
     links = found.where(F.col("links").isNotNull()).groupBy("a").agg(F.sum("links").alias("links"))

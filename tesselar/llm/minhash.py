@@ -164,13 +164,14 @@ def _hubs(entries: DataFrame, salt: int, percent: int) -> DataFrame:
     return met.groupBy("class").agg(F.max(F.struct("k", "hub"))["hub"].alias("hub")).select("hub", "class")
 
 
-def _apart(entries: DataFrame, members: DataFrame, held: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+def _apart(entries: DataFrame, members: DataFrame, held: DataFrame, percent: int, numbered: Numbered) -> DataFrame:
     """(a, b): links between classes of a bucket that are not joined, enough of them to join what all of them join.
 
     The largest component of a bucket is compared with the others, and these with one another. The others (hubs) and all classes are
     dealt to portions, and a unit gets one portion of either kind. Units find by bits which pairs to look at, a pair only in the first band
     it shares; then the sets of these classes are sent to the unit once, whatever the number of pairs.
     """
+    scratch = numbered.scratch
     sizes = entries.groupBy("key", "comp").agg(F.sum("n").alias("k"))
     most = sizes.groupBy("key").agg(F.max(F.struct("k", "comp"))["comp"].alias("largest"), F.sum("k").alias("all"), F.max("k").alias("k"))
     rows = entries.join(most, "key").withColumn("minor", F.col("comp") != F.col("largest"))
@@ -244,7 +245,8 @@ def _apart(entries: DataFrame, members: DataFrame, held: DataFrame, percent: int
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    wanted = near.where("others is null").join(held.select("class", "data"), "class").select("unit", "class", "comp", "others", "data")
+    wanted = numbered.meet(held.select("class", "data"), near.where("others is null").select("unit", "class", "comp"), "class")
+    wanted = wanted.select("unit", "class", "comp", F.lit(None).cast("array<long>").alias("others"), "data")
     rows = near.where("others is not null").withColumn("data", F.lit(None).cast("binary")).unionByName(wanted)
     rows = rows.withColumn("is_pairs", F.col("others").isNotNull()).repartition(n, "unit").sortWithinPartitions("unit", "is_pairs").drop("is_pairs")
     return scratch.save(rows.mapInArrow(tidied(confirm), "a long, b long"), "confirmed")
@@ -254,7 +256,7 @@ def _links(members: DataFrame, numbered: Numbered, rows: DataFrame, size: int, p
     """(node, root) of the classes that links join."""
     scratch = numbered.scratch
     shared = scratch.save(_shared(members), "shared")
-    whole, members = members, scratch.save(members.join(shared.select("class").distinct(), "class"), "members")
+    whole, members = members, scratch.save(numbered.meet(members, shared.select("class").distinct(), "class"), "members")
     scratch.drop(whole)
     entries = scratch.save(shared.join(members.select("class", "n", "low", "high"), "class"), "entries")
     wanted = members.select(F.col("class").alias("row")).withColumn("size", F.lit(1).cast("long"))
@@ -264,7 +266,7 @@ def _links(members: DataFrame, numbered: Numbered, rows: DataFrame, size: int, p
     found, edges = None, None
     now = entries.withColumn("comp", F.col("class"))
     for step in range(ROUNDS + 1):
-        new = confirmed(_hubs(now, step, percent), sized, test, scratch) if step < ROUNDS else _apart(now, members, held, percent, scratch)
+        new = confirmed(_hubs(now, step, percent), sized, test, numbered) if step < ROUNDS else _apart(now, members, held, percent, numbered)
         edges = new if edges is None else edges.unionByName(new)
         found = scratch.save(components(edges, scratch), "joined")
         if step < ROUNDS:
@@ -294,7 +296,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = scratch.save(described.select("row", "n", "digest").join(ids, "row"), "ids")
     classes = sets.where("n > 0").groupBy("digest").agg(F.min("row").alias("class"), F.min("doc").alias("first"), F.count(F.lit(1)).alias("size"))
     classes = scratch.save(classes, "classes")
-    members = described.join(classes.select(F.col("class").alias("row")), "row").withColumnRenamed("row", "class")
+    members = numbered.meet(described, classes.select(F.col("class").alias("row")), "row").withColumnRenamed("row", "class")
     members = scratch.save(members, "members")
     scratch.drop(described)
     joined = _links(members, numbered, rows, size, percent)

@@ -5,9 +5,10 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tesselar.llm import components, exact_dedup, jaccard, line_dedup, queries
-from tesselar.llm.common import Scratch, WordHash
+from tesselar.llm.common import Numbered, Scratch, WordHash
 
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -380,3 +381,70 @@ def test_frequent_shingles_are_few_rows(spark):
     assert lists.count() < 4 * 40 + 400 and sent.where("low < 0").count() <= 2 * 400
     got = components.components(jaccard._neighbours(sent, 80), Scratch(spark, "t")).collect()
     assert len(got) == 400 and len({x.root for x in got}) == 1
+
+
+@pytest.mark.parametrize("percent", [50, 80, 85])
+@pytest.mark.parametrize("most", [2, 5, 64])
+def test_lists_join_what_may_be_linked(monkeypatch, percent, most):
+    """Sets of all sizes and distances, lists shorter and longer than the bound, batches that cut them: linked sets are in one group."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(jaccard, "LIST", most)
+    rng = np.random.default_rng(most)
+    draw = lambda k: rng.integers(0, 2**63, k).astype(np.uint64)
+    for _ in range(15):
+        sets = []
+        for base in [draw(rng.integers(1, 60)) for _ in range(12)]:
+            for _ in range(rng.integers(1, 9)):
+                sets.append(np.unique(np.r_[base[rng.random(len(base)) >= rng.choice([0, 0.02, 0.1])], draw(rng.integers(0, 3))]))
+        sets = list({s.tobytes(): s for s in sets if len(s)}.values())
+        order = np.zeros(jaccard.COUNTERS, np.uint8)
+        rows = sorted((int(t), i, len(s), len(s), 0) for i, s in enumerate(sets) for t in jaccard.prefix(s, order, percent).view(np.int64))
+        rows.sort(key=lambda r: (r[0], r[2]))
+        step = int(rng.integers(1, 40))
+        batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[k : k + step])], names=["token", "class", "low", "high", "other"]) for k in range(0, len(rows), step)]
+        shared, parent = Counter(), list(range(len(sets)))
+        for batch in jaccard.in_lists(percent)(iter(batches)):
+            for a, b, k in zip(*(c.to_pylist() for c in batch.columns)):
+                shared[a, b] += k
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for (a, b), k in shared.items():
+            if k >= jaccard.SHARED:
+                parent[find(a)] = find(b)
+        assert all(find(a) == find(b) for a in range(len(sets)) for b in range(a) if jaccard.linked(sets[a], sets[b], percent))
+
+
+def test_texts_that_share_shingles_by_chance_make_no_group(spark):
+    """A ring of texts, each sharing one run of words with the next, is no group of candidates; two near copies are one."""
+    vocab = [f"v{i}" for i in range(20_000)]
+    r = random.Random(8)
+    texts = [[r.choice(vocab) for _ in range(12)] for _ in range(60)]
+    for i in range(60):
+        texts[i][:4] = texts[i - 1][-4:]
+    copy = [r.choice(vocab) for _ in range(80)]
+    texts += [copy, [*copy[:-1], "other"]]
+    scratch = Scratch(spark, "t")
+    rows = scratch.save(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "row long, text string").coalesce(1))
+    numbered = Numbered(rows, scratch)
+    order = spark.sparkContext.broadcast(np.zeros(jaccard.COUNTERS, np.uint8))
+    sent = jaccard._postings(rows, numbered.facts(rows.select("row"), F.lit(0).cast("long")), 4, 80, order)
+    assert [tuple(x) for x in jaccard._neighbours(sent, 80).collect()] == [(60, 61)]
+
+
+def test_rows_meet_facts_where_they_lie(spark):
+    """Equal to a join, for rows of several scan partitions and any number of facts a row, and the table's data isn't shuffled."""
+    scratch = Scratch(spark, "t")
+    numbered = Numbered(spark.range(0, 3000, 1, 7).select("id", F.sha2(F.col("id").cast("string"), 512).cast("binary").alias("data")), scratch)
+    held = numbered.rows.select(F.col(numbered.row).alias("class"), "data", "id")
+    found = held.where("id % 3 = 0").select("class", F.explode(F.sequence(F.lit(0), F.pmod("id", F.lit(4)).cast("int"))).alias("k"), F.lit("x").alias("note"))
+    met = numbered.meet(held, found, "class")
+    assert not re.search("Join|Exchange", met._jdf.queryExecution().executedPlan().toString())
+    want = held.join(found, "class").select(met.columns)
+    assert met.schema.simpleString() == want.schema.simpleString()
+    assert sorted(map(tuple, met.collect())) == sorted(map(tuple, want.collect())) and want.count() > 2000
+    assert numbered.meet(held, found.where("k > 9"), "class").count() == 0
