@@ -533,15 +533,19 @@ def visible_points(spark, sf):
 # ---- streaming -------------------------------------------------------------------------------------------------------------
 
 
+def _events(spark, sf):
+    return incremental.read_stream(spark, f"{sf}/events.parquet", bytes_per_batch=incremental.BATCH_BYTES)
+
+
 @query(f"WITH {_EV} SELECT kx, ky, kz, {KEY_SQL} AS key, count(*) AS cnt FROM v GROUP BY kx, ky, kz")
 def stream_voxel(spark, sf):
-    ev = views.event_points(incremental.read_stream(spark, f"{sf}/events.parquet"))
+    ev = views.event_points(_events(spark, sf))
     return incremental.run_available(incremental.stream_voxels(ev, EV_GRID))
 
 
 @query(f"WITH {EV}, {POSES}, seen AS (SELECT ev.x, ev.y, ev.z, cam_x, cam_y, cam_z FROM ev JOIN poses p ON ev.batch_id % 25 = p.batch_id), {_samples('seen', 5.0, 15.0, 4)} SELECT kx, ky, kz, key, sum_dw, sum_w FROM field")
 def stream_tsdf(spark, sf):
-    ev = views.event_points(incremental.read_stream(spark, f"{sf}/events.parquet"))
+    ev = views.event_points(_events(spark, sf))
     seen = incremental.with_pose(ev, views.poses(spark, sf), lambda d: F.col("batch_id") % 25)
     return incremental.run_available(incremental.stream_tsdf(seen, WIDE))
 
@@ -549,14 +553,14 @@ def stream_tsdf(spark, sf):
 @query(f"WITH {EV}, {_voxel(5.0, 'ev').join(('v AS (', ')'))} SELECT kx, ky, kz, {KEY_SQL} AS key, count(*) AS cnt FROM v GROUP BY kx, ky, kz")
 def stream_voxel_blocks(spark, sf):
     """The state of keyed blocks, each dealt to four keys."""
-    ev = views.event_points(incremental.read_stream(spark, f"{sf}/events.parquet")).withColumn("epoch", F.lit(0))
+    ev = views.event_points(_events(spark, sf)).withColumn("epoch", F.lit(0))
     return blocks.table(spark, blocks.run(blocks.voxel_rows(ev, EV_GRID, salts=4)), ["cnt"])
 
 
 @query(f"WITH {EV}, w AS (SELECT * FROM ev WHERE idx // 4000 = (SELECT max(event_id) // 4000 FROM events)), {_voxel(5.0, 'w').join(('v AS (', ')'))} SELECT kx, ky, kz, {KEY_SQL} AS key, count(*) AS cnt FROM v GROUP BY kx, ky, kz")
 def stream_voxel_reset(spark, sf):
     """Every 4000th event resets the grid, inside the running stream."""
-    events = incremental.read_stream(spark, f"{sf}/events.parquet")
+    events = _events(spark, sf)
     ev = views.event_points(events).withColumn("epoch", F.floor(F.col("idx") / 4000).cast("long"))
     resets = events.where("event_id % 4000 = 0").select(F.floor(F.col("event_id") / 4000).cast("long").alias("epoch"))
     return blocks.table(spark, blocks.run(blocks.voxel_rows(ev, EV_GRID).unionByName(blocks.reset(resets))), ["cnt"])
@@ -564,7 +568,7 @@ def stream_voxel_reset(spark, sf):
 
 @query(f"WITH {EV}, {POSES}, seen AS (SELECT ev.x, ev.y, ev.z, cam_x, cam_y, cam_z FROM ev JOIN poses p ON ev.batch_id % 25 = p.batch_id), {_samples('seen', 5.0, 15.0, 4)} SELECT kx, ky, kz, key, sum_dw, sum_w FROM field")
 def stream_tsdf_blocks(spark, sf):
-    ev = views.event_points(incremental.read_stream(spark, f"{sf}/events.parquet")).withColumn("epoch", F.lit(0))
+    ev = views.event_points(_events(spark, sf)).withColumn("epoch", F.lit(0))
     seen = incremental.with_pose(ev, views.poses(spark, sf), lambda d: F.col("batch_id") % 25)
     return blocks.table(spark, blocks.run(blocks.tsdf_rows(seen, WIDE)), ["sum_dw", "sum_w"])
 

@@ -17,9 +17,17 @@ from tesselar.operators.voxels import KEY, VoxelGrid
 from tesselar.plans.scratch import folder
 
 
-def read_stream(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
-    """A stream of the Parquet files under a path, or of the one file at it, with the schema they have now."""
-    reader = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_batch)
+#: Bytes of files that the queries take in a micro-batch.
+BATCH_BYTES = 256 << 20
+
+
+def read_stream(spark: SparkSession, path: str, files_per_batch: int = 1, bytes_per_batch: int | None = None) -> DataFrame:
+    """A stream of the Parquet files under a path, or of the one file at it, with the schema they have now.
+
+    With ``bytes_per_batch`` a micro-batch takes files up to that size together, at least one, so that the number of micro-batches,
+    each of which writes the state it changed, goes with the bytes and not with the number of files."""
+    limit = ("maxFilesPerTrigger", files_per_batch) if bytes_per_batch is None else ("maxBytesPerTrigger", bytes_per_batch)
+    reader = spark.readStream.schema(spark.read.parquet(path).schema).option(*limit)
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory():
         return reader.parquet(path)

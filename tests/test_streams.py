@@ -1,3 +1,4 @@
+import os
 import random
 import time
 from collections import Counter
@@ -6,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tesselar.operators import tsdf, voxels
+from tesselar.plans import registry
 from tesselar.streaming import blocks, incremental
 
 ROW = "idx long, x double, y double, z double, epoch long"
@@ -136,3 +138,23 @@ def test_rows_of_a_voxel_are_added_up_before_the_state(spark):
     assert {r.n for r in rows.groupBy("bx", "at", "epoch").agg(F.sum("v0").alias("n")).collect()} == {17_500}
     wide = blocks.voxel_rows(spark.range(0, 600_000, 1, 1).selectExpr("CAST(id AS DOUBLE) as x", "0.5D as y", "0.5D as z", "0 as epoch"), GRID)
     assert wide.count() == 600_000 and wide.agg(F.sum("v0")).first()[0] == 600_000
+
+
+@pytest.mark.parametrize("name", ["stream_tsdf", "stream_voxel"])
+def test_many_small_files_are_few_batches(spark, sf, tmp_path, monkeypatch, name):
+    """The queries' micro-batches go with the bytes, not with the number of files; however many there are, the result is the same."""
+    os.symlink(f"{sf}/nation.parquet", tmp_path / "nation.parquet")
+    spark.read.parquet(f"{sf}/events.parquet").repartition(6).write.parquet(str(tmp_path / "events.parquet"))
+    read, batches = incremental.changes, []
+
+    def watched(*a):
+        df = read(*a)
+        batches.append(df.select("_batch").distinct().count())
+        return df
+
+    monkeypatch.setattr(incremental, "changes", watched)
+    rows = lambda d: sorted(map(tuple, registry.QUERIES[name](spark, d).collect()))
+    got = rows(str(tmp_path))
+    monkeypatch.setattr(incremental, "BATCH_BYTES", 1)
+    assert got == rows(sf) == rows(str(tmp_path)) and len(got) > 100
+    assert batches == [1, 1, 6]
