@@ -1,9 +1,10 @@
-"""Source divergence audit by a sort-based stream: how the wording of a language's sources differs, exactly.
+"""Source divergence audit by sorted runs: how the wording of a language's sources differs, exactly.
 
-1. Each task cuts its texts into terms and chains its own documents: an entry (lang, term, source, chain) says in how many documents of
-   the chain the term occurs and how often. So a frequent term is a few rows a task, not a row a document.
-2. Entries are repartitioned by (lang, term) and sorted by (lang, term, source, chain). A run-length scan, which holds no more than the
-   sources of one term, adds up runs: document frequency decides whether the language keeps the term, and counts go out by source.
+1. Each task cuts its texts into terms and chains its own documents: an entry (lang, term, source) says in how many documents of the
+   chain the term occurs and how often. So a frequent term is a few entries a task, not one a document.
+2. Entries go to buckets by a hash of the term, those of a chain and bucket packed in one row, so that the shuffle moves and sorts few
+   rows. A task takes bucket by bucket and adds up runs in the order of (lang, term, source): document frequency decides whether the
+   language keeps the term, and counts go out by source.
 3. Sums over all kept terms need no row for terms that are absent. With p0 a group's value for a count of 0, the sum of f(p, q) over all
    terms is that of the terms present in one group only (from a histogram of each group's values), of those in neither (a number times
    f(p0, q0)), and a correction for terms present in both. The scan over a term's run makes the corrections as partial pairs, added up in
@@ -14,12 +15,13 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -32,6 +34,9 @@ TOP = 200
 _HELD = 600_000
 _HELD_PAIRS = 200_000
 _PAIRS = 1 << 20
+#: Buckets of terms for each partition of the shuffle; a task holds one at a time. Rows that it hands on in a batch.
+_BUCKETS = 2
+_OUT = 1 << 16
 
 #: Bytes of UTF-8: A-Z lower-cased, other ASCII characters than letters become blanks.
 _TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -60,24 +65,38 @@ def _share(times: Column, n: Column) -> Column:
     return F.when(n == 0, F.lit(1).cast("long")).otherwise(1 + F.when(times < 9_000_000_000, _div((times + 1) * F.lit(1_000_000_000), n)).otherwise(wide))
 
 
+def buckets(spark: SparkSession) -> int:
+    return _BUCKETS * partitions(spark)
+
+
 def chains(docs: DataFrame) -> DataFrame:
-    """(lang, term, source, chain, docs, times) from rows (lang, source, text): how often a term occurs in the documents of a chain."""
-    names = ["lang", "term", "source", "chain", "docs", "times"]
+    """Rows (lang, source, text) as packed entries, a row for each chain and bucket of terms: how often terms occur in the documents of a chain.
+
+    ``words`` holds the row's terms with a blank between them, ``docs`` and ``times`` their numbers as 64-bit integers; the first
+    ``runs[0]`` terms are of ``langs[0]`` and ``sources[0]``, and so on."""
+    n_buckets = np.uint64(buckets(docs.sparkSession))
+
+    def pack(held: dict[tuple[str, str], tuple[Counter, Counter]]) -> pa.RecordBatch:
+        words = list(chain.from_iterable(times for times, _ in held.values()))
+        n = len(words)
+        found = np.fromiter(chain.from_iterable(map(found.__getitem__, times) for times, found in held.values()), np.int64, n)
+        times = np.fromiter(chain.from_iterable(times.values() for times, _ in held.values()), np.int64, n)
+        group = np.repeat(np.arange(len(held)), [len(times) for times, _ in held.values()])
+        bucket = (np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n) % n_buckets).astype(np.int32)
+        by = np.argsort(bucket, kind="stable")
+        bucket, group = bucket[by], group[by]
+        new = np.diff(bucket, prepend=-1) != 0
+        run = np.flatnonzero(new | (np.diff(group, prepend=-1) != 0))
+        rows = np.r_[np.flatnonzero(new), n].astype(np.int32)
+        offsets = pa.array(np.searchsorted(run, rows).astype(np.int32))
+        names = [pa.ListArray.from_arrays(offsets, pa.array([k[i] for k in held], pa.string()).take(pa.array(group[run]))) for i in (0, 1)]
+        runs = pa.ListArray.from_arrays(offsets, pa.array(np.diff(np.r_[run, n]).astype(np.int32)))
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(rows), pa.array(words, pa.binary()).take(pa.array(by))), pa.scalar(b" ", pa.binary()))
+        numbers = [pa.Array.from_buffers(pa.binary(), len(rows) - 1, [None, pa.py_buffer(rows * np.int32(8)), pa.py_buffer(x[by])]) for x in (found, times)]
+        return pa.RecordBatch.from_arrays([pa.array(bucket[rows[:-1]]), *names, runs, joined, *numbers], names=["bucket", "langs", "sources", "runs", "words", "docs", "times"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
-        chain = TaskContext.get().partitionId() << 33
-
-        def out() -> Iterator[pa.RecordBatch]:
-            for (lang, source), (times, found) in held.items():
-                n = len(times)
-                words = pa.array(list(times), pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang], pa.string()).take(pa.array(np.zeros(n, np.int32))), words, pa.array([source], pa.string()).take(pa.array(np.zeros(n, np.int32))), pa.array(np.full(n, chain)), pa.array(np.fromiter(map(found.__getitem__, times), np.int64, n)), pa.array(np.fromiter(times.values(), np.int64, n))],
-                    names=names,
-                )
-            held.clear()
-
         size = 0
         for batch in batches:
             for lang, source, text in zip(*(c.to_pylist() for c in batch.columns)):
@@ -88,11 +107,13 @@ def chains(docs: DataFrame) -> DataFrame:
                     found.update(set(words))
                     size += len(times)
                     if size >= _HELD:
-                        yield from out()
-                        size, chain = 0, chain + 1
-        yield from out()
+                        yield pack(held)
+                        held.clear()
+                        size = 0
+        if held:
+            yield pack(held)
 
-    return docs.mapInArrow(tidied(run), "lang string, term binary, source string, chain long, docs long, times long")
+    return docs.mapInArrow(tidied(run), "bucket int, langs array<string>, sources array<string>, runs array<int>, words binary, docs binary, times binary")
 
 
 def _starts(table: pa.Table, names: list[str]) -> np.ndarray:
@@ -113,12 +134,12 @@ def _by_term(rows: DataFrame, *order: str) -> DataFrame:
     return rows.repartition(partitions(rows.sparkSession), h).sortWithinPartitions(h, "lang", "term", *order).drop(h)
 
 
-def _runs(batches: Iterator[pa.RecordBatch], shorten) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Whole runs of (lang, term), as ``shorten`` leaves them, with their starts. Of a run that goes on only the shortened rows are held."""
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Whole runs of (lang, term) with their starts."""
     rest = None
     for batch in batches:
         table = pa.Table.from_batches([batch])
-        table = shorten(pa.concat_tables([rest, table]) if rest is not None else table)
+        table = pa.concat_tables([rest, table]) if rest is not None else table
         starts = _starts(table, ["lang", "term"])
         if len(starts) > 1:
             yield table.slice(0, int(starts[-1])), starts[:-1]
@@ -127,30 +148,56 @@ def _runs(batches: Iterator[pa.RecordBatch], shorten) -> Iterator[tuple[pa.Table
         yield rest, np.zeros(1, np.int64)
 
 
-def kept_terms(entries: DataFrame, least: int = LEAST_DOCS) -> DataFrame:
+def _entries(rows: pa.Table) -> tuple[pa.Array, pa.Array, pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Of packed rows: languages, terms and sources, each once; and the entries' keys, (lang, term, source) as one number, documents and times."""
+    runs = np.concatenate([c.flatten().to_numpy() for c in rows.column("runs").chunks])
+    flat = lambda c: pa.chunked_array([x.flatten() for x in rows.column(c).chunks]).combine_chunks().dictionary_encode()
+    langs, sources = flat("langs"), flat("sources")
+    words = pa.chunked_array([pc.split_pattern(x, pattern=" ").flatten() for x in rows.column("words").chunks]).combine_chunks().dictionary_encode()
+    lang, source = (np.repeat(x.indices.to_numpy().astype(np.int64), runs) for x in (langs, sources))
+    keys = (lang * len(words.dictionary) + words.indices.to_numpy()) * len(sources.dictionary) + source
+    docs, times = (np.frombuffer(b"".join(rows.column(c).to_pylist()), np.int64) for c in ("docs", "times"))
+    return langs.dictionary, words.dictionary, sources.dictionary, keys, docs, times
+
+
+def kept_terms(packed: DataFrame, least: int = LEAST_DOCS) -> DataFrame:
     """(lang, term, source, times, total, docs, first) of terms in at least ``least`` documents of the language: ``total`` occurrences
     and ``docs`` documents in the language; ``first`` is 1 once a term."""
     names = ["lang", "term", "source", "times", "total", "docs", "first"]
 
-    def shorten(table: pa.Table) -> pa.Table:
-        starts = _starts(table, ["lang", "term", "source"])
-        if len(starts) == table.num_rows:
-            return table
-        sums = [pa.array(np.add.reduceat(table.column(c).to_numpy(), starts)) for c in ("docs", "times")]
-        return pa.table([*(table.column(c).take(pa.array(starts)) for c in ("lang", "term", "source", "chain")), *sums], names=table.column_names)
+    def kept(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        langs, words, sources, keys, docs, times = _entries(rows)
+        by = np.argsort(keys)
+        keys = keys[by]
+        starts = np.flatnonzero(np.diff(keys, prepend=-1))
+        keys, docs, times = keys[starts], np.add.reduceat(docs[by], starts), np.add.reduceat(times[by], starts)
+        term = keys // len(sources)
+        new = np.diff(term, prepend=-1) != 0
+        at = np.flatnonzero(new)
+        lengths = np.diff(np.r_[at, len(term)])
+        docs, total = (np.repeat(np.add.reduceat(x, at), lengths) for x in (docs, times))
+        keep = np.flatnonzero(docs >= least)
+        for a in range(0, len(keep), _OUT):
+            k = keep[a : a + _OUT]
+            cols = [langs.take(pa.array(term[k] // len(words))), words.take(pa.array(term[k] % len(words))), sources.take(pa.array(keys[k] % len(sources)))]
+            yield pa.RecordBatch.from_arrays([*cols, *(pa.array(x[k]) for x in (times, total, docs, new.astype(np.int64)))], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, starts in _runs(batches, shorten):
-            lengths = np.diff(np.r_[starts, table.num_rows])
-            docs, total = (np.repeat(np.add.reduceat(table.column(c).to_numpy(), starts), lengths) for c in ("docs", "times"))
-            first = np.zeros(table.num_rows, np.int64)
-            first[starts] = 1
-            keep = pa.array(docs >= least)
-            cols = [table.column(c).combine_chunks().filter(keep) for c in ("lang", "term", "source", "times")] + [pa.array(x).filter(keep) for x in (total, docs, first)]
-            if len(cols[0]):
-                yield pa.RecordBatch.from_arrays(cols, names=names)
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            bucket = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
+            for a, b in zip(cuts, cuts[1:]):
+                if b > a:
+                    if held and held[-1].column(0)[0].as_py() != bucket[a]:
+                        yield from kept(pa.Table.from_batches(held))
+                        held = []
+                    held.append(batch.slice(a, b - a))
+        if held:
+            yield from kept(pa.Table.from_batches(held))
 
-    return _by_term(entries, "source", "chain").mapInArrow(tidied(run), "lang string, term binary, source string, times long, total long, docs long, first long")
+    dealt = packed.repartitionById(partitions(packed.sparkSession), "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(tidied(run), "lang string, term binary, source string, times long, total long, docs long, first long")
 
 
 def _corrections(rows: DataFrame) -> DataFrame:
@@ -172,7 +219,7 @@ def _corrections(rows: DataFrame) -> DataFrame:
             for a, b, v in zip(names[pairs // len(names)].tolist(), names[pairs % len(names)].tolist(), total.tolist()):
                 sums[a, b] = sums.get((a, b), 0) + v
 
-        for table, starts in _runs(batches, lambda t: t):
+        for table, starts in _runs(batches):
             group, p, zero = (table.column(c).to_numpy() for c in ("g", "p", "p0"))
             ends = np.r_[starts[1:], table.num_rows]
             lengths = ends - starts

@@ -227,6 +227,27 @@ def test_audit(spark, odd_docs, no_docs, monkeypatch):
     assert divergence.audit(no_docs).count() == 0
 
 
+def test_entries_of_a_chain_and_bucket_are_one_row(spark, monkeypatch):
+    """The shuffle of the entries moves a row a chain and bucket, however many terms there are; none is lost, whatever its bucket, and a
+    chain that ends in the middle changes nothing."""
+    rows = [(("en", "fr")[i % 2], f"s{i % 3}", " ".join(f"w{k:c}" for k in range(0x4E00 + i % 7, 0x4E00 + 3000, 1 + i % 4))) for i in range(24)]
+    df = spark.createDataFrame(rows, "lang string, source string, text string").repartition(2)
+    packed = divergence.chains(df)
+    assert 0 < packed.count() <= 2 * divergence.buckets(spark)
+    docs, times = Counter(), Counter()
+    for lang, source, text in rows:
+        docs.update({(lang, t) for t in text.split()})
+        times.update((lang, t, source) for t in text.split())
+    want = {(*k, n, sum(times[k[0], k[1], f"s{s}"] for s in range(3)), docs[k[:2]]) for k, n in times.items() if docs[k[:2]] >= 8}
+    assert 1000 < len({k[:2] for k in want}) < len(docs)
+    for _ in range(2):
+        got = divergence.kept_terms(divergence.chains(df), 8).collect()
+        assert {(r.lang, bytes(r.term).decode(), r.source, r.times, r.total, r.docs) for r in got} == want and len(got) == len(want)
+        assert Counter((r.lang, bytes(r.term)) for r in got if r.first) == dict.fromkeys({(k[0], k[1].encode()) for k in want}, 1)
+        monkeypatch.setattr(divergence, "_HELD", 500)
+        monkeypatch.setattr(divergence, "_OUT", 7)
+
+
 def test_shares_are_exact_beyond_64_bits(spark):
     big = 3_000_000_000_000
     rows = [(0, 0), (0, 7), (12, 1000), (big, 2 * big + 17), (8_999_999_999, 10**10), (9_000_000_000, 10**10)]
