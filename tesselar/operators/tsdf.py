@@ -33,7 +33,8 @@ class TSDF:
         rows = cloud.where(finite(*AXES, *cams)).select(*[F.col(c).cast("double").alias(c) for c in (*AXES, *cams)], *keep)
         rows = rows.select("*", *[(F.col(a) - F.col(f"cam_{a}")).alias(f"d{a}") for a in AXES])
         rows = rows.withColumn("depth", F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + F.col("dz") * F.col("dz"))).where("depth >= 1e-6")
-        rows = rows.select(*AXES, *cams, *keep, "depth", *[(F.col(f"d{a}") / F.col("depth")).alias(f"r{a}") for a in AXES])
+        over = F.when(F.col("depth") >= 1e-6, F.col("depth"))  # the optimiser may divide before it filters, and a division by 0 is an error
+        rows = rows.select(*AXES, *cams, *keep, "depth", *[(F.col(f"d{a}") / over).alias(f"r{a}") for a in AXES])
         rows = rows.withColumn("t", F.explode(F.sequence(F.lit(-steps), F.lit(steps))))
         rows = rows.select("*", *[voxel_coord(F.col(a) + F.col(f"r{a}") * (F.col("t") * vs), self.voxel_size).alias(k) for a, k in zip(AXES, KEY)])
         part = [((F.col(k) + 0.5) * vs - F.col(f"cam_{a}")) * F.col(f"r{a}") for a, k in zip(AXES, KEY)]

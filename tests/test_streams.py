@@ -158,3 +158,14 @@ def test_many_small_files_are_few_batches(spark, sf, tmp_path, monkeypatch, name
     monkeypatch.setattr(incremental, "BATCH_BYTES", 1)
     assert got == rows(sf) == rows(str(tmp_path)) and len(got) > 100
     assert batches == [1, 1, 6]
+
+
+@pytest.mark.parametrize("name", ["stream_tsdf", "stream_tsdf_blocks"])
+def test_an_event_at_its_camera_adds_nothing(spark, sf, tmp_path, name):
+    """Its ray has no direction: the event is dropped and no division by its depth of 0 ends the stream."""
+    os.symlink(f"{sf}/nation.parquet", tmp_path / "nation.parquet")
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    at = events.where("event_id = 0").withColumn("event_id", F.lit(18_003).cast("long")).withColumn("user_id", F.lit(1).cast("long")).withColumn("value", F.lit(1.0))  # batch 18 is seen from (1, 1, 3)
+    events.unionByName(at).write.parquet(str(tmp_path / "events.parquet"))
+    rows = lambda d: sorted(map(tuple, registry.QUERIES[name](spark, d).collect()))
+    assert rows(str(tmp_path)) == rows(sf)
