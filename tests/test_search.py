@@ -210,3 +210,21 @@ def test_joins_send_few_rows(spark, monkeypatch):
     got = search.radius_join(cloud(spark, pts), cloud(spark, pts), 0.05)
     want = sum(d2(pts[i], b) <= 0.05 * 0.05 for i in range(0, 8000, 100) for b in pts)
     assert got.where("q % 100 = 0").count() == want and 0 < seen[0] <= 32
+
+
+def test_radius_joins_shuffle_names_only(spark, monkeypatch):
+    """However many pairs of blocks there are, no coordinates go with a pair: tasks read the blocks, whatever the kind of ids, each query with its radius."""
+    r = random.Random(8)
+    rows = [(i, *(a - 0.01 for a in p), *(a + 0.01 for a in p)) for i, p in enumerate((r.random(), r.random(), r.random()) for _ in range(5000))]
+    qs = [(f"q{i}", r.random(), r.random(), r.random(), 0.02 * (i % 3)) for i in range(4500)]
+    b, q = boxes_of(spark, rows), spark.createDataFrame(qs, "idx string, x double, y double, z double, r double")
+    seen = asked_rows(monkeypatch)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = search.radius_join(q, b, "r", "boxes")
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        got = sorted((x.q, x.idx, x.dist2) for x in found.where("q like '%7'").collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == sorted((i, x[0], d) for i, *p, w in qs if i.endswith("7") for x in rows if (d := box_d2(p, x)) <= w * w) and len(got) > 100
+    assert seen[0] > 4 and "Join" not in plan and plan.count("Exchange") == 1 and "binary" not in plan
