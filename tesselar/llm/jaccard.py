@@ -2,7 +2,7 @@
 
 1. Texts are written once with a number each. Documents with equal shingle sets (by a 128-bit digest) form a class, named by the smallest
    number; only classes are compared, and only the text with this number is read again.
-2. A sketch of how often each shingle occurs, over all documents, orders shingles from rare to frequent. Similar sets share SHARED of
+2. A sketch of how often each shingle occurs, over all documents, with more counters for more text, orders shingles from rare to frequent. Similar sets share SHARED of
    their first shingles in this order (the prefix filter). Each shingle's index list is sorted by set size, and entries too far apart in
    size are skipped. Classes in short lists are candidates once they meet in SHARED lists: the more texts there are, the more of them
    share a shingle by chance, and if one sufficed, most would end up in one group. In long lists what remains side by side links classes
@@ -39,9 +39,11 @@ from .common import BLOCK_ROWS, Facts, Numbered, Scratch, WordHash, partitions,
 from .components import components
 from .hubs import confirmed, linked
 
-#: Counters of the sketch (a fixed size, whatever the input); least and most shingles and bytes of signatures in a block of sets; blocks
+#: Least and most counters of the sketch, which has at most LOAD shingles a counter as far as these allow, so that frequent ones stand out; least and most shingles and bytes of signatures in a block of sets; blocks
 #: that a group is cut into as far as these bounds allow.
 COUNTERS = 1 << 20
+MOST_COUNTERS = 1 << 24
+LOAD = 200
 BLOCK_SHINGLES = (20_000, 300_000)
 BLOCK_SIGNATURES = (1 << 14, 1 << 19)
 SPLIT = 16
@@ -56,7 +58,6 @@ _FLUSH = 400_000
 #: Bits of a signature, for sets up to so many shingles.
 SIGNATURES = ((1 << 10, 1_500), (1 << 13, 12_000), (1 << 16, 1 << 62))
 _SEGMENTS = 64
-_PART = COUNTERS // _SEGMENTS
 
 
 def shingle_set(text: str | None, size: int, hash_: WordHash) -> np.ndarray:
@@ -70,8 +71,16 @@ def digest_of(s: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(s.tobytes())
 
 
-def _counter(s: np.ndarray) -> np.ndarray:
-    return (s >> np.uint64(44)).astype(np.int64)
+def _counter(s: np.ndarray, counters: int) -> np.ndarray:
+    return (s >> np.uint64(65 - counters.bit_length())).astype(np.int64)
+
+
+def counters_for(shingles: int) -> int:
+    """Counters, a power of two, of a sketch of so many shingles."""
+    out = COUNTERS
+    while out < MOST_COUNTERS and shingles > LOAD * out:
+        out *= 2
+    return out
 
 
 def needed(size: int, percent: int) -> int:
@@ -85,16 +94,16 @@ def signature(s: np.ndarray) -> bytes:
     return np.packbits((np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
-def _describe(rows: DataFrame, size: int) -> DataFrame:
+def _describe(rows: DataFrame, size: int, counters: int = COUNTERS) -> DataFrame:
     """Two kinds of rows: documents (row, n, digest, signature) and parts of the sketch (segment, counts)."""
     schema = "row long, n long, digest binary, signature binary, segment int, counts binary"
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hash_, sketch, waiting = WordHash(), np.zeros(COUNTERS, np.int64), []
+        hash_, sketch, waiting, part_ = WordHash(), np.zeros(counters, np.uint32), [], counters // _SEGMENTS
 
         def count() -> None:
-            sketch.__iadd__(np.bincount(np.concatenate(waiting), minlength=COUNTERS))
+            np.add.at(sketch, np.concatenate(waiting), np.uint32(1))
             waiting.clear()
 
         for batch in batches:
@@ -104,21 +113,21 @@ def _describe(rows: DataFrame, size: int) -> DataFrame:
                 for t in part.column(1).to_pylist():
                     s = shingle_set(t, size, hash_)
                     n.append(len(s)), digests.append(digest_of(s) if len(s) else None), marks.append(signature(s) if len(s) else None)
-                    waiting.append(_counter(s))
+                    waiting.append(_counter(s, counters))
                     if sum(map(len, waiting[-64:])) > 1_000_000 or len(waiting) >= 4000:
                         count()
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(marks, pa.binary()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names=names)
         if waiting:
             count()
         if sketch.any():
-            parts = [zlib.compress(sketch[k * _PART : (k + 1) * _PART].astype(np.uint32).tobytes(), 1) for k in range(_SEGMENTS)]
+            parts = [zlib.compress(sketch[k * part_ : (k + 1) * part_].tobytes(), 1) for k in range(_SEGMENTS)]
             nulls = [pa.nulls(_SEGMENTS, k) for k in (pa.int64(), pa.int64(), pa.binary(), pa.binary())]
             yield pa.RecordBatch.from_arrays([*nulls, pa.array(range(_SEGMENTS), pa.int32()), pa.array(parts, pa.binary())], names=names)
 
     return rows.mapInArrow(tidied(run), schema)
 
 
-def _sketch(parts: DataFrame) -> np.ndarray:
+def _sketch(parts: DataFrame, counters: int = COUNTERS) -> np.ndarray:
     """Order classes of the counters: 0 for those near or below the mean, more for each doubling. Parts are summed as they
     come, first in as many tasks as there are partitions, then a segment a task; no task holds more than one sketch."""
 
@@ -126,29 +135,32 @@ def _sketch(parts: DataFrame) -> np.ndarray:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                total[k] = total[k] + _counts(counts) if k in total else _counts(counts)
+                total[k] = total[k] + _counts(counts, part) if k in total else _counts(counts, part)
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in total.values()], pa.binary())], names=["segment", "counts"])
 
-    n = partitions(parts.sparkSession)
+    n, part = partitions(parts.sparkSession), counters // _SEGMENTS
     summed = parts.repartition(max(1, n // 4)).mapInArrow(tidied(add), "segment int, counts binary").repartition(_SEGMENTS, "segment").mapInArrow(tidied(add), "segment int, counts binary")
-    total = np.zeros(COUNTERS, np.uint64)
+    total = np.zeros(counters, np.uint64)
     for r in summed.toLocalIterator():
-        total[r.segment * _PART : (r.segment + 1) * _PART] = _counts(r.counts)
+        total[r.segment * part : (r.segment + 1) * part] = _counts(r.counts, part)
     mean = max(1.0, total.mean())
-    return np.clip(np.floor(np.log2(np.maximum(total, 1) / mean + 1e-9) * 2), 0, 60).astype(np.uint8)
+    out = np.empty(counters, np.uint8)
+    for at in range(0, counters, part):
+        out[at : at + part] = np.clip(np.floor(np.log2(np.maximum(total[at : at + part], 1) / mean + 1e-9) * 2), 0, 60)
+    return out
 
 
-def _counts(data: bytes) -> np.ndarray:
+def _counts(data: bytes, part: int) -> np.ndarray:
     """The counters of a part: 32 bits each as a task made them, 64 bits once summed."""
     data = zlib.decompress(data)
-    return np.frombuffer(data, np.uint32 if len(data) == 4 * _PART else np.uint64).astype(np.uint64)
+    return np.frombuffer(data, np.uint32 if len(data) == 4 * part else np.uint64).astype(np.uint64)
 
 
 def prefix(s: np.ndarray, order: np.ndarray, percent: int) -> np.ndarray:
     """The first shingles in the order (class of the counter, hash), enough for any similar set to share SHARED of them, or all that both have."""
     keep = len(s) - needed(len(s), percent) + SHARED
     # similar sets of other sizes share at least needed(len(s)), so this prefix serves for both sides
-    rank = order[_counter(s)]
+    rank = order[_counter(s, len(order))]
     return s[np.lexsort((s, rank))[:keep]]
 
 
@@ -545,11 +557,13 @@ def _joined(numbered: Numbered, id_col: str, text_col: str, size: int, percent:
     spark, scratch = numbered.rows.sparkSession, numbered.scratch
     rows = numbered.rows.select(F.col(numbered.row).alias("row"), F.col(text_col).cast("string").alias("text"))
     ids = numbered.rows.select(F.col(numbered.row).alias("row"), F.col(id_col).alias("doc"))
-    described = scratch.save(_describe(rows, size), "sets")
+    letters = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    counters = counters_for(letters // 6)  # a word and what divides it from the next
+    described = scratch.save(_describe(rows, size, counters), "sets")
     sets = scratch.save(described.where(F.col("segment").isNull()).select("row", "n", "digest").join(ids, "row"), "ids")
     classes = sets.where("n > 0").groupBy("digest").agg(F.min("row").alias("class"), F.min("doc").alias("first"), F.count(F.lit(1)).alias("size"), F.min("n").alias("n"))
     classes = scratch.save(classes, "classes")
-    order = spark.sparkContext.broadcast(_sketch(described.where(F.col("segment").isNotNull()).select("segment", "counts")))
+    order = spark.sparkContext.broadcast(_sketch(described.where(F.col("segment").isNotNull()).select("segment", "counts"), counters))
     sizes = classes.select("class", "n")
 
     reps = numbered.facts(classes.select(F.col("class").alias("row")), F.shiftright("row", BLOCK_ROWS))

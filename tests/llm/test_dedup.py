@@ -448,3 +448,18 @@ def test_rows_meet_facts_where_they_lie(spark):
     assert met.schema.simpleString() == want.schema.simpleString()
     assert sorted(map(tuple, met.collect())) == sorted(map(tuple, want.collect())) and want.count() > 2000
     assert numbered.meet(held, found.where("k > 9"), "class").count() == 0
+
+
+def test_sketch_grows_with_the_text(spark, monkeypatch):
+    """Frequent shingles stand out of the sketch however many others there are, and its size makes no difference to the result."""
+    assert [jaccard.counters_for(n) for n in (0, 200 << 20, 201 << 20, 1650 << 20, 10**12)] == [1 << 20, 1 << 20, 1 << 21, 1 << 24, 1 << 24]
+    own = np.arange(10_000, dtype=np.uint64) << np.uint64(40)
+    assert len(np.unique(jaccard._counter(own, 1 << 24))) == 10_000 > len(np.unique(jaccard._counter(own, 1 << 20)))
+    words = lambda i: " ".join(f"w{i}x{k}" for k in range(60))
+    rows = [(i, f"{words(i // 2)} end{i % 2}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = lambda: sorted((r.doc_id, r.component_id) for r in jaccard.jaccard_join(docs).collect())
+    want = [(i, i // 2 * 2) for i in range(40)]
+    assert got() == want
+    monkeypatch.setattr(jaccard, "counters_for", lambda n: 1 << 22)
+    assert got() == want
